@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from plumbline.llm import mixing
+from plumbline.llm import mixing, secret_scan
 from plumbline.llm.session import table
 
 
@@ -42,5 +43,42 @@ SELECT doc_id, size, source_size, target,
 FROM ranked JOIN targets USING (sk)
 """
 
-QUERIES = {"op5_mixing": op5_mixing}
-ORACLES = {"op5_mixing": OP5_SQL}
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all documents; the base kinds' digest and all spans."""
+    base = [r.kind for r in secret_scan.BASE]
+    found = secret_scan.scan(table(spark, sf_dir, "documents"))
+    of = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    digest = F.sha2(secret_scan.told(F.filter("spans", lambda s: s["kind"].isin(base))), 256)
+    return found.select("doc_id", *[of(kind).alias(f"n_{kind}") for kind in base], digest.alias("base_sha256"), secret_scan.told(F.col("spans")).alias("spans"))
+
+
+def _sql_pattern(rule: secret_scan.Rule) -> str:
+    """The rule for a regex engine whose case folding knows more letters than ASCII."""
+    if not rule.any_case:
+        return rule.regex.replace("'", "''")
+    head, rest = rule.regex.split(")", 1)
+    return ("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in head) + ")" + rest).replace("'", "''")
+
+
+def _op7_sql() -> str:
+    kinds = []
+    for k, r in enumerate(secret_scan.BASE + secret_scan.EXTRA):
+        p = _sql_pattern(r)
+        kinds.append(f"SELECT rid, {k} AS ord, '{r.kind}' AS kind, {r.least} AS least, regexp_extract_all(text, '{p}', 0) AS m, regexp_extract_all(text, '{p}', {r.value}) AS v, string_split_regex(text, '{p}') AS g FROM t WHERE regexp_matches(text, '{p}')")
+    told = "string_agg(kind || ':' || (e - length(m))::BIGINT || ':' || e::BIGINT, ',' ORDER BY e - length(m), ord, e)"
+    return f"""
+WITH t AS (SELECT doc_id, row_number() OVER () AS rid, coalesce(text, '') AS text FROM documents),
+found AS ({" UNION ALL ".join(kinds)}),
+each AS (SELECT rid, ord, kind, least, unnest(m) AS m, unnest(v) AS v, unnest(g[1:len(m)]) AS g, unnest(range(1, len(m) + 1)) AS i FROM found),
+placed AS (SELECT *, sum(length(g) + length(m)) OVER (PARTITION BY rid, ord ORDER BY i) AS e FROM each),
+kept AS (SELECT * FROM placed WHERE length(v) >= least),
+per AS (SELECT rid, count(*) FILTER (WHERE ord = 0) AS n_assign, count(*) FILTER (WHERE ord = 1) AS n_access, count(*) FILTER (WHERE ord = 2) AS n_hex,
+  {told} FILTER (WHERE ord < 3) AS base, {told} AS spans FROM kept GROUP BY rid)
+SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM t LEFT JOIN per USING (rid)
+"""
+
+
+QUERIES = {"op5_mixing": op5_mixing, "op7_secret_scan": op7_secret_scan}
+ORACLES = {"op5_mixing": OP5_SQL, "op7_secret_scan": _op7_sql()}
