@@ -5,10 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import mixing, secret_scan
+from plumbline.llm import bpe, mixing, secret_scan
 from plumbline.llm.session import table
 
 
+def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts encoded and decoded again."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    encoded = bpe.encode(docs).select("doc_id", "ids")
+    both = bpe.decode(encoded)
+    return both.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mix of all documents."""
     return mixing.mix(table(spark, sf_dir, "documents")).drop("row_key", "copies")
@@ -80,5 +88,5 @@ FROM t LEFT JOIN per USING (rid)
 """
 
 
-QUERIES = {"op5_mixing": op5_mixing, "op7_secret_scan": op7_secret_scan}
+QUERIES = {"op1_byte_bpe": op1_byte_bpe, "op5_mixing": op5_mixing, "op7_secret_scan": op7_secret_scan}
 ORACLES = {"op5_mixing": OP5_SQL, "op7_secret_scan": _op7_sql()}
