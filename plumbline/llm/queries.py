@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, mixing, secret_scan
+from plumbline.llm import bpe, mixing, secret_scan, simhash
 from plumbline.llm.session import table
 
 
@@ -88,5 +88,11 @@ FROM t LEFT JOIN per USING (rid)
 """
 
 
-QUERIES = {"op1_byte_bpe": op1_byte_bpe, "op5_mixing": op5_mixing, "op7_secret_scan": op7_secret_scan}
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of all documents."""
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+QUERIES = {"op9_simhash": op9_simhash, "op1_byte_bpe": op1_byte_bpe, "op5_mixing": op5_mixing, "op7_secret_scan": op7_secret_scan}
 ORACLES = {"op5_mixing": OP5_SQL, "op7_secret_scan": _op7_sql()}
