@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, chat, lookup_sketch, mixing, secret_scan, simhash
+from plumbline.llm import bpe, chat, language_id, lookup_sketch, mixing, secret_scan, simhash
 from plumbline.llm.session import table
 
 
@@ -17,6 +17,16 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of all documents, and whether a pipeline keeps them."""
+    return language_id.of_documents(table(spark, sf_dir, "documents"))
+
+
+def language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of all web pages, from text, markup, suffix and host."""
+    return language_id.of_pages(table(spark, sf_dir, "pages"))
+
+
 def op4_lookup_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents and of their edited versions."""
     return lookup_sketch.versions(table(spark, sf_dir, "documents"))
@@ -112,6 +122,8 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op3_language_id": op3_language_id,
+    "language_id_pages": language_id_pages,
     "op4_lookup_sketch": op4_lookup_sketch,
     "op5_mixing": op5_mixing,
     "op7_secret_scan": op7_secret_scan,
