@@ -191,7 +191,12 @@ def of_pages(pages: DataFrame) -> DataFrame:
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose language is known, with their own columns."""
+    """The rows of ``docs`` whose language is known, with their own columns.
+
+    Rejected rows are told by a hash of their columns. They are written out before they are
+    joined, so the planner knows their size when it chooses whether to broadcast them.
+    """
     keyed = docs.withColumn("_row", F.xxhash64("doc_id", "text", "source", "lang"))
-    found = of_documents(keyed.withColumn("doc_id", F.col("_row"))).where("kept").select(F.col("doc_id").alias("_row")).distinct()
-    return keyed.join(found, "_row", "left_semi").select(*docs.columns)
+    found = of_documents(keyed.withColumn("doc_id", F.col("_row")))
+    rejected = cut(found.where(~F.col("kept")).select(F.col("doc_id").alias("_row")).distinct(), "rejected")
+    return keyed.join(rejected, "_row", "left_anti").select(*docs.columns)

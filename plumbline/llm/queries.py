@@ -5,18 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, chat, language_id, lookup_sketch, mixing, secret_scan, simhash
+from plumbline.llm import bpe, chat, language_id, lookup_sketch, mixing, neighbours, page_text, secret_scan, simhash
 from plumbline.llm.session import table
 
 
-def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All texts encoded and decoded again."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    encoded = bpe.encode(docs).select("doc_id", "ids")
+def bpe_digests(docs: DataFrame) -> DataFrame:
+    """Digests of each text's ids and of their decoded bytes."""
+    encoded = bpe.encode(docs.select("doc_id", "text")).select("doc_id", "ids")
     both = bpe.decode(encoded)
     return both.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts encoded and decoded again."""
+    return bpe_digests(table(spark, sf_dir, "documents"))
+
+
+def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of each vector whose id is divisible by 20, among all others."""
+    rows = table(spark, sf_dir, "embeddings")
+    return neighbours.search(rows, rows.where("vec_id % 20 = 0"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of all documents, and whether a pipeline keeps them."""
     return language_id.of_documents(table(spark, sf_dir, "documents"))
@@ -66,6 +76,11 @@ SELECT doc_id, size, source_size, target,
 FROM ranked JOIN targets USING (sk)
 """
 
+def op6_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of all web pages."""
+    return page_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in all documents; the base kinds' digest and all spans."""
     base = [r.kind for r in secret_scan.BASE]
@@ -122,10 +137,12 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op2_neighbours": op2_neighbours,
     "op3_language_id": op3_language_id,
     "language_id_pages": language_id_pages,
     "op4_lookup_sketch": op4_lookup_sketch,
     "op5_mixing": op5_mixing,
+    "op6_page_text": op6_page_text,
     "op7_secret_scan": op7_secret_scan,
     "op8_chat_format": op8_chat_format,
     "op9_simhash": op9_simhash,

@@ -49,14 +49,19 @@ def fingerprint(text: str | None, width: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
-    """``doc_id, fp``: the fingerprint as a signed 64-bit integer, one row per row of ``docs``."""
+    """``doc_id, row_key, fp``: the fingerprint as a signed 64-bit integer, one row per row of ``docs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(t, width) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], ["doc_id", "fp"])
+            found = np.array([fingerprint(t, width) for t in batch.column(2).to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found)], ["doc_id", "row_key", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), row_key(), F.col("text").cast("string")).mapInArrow(run, "doc_id long, row_key long, fp long")
+
+
+def row_key() -> Column:
+    """What tells rows apart; equal rows are interchangeable."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")).alias("row_key")
 
 
 def masks(bits: int, radius: int) -> list[int]:
@@ -174,7 +179,7 @@ def links(classes: DataFrame, distance: int = 2 * RADIUS) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, width: int = 4) -> DataFrame:
-    """``doc_id, fp, component_id``: the least doc_id that links of 4 bits or fewer reach, one row per row of ``docs``.
+    """``doc_id, row_key, fp, root, component_id``: the least doc_id that links of 4 bits or fewer reach, one row per row of ``docs``.
 
     Null texts have no words, as empty ones: fingerprint 0, linked like any other. Rows that
     repeat are in one class. A null doc_id takes part, but names a component only where it has
@@ -185,5 +190,19 @@ def near_duplicates(docs: DataFrame, width: int = 4) -> DataFrame:
     roots = components(links(classes))
     rooted = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    labels = rooted.join(named, "root").select("fp", "component_id")
-    return prints.join(labels, "fp").select("doc_id", "fp", "component_id")
+    labels = rooted.join(named, "root").select("fp", "root", "component_id")
+    return prints.join(labels, "fp").select("doc_id", "row_key", "fp", "root", "component_id")
+
+
+def deduplicated(docs: DataFrame, width: int = 4) -> DataFrame:
+    """``docs`` with one row of each component: that of the least doc_id. Null ids come last."""
+    near = cut(near_duplicates(docs, width).select("row_key", "root", "doc_id"), "near")
+    place = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "row_key")
+    winners = near.groupBy("root").agg(F.min(place)["row_key"].alias("row_key"))
+    losers = cut(near.select("row_key", "root").distinct().join(winners, ["root", "row_key"], "left_anti").select("row_key"), "losers")
+    keyed = docs.withColumn("row_key", row_key())
+    left = keyed.join(losers, "row_key", "left_anti")
+    repeated = cut(near.groupBy("row_key").count().where("count > 1").select("row_key"), "repeated")
+    if not repeated.isEmpty():
+        left = left.join(repeated, "row_key", "left_anti").unionByName(left.join(repeated, "row_key", "left_semi").dropDuplicates(["row_key"]))
+    return left.select(*docs.columns)
