@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, chat, language_id, lookup_sketch, mixing, neighbours, page_text, secret_scan, simhash
+from plumbline.llm import bpe, chat, language_id, lookup_sketch, mixing, neighbours, page_text, repeats, secret_scan, simhash
 from plumbline.llm.session import table
 
 
@@ -135,6 +135,11 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of all documents without strings of 200 bytes that repeat."""
+    return repeats.digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_neighbours": op2_neighbours,
@@ -146,6 +151,7 @@ QUERIES = {
     "op7_secret_scan": op7_secret_scan,
     "op8_chat_format": op8_chat_format,
     "op9_simhash": op9_simhash,
+    "op10_repeats": op10_repeats,
 }
 OP8_SQL = r"""
 WITH turns AS (

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -26,7 +29,8 @@ def cut(df: DataFrame, name: str = "step") -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Later stages then depend on files that survive the loss of any executor, and do not
-    repeat the work above. The files go when the driver ends.
+    repeat the work above. The files go when the driver ends. Shuffle files of what is no
+    longer needed go at once: Spark drops them when the driver collects its garbage.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/plumbline/{name}-{uuid.uuid4().hex}"
@@ -34,7 +38,18 @@ def cut(df: DataFrame, name: str = "step") -> DataFrame:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    del df
+    gc.collect()
+    jvm.System.gc()
+    return out
+
+
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Batches of few rows, so that no worker holds Python objects for very many texts."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
 
 
 def partitions(spark: SparkSession) -> int:
