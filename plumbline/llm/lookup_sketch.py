@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.session import partitions
+from plumbline.llm.session import partitions, slices
 
 #: Words in a paragraph at most; paragraphs for each cell of a fingerprint; fewest cells.
 WORDS, RATE, FEWEST = 12, 8, 16
@@ -167,7 +167,7 @@ def edited(text: str, following: str) -> str:
 def _sent(batches: Iterator[pa.RecordBatch], splits: np.ndarray, guests: dict) -> Iterator[pa.RecordBatch]:
     """Rows with their bucket; the first of a bucket also as a guest of the bucket before it. Texts travel compressed."""
     pack = zstandard.ZstdCompressor(level=3)
-    for batch in batches:
+    for batch in slices(batches):
         ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         rows: list[tuple] = []
         for i, t in zip(ids, texts, strict=True):
@@ -188,7 +188,7 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
     types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
     before = None
-    for batch in batches:
+    for batch in slices(batches):
         out = []
         for bucket, guest, doc_id, packed in zip(*(batch.column(k).to_pylist() for k in (0, 1, 2, 4)), strict=True):
             if guest and before is None:
