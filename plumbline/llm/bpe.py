@@ -30,6 +30,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from plumbline.llm.session import slices
+
 #: Code points of a text, bytes of a pre-token, and tokens, that are dealt with without halving.
 TEXT_LEAF, PIECE_LEAF, DECODE_LEAF = 1 << 16, 48, 1 << 16
 #: Encoded pre-tokens that a worker remembers at most.
@@ -190,7 +192,7 @@ def codec(path: str | None = None, pattern: str = public_tokenizers.PATTERN) ->
 
 def _encode(batches: Iterator[pa.RecordBatch], path: str | None, pattern: str) -> Iterator[pa.RecordBatch]:
     own = codec(path, pattern)
-    for batch in batches:
+    for batch in slices(batches):
         texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
         ids = pa.array([own.ids(t or "") for t in texts], pa.binary())
         yield pa.RecordBatch.from_arrays([*batch.columns, ids], [*batch.schema.names, "ids"])
@@ -212,7 +214,7 @@ def decode(encoded: DataFrame, path: str | None = None, pattern: str = public_to
 
     def run(batches):
         own = codec(path, pattern)
-        for batch in batches:
+        for batch in slices(batches):
             ids = batch.column(batch.schema.get_field_index("ids")).to_pylist()
             out = pa.array([own.decode(memoryview(x or b"").cast("I")) for x in ids], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, out], [*batch.schema.names, "decoded"])
