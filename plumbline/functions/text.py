@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -29,6 +29,11 @@ def quoted(literal: str) -> str:
     return r"\Q" + literal.replace(r"\E", r"\E\\E\Q") + r"\E"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often and however deep in lambdas it is used."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     """Without white space, of any script, at both ends."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
@@ -46,9 +51,17 @@ def ngrams(ws: Column, n: int) -> Column:
     """The n-grams of an array of words, joined by blanks."""
     if n == 1:
         return ws
-    last = F.size(ws) - (n - 1)
-    heads = F.when(last > 0, F.slice(ws, 1, last)).otherwise(F.array().cast("array<string>"))
-    return F.transform(heads, lambda w, i: F.concat_ws(" ", w, *[F.get(ws, i + k) for k in range(1, n)]))
+    return F.transform(shifted(ws, n), lambda x: F.concat_ws(" ", *[x[str(k)] for k in range(n)]))
+
+
+def shifted(items: Column, n: int) -> Column:
+    """Each n neighbours of an array, as structs with fields 0 to n - 1."""
+
+    def cut(a: Column) -> Column:
+        last = F.greatest(F.size(a) - (n - 1), F.lit(0))
+        return F.arrays_zip(*[F.slice(a, F.lit(k + 1), last).alias(str(k)) for k in range(n)])
+
+    return let(items, cut)
 
 
 def first_start(c: Column, pattern: str) -> Column:

@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.functions.text import let
+
 P = "array<struct<token:string,p:double>>"
 TOTAL = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x["p"])
 _pair = lambda token, p: F.struct(token.alias("token"), p.alias("p"))
@@ -19,19 +21,28 @@ _pair = lambda token, p: F.struct(token.alias("token"), p.alias("p"))  # noqa: E
 def softmax(candidates: Column, temperature: float = 1.0, least: float = 1e-3) -> Column:
     """Probabilities at a temperature, over all candidates given; even where they all vanish."""
     raw = F.transform(candidates, lambda c: _pair(c["token"], F.pow(F.exp(c["logp"]), F.lit(1.0 / max(temperature, least)))))
-    z = TOTAL(raw)
-    return F.coalesce(F.transform(raw, lambda c: _pair(c["token"], F.when(z > 0, c["p"] / F.when(z > 0, z)).otherwise(F.lit(1.0) / F.size(raw)))).cast(P), F.array().cast(P))
+    return let(F.coalesce(raw, F.array().cast(P)), _scaled)
+
+
+def _scaled(raw: Column) -> Column:
+    share = lambda z: F.transform(raw, lambda c: _pair(c["token"], F.when(z > 0, c["p"] / F.when(z > 0, z)).otherwise(F.lit(1.0) / F.size(raw))))
+    return let(TOTAL(raw), share).cast(P)
 
 
 def without(probs: Column, *tokens: Column) -> Column:
     """Candidates but these. What is left is not scaled up again."""
-    return F.filter(probs, lambda c: ~F.coalesce(F.array_contains(F.array(*tokens), c["token"]), F.lit(False)))
+    return untried(probs, F.array(*tokens))
+
+
+def untried(probs: Column, tried: Column) -> Column:
+    """Candidates but those of an array of tokens."""
+    return let(F.coalesce(tried, F.array().cast("array<string>")), lambda ts: F.filter(probs, lambda c: ~F.coalesce(F.array_contains(ts, c["token"]), F.lit(False))))
 
 
 def min_p(probs: Column, share: float) -> Column:
     """Candidates of at least this share of the best one's probability."""
-    best = F.array_max(F.transform(probs, lambda c: c["p"]))
-    return F.filter(probs, lambda c: c["p"] >= share * best)
+    best = lambda ps: F.array_max(F.transform(ps, lambda c: c["p"]))
+    return let(probs, lambda ps: let(best(ps), lambda m: F.filter(ps, lambda c: c["p"] >= share * m)))
 
 
 def ranked(probs: Column) -> Column:
@@ -41,9 +52,7 @@ def ranked(probs: Column) -> Column:
 
 def top_p(probs: Column, share: float) -> Column:
     """The most likely candidates up to and with the one that reaches this share of probability."""
-    sorted_ = ranked(probs)
-    before = lambda i: TOTAL(F.slice(sorted_, F.lit(1), i))
-    return F.filter(sorted_, lambda c, i: before(i) < share)
+    return let(ranked(probs), lambda ps: F.filter(ps, lambda c, i: TOTAL(F.slice(ps, F.lit(1), i)) < share))
 
 
 def top_k(probs: Column, k: int) -> Column:
@@ -53,10 +62,9 @@ def top_k(probs: Column, k: int) -> Column:
 
 def inverted(probs: Column) -> Column:
     """The order of probabilities turned round: (greatest - p) + least, scaled to 1; even where that vanishes."""
-    ps = F.transform(probs, lambda c: c["p"])
-    turned = F.transform(probs, lambda c: _pair(c["token"], F.array_max(ps) - c["p"] + F.array_min(ps)))
-    z = TOTAL(turned)
-    return F.transform(turned, lambda c: _pair(c["token"], F.when(z > 0, c["p"] / F.when(z > 0, z)).otherwise(F.lit(1.0) / F.size(probs))))
+    ends = lambda ps: F.struct(F.array_max(F.transform(ps, lambda c: c["p"])).alias("high"), F.array_min(F.transform(ps, lambda c: c["p"])).alias("low"))
+    turned = let(probs, lambda ps: let(ends(ps), lambda e: F.transform(ps, lambda c: _pair(c["token"], e["high"] - c["p"] + e["low"]))))
+    return let(turned, _scaled)
 
 
 def rungs(temperature: float, p: float | None, share: float | None, k: int | None, relax: bool = True) -> list[tuple]:
@@ -81,7 +89,7 @@ def laddered(df: DataFrame, banned: str, tried: str | None, ladder: Sequence[tup
     for n in reversed(range(len(ladder))):
         probs = filtered(F.col(candidates), F.col(banned), ladder[n])
         probs = inverted(probs) if invert and n < 2 else probs
-        left = F.filter(probs, lambda c: (c["p"] > 0) & ~F.coalesce(F.array_contains(seen, c["token"]), F.lit(False)))
+        left = untried(F.filter(probs, lambda c: c["p"] > 0), seen)
         df = df.withColumn(f"_r{n}", left)
         rung, kept = F.when(F.size(f"_r{n}") > 0, F.lit(n)).otherwise(rung), F.when(F.size(f"_r{n}") > 0, F.col(f"_r{n}")).otherwise(kept)
     return df.withColumn("rung", rung).withColumn("kept", kept).drop(*[f"_r{n}" for n in range(len(ladder))])
@@ -106,7 +114,7 @@ def tail(candidates: Column, banned: Column, share: float = 0.01, most: int = 50
     if prefixes:
         kept = F.filter(kept, lambda c: ~F.lower(c["token"]).isin(list(prefixes)) & ~F.lower(bare(c)).isin(list(prefixes)))
     if tried is not None:
-        kept = F.filter(kept, lambda c: ~F.coalesce(F.array_contains(tried, c["token"]), F.lit(False)))
+        kept = untried(kept, tried)
     return F.slice(kept, 1, limit)
 
 

@@ -99,13 +99,11 @@ def ngram_hits(text: Column, rules: Rules) -> Column:
         return empty
     numbered = F.transform(F.regexp_extract_all(F.lower(text), F.lit(tx.WORD), F.lit(0)), lambda w, i: F.struct(i.alias("at"), w.alias("w")))
     kept = F.filter(numbered, lambda x: ~x["w"].isin(list(rules.stopwords))) if rules.remove_stopwords else numbered
-    return F.concat(empty, *[_among(_grams(kept, n), keys) for n, keys in sorted(by_n.items())])
+    return tx.let(kept, lambda a: F.concat(empty, *[_among(_grams(a, n), keys) for n, keys in sorted(by_n.items())]))
 
 
 def _grams(kept: Column, n: int) -> Column:
-    last = F.size(kept) - (n - 1)
-    heads = F.when(last > 0, F.slice(kept, 1, F.greatest(last, F.lit(1)))).otherwise(F.array().cast("array<struct<at:int,w:string>>"))
-    return F.transform(heads, lambda x, i: F.struct(x["at"].alias("at"), F.lit(n).alias("n"), F.concat_ws(" ", x["w"], *[F.get(kept, i + k)["w"] for k in range(1, n)]).alias("key")))
+    return F.transform(tx.shifted(kept, n), lambda x: F.struct(x["0"]["at"].alias("at"), F.lit(n).alias("n"), F.concat_ws(" ", *[x[str(k)]["w"] for k in range(n)]).alias("key")))
 
 
 def _among(grams: Column, keys: Sequence[str]) -> Column:
@@ -120,9 +118,13 @@ def word_start(text: Column, at: Column) -> Column:
     return total(F.slice(gaps, F.lit(1), at + 1)) + total(F.slice(ws, F.lit(1), at))
 
 
+def _first_ngram(text: Column, rules: Rules) -> Column:
+    return F.array_min(F.transform(ngram_hits(text, rules), lambda h: F.struct(h["at"].alias("at"), (-h["n"]).alias("n"), h["key"].alias("key"))))
+
+
 def ngram_first(text: Column, rules: Rules) -> Column:
     """The first n-gram hit; of those that begin at one word, the longest."""
-    return ngram_of(text, F.array_min(F.transform(ngram_hits(text, rules), lambda h: F.struct(h["at"].alias("at"), (-h["n"]).alias("n"), h["key"].alias("key")))), rules)
+    return tx.let(_first_ngram(text, rules), lambda first: ngram_of(text, first, rules))
 
 
 def ngram_of(text: Column, first: Column, rules: Rules) -> Column:
@@ -133,9 +135,8 @@ def ngram_of(text: Column, first: Column, rules: Rules) -> Column:
 
 def first_hits(docs: DataFrame, rules: Rules, text: str = "text") -> DataFrame:
     """``docs`` with ``hits``: the first hit of each kind, with the token that holds its first character."""
-    raw = docs.withColumn("_ngram", F.array_min(F.transform(ngram_hits(F.col(text), rules), lambda h: F.struct(h["at"].alias("at"), (-h["n"]).alias("n"), h["key"].alias("key")))))
-    hits = F.array_compact(F.array(phrase_first(F.col(text), rules), regex_first(F.col(text), rules), ngram_of(F.col(text), F.col("_ngram"), rules)))
-    return raw.withColumn("hits", hits).drop("_ngram")
+    hits = F.array_compact(F.array(phrase_first(F.col(text), rules), regex_first(F.col(text), rules), ngram_first(F.col(text), rules)))
+    return docs.withColumn("hits", hits)
 
 
 def all_hits(docs: DataFrame, rules: Rules, text: str = "text") -> DataFrame:

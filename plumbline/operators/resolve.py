@@ -13,7 +13,7 @@ def with_tokens(hits: DataFrame, text: str = "text") -> DataFrame:
     return hits.withColumn("token", tx.token_at(F.col(text), F.col("hit.start"))).where("token is not null")
 
 
-def earliest_of(docs: DataFrame, skip: tuple[str, ...] = (), text: str = "text") -> Column:
+def earliest_of(skip: tuple[str, ...] = (), text: str = "text") -> Column:
     """Of ``hits`` of one row, the one in the earliest token; ties go to the kind first in order. No shuffle."""
     kept = F.filter("hits", lambda h: ~h["kind"].isin(list(skip))) if skip else F.col("hits")
     placed = F.transform(kept, lambda h: F.struct(tx.token_at(F.col(text), h["start"]).alias("token"), h["prio"].alias("prio"), h.alias("hit")))
