@@ -14,6 +14,8 @@ texts have equal fingerprints, and a larger table folds onto a smaller one.
 from __future__ import annotations
 
 import hashlib
+import math
+import re
 import struct
 from collections import Counter
 from collections.abc import Iterator
@@ -29,6 +31,8 @@ from plumbline.llm.session import partitions, slices
 
 #: Words in a paragraph at most; paragraphs for each cell of a fingerprint; fewest cells.
 WORDS, RATE, FEWEST = 12, 8, 16
+_SENTENCE = re.compile(r"(?<=[.!?])\s+")
+_SHIFTS = np.array([[0], [21], [42]], np.uint64)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -36,14 +40,9 @@ def paragraphs(text: str) -> list[str]:
     """Lines, cut after sentence ends and after every ``WORDS`` words; white space around them is dropped."""
     out = []
     for line in text.split("\n"):
-        own: list[str] = []
-        for word in line.split():
-            own.append(word)
-            if len(own) == WORDS or word[-1] in ".!?":
-                out.append(" ".join(own))
-                own = []
-        if own:
-            out.append(" ".join(own))
+        for sentence in _SENTENCE.split(line):
+            words = sentence.split()
+            out += [" ".join(words[i : i + WORDS]) for i in range(0, len(words), WORDS)]
     return out
 
 
@@ -77,15 +76,18 @@ class Table:
 
     def add(self, key: np.ndarray, sign: int | np.ndarray = 1) -> Table:
         """Put keys in, or with sign -1 take them out."""
-        if not len(key):
-            return self
-        h = _mixed(key)
-        at = np.concatenate([(h >> np.uint64(s)) % np.uint64(self.cells) + np.uint64(k * self.cells) for k, s in enumerate((0, 21, 42))]).astype(np.int64)
-        np.add.at(self.counts, at, np.tile(np.broadcast_to(np.asarray(sign, np.int32), key.shape), 3))
-        np.bitwise_xor.at(self.sums, at, np.tile(key, 3))
-        np.bitwise_xor.at(self.checks, at, np.tile(_mixed(h), 3))
+        if len(key):
+            h = _mixed(key)
+            self._put(key, h, _mixed(h), sign)
         return self
 
+    def _put(self, key: np.ndarray, h: np.ndarray, check: np.ndarray, sign: int | np.ndarray) -> None:
+        # Values are repeated by hand: ufunc.at does not broadcast them soundly.
+        at = (((h >> _SHIFTS) & np.uint64(self.cells - 1)).view(np.int64) + np.array([[0], [self.cells], [2 * self.cells]])).ravel()
+        np.add.at(self.counts, at, sign if isinstance(sign, int) else np.concatenate((sign, sign, sign)))
+        np.bitwise_xor.at(self.sums, at, np.concatenate((key, key, key)))
+        np.bitwise_xor.at(self.checks, at, np.concatenate((check, check, check)))
+
     def folded(self, cells: int) -> Table:
         """The same keys in fewer cells."""
         out = Table(cells)
@@ -103,23 +105,28 @@ class Table:
 
     def peeled(self) -> tuple[np.ndarray, np.ndarray] | None:
         """The keys with positive and with negative count, or None if some can't be recovered. Empties the table."""
-        plus, minus = [], []
         if np.count_nonzero(self.checks) > 2.8 * self.cells:
             return None
+        keys, signs = [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)]
         while True:
-            pure = np.flatnonzero(np.abs(self.counts) == 1)
-            pure = pure[_mixed(_mixed(self.sums[pure])) == self.checks[pure]]
-            if not len(pure):
+            pure = np.flatnonzero((self.counts == 1) | (self.counts == -1))
+            key = self.sums[pure]
+            h = _mixed(key)
+            check = _mixed(h)
+            good = np.flatnonzero(check == self.checks[pure])
+            if not len(good):
                 break
-            found, first = np.unique(self.sums[pure], return_index=True)
-            sign = self.counts[pure][first]
-            plus.append(found[sign == 1])
-            minus.append(found[sign == -1])
-            self.add(found, -sign)
+            if len(good) > 1:
+                order = good[np.argsort(key[good])]
+                good = order[np.concatenate(([True], key[order[1:]] != key[order[:-1]]))]
+            sign = self.counts[pure[good]]
+            keys.append(key[good])
+            signs.append(sign)
+            self._put(key[good], h[good], check[good], -sign)
         if self.checks.any() or self.counts.any():
             return None
-        none = np.zeros(0, np.uint64)
-        return np.concatenate([none, *plus]), np.concatenate([none, *minus])
+        key, sign = np.concatenate(keys), np.concatenate(signs)
+        return key[sign == 1], key[sign == -1]
 
     def hex(self, n: int) -> str:
         """The fingerprint: paragraphs, cells, then every cell."""
@@ -132,12 +139,22 @@ def cells_for(n: int) -> int:
 
 
 def difference(a: np.ndarray, b: np.ndarray, cells: int) -> tuple[np.ndarray, np.ndarray]:
-    """The keys only in a and only in b: peeled from subtracted tables, which double until that works."""
+    """The keys only in a and only in b: peeled from subtracted tables, built larger until that works.
+
+    A larger table has at least twice the cells, and at least what the cells in use let expect.
+    """
+    cells = max(cells, 1 << (abs(len(a) - len(b)) // 4).bit_length())
+    both, signs = np.concatenate([a, b]), np.concatenate([np.ones(len(a), np.int32), np.full(len(b), -1, np.int32)])
     while True:
-        found = Table(cells).add(a).minus(Table(cells).add(b)).peeled()
+        t = Table(cells).add(both, signs)
+        idle = 1.0 - np.count_nonzero(t.checks) / (3 * cells)
+        found = t.peeled()
         if found is not None:
             return found
+        expected = -math.log(max(idle, 0.25 / cells)) * cells
         cells *= 2
+        while 2.2 * cells < expected:
+            cells *= 2
 
 
 def length(key: np.ndarray) -> int:
