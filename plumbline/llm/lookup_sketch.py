@@ -1,7 +1,7 @@
 """Document fingerprints as invertible Bloom lookup tables of paragraph digests.
 
-A text's paragraphs are its lines, cut after sentence ends and again after so many words, so
-that an edit touches few of them. Each paragraph, with its number among equal ones, becomes a
+A text's paragraphs are its lines, cut at sentence ends and after so many words, so that an
+edit touches few of them. Each paragraph, with its number among equal ones, becomes a
 64-bit key whose last 16 bits are its length. A key goes to three cells; a cell holds a count,
 the exclusive or of its keys and of their check sums. Subtracting two tables leaves the keys
 that only one version has, and peeling recovers them from cells that hold one key. Where that
@@ -29,20 +29,25 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.session import partitions, slices
 
-#: Words in a paragraph at most; paragraphs for each cell of a fingerprint; fewest cells.
-WORDS, RATE, FEWEST = 12, 8, 16
+#: Words in a paragraph at most; words after which a sentence's end is its end; paragraphs for each cell of a fingerprint; fewest cells.
+WORDS, ENOUGH, RATE, FEWEST = 24, 10, 4, 12
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
 _SHIFTS = np.array([[0], [21], [42]], np.uint64)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def paragraphs(text: str) -> list[str]:
-    """Lines, cut after sentence ends and after every ``WORDS`` words; white space around them is dropped."""
+    """Lines, cut at sentence ends after some words, and after ``WORDS`` at the latest; white space around them is dropped."""
     out = []
     for line in text.split("\n"):
-        for sentence in _SENTENCE.split(line):
-            words = sentence.split()
-            out += [" ".join(words[i : i + WORDS]) for i in range(0, len(words), WORDS)]
+        held: list[str] = []
+        for sentence in _SENTENCE.split(line) if len(line) > 6 * ENOUGH else (line,):
+            held += sentence.split()
+            if len(held) >= ENOUGH:
+                out += [" ".join(held[i : i + WORDS]) for i in range(0, len(held), WORDS)]
+                held = []
+        if held:
+            out.append(" ".join(held))
     return out
 
 
@@ -135,7 +140,7 @@ class Table:
 
 def cells_for(n: int) -> int:
     """Cells, in each of three parts, of a fingerprint of so many paragraphs."""
-    return max(FEWEST // 4, 1 << max(0, (n // (3 * RATE)).bit_length()))
+    return max(FEWEST // 3, 1 << max(0, (n // (3 * RATE)).bit_length()))
 
 
 def difference(a: np.ndarray, b: np.ndarray, cells: int) -> tuple[np.ndarray, np.ndarray]:
