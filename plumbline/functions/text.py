@@ -66,7 +66,12 @@ def shifted(items: Column, n: int) -> Column:
 
 def first_start(c: Column, pattern: str) -> Column:
     """Where a pattern first matches; null if nowhere. (What precedes the match is measured: positions from regexp_instr are UTF-16.)"""
-    return F.when(c.rlike(pattern), F.length(F.get(F.split(c, pattern, 2), F.lit(0))))
+    return F.when(c.rlike(pattern), start_of(c, pattern))
+
+
+def start_of(c: Column, pattern: str) -> Column:
+    """The same where a match is known."""
+    return F.length(F.get(F.split(c, pattern, 2), F.lit(0)))
 
 
 def spans(c: Column, pattern: str) -> Column:

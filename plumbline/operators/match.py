@@ -52,9 +52,9 @@ def _hit(kind: str, prio: int, start: Column, length: Column, rule: Column, matc
 
 def phrase_first(text: Column, rules: Rules) -> Column:
     """The leftmost phrase hit; null if none."""
-    low, p = F.lower(text), phrase_pattern(rules.phrases, rules.tie)
-    found = F.regexp_substr(low, F.lit(p))
-    return F.when(found.isNotNull(), _hit(PHRASE, 0, tx.first_start(low, p), F.length(found), found, found, found)).cast(HIT)
+    p = phrase_pattern(rules.phrases, rules.tie)
+    hit = lambda low: lambda found: F.when(found.isNotNull(), _hit(PHRASE, 0, tx.start_of(low, p), F.length(found), found, found, found)).cast(HIT)
+    return tx.let(F.lower(text), lambda low: tx.let(F.regexp_substr(low, F.lit(p)), hit(low)))
 
 
 def phrase_all(text: Column, rules: Rules) -> Column:
@@ -78,7 +78,7 @@ def _groups(regex: str) -> int:
 def regex_first(text: Column, rules: Rules) -> Column:
     """The leftmost regex hit; of patterns that match there, the first."""
     fused = regex_pattern(rules.regexes)
-    found, group, which = F.regexp_substr(text, F.lit(fused)), 1, F.lit(None).cast("int")
+    group, which = 1, F.lit(None).cast("int")
     numbers = []
     for r in rules.regexes:
         numbers.append(group)
@@ -86,7 +86,8 @@ def regex_first(text: Column, rules: Rules) -> Column:
     for k in reversed(range(len(numbers))):
         which = F.when(F.regexp_extract(text, fused, numbers[k]) != "", F.lit(k)).otherwise(which)
     rule = F.get(F.array(*[F.lit(r) for r in rules.regexes]), which) if rules.regexes else F.lit("")
-    return F.when(found.isNotNull(), _hit(REGEX, 1, tx.first_start(text, fused), F.length(found), rule, found, F.concat_ws("_", rule, found))).cast(HIT)
+    hit = lambda found: lambda r: _hit(REGEX, 1, tx.start_of(text, fused), F.length(found), r, found, F.concat_ws("_", r, found)).cast(HIT)
+    return tx.let(F.regexp_substr(text, F.lit(fused)), lambda found: F.when(found.isNotNull(), tx.let(rule, hit(found))))
 
 
 def ngram_hits(text: Column, rules: Rules) -> Column:
@@ -99,7 +100,25 @@ def ngram_hits(text: Column, rules: Rules) -> Column:
         return empty
     numbered = F.transform(F.regexp_extract_all(F.lower(text), F.lit(tx.WORD), F.lit(0)), lambda w, i: F.struct(i.alias("at"), w.alias("w")))
     kept = F.filter(numbered, lambda x: ~x["w"].isin(list(rules.stopwords))) if rules.remove_stopwords else numbered
-    return tx.let(kept, lambda a: F.concat(empty, *[_among(_grams(a, n), keys) for n, keys in sorted(by_n.items())]))
+    possible = _possible(F.lower(text), [g for keys in by_n.values() for g in keys])
+    found = tx.let(kept, lambda a: F.concat(empty, *[_among(_grams(a, n), keys) for n, keys in sorted(by_n.items())]))
+    return F.when(possible, found).otherwise(empty)
+
+
+def _possible(low: Column, keys: Sequence[str]) -> Column:
+    """Whether a text can have a hit at all: what some n-gram needs is in it. Texts without are not cut into words."""
+    if len(keys) <= 32:
+        each = []
+        for key in keys:
+            need = F.lit(True)
+            for w in key.split(" "):
+                need = need & F.contains(low, F.lit(w))
+            each.append(need)
+        out = F.lit(False)
+        for need in each:
+            out = out | need
+        return out
+    return low.rlike("|".join(tx.quoted(w) for w in sorted({k.split(" ")[0] for k in keys})))
 
 
 def _grams(kept: Column, n: int) -> Column:

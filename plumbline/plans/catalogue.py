@@ -33,9 +33,9 @@ def top(n: int, k: int):
     return lambda s, d: profile.top_terms(docs(s, d), n, k)
 
 
-def compared(s: SparkSession, d: str) -> DataFrame:
+def compared(s: SparkSession, d: str, n: int = 2, k: int = 1000) -> DataFrame:
     human = spoken(s, d)
-    return profile.compared(profile.top_terms(docs(s, d), 2, 1000), profile.term_counts(human, 2), profile.total_chars(human))
+    return profile.compared(profile.top_terms(docs(s, d), n, k), profile.term_counts(human, n), profile.total_chars(human))
 
 
 def human_ngram_normalize(s: SparkSession, d: str) -> DataFrame:
@@ -46,8 +46,8 @@ def human_ngram_normalize(s: SparkSession, d: str) -> DataFrame:
 
 
 def ban_refinement(s: SparkSession, d: str) -> DataFrame:
-    known = profile.top_terms(docs(s, d), 2, 10).select("term")
-    return profile.refined(compared(s, d).where(F.col("human_count") >= HUMAN_MIN), known, 50, 1.0)
+    known = profile.top_terms(docs(s, d), 1, 10).select("term")
+    return profile.refined(compared(s, d, 1, 2000).where(F.col("human_count") >= HUMAN_MIN), known, 50, 1.0)
 
 
 # Prompts and bookkeeping

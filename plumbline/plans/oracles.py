@@ -26,13 +26,15 @@ def _grams(source: str, n: int) -> str:
 def _top(n: int, k: int) -> str:
     return f"SELECT term, count(*) AS gen_count, count(*) / (SELECT sum(length(text))::DOUBLE FROM docs) * 100000.0::DOUBLE AS gen_freq_per_100k FROM ({_grams('docs', n)}) GROUP BY term ORDER BY gen_count DESC, term LIMIT {k}"
 
-
-_compared = f"""{_docs}, spoken AS (SELECT text FROM conversations WHERE role = 'assistant'), gen AS ({_top(2, 1000)}),
-human AS (SELECT term, count(*) AS human_count FROM ({_grams('spoken', 2)}) GROUP BY term),
+def _comparison(n: int, k: int) -> str:
+    return f"""{_docs}, spoken AS (SELECT text FROM conversations WHERE role = 'assistant'), gen AS ({_top(n, k)}),
+human AS (SELECT term, count(*) AS human_count FROM ({_grams('spoken', n)}) GROUP BY term),
 chars AS (SELECT sum(length(text))::DOUBLE AS h FROM spoken),
 both_ AS (SELECT term, gen_count, gen_freq_per_100k, human_count, coalesce(human_count, 0) / h * 100000.0::DOUBLE AS human_freq_per_100k FROM gen LEFT JOIN human USING (term), chars),
 scored AS (SELECT *, CASE WHEN human_freq_per_100k > 0 THEN gen_freq_per_100k / human_freq_per_100k ELSE 'inf'::DOUBLE END AS freq_ratio_gen_hu FROM both_)"""
 
+
+_compared = _comparison(2, 1000)
 _prompts = """firsts AS (SELECT conv_id, arg_min(text, turn) AS prompt FROM conversations WHERE lower(role) = 'user' GROUP BY conv_id),
 prompts AS (SELECT conv_id, prompt, row_number() OVER (ORDER BY conv_id) - 1 AS prompt_id FROM firsts WHERE coalesce(prompt, '') <> '')"""
 _answers = r"answers AS (SELECT conv_id, regexp_replace(arg_min(text, turn), '^\s+|\s+$', '', 'g') AS output FROM conversations WHERE role = 'assistant' GROUP BY conv_id HAVING regexp_replace(arg_min(text, turn), '^\s+|\s+$', '', 'g') <> '')"
@@ -130,7 +132,7 @@ items AS (SELECT frequency, unnest([w[i] || ' ' || w[i + 1] FOR i IN range(1, le
 normal AS (SELECT frequency, regexp_extract_all(lower(ngram), '\\p{L}+') AS ws FROM items)
 SELECT ws[1] || ' ' || ws[2] AS term, sum(frequency)::BIGINT AS count FROM normal WHERE len(ws) = 2 GROUP BY 1""",
     "vocabulary_diversity": f"WITH {_docs}, c AS (SELECT w, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '\\p{{L}}+')) AS w FROM docs) GROUP BY w) SELECT sum(n)::BIGINT AS words, count(*) AS types, count(*) FILTER (WHERE n = 1) AS once, count(*)::DOUBLE / sum(n)::DOUBLE AS type_token_ratio FROM c",
-    "ban_refinement": f"WITH {_compared}, known AS (SELECT term FROM gen ORDER BY gen_count DESC, term LIMIT 10) SELECT term, gen_count, freq_ratio_gen_hu FROM scored WHERE human_count >= {HUMAN_MIN} AND freq_ratio_gen_hu >= 1.0 AND term NOT IN (SELECT term FROM known) ORDER BY freq_ratio_gen_hu DESC, gen_count DESC, term LIMIT 50",
+    "ban_refinement": f"WITH {_comparison(1, 2000)}, known AS (SELECT term FROM gen ORDER BY gen_count DESC, term LIMIT 10) SELECT term, gen_count, freq_ratio_gen_hu FROM scored WHERE human_count >= {HUMAN_MIN} AND freq_ratio_gen_hu >= 1.0 AND term NOT IN (SELECT term FROM known) ORDER BY freq_ratio_gen_hu DESC, gen_count DESC, term LIMIT 50",
     "first_user_prompt": f"WITH {_prompts} SELECT conv_id, prompt FROM prompts",
     "first_assistant_turn": f"WITH {_answers} SELECT conv_id, output FROM answers",
     "text_prompt_filter": f"WITH {_docs} SELECT doc_id FROM docs WHERE NOT (contains(lower(text), 'assistant:') OR contains(lower(text), 'bot:') OR contains(lower(text), 'gpt:') OR contains(text, chr(10) || chr(10)))",
