@@ -278,7 +278,8 @@ def digests(docs: DataFrame) -> DataFrame:
 
 def marks(docs: DataFrame) -> DataFrame:
     """``row_key, low, high``: lists of the runs of repeated windows of each text that has any."""
-    twice = occurrences(docs).groupBy("gram").agg(F.count("*").alias("k")).where("k > 1").select("gram")
+    # Written out before the join: with a shuffle of its own on both sides, Spark can split the part that a frequent anchor fills.
+    twice = cut(occurrences(docs).groupBy("gram").agg(F.count("*").alias("k")).where("k > 1").select("gram"), "twice")
     flagged = cut(occurrences(docs).join(twice, "gram", "left_semi"), "flagged")
     each = flagged.groupBy("gram", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("row_key", "place")).alias("at"))
     each = cut(each.select("gram", "ctx", "n", "at.row_key", "at.place"), "each")
