@@ -31,7 +31,7 @@ from plumbline.llm.session import cut, slices
 #: Labelled rows that the trigram table is fitted on at most; rows of one language in it at least for that language to count.
 SAMPLE, LEAST = 4000, 5
 #: Hash bins of trigrams; what each bin has beside its count; strength of the smoothing by the next level.
-BINS, PRIOR, STRENGTH = 1 << 16, 0.5, 20.0
+BINS, PRIOR, STRENGTH = 1 << 18, 0.5, 20.0
 #: Over so many trigrams ``und`` spreads.
 EVEN = 1 << 19
 #: Trigrams overlap, so each counts for a third; of a long text no more than so many count, so that other evidence is heard.
@@ -46,7 +46,7 @@ def trigrams(text: str) -> np.ndarray:
     b = np.frombuffer(f" {text.lower()} ".encode(), np.uint8).astype(np.uint32)
     if len(b) < 3:
         return np.zeros(0, np.uint32)
-    return ((b[:-2] | b[1:-1] << np.uint32(8) | b[2:] << np.uint32(16)) * np.uint32(0x9E3779B1)) >> np.uint32(16)
+    return ((b[:-2] | b[1:-1] << np.uint32(8) | b[2:] << np.uint32(16)) * np.uint32(0x9E3779B1)) >> np.uint32(14)
 
 
 class Model:
@@ -196,7 +196,8 @@ def kept_documents(docs: DataFrame) -> DataFrame:
     Rejected rows are told by a hash of their columns. They are written out before they are
     joined, so the planner knows their size when it chooses whether to broadcast them.
     """
-    keyed = docs.withColumn("_row", F.xxhash64("doc_id", "text", "source", "lang"))
-    found = of_documents(keyed.withColumn("doc_id", F.col("_row")))
+    key = F.xxhash64("doc_id", "text", "source", "lang")
+    found = of_documents(docs.select(key.alias("doc_id"), "text", "source", "lang"))
     rejected = cut(found.where(~F.col("kept")).select(F.col("doc_id").alias("_row")).distinct(), "rejected")
-    return keyed.join(rejected, "_row", "left_anti").select(*docs.columns)
+    left = docs.select(F.struct("*").alias("_doc"), key.alias("_row")).join(rejected, "_row", "left_anti")
+    return left.select(*[F.col("_doc")[c].alias(c) for c in docs.columns])

@@ -110,7 +110,8 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     Rows that agree in doc_id, source and text are told apart by their rank only.
     """
     copies = mix(docs, **options).where("copies > 0").groupBy("row_key").agg(F.sort_array(F.collect_list("copies"), asc=False).alias("_copies"))
-    keyed = docs.withColumn("row_key", F.xxhash64("doc_id", "text", F.col("source").cast("string")))
+    keyed = docs.select(F.struct("*").alias("_doc"), F.xxhash64("doc_id", "text", F.col("source").cast("string")).alias("row_key"))
     ranked = keyed.join(copies, "row_key").withColumn("_rank", F.row_number().over(Window.partitionBy("row_key").orderBy("row_key")))
     times = F.coalesce(F.try_element_at("_copies", F.col("_rank")), F.lit(0)).cast("int")
-    return ranked.where(times > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), times))).select(*docs.columns)
+    taken = ranked.where(times > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), times)))
+    return taken.select(*[F.col("_doc")[c].alias(c) for c in docs.columns])

@@ -210,23 +210,25 @@ def spans_of(rule: Rule, order: int, text: Column) -> Column:
     return F.when(F.coalesce(text.rlike(rule.java), F.lit(False)), F.aggregate(steps, begun, step, lambda s: s["spans"])).otherwise(empty)
 
 
-def scan(docs: DataFrame, rules: Sequence[Rule] = BASE + EXTRA) -> DataFrame:
-    """``docs`` with ``spans array<struct<start, order, kind, end>>``, by start, then by the rules' order.
+def scan(docs: DataFrame, rules: Sequence[Rule] = BASE + EXTRA, into: str = "spans") -> DataFrame:
+    """``docs`` with ``spans array<struct<start, order, kind, end>>`` (or another name), by start, then by the rules' order.
 
-    A null text is empty. Rows that repeat, or share a doc_id, are each scanned; columns that
-    clash in name with the operator's own are replaced. An empty table gives an empty one.
+    A null text is empty. Rows that repeat, or share a doc_id, are each scanned; an own column
+    of the name is replaced. An empty table gives an empty one.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    keyed = docs.withColumn("row_key", F.xxhash64("doc_id", "text"))
-    found = candidates(docs.select(F.xxhash64("doc_id", "text").alias("row_key"), text.alias("text")), rules)
+    key = F.xxhash64("doc_id", "text")
+    found = candidates(docs.select(key.alias("row_key"), text.alias("text")), rules)
     full = {r.kind for r in rules if trigram_query(r.regex) is True}
-    joined = keyed.drop("kinds", "spans").join(found, "row_key", "left") if found is not None else keyed.withColumn("kinds", F.lit(None).cast("array<string>"))
+    packed = docs.select(F.struct("*").alias("_doc"), key.alias("_key"))
+    joined = packed.join(found.select(F.col("row_key").alias("_key"), F.col("kinds").alias("_kinds")), "_key", "left") if found is not None else packed.withColumn("_kinds", F.lit(None).cast("array<string>"))
+    text = F.coalesce(F.col("_doc.text"), F.lit(""))
     empty = F.array().cast("array<struct<start:int,order:int,kind:string,end:int>>")
     parts = []
     for order, rule in enumerate(rules):
         spans = spans_of(rule, order, text)
-        parts.append(spans if rule.kind in full else F.when(F.coalesce(F.array_contains("kinds", rule.kind), F.lit(False)), spans).otherwise(empty))
-    return joined.withColumn("spans", F.array_sort(F.concat(*parts))).drop("row_key", "kinds")
+        parts.append(spans if rule.kind in full else F.when(F.coalesce(F.array_contains("_kinds", rule.kind), F.lit(False)), spans).otherwise(empty))
+    return joined.select(*[F.col("_doc")[c].alias(c) for c in docs.columns if c != into], F.array_sort(F.concat(*parts)).alias(into))
 
 
 def told(spans: Column) -> Column:
@@ -244,5 +246,5 @@ def redact(docs: DataFrame, rules: Sequence[Rule] = BASE + EXTRA, mark: str = "[
         return F.struct(F.greatest(s["at"], x["end"]).alias("at"), out.alias("out"))
 
     rest = lambda s: F.concat(F.array_join(s["out"], ""), F.substring(F.col("text"), s["at"] + 1, F.length("text")))
-    found = scan(docs, rules)
-    return found.withColumn("text", F.when(F.size("spans") > 0, F.aggregate("spans", state, step, rest)).otherwise(F.col("text"))).select(*docs.columns)
+    found = scan(docs, rules, "_spans")
+    return found.withColumn("text", F.when(F.size("_spans") > 0, F.aggregate("_spans", state, step, rest)).otherwise(F.col("text"))).select(*docs.columns)

@@ -200,9 +200,9 @@ def deduplicated(docs: DataFrame, width: int = 4) -> DataFrame:
     place = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "row_key")
     winners = near.groupBy("root").agg(F.min(place)["row_key"].alias("row_key"))
     losers = cut(near.select("row_key", "root").distinct().join(winners, ["root", "row_key"], "left_anti").select("row_key"), "losers")
-    keyed = docs.withColumn("row_key", row_key())
+    keyed = docs.select(F.struct("*").alias("_doc"), row_key())
     left = keyed.join(losers, "row_key", "left_anti")
     repeated = cut(near.groupBy("row_key").count().where("count > 1").select("row_key"), "repeated")
     if not repeated.isEmpty():
         left = left.join(repeated, "row_key", "left_anti").unionByName(left.join(repeated, "row_key", "left_semi").dropDuplicates(["row_key"]))
-    return left.select(*docs.columns)
+    return left.select(*[F.col("_doc")[c].alias(c) for c in docs.columns])
