@@ -30,10 +30,10 @@ from plumbline.llm.session import cut, slices
 
 #: Labelled rows that the trigram table is fitted on at most; rows of one language in it at least for that language to count.
 SAMPLE, LEAST = 4000, 5
-#: Hash bins of trigrams; what each bin has beside its count; strength of the smoothing by the next level.
-BINS, PRIOR, STRENGTH = 1 << 18, 0.5, 20.0
+#: Hash bins of trigrams; share of a language's probability that is spread over all of them; strength of the smoothing by the next level.
+BINS, SPREAD, STRENGTH = 1 << 18, 0.1, 20.0
 #: Over so many trigrams ``und`` spreads.
-EVEN = 1 << 19
+EVEN = 1 << 20
 #: Trigrams overlap, so each counts for a third; of a long text no more than so many count, so that other evidence is heard.
 OVERLAP, HEARD = 3.0, 300.0
 UNKNOWN = "und"
@@ -54,8 +54,8 @@ class Model:
 
     def __init__(self, languages: list[str], counts: np.ndarray):
         self.languages = [*languages, UNKNOWN]
-        smooth = counts.astype(np.float64) + PRIOR
-        table = np.log(smooth / smooth.sum(axis=1, keepdims=True)) if len(languages) else np.zeros((0, BINS))
+        shares = counts / np.maximum(1, counts.sum(axis=1, keepdims=True)) if len(languages) else np.zeros((0, BINS))
+        table = np.log((1.0 - SPREAD) * shares + SPREAD / BINS)
         self.table = np.concatenate([table, np.full((1, BINS), -np.log(EVEN))]).T.astype(np.float32).copy()
 
     def evidence(self, text: str) -> np.ndarray:
