@@ -33,7 +33,8 @@ def generations(spark: SparkSession, path: str) -> DataFrame:
 
 def malformed(spark: SparkSession, path: str) -> DataFrame:
     """The lines of a log that are not valid."""
-    return spark.read.schema(GENERATION + ", _corrupt_record string").option("mode", "PERMISSIVE").json(path).where("_corrupt_record is not null").select("_corrupt_record")
+    parsed = F.from_json("value", GENERATION + ", _corrupt_record string", {"mode": "PERMISSIVE"})
+    return spark.read.text(path).select(parsed["_corrupt_record"].alias("line")).where("line is not null")
 
 
 def texts(rows: DataFrame) -> DataFrame:
