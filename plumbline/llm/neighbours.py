@@ -12,7 +12,8 @@ each of which every probe of the bucket visits. Nothing is capped, so the result
 best of all candidates, and a block is all that one task has to hold.
 
 Set for vectors of weak contrast (64 dimensions, the 20 nearest hardly nearer than the next
-hundreds): recall there is about 0.97, from about 0.8 of the rows.
+hundreds): with these settings recall was 0.96 to 0.99; a simulation with 24 probes, over 60
+queries of 10,256 such vectors, visited 0.8 of the rows for a recall of 0.97.
 """
 
 from __future__ import annotations
