@@ -196,7 +196,12 @@ def near_duplicates(docs: DataFrame, width: int = 4) -> DataFrame:
 
 def deduplicated(docs: DataFrame, width: int = 4) -> DataFrame:
     """``docs`` with one row of each component: that of the least doc_id. Null ids come last."""
-    near = cut(near_duplicates(docs, width).select("row_key", "root", "doc_id"), "near")
+    return one_of_each(docs, near_duplicates(docs, width))
+
+
+def one_of_each(docs: DataFrame, grouped: DataFrame) -> DataFrame:
+    """``docs`` with one row of each root of ``grouped(row_key, root, doc_id)``."""
+    near = cut(grouped.select("row_key", "root", "doc_id"), "near")
     place = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "row_key")
     winners = near.groupBy("root").agg(F.min(place)["row_key"].alias("row_key"))
     losers = cut(near.select("row_key", "root").distinct().join(winners, ["root", "row_key"], "left_anti").select("row_key"), "losers")

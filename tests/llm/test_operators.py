@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, chat, components, language_id, lookup_sketch, mixing, neighbours, page_text, queries, repeats, secret_scan, simhash
+from plumbline.llm import bpe, chat, components, language_id, lookup_sketch, mixing, neighbours, page_text, queries, repeats, secret_scan, similar, simhash
 from tests.conftest import SF
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, spans string, ids int, row_key string"
@@ -389,3 +389,29 @@ def test_pipeline(spark):
         data = own.ids(clean[i])
         want += [(i, len(data) // 4, hashlib.sha256(data).hexdigest(), hashlib.sha256(clean[i].encode()).hexdigest())] * copies[i]
     assert got == sorted(want)
+
+
+def test_pipeline_dedups_by_likeness(spark):
+    import corpus_pipeline
+
+    words = [f"w{k}" for k in range(300)]
+    edited = [w if k % 60 else "edited" for k, w in enumerate(words)]
+    rows = [(1, " ".join(words)), (2, " ".join(edited)), (3, " ".join(words[:150])), (4, " ".join(words)), (5, ""), (6, None), (7, "two words"), (8, "two words"), (9, "two other")]
+    table = spark.createDataFrame([(i, t, "en", "s", None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    sets = {i: {tuple((t or "").split()[k : k + 5]) for k in range(max(1, len((t or "").split()) - 4))} for i, t in rows}
+    assert len(sets[1] & sets[2]) / len(sets[1] | sets[2]) >= 0.8 and (simhash.fingerprint(rows[0][1]) ^ simhash.fingerprint(rows[1][1])).bit_count() > 4
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, table, "").collect()) == [1, 3, 5, 7, 9]
+    docs_ = spark.read.parquet(f"{SF}/documents.parquet")
+    of = {r["doc_id"]: similar.shingles(r["text"]) for r in docs_.collect()}
+    up = {i: i for i in of}
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for a in of:
+        for b in of:
+            if a < b and similar.likeness(of[a], of[b]) >= 0.8:
+                up[max(root(a), root(b))] = min(root(a), root(b))
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs_, "").collect()) == sorted(i for i in of if root(i) == i)
