@@ -270,6 +270,29 @@ def pair_dedup(s: SparkSession, d: str) -> DataFrame:
     return flat_pairs(pairs.last_per_context(made.drop("stats"), "sequence"))
 
 
+def whole_decisions(s: SparkSession, d: str) -> DataFrame:
+    """As the reference captures them: every violating document has candidates, ``generation`` is all text before the token, the context is the prompt and that text."""
+    places = batch.numbered(table(s, d, "embeddings").select("vec_id"), "vec_id", "place")
+    chosen = tails(s, d).select("vec_id", "tail", F.element_at(cd.filtered(F.col("candidates"), F.col("banned"), LADDER[4]), 1)["token"].alias("chosen")).join(places, "vec_id")
+    tokens = F.regexp_extract_all("text", F.lit(tx.TOKEN), F.lit(0))
+    e = earliest()(s, d).withColumn("place", F.pmod("doc_id", F.lit(table(s, d, "embeddings").count())))
+    told = e.withColumn("split", tx.let(tokens, lambda t: F.struct(F.array_join(F.slice(t, F.lit(1), F.col("token")), "").alias("before"), F.get(t, F.col("token")).alias("rejected"))))
+    prompt = F.col("doc_id").cast("string")
+    return told.join(chosen, "place").select(
+        prompt.alias("prompt"), F.col("split.before").alias("generation"), F.concat(prompt, "split.before").alias("context"),
+        "split.rejected", "chosen", "tail", "kind", "rule", F.size(F.split("rule", " ")).alias("n"), "doc_id",
+    )
+
+
+def preference_pairs_whole(s: SparkSession, d: str) -> DataFrame:
+    return flat_pairs(pairs.pairs(whole_decisions(s, d)))
+
+
+def pair_dedup_whole(s: SparkSession, d: str) -> DataFrame:
+    made = pairs.pairs(whole_decisions(s, d)).withColumn("sequence", F.col("prompt_raw").cast("long"))
+    return flat_pairs(pairs.last_per_context(made.drop("stats"), "sequence"))
+
+
 # Metrics
 
 
@@ -367,6 +390,8 @@ QUERIES = {
     "tail_without_prefixes": tail_without_prefixes,
     "preference_pairs": preference_pairs,
     "pair_dedup": pair_dedup,
+    "preference_pairs_whole": preference_pairs_whole,
+    "pair_dedup_whole": pair_dedup_whole,
     "rate_5s_burst": rate_5s_burst,
     "chunk_throughput": chunk_throughput,
     "run_totals": run_totals,

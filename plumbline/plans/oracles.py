@@ -119,6 +119,13 @@ pairs AS (SELECT doc_id, doc_id::VARCHAR AS prompt_raw, substr(text, 1, 20) AS g
   regexp_extract_all(text, '{_token}')[token + 1] AS rejected_decoded, tail AS multi_chosen, kind AS class, CASE WHEN kind = 'ngram' THEN CASE WHEN len(string_split(rule, ' ')) = 3 THEN 'trigram' ELSE 'bigram' END ELSE kind END AS subtype
   FROM earliest JOIN tails ON vec_id = doc_id JOIN best USING (vec_id))"""
 _pair_columns = "prompt_raw, generation_raw, context_with_chat_template, chosen_decoded, rejected_decoded, multi_chosen, class, subtype"
+# The same with all text before the token, and vectors dealt to all documents.
+_whole_pairs = f"""{_all}, {_positions}, {_tails()}, best AS (SELECT vec_id, token AS chosen FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY p DESC, token) AS r FROM left_) WHERE r = 1),
+places AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS place, count(*) OVER () AS vectors FROM embeddings),
+split_ AS (SELECT *, regexp_extract_all(text, '{_token}') AS tokens FROM earliest),
+pairs AS (SELECT doc_id, doc_id::VARCHAR AS prompt_raw, array_to_string(tokens[1:token], '') AS generation_raw, doc_id::VARCHAR || array_to_string(tokens[1:token], '') AS context_with_chat_template, chosen AS chosen_decoded,
+  tokens[token + 1] AS rejected_decoded, tail AS multi_chosen, kind AS class, CASE WHEN kind = 'ngram' THEN CASE WHEN len(string_split(rule, ' ')) = 3 THEN 'trigram' ELSE 'bigram' END ELSE kind END AS subtype
+  FROM split_ JOIN places ON place = doc_id % vectors JOIN tails USING (vec_id) JOIN best USING (vec_id))"""
 _events = "ev AS (SELECT *, epoch_us(ts) AS us, (event_id % 7 + 1)::BIGINT AS tokens FROM events)"
 
 ORACLES = {
@@ -180,6 +187,8 @@ SELECT e.vec_id, rung::INT AS rung, CASE WHEN rung IS NULL THEN -1 ELSE count(to
     "tail_without_prefixes": f"WITH {_prefixes}, {_positions}, {_tails('AND token NOT IN (SELECT prefix FROM prefixes)')} SELECT vec_id, coalesce(tail, '') AS tail FROM (SELECT DISTINCT vec_id FROM embeddings) LEFT JOIN tails USING (vec_id)",
     "preference_pairs": f"{_pairs} SELECT {_pair_columns} FROM pairs",
     "pair_dedup": f"{_pairs} SELECT {_pair_columns} FROM (SELECT *, row_number() OVER (PARTITION BY context_with_chat_template ORDER BY doc_id DESC) AS r FROM pairs) WHERE r = 1",
+    "preference_pairs_whole": f"{_whole_pairs} SELECT {_pair_columns} FROM pairs",
+    "pair_dedup_whole": f"{_whole_pairs} SELECT {_pair_columns} FROM (SELECT *, row_number() OVER (PARTITION BY context_with_chat_template ORDER BY doc_id DESC) AS r FROM pairs) WHERE r = 1",
     "rate_5s_burst": f"""WITH {_events}, per AS (SELECT user_id, us, sum(tokens)::BIGINT AS tokens FROM ev GROUP BY user_id, us),
 opened AS (SELECT *, CASE WHEN us - lag(us) OVER (PARTITION BY user_id ORDER BY us) <= 60000000 THEN 0 ELSE 1 END AS o FROM per),
 islands AS (SELECT *, sum(o) OVER (PARTITION BY user_id ORDER BY us) AS island FROM opened),

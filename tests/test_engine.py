@@ -148,3 +148,16 @@ def test_streams(spark, tmp_path):
     got = spark.sql("select * from yielded order by doc_id, seq").collect()
     assert ["".join(r["text"] for r in got if r["doc_id"] == d) for d in (1, 2)] == ["we see the cat here", "fine"]
     assert [(r["hit_rule"], r["hit_start"]) for r in got if r["hit_kind"]] == [("the cat", 7)]
+
+
+def test_pairs_of_all_documents(spark, tmp_path):
+    from plumbline.plans import catalogue
+
+    texts = [(7, "one two of the rest"), (8, "in the first place"), (900, "so it is, in the end"), (901, "nothing here"), (902, "one two of the rest")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k * 10, [0.1 * k, 0.3, 0.2, 0.4, 0.1]) for k in range(3)], "vec_id long, embedding array<double>").write.parquet(f"file://{tmp_path}/embeddings.parquet")
+    got = {r["prompt_raw"]: r for r in catalogue.preference_pairs_whole(spark, f"file://{tmp_path}").collect()}
+    assert {k: (r["generation_raw"], r["rejected_decoded"]) for k, r in got.items()} == {"7": ("one two", " of"), "8": ("", "in"), "900": ("so it is,", " in"), "902": ("one two", " of")}
+    assert all(r["context_with_chat_template"] == k + r["generation_raw"] for k, r in got.items())
+    assert catalogue.pair_dedup_whole(spark, f"file://{tmp_path}").count() == 4
+    assert catalogue.preference_pairs(spark, f"file://{tmp_path}").count() == 0
