@@ -13,7 +13,8 @@ The posterior of a row's language is, up to a factor,
   its suffix, and that towards the whole corpus, each level a grouped aggregation.
 
 Counts use the text evidence alone as label, so no evidence confirms itself. Only the trigram
-table is fitted on a sample: at most ``SAMPLE`` labelled rows, chosen by a hash of their id.
+table is fitted on a sample: of each label at most ``SAMPLE`` different texts, chosen by a hash.
+Which labels are languages is told by counts over all rows, so it does not depend on the sample.
 """
 
 from __future__ import annotations
@@ -23,12 +24,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm.session import cut, slices
 
-#: Labelled rows that the trigram table is fitted on at most; rows of one language in it at least for that language to count.
+#: Different texts of one label that the trigram table is fitted on at most; rows of a label in the whole table at least for it to count.
 SAMPLE, LEAST = 4000, 5
 #: Hash bins of trigrams; share of a language's probability that is spread over all of them; strength of the smoothing by the next level.
 BINS, SPREAD, STRENGTH = 1 << 18, 0.1, 20.0
@@ -70,12 +71,15 @@ class Model:
 
 
 def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
-    """The trigram table of ``labelled(id, text, label)``, from at most ``sample`` rows chosen by a hash."""
-    rows = labelled.where("text is not null and label is not null")
-    n = rows.count()
-    share = min(1.0, 2.0 * sample / max(1, n))
-    h = F.xxhash64("id")
-    chosen = rows.where(F.pmod(h, F.lit(1 << 30)) <= F.lit(int(share * (1 << 30)))).orderBy(h, "id").limit(sample).select("label", "text")
+    """The trigram table of ``labelled(id, text, label)``, from at most ``sample`` different texts of each label, chosen by a hash."""
+    rows = labelled.where("text is not null and label is not null").select("label", "text", F.xxhash64("text").alias("h"))
+    seen = rows.groupBy("label").agg(F.count("*").alias("n"), F.approx_count_distinct("h").alias("texts"))
+    # A rare label is noise, unless all are rare.
+    frequent = seen.where(F.col("n") >= LEAST)
+    frequent = (seen if frequent.isEmpty() else frequent).select("label", F.least(F.lit(1.0), 2.0 * sample / F.col("texts")).alias("share"))
+    drawn = rows.join(F.broadcast(frequent), "label").where(F.pmod("h", F.lit(1 << 30)) <= F.col("share") * (1 << 30)).dropDuplicates(["label", "h"])
+    place = F.row_number().over(Window.partitionBy("label").orderBy(F.pmod("h", F.lit(1 << 30)), "h"))
+    chosen = drawn.withColumn("place", place).where(F.col("place") <= sample).select("label", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, tuple[np.ndarray, int]] = {}
@@ -90,8 +94,7 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     for r in chosen.mapInArrow(count, "label string, n long, counts binary").collect():  # a bounded sample: few rows
         n, counts = totals.get(r["label"], (0, np.zeros(BINS, np.int64)))
         totals[r["label"]] = [n + r["n"], counts + np.frombuffer(r["counts"], np.int64)]
-    # A rare label is noise, unless all are rare.
-    kept = sorted(x for x, (n, _) in totals.items() if n >= LEAST) or sorted(totals)
+    kept = sorted(totals)
     return Model(kept, np.array([totals[x][1] for x in kept]).reshape(len(kept), BINS))
 
 

@@ -415,3 +415,13 @@ def test_pipeline_dedups_by_likeness(spark):
             if a < b and similar.likeness(of[a], of[b]) >= 0.8:
                 up[max(root(a), root(b))] = min(root(a), root(b))
     assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs_, "").collect()) == sorted(i for i in of if root(i) == i)
+
+
+def test_rare_languages_stay(spark):
+    random.seed(8)
+    prose = lambda words: " ".join(random.choice(words) for _ in range(60))
+    common, rare = "the house of many small rivers and stones".split(), "qazu wexol zymtek oqivu plozz ruvix".split()
+    rows = [(i, prose(common), "en") for i in range(1500)] + [(2000 + i, "one copied text of the house", "en") for i in range(1500)] + [(5000 + i, prose(rare), "zz") for i in range(6)] + [(6000, prose(rare), "xx")]
+    model = language_id.fit(spark.createDataFrame(rows, "id long, text string, label string"), 100)
+    assert model.languages == ["en", "zz", "und"]
+    assert model.languages[int(model.evidence(prose(rare)).argmax())] == "zz" and model.languages[int(model.evidence(prose(common)).argmax())] == "en"
