@@ -65,6 +65,15 @@ EXTRA = (
     Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
 )
+#: What is taken out of texts: a private key from its BEGIN line through its END line, or, where that is missing, through the base64 that follows.
+_GAP = r"(?:\s|\\[nr])"
+_LINE = r"[A-Za-z0-9+/]"
+WHOLE_KEY = Rule(
+    "pem",
+    r"-----BEGIN [A-Z0-9 ]{0,32}PRIVATE KEY-----(?:[^-]*+(?:-(?!----)[^-]*+){0,64}+-----END [A-Z0-9 ]{0,32}PRIVATE KEY-----"
+    rf"|(?:{_GAP}++(?:Proc-Type|DEK-Info): ?[A-Za-z0-9,.-]++)*+(?:{_GAP}++{_LINE}{{40,}}+={{0,2}})++(?:{_GAP}++(?:{_LINE}*[0-9+/]{_LINE}*={{0,2}}|{_LINE}+=={{0,1}}|{_LINE}+(?=[ \t]*(?:[\r\n]|\Z))))?|)",
+)
+TAKEN_OUT = tuple(WHOLE_KEY if r.kind == "pem" else r for r in BASE + EXTRA)
 
 # A query: True (no constraint), a trigram, ("and", frozenset) or ("or", frozenset).
 
@@ -236,7 +245,7 @@ def told(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def redact(docs: DataFrame, rules: Sequence[Rule] = BASE + EXTRA, mark: str = "[SECRET]") -> DataFrame:
+def redact(docs: DataFrame, rules: Sequence[Rule] = TAKEN_OUT, mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every span of its text replaced by ``mark``; overlapping spans become one mark."""
     state = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 

@@ -425,3 +425,19 @@ def test_rare_languages_stay(spark):
     model = language_id.fit(spark.createDataFrame(rows, "id long, text string, label string"), 100)
     assert model.languages == ["en", "zz", "und"]
     assert model.languages[int(model.evidence(prose(rare)).argmax())] == "zz" and model.languages[int(model.evidence(prose(common)).argmax())] == "en"
+
+
+def test_whole_keys_are_redacted(spark):
+    line, head, tail = "MIIEow+/" * 8, "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    cases = [
+        (f"a {head}\n{line}\n{line}\nabcd==\n{tail} b", "a [SECRET] b"),
+        (f"a {head}\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-256-CBC,0A\n\n{line}\n{tail}\nb", "a [SECRET]\nb"),
+        (f"{head} {line} {line} xY9= then prose goes on", "[SECRET] then prose goes on"),
+        (f"{head}\n{line}\n\nprose goes on\n{head}\n{line}\n{tail}", "[SECRET]\n\nprose goes on\n[SECRET]"),
+        (f"{head}\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-256-CBC,0A\n\n{line}\nxY9=\n\nprose", "[SECRET]\n\nprose"),
+        (f"{head}\\n{line}\\n{tail}\\n rest", "[SECRET]\\n rest"),
+        (f"{head} is how a key begins - here - and " + "so on - " * 20_000, "[SECRET] is how a key begins - here - and " + "so on - " * 20_000),
+        (f"{head}\n" + f"{line}\n" * 3000 + tail, "[SECRET]"),
+    ]
+    got = secret_scan.redact(docs(spark, *[(i, t, "s") for i, (t, _) in enumerate(cases)])).orderBy("doc_id").collect()
+    assert [r["text"] for r in got] == [want for _, want in cases]
