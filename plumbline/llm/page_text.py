@@ -3,8 +3,9 @@
 A page is parsed into a tree that forgives missing and misplaced end tags. Paragraphs earn
 points for their length and their commas and pass them to their ancestors, less at each step.
 An ancestor's points are discounted by the share of its text that lies in links. The container
-with most points is kept, with those of its siblings that score near it or read like prose; in
-them, what is not running text (menus, forms, notices, adverts, comments) is left out.
+with most points is kept, with those of its siblings that score near it or read like prose. If
+it lies within an article, that is kept whole instead. In what is kept, what is not running text
+(menus, forms, notices, adverts, comments) is left out.
 """
 
 from __future__ import annotations
@@ -209,6 +210,8 @@ def best_containers(root: Node) -> list[Node]:
     final = {id(n): (n.score or 0.0) * (1 - _density(measures[id(n)])) for n in scored}
     order = {id(n): k for k, n in enumerate(_ordered(root))}
     top = max(scored, key=lambda n: (final[id(n)], -order[id(n)]))
+    if (article := enclosing(top)) is not None:
+        return [article]
     if top.parent is None:
         return [top]
     kept, least = [], max(LEAST, SIBLING * final[id(top)])
@@ -221,6 +224,20 @@ def best_containers(root: Node) -> list[Node]:
     return kept
 
 
+def enclosing(node: Node) -> Node | None:
+    """The article that an element lies within: the nearest ``article``, or ``main`` if that has no other one; none if there is neither."""
+    found: Node | None = None
+    up = node.parent
+    if node.tag in ("article", "main"):
+        found = node
+    while up is not None:
+        if up.tag == "article" and found is None or up.tag == "main" and sum(n.tag == "article" and not unwanted(n) for n in _ordered(up)) <= 1:
+            found = up
+        up = up.parent
+    # An article by itself may have others like it beside it.
+    return None if found is node else found
+
+
 def _ordered(root: Node) -> Iterator[Node]:
     stack = [root]
     while stack:

@@ -441,3 +441,13 @@ def test_whole_keys_are_redacted(spark):
     ]
     got = secret_scan.redact(docs(spark, *[(i, t, "s") for i, (t, _) in enumerate(cases)])).orderBy("doc_id").collect()
     assert [r["text"] for r in got] == [want for _, want in cases]
+
+
+def test_articles_are_kept_whole():
+    long = "<p>" + "A sentence, with commas, of the article, that goes on for a while, and then some more, until it is long. " * 3 + "</p>"
+    parts = page_text.main_text(f"<body><article><h1>Title</h1><section>{long * 20}</section><section><p>A short end, of two parts.</p></section><ul><li>one</li></ul><div class=share>Share</div></article></body>").split("\n\n")
+    assert (parts[0], len(parts), parts[-2:]) == ("Title", 23, ["A short end, of two parts.", "one"])
+    assert page_text.main_text(f"<article><h1>Title</h1><div class=entry-content>{long * 3}</div></article>").startswith("Title\n\nA sentence")
+    assert page_text.main_text(f"<main><h1>Title</h1><article>{long * 3}</article><aside>x</aside></main><div><p>Other text, beside, of the site.</p></div>").startswith("Title\n\nA sentence")
+    two = page_text.main_text(f"<main><article><h2>A</h2><div>{long * 9}</div></article><article><h2>B</h2><p>Another one, of its own.</p></article></main>")
+    assert two.startswith("A\n\n") and "B" not in two.split("\n\n")
