@@ -98,6 +98,17 @@ def classifier_input(s: SparkSession, d: str) -> DataFrame:
     return both.select("conv_id", batch.classifier_input(F.col("prompt"), F.col("output"), 64, 30, 10).alias("input"))
 
 
+def render_chat_whole(s: SparkSession, d: str) -> DataFrame:
+    both = first_user_prompt(s, d).join(batch.first_assistant(turns(s, d)), "conv_id", "left")
+    return both.select("conv_id", batch.chat(F.col("prompt"), F.coalesce("output", F.lit("")), "Be brief.").alias("rendered"))
+
+
+def classifier_input_whole(s: SparkSession, d: str) -> DataFrame:
+    """With the reference's own numbers of words."""
+    both = first_user_prompt(s, d).join(batch.first_assistant(turns(s, d)), "conv_id")
+    return both.select("conv_id", batch.classifier_input(F.col("prompt"), F.col("output")).alias("input"))
+
+
 # Rules
 
 
@@ -356,6 +367,8 @@ QUERIES = {
     "render_prompt": render_prompt,
     "render_chat": render_chat,
     "classifier_input": classifier_input,
+    "render_chat_whole": render_chat_whole,
+    "classifier_input_whole": classifier_input_whole,
     "number_prompts": prompts,
     "resume_pending": lambda s, d: batch.pending(prompts(s, d), existing(s, d), refused(s, d)).select("prompt_id", "prompt"),
     "resume_pending_limited": lambda s, d: batch.pending(prompts(s, d), existing(s, d), refused(s, d), limit=10).select("prompt_id", "prompt"),

@@ -148,6 +148,10 @@ SELECT ws[1] || ' ' || ws[2] AS term, sum(frequency)::BIGINT AS count FROM norma
     "classifier_input": f"""WITH {_prompts}, {_answers}, cut AS (SELECT conv_id, string_split(prompt, ' ')[1:30] AS u, string_split(output, ' ') AS a FROM prompts JOIN answers USING (conv_id)),
 room AS (SELECT conv_id, a, u[1:greatest(10, least(len(u), 64 - len(a)))] AS u FROM cut)
 SELECT conv_id, '<|user|>' || chr(10) || array_to_string(u, ' ') || chr(10) || '<|assistant|>' || chr(10) || array_to_string(a[1:64 - len(u)], ' ') AS input FROM room""",
+    "render_chat_whole": f"WITH {_prompts}, {_answers} SELECT conv_id, '<|system|>' || chr(10) || 'Be brief.' || chr(10) || '<|user|>' || chr(10) || prompt || chr(10) || '<|assistant|>' || chr(10) || coalesce(output, '') AS rendered FROM prompts LEFT JOIN answers USING (conv_id)",
+    "classifier_input_whole": f"""WITH {_prompts}, {_answers}, cut AS (SELECT conv_id, string_split(prompt, ' ')[1:100] AS u, string_split(output, ' ') AS a FROM prompts JOIN answers USING (conv_id)),
+room AS (SELECT conv_id, a, u[1:greatest(40, least(len(u), 256 - len(a)))] AS u FROM cut)
+SELECT conv_id, '<|user|>' || chr(10) || array_to_string(u, ' ') || chr(10) || '<|assistant|>' || chr(10) || array_to_string(a[1:256 - len(u)], ' ') AS input FROM room""",
     "number_prompts": f"WITH {_prompts} SELECT conv_id, prompt, prompt_id::BIGINT AS prompt_id FROM prompts",
     "resume_pending": f"WITH {_log} SELECT prompt_id::BIGINT AS prompt_id, prompt FROM pending",
     "resume_pending_limited": f"WITH {_log} SELECT prompt_id::BIGINT AS prompt_id, prompt FROM pending ORDER BY prompt_id LIMIT 10",

@@ -161,3 +161,14 @@ def test_pairs_of_all_documents(spark, tmp_path):
     assert all(r["context_with_chat_template"] == k + r["generation_raw"] for k, r in got.items())
     assert catalogue.pair_dedup_whole(spark, f"file://{tmp_path}").count() == 4
     assert catalogue.preference_pairs(spark, f"file://{tmp_path}").count() == 0
+
+
+def test_whole_answers(spark, tmp_path):
+    from plumbline.plans import catalogue
+
+    answer = " ".join(f"word{k}" for k in range(200))
+    spark.createDataFrame([(1, 0, "user", "a question"), (1, 1, "assistant", answer)], "conv_id long, turn long, role string, text string").write.parquet(f"file://{tmp_path}/conversations.parquet")
+    found = catalogue.QUERIES["render_chat_whole"](spark, f"file://{tmp_path}").first()
+    assert found["rendered"] == f"<|system|>\nBe brief.\n<|user|>\na question\n<|assistant|>\n{answer}"
+    found = catalogue.QUERIES["classifier_input_whole"](spark, f"file://{tmp_path}").first()
+    assert found["input"] == f"<|user|>\na question\n<|assistant|>\n{answer}"
