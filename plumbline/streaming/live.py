@@ -30,7 +30,8 @@ def checked(chunks: DataFrame, rules: Rules, hold_back: int = 256, every: int =
 
     State is a document's text so far and how much of it was handed out. The last ``hold_back``
     characters stay until more text comes or the document is done, so a violation across chunks
-    is seen before its text leaves. Rules run every so many chunks, and at the end.
+    is seen before its text leaves. Rules run every so many chunks, and at the end; between
+    runs no text leaves, unless a violation was found before.
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -39,11 +40,12 @@ def checked(chunks: DataFrame, rules: Rules, hold_back: int = 256, every: int =
         for row in pd.concat(list(frames)).sort_values("seq").itertuples():
             held, seen = held + (row.text or ""), seen + 1
             kind = rule = start = None
-            if not hit and (row.done or seen % every == 0):
+            ran = hit or bool(row.done) or seen % every == 0
+            if not hit and ran:
                 first = min(matcher.hits(held), default=None)
                 if first is not None:
                     hit, start, kind, rule = True, out_of + first[0], KINDS[first[1]], first[2]
-            safe = len(held) if row.done else max(0, len(held) - hold_back)
+            safe = len(held) if row.done else max(0, len(held) - hold_back) if ran else 0
             rows.append((key[0], row.seq, held[:safe], kind, rule, start, bool(row.done)))
             held, out_of = held[safe:], out_of + safe
         if rows and rows[-1][-1]:

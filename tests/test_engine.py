@@ -172,3 +172,16 @@ def test_whole_answers(spark, tmp_path):
     assert found["rendered"] == f"<|system|>\nBe brief.\n<|user|>\na question\n<|assistant|>\n{answer}"
     found = catalogue.QUERIES["classifier_input_whole"](spark, f"file://{tmp_path}").first()
     assert found["input"] == f"<|user|>\na question\n<|assistant|>\n{answer}"
+
+
+def test_rules_see_text_before_it_leaves(spark, tmp_path):
+    (tmp_path / "chunks").mkdir()
+    texts = ["we see the cat here, " + "and so on " * 10, "more of it " * 10, "still more " * 10, "the end"]
+    (tmp_path / "chunks/a.json").write_text("\n".join(json.dumps({"doc_id": 1, "seq": k, "text": t, "done": k == 3}) for k, t in enumerate(texts)))
+    chunks = spark.readStream.schema("doc_id long, seq long, text string, done boolean").json(f"file://{tmp_path}/chunks")
+    query = live.checked(chunks, match.Rules(("the cat",)), hold_back=10, every=3).writeStream.format("memory").queryName("late").outputMode("append").option("checkpointLocation", f"file://{tmp_path}/c").start()
+    query.processAllAvailable()
+    query.stop()
+    got = spark.sql("select * from late order by seq").collect()
+    assert "".join(r["text"] for r in got) == "".join(texts) and [r["text"] for r in got[:2]] == ["", ""]
+    assert [(r["seq"], r["hit_rule"], r["hit_start"]) for r in got if r["hit_kind"]] == [(2, "the cat", 7)]
