@@ -11,8 +11,7 @@ from plumbline.llm.session import table
 
 def bpe_digests(docs: DataFrame) -> DataFrame:
     """Digests of each text's ids and of their decoded bytes."""
-    encoded = bpe.encode(docs.select("doc_id", "text")).select("doc_id", "ids")
-    both = bpe.decode(encoded)
+    both = bpe.round_trip(docs.select("doc_id", "text")).select("doc_id", "ids", "decoded")
     return both.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
