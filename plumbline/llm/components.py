@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.session import cut
+from plumbline.llm.session import cut, dropped
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -29,5 +29,6 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         large = oriented(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")))
         small_least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(small_least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small_least.select("a", F.col("m").alias("b")))
-        now = cut(oriented(small), "edges")
+        last, now = now, cut(oriented(small), "edges")
+        dropped(last)
     raise RuntimeError(f"components did not settle in {rounds} rounds")

@@ -17,8 +17,10 @@ A byte goes if it lies in a string of ``LENGTH`` bytes that also starts elsewher
    position. Where it is ``LENGTH`` or more, a repeat starts.
 4. The repeats go back to all copies of a context, and the bytes that they cover are removed.
 
-An anchor with very many different contexts isn't gathered: its windows are compared one by one,
-by hash, in a grouped aggregation.
+An anchor with many different contexts is dealt in parts: equal windows have the anchor in the
+same place, so windows are dealt by that place, some places together, and if there are too many
+windows with the anchor in one place, by a hash of the window too. Every part is indexed in the
+same way, and no part holds much more than ``AT_ONCE`` suffixes.
 """
 
 from __future__ import annotations
@@ -33,12 +35,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.session import cut, slices
+from plumbline.llm.session import cut, dropped, slices
 
 LENGTH, GRAM = 200, 48
 SPAN = LENGTH - GRAM + 1
-#: Bytes of a context at most; different contexts of an anchor that one task gathers; suffixes that it sorts at once.
-LONGEST, GATHERED, AT_ONCE = LENGTH + SPAN, 16_384, 60_000
+#: Bytes of a context at most; suffixes that a task sorts at once, about.
+LONGEST, AT_ONCE = LENGTH + SPAN, 40_000
 
 _BASE = 0x9E3779B97F4A7C15
 _CODE = np.random.default_rng(1).integers(1, 1 << 63, 256, dtype=np.int64).astype(np.uint64)
@@ -103,7 +105,14 @@ def repeated_starts(contexts: list[bytes], copies: np.ndarray) -> list[np.ndarra
     # The transform, as runs: a context's first suffix has nothing before it, and is a run of its own.
     before = np.where(offset > 0, text[at - 1].astype(np.int64), -1 - owner)[order]
     breaks = before[1:] != before[:-1]
-    joint = np.flatnonzero(breaks)
+    # Neighbours in a run also are neighbours one byte to the left, unless a suffix lies between them there whose own
+    # right neighbour is too short to be a row here. Then the run is cut, so that the statistics reach on from samples alone.
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    parted = np.zeros(len(breaks), bool)
+    k = np.flatnonzero(~breaks)
+    parted[k] = rank[order[k + 1] - 1] != rank[order[k] - 1] + 1
+    joint = np.flatnonzero(breaks | parted)
 
     # Samples at the ends of runs: what each has in common with its neighbour across the break.
     a, b = order[joint], order[joint + 1]
@@ -123,13 +132,6 @@ def repeated_starts(contexts: list[bytes], copies: np.ndarray) -> list[np.ndarra
     far = np.where(reach > 0, at + reach, 0)
     statistic = np.minimum(np.maximum.accumulate(far) - at, rest)
     starts = statistic >= LENGTH
-    # An exact check of what is left: suffixes that agree with a neighbour in the whole window.
-    open_ = ~(starts[order[1:]] & starts[order[:-1]]) & ~breaks
-    k = np.flatnonzero(open_)
-    for i in range(0, len(k), 8192):
-        x, y = order[k[i : i + 8192]], order[k[i : i + 8192] + 1]
-        same = (rows[x, :LENGTH] == rows[y, :LENGTH]).all(axis=1)
-        starts[x[same]] = starts[y[same]] = True
     return [np.flatnonzero(starts[f : f + w]) for f, w in zip(first.tolist(), windows.tolist(), strict=True)]
 
 
@@ -179,79 +181,89 @@ def _packed(docs: DataFrame, head: str = "row_key") -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), _row_key(), F.col("text").cast("string")).mapInArrow(run, "doc_id long, row_key long, packed binary")
 
 
-def _contexts(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """``gram, ctx, n, crowded, data`` for chosen ``gram, ctx, n, crowded, row_key, place``."""
-    per_row = chosen.groupBy("row_key").agg(F.collect_list(F.struct("gram", "ctx", "n", "crowded", "place")).alias("list"))
+def anchor_place(data: np.ndarray) -> int:
+    """Where a context's anchor begins."""
+    h = gram_hashes(data[:LENGTH])
+    return int(np.argmin((h & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=np.uint64)))
+
+
+def split(data: bytes, contexts: int) -> Iterator[tuple[int, int, bytes]]:
+    """(part, first window, bytes) of the parts that a context of an anchor with so many different ones is dealt in."""
+    ranges = -(-contexts * SPAN // AT_ONCE)
+    if ranges <= 1:
+        yield 0, 0, data
+        return
+    width = max(1, SPAN // ranges)
+    buckets = -(-contexts // AT_ONCE) if width == 1 else 1
+    place, windows, at = anchor_place(np.frombuffer(data, np.uint8)), len(data) - LENGTH + 1, 0
+    while at < windows:
+        # Windows that follow one another have the anchor one place further left each.
+        part = (place - at) // width
+        end = min(windows, place - part * width + 1)
+        piece = data[at : end - 1 + LENGTH]
+        yield part * buckets + (xxhash.xxh3_64_intdigest(piece) % buckets if buckets > 1 else 0), at, piece
+        at = end
+
+
+def _contexts(docs: DataFrame, chosen: DataFrame, repeated: DataFrame | None) -> DataFrame:
+    """``gram, part, ctx, n, shift, data`` for chosen ``gram, ctx, n, contexts, row_key, place``. ``repeated``: the keys that rows share, if any do."""
+    per_row = chosen.groupBy("row_key").agg(F.collect_list(F.struct("gram", "ctx", "n", "contexts", "place")).alias("list"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
-        for b in slices(batches):
-            gram, ctx, n, crowded, data = [], [], [], [], []
+        for b in slices(batches, 32):
+            out: list[tuple] = []
             for packed, found in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 text = unpack.decompress(packed)
                 for x in found:
                     first, more = divmod(x["place"], 256)
-                    gram.append(x["gram"])
-                    ctx.append(x["ctx"])
-                    n.append(x["n"])
-                    crowded.append(x["crowded"])
-                    data.append(text[first : first + more + LENGTH])
-            cols = [pa.array(gram, pa.int64()), pa.array(ctx, pa.int64()), pa.array(n, pa.int64()), pa.array(crowded, pa.bool_()), pa.array(data, pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, ["gram", "ctx", "n", "crowded", "data"])
+                    for part, shift, data in split(text[first : first + more + LENGTH], x["contexts"]):
+                        out.append((x["gram"], part, x["ctx"], x["n"], shift, data))
+            cols = list(zip(*out, strict=True)) if out else [[]] * 6
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["gram", "part", "ctx", "n", "shift", "data"])
 
-    # Rows that repeat have one key and one text; the first of them gives the contexts.
-    rows = _packed(docs).select("row_key", "packed").join(per_row, "row_key")
-    return rows.select("packed", "list").mapInArrow(run, "gram long, ctx long, n long, crowded boolean, data binary")
+    rows = _packed(docs).select("row_key", "packed")
+    if repeated is not None:  # equal rows have one key and one text, which gives the contexts once
+        rows = rows.join(repeated, "row_key", "left_anti").unionByName(rows.join(repeated, "row_key", "left_semi").dropDuplicates(["row_key"]))
+    return rows.join(per_row, "row_key").select("packed", "list").mapInArrow(run, "gram long, part long, ctx long, n long, shift int, data binary")
 
 
 _MARKS = "gram long, ctx long, low array<int>, high array<int>"
 
 
 def _indexed(contexts: DataFrame) -> DataFrame:
-    """``gram, ctx, low, high``: the runs of repeated windows of each context, from one index for some anchors at a time."""
+    """``gram, ctx, low, high``: the runs of repeated windows of each context, from one index for some anchors, or one part of one, at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        windows = 0
+        held: dict[tuple, tuple] = {}
+        windows, last = 0, None
 
         def marks() -> pa.RecordBatch:
-            # A context comes again where rows repeat.
-            own = {(g, c): (n, d) for g, c, n, d in held}
-            ids = list(own)
-            found = repeated_starts([own[i][1] for i in ids], np.array([own[i][0] for i in ids]))
-            kept = [(i, intervals(s)) for i, s in zip(ids, found, strict=True) if len(s)]
-            cols = [pa.array([i[0] for i, _ in kept], pa.int64()), pa.array([i[1] for i, _ in kept], pa.int64()), pa.array([x[0] for _, x in kept], pa.list_(pa.int32())), pa.array([x[1] for _, x in kept], pa.list_(pa.int32()))]
+            ids = list(held)
+            found = repeated_starts([held[i][1] for i in ids], np.array([held[i][0] for i in ids]))
+            kept = [(i, held[i][2], intervals(s)) for i, s in zip(ids, found, strict=True) if len(s)]
+            cols = [
+                pa.array([i[0] for i, _, _ in kept], pa.int64()), pa.array([i[2] for i, _, _ in kept], pa.int64()),
+                pa.array([[v + shift for v in x[0]] for _, shift, x in kept], pa.list_(pa.int32())), pa.array([[v + shift for v in x[1]] for _, shift, x in kept], pa.list_(pa.int32())),
+            ]
             return pa.RecordBatch.from_arrays(cols, ["gram", "ctx", "low", "high"])
 
         for b in slices(batches, 2048):
-            for row in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
-                if windows >= AT_ONCE and row[0] != held[-1][0]:
+            for gram, part, ctx, n, shift, data in zip(*(b.column(k).to_pylist() for k in range(6)), strict=True):
+                if windows >= AT_ONCE and (gram, part) != last:
                     yield marks()
-                    held, windows = [], 0
-                held.append(row)
-                windows += len(row[3]) - LENGTH + 1
+                    held, windows = {}, 0
+                last = (gram, part)
+                held[gram, part, ctx, shift] = (n, data, shift)
+                windows += len(data) - LENGTH + 1
         if held:
             yield marks()
 
-    dealt = contexts.select("gram", "ctx", "n", "data").repartition("gram").sortWithinPartitions("gram")
+    dealt = contexts.repartition("gram", "part").sortWithinPartitions("gram", "part")
     return dealt.mapInArrow(run, _MARKS)
 
 
-def _compared(contexts: DataFrame) -> DataFrame:
-    """The same, with the windows of each anchor compared one by one."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            rows = [(g, c, n, k, xxhash.xxh3_128_digest(d[k : k + LENGTH])) for g, c, n, d in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True) for k in range(len(d) - LENGTH + 1)]
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], ["gram", "ctx", "n", "start", "window"])
-
-    windows = contexts.select("gram", "ctx", "n", "data").distinct().mapInArrow(run, "gram long, ctx long, n long, start int, window binary")
-    repeated = windows.groupBy("gram", "window").agg(F.sum("n").alias("times")).where("times > 1").select("gram", "window")
-    found = windows.join(repeated, ["gram", "window"], "left_semi").groupBy("gram", "ctx").agg(F.sort_array(F.collect_list("start")).alias("low"))
-    return found.select("gram", "ctx", "low", F.col("low").alias("high"))
-
-
 def covered(n: int, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The maximal spans of bytes that windows from each start to each end cover, in order."""
     order = np.argsort(starts, kind="stable")
@@ -278,23 +290,24 @@ def digests(docs: DataFrame) -> DataFrame:
 
 def marks(docs: DataFrame) -> DataFrame:
     """``row_key, low, high``: lists of the runs of repeated windows of each text that has any."""
-    # Written out before the join: with a shuffle of its own on both sides, Spark can split the part that a frequent anchor fills.
-    twice = cut(occurrences(docs).groupBy("gram").agg(F.count("*").alias("k")).where("k > 1").select("gram"), "twice")
-    flagged = cut(occurrences(docs).join(twice, "gram", "left_semi"), "flagged")
+    # Written out before the joins: with a shuffle of its own on both sides, Spark can split the part that a frequent anchor fills.
+    every = cut(occurrences(docs), "occurrences")
+    twice = cut(every.groupBy("gram").agg(F.count("*").alias("k")).where("k > 1").select("gram"), "twice")
+    flagged = cut(every.join(twice, "gram", "left_semi"), "flagged")
+    dropped(every, twice)
     each = flagged.groupBy("gram", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("row_key", "place")).alias("at"))
     each = cut(each.select("gram", "ctx", "n", "at.row_key", "at.place"), "each")
-    crowds = cut(each.groupBy("gram").agg(F.count("*").alias("k")).where(F.col("k") > GATHERED).select("gram", F.lit(True).alias("crowded")), "crowds")
-    chosen = each.join(crowds, "gram", "left").withColumn("crowded", F.coalesce("crowded", F.lit(False)))
-    if crowds.isEmpty():
-        found = _indexed(_contexts(docs, chosen))
-    else:
-        contexts = cut(_contexts(docs, chosen), "contexts")
-        found = _indexed(contexts.where("not crowded")).unionByName(_compared(contexts.where("crowded")))
-    found = cut(found, "marks")
-    first = F.floor(F.col("place") / 256).cast("long")
+    crowds = cut(each.groupBy("gram").agg(F.count("*").alias("contexts")).where(F.col("contexts") * SPAN > AT_ONCE), "crowds")
+    chosen = each.join(crowds, "gram", "left").withColumn("contexts", F.coalesce("contexts", F.lit(1).cast("long")))
+    repeated = cut(docs.select(_row_key()).groupBy("row_key").count().where("count > 1").select("row_key"), "repeated")
+    found = cut(_indexed(_contexts(docs, chosen, None if repeated.isEmpty() else repeated)), "marks")
+    dropped(each, crowds, repeated)
+    first = F.floor(F.col("place") / 256).cast("int")
     moved = lambda c: F.transform(c, lambda x: first + x)
-    placed = flagged.join(found, ["gram", "ctx"]).select("row_key", moved("low").alias("low"), moved("high").alias("high"))
-    return placed.groupBy("row_key").agg(F.flatten(F.collect_list("low")).alias("low"), F.flatten(F.collect_list("high")).alias("high"))
+    # A set: what all copies of a row have in common is combined before the shuffle, and is no more than one text's.
+    placed = flagged.join(found, ["gram", "ctx"]).select("row_key", F.struct(moved("low").alias("low"), moved("high").alias("high")).alias("runs"))
+    runs = placed.groupBy("row_key").agg(F.collect_set("runs").alias("runs"))
+    return runs.select("row_key", F.flatten(F.transform("runs", lambda r: r["low"])).alias("low"), F.flatten(F.transform("runs", lambda r: r["high"])).alias("high"))
 
 
 def _removed(docs: DataFrame, marked: DataFrame, with_text: bool) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -17,9 +16,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a temporary folder only where that is unset, as in tests."""
+    """The cluster's ``spark.checkpoint.dir``. Where that is unset it is an error, except on one machine: there a temporary folder is shared by all."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="plumbline-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -29,22 +30,33 @@ def cut(df: DataFrame, name: str = "step") -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Later stages then depend on files that survive the loss of any executor, and do not
-    repeat the work above. The files go when the driver ends. Shuffle files of what is no
-    longer needed go at once: Spark drops them when the driver collects its garbage.
+    repeat the work above. The files go with ``dropped``, or else when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/plumbline/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    clean = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    old = spark.conf.get(clean, None)
+    spark.conf.set(clean, "true")  # what was shuffled for this table is not read again
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(clean) if old is None else spark.conf.set(clean, old)
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
     out = spark.read.schema(df.schema).parquet(path)
-    del df
-    gc.collect()
-    jvm.System.gc()
+    out.written_at = path
     return out
 
 
+def dropped(*tables: DataFrame) -> None:
+    """Delete the files of what ``cut`` gave, once nothing that is still to run reads them."""
+    for df in tables:
+        sc = df.sparkSession.sparkContext
+        where = sc._jvm.org.apache.hadoop.fs.Path(df.written_at)
+        where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def slices(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     """Batches of few rows, so that no worker holds Python objects for very many texts."""
     for batch in batches:
