@@ -37,8 +37,8 @@ from plumbline.llm.session import slices
 
 #: Code points of a text, bytes of a pre-token, and tokens, that are dealt with without halving.
 TEXT_LEAF, PIECE_LEAF, DECODE_LEAF = 1 << 16, 48, 1 << 16
-#: Encoded pre-tokens that a worker remembers: how many at most, and of how many characters. Some 20 MB.
-REMEMBERED, SHORT = 1 << 16, 32
+#: Encoded pre-tokens that a worker remembers: how many lately met ones and as many earlier ones at most, of how many characters. Some 100 MB.
+REMEMBERED, SHORT = 1 << 18, 32
 #: Byte strings above this are merged with a heap instead of by looking through all pairs again.
 HEAPED = 192
 
@@ -73,6 +73,7 @@ class Codec(Decoder):
         self.general = regex.compile(pattern)
         self.plain = _PLAIN if pattern == public_tokenizers.PATTERN else None
         self.cache: dict[str, bytes] = {}
+        self.earlier: dict[str, bytes] = {}
         self.fits = lru_cache(1 << 14)(self._fits)
 
     # Pre-tokens
@@ -81,21 +82,20 @@ class Codec(Decoder):
         """The encoding of a byte string: again and again the adjacent pair of least rank, the leftmost of them, becomes one."""
         if len(data) > HEAPED:
             return self._merged_by_heap(data)
-        ranks, parts = self.ranks, [data[i : i + 1] for i in range(len(data))]
-        get, none = ranks.get, 1 << 60
-        pairs = [get(a + b, none) for a, b in zip(parts, parts[1:])]
+        ranks, none, starts = self.ranks, 1 << 60, list(range(len(data) + 1))
+        get = ranks.get
+        pairs = [get(data[i : i + 2], none) for i in range(len(data) - 1)]
         while pairs:
             best = min(pairs)
             if best == none:
                 break
             i = pairs.index(best)
-            parts[i] += parts.pop(i + 1)
-            pairs.pop(i)
+            del starts[i + 1], pairs[i]
             if i:
-                pairs[i - 1] = get(parts[i - 1] + parts[i], none)
+                pairs[i - 1] = get(data[starts[i - 1] : starts[i + 1]], none)
             if i < len(pairs):
-                pairs[i] = get(parts[i] + parts[i + 1], none)
-        return [ranks[p] for p in parts]
+                pairs[i] = get(data[starts[i] : starts[i + 2]], none)
+        return [ranks[data[a:b]] for a, b in zip(starts, starts[1:])]
 
     def _merged_by_heap(self, data: bytes) -> list[int]:
         get, n = self.ranks.get, len(data)
@@ -151,13 +151,16 @@ class Codec(Decoder):
 
     def piece(self, piece: str) -> bytes:
         """The ids of a pre-token as little-endian 32-bit integers."""
-        data = piece.encode()
-        rank = self.ranks.get(data)
-        ids = [rank] if rank is not None else self.tree(data)
-        out = struct.pack(f"<{len(ids)}I", *ids)
+        out = self.cache.get(piece) or self.earlier.get(piece)
+        if out is None:
+            data = piece.encode()
+            rank = self.ranks.get(data)
+            ids = [rank] if rank is not None else self.tree(data)
+            out = struct.pack(f"<{len(ids)}I", *ids)
         if len(piece) <= SHORT:
+            # Pre-tokens that are met again move on; what was not met for long is forgotten.
             if len(self.cache) >= REMEMBERED:
-                self.cache.clear()
+                self.cache, self.earlier = {}, self.cache
             self.cache[piece] = out
         return out
 

@@ -30,6 +30,11 @@ def test_same_ids_as_library(library, text):
     assert own.decode(own.encode(text)) == text.encode()
 
 
+def _forget():
+    bpe.codec().cache.clear()
+    bpe.codec().earlier.clear()
+
+
 @pytest.fixture
 def leaves():
     """Sets how short what is not halved has to be, and puts that back."""
@@ -37,11 +42,11 @@ def leaves():
 
     def put(text, piece, heaped, decode=5):
         bpe.TEXT_LEAF, bpe.PIECE_LEAF, bpe.HEAPED, bpe.DECODE_LEAF = text, piece, heaped, decode
-        bpe.codec().cache.clear()
+        _forget()
 
     yield put
     bpe.TEXT_LEAF, bpe.PIECE_LEAF, bpe.HEAPED, bpe.DECODE_LEAF = was
-    bpe.codec().cache.clear()
+    _forget()
 
 
 SIZES = [(1, 1, 1), (2, 2, 4), (7, 3, 1 << 20), (7, 3, 8), (16, 5, 16), (64, 48, 192)]
@@ -111,8 +116,8 @@ def test_one_pass_is_encoding_and_then_decoding(spark):
 
 def test_what_a_worker_remembers_is_bounded():
     own = bpe.codec()
-    for k in range(3):
+    for k in range(4):
         own.ids(" ".join(f"w{i}x{k}" for i in range(bpe.REMEMBERED // 2)))
-        assert len(own.cache) <= bpe.REMEMBERED
+        assert len(own.cache) <= bpe.REMEMBERED and len(own.earlier) <= bpe.REMEMBERED
     own.ids("q" * 10_000)
     assert max(map(len, own.cache)) <= bpe.SHORT
