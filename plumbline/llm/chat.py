@@ -58,8 +58,10 @@ def unescape(text: str) -> str:
 
 FILTERS: dict[str, Callable[[Any], Any]] = {
     "escape": lambda x: escape(_text(x)), "escape_line": lambda x: escape_line(_text(x)), "trim": lambda x: _text(x).strip(), "upper": lambda x: _text(x).upper(),
-    "lower": lambda x: _text(x).lower(), "length": len, "string": lambda x: _text(x),
+    "lower": lambda x: _text(x).lower(), "length": lambda x: _length(x), "string": lambda x: _text(x),
 }
+#: Parentheses, operators and blocks that may be nested in a template.
+DEEPEST = 32
 
 
 def _text(x: Any) -> str:
@@ -70,6 +72,10 @@ def _fail(what: str) -> Any:
     raise TemplateError(what)
 
 
+def _length(x: Any) -> int:
+    return len(x) if isinstance(x, (str, list, dict)) else _fail(f"no length: {type(x).__name__}")
+
+
 def _key(of: Any, key: Any) -> Any:
     if isinstance(of, dict):
         return of.get(key)
@@ -86,7 +92,7 @@ _PART = re.compile(r"\{\{(-?)(.*?)(-?)\}\}|\{%(-?)(.*?)(-?)%\}|\{#.*?#\}", re.S)
 _OPS: dict[str, Callable[[Any, Any], Any]] = {
     "==": lambda a, b: a == b, "!=": lambda a, b: a != b, "~": lambda a, b: _text(a) + _text(b),
     "+": lambda a, b: a + b if isinstance(a, int) and isinstance(b, int) else _text(a) + _text(b),
-    "in": lambda a, b: a in b if isinstance(b, (list, dict, str)) else False,
+    "in": lambda a, b: a in b if isinstance(b, list) or isinstance(b, (dict, str)) and isinstance(a, str) else False,
 }
 
 
@@ -100,7 +106,7 @@ class _Expression:
             m = _TOKEN.match(source, at) or _fail(f"unexpected {source[at:].strip()[:20]!r}")
             self.tokens.append((m.lastgroup or "", m[m.lastgroup or 0]))
             at = m.end()
-        self.i = 0
+        self.i = self.depth = 0
 
     def peek(self) -> tuple[str, str]:
         return self.tokens[self.i] if self.i < len(self.tokens) else ("end", "")
@@ -115,55 +121,61 @@ class _Expression:
         tree = self.either()
         return tree if self.peek()[0] == "end" else _fail(f"unexpected {self.peek()[1]!r}")
 
-    def either(self) -> tuple:
-        left = self.both()
-        while self.take("or"):
-            left = ("op", "or", left, self.both())
+    def deeper(self, parse: Callable[[], tuple]) -> tuple:
+        """What lies one level further in; a tree is walked by recursion, so it may not be too deep."""
+        self.depth += 1
+        tree = parse() if self.depth <= DEEPEST else _fail("nested too deeply")
+        self.depth -= 1
+        return tree
+
+    def chain(self, part: Callable[[], tuple], *operators: str) -> tuple:
+        """Parts between operators, from left to right; each operator makes the tree a level deeper."""
+        left, n = part(), 0
+        while op := self.take(*operators):
+            n += 1
+            left = ("op", op, left, part()) if n <= DEEPEST else _fail("too many operators")
         return left
 
+    def either(self) -> tuple:
+        return self.chain(self.both, "or")
+
     def both(self) -> tuple:
-        left = self.negated()
-        while self.take("and"):
-            left = ("op", "and", left, self.negated())
-        return left
+        return self.chain(self.negated, "and")
 
     def negated(self) -> tuple:
-        return ("not", self.negated()) if self.take("not") else self.compared()
+        return ("not", self.deeper(self.negated)) if self.take("not") else self.compared()
 
     def compared(self) -> tuple:
-        left = self.added()
-        while op := self.take("==", "!=", "in"):
-            left = ("op", op, left, self.added())
-        return left
+        return self.chain(self.added, "==", "!=", "in")
 
     def added(self) -> tuple:
-        left = self.filtered()
-        while op := self.take("+", "~"):
-            left = ("op", op, left, self.filtered())
-        return left
+        return self.chain(self.filtered, "+", "~")
 
     def filtered(self) -> tuple:
-        left = self.keyed()
+        left, n = self.keyed(), 0
         while self.take("|"):
             kind, name = self.peek()
             if kind != "name" or name not in FILTERS:
                 _fail(f"no filter {name!r}")
-            self.i += 1
+            self.i, n = self.i + 1, n + 1
+            if n > DEEPEST:
+                _fail("too many filters")
             left = ("filter", name, left)
         return left
 
     def keyed(self) -> tuple:
         left = self.single()
-        while True:
+        for _ in range(DEEPEST):
             if self.take("."):
                 kind, name = self.peek()
                 self.i += 1
                 left = ("key", left, ("const", name)) if kind == "name" else _fail("a name must follow a dot")
             elif self.take("["):
-                left = ("key", left, self.either())
+                left = ("key", left, self.deeper(self.either))
                 self.take("]") or _fail("no ]")
             else:
                 return left
+        return _fail("too many keys")
 
     def single(self) -> tuple:
         kind, value = self.peek()
@@ -176,7 +188,7 @@ class _Expression:
             known = {"true": True, "false": False, "none": None, "True": True, "False": False, "None": None}
             return ("const", known[value]) if value in known else ("name", value)
         if value == "(":
-            tree = self.either()
+            tree = self.deeper(self.either)
             self.take(")") or _fail("no )")
             return tree
         return _fail(f"unexpected {value or 'end'!r}")
@@ -202,9 +214,16 @@ def parse(template: str) -> list[tuple]:
             parts.append(("tag", m[5].strip()))
     text(template[at:], False)
 
-    i = 0
+    i = depth = 0
 
     def body(*ends: str) -> tuple[list[tuple], str]:
+        nonlocal depth
+        depth += 1
+        inner = within(*ends) if depth <= DEEPEST else _fail("nested too deeply")
+        depth -= 1
+        return inner
+
+    def within(*ends: str) -> tuple[list[tuple], str]:
         nonlocal i
         out: list[tuple] = []
         while i < len(parts):
@@ -320,6 +339,8 @@ def evaluator(tree: tuple) -> Callable[[dict], Any]:
     return lambda env: op(a(env), b(env))
 
 
+#: What comes after the last item of a loop; items may be null.
+_OVER = object()
 Writer = Callable[[dict, bool], Iterator[tuple[str, bool]]]
 
 
@@ -362,11 +383,14 @@ def _statement(s: tuple) -> Writer:
     over, inner = evaluator(s[2]), writer(s[3])
 
     def loop(env: dict, learn: bool) -> Iterator[tuple[str, bool]]:
-        source, saved = iter(over(env) or ()), (env.get(s[1]), env.get("loop"))
-        now, index = next(source, None), 0
-        while now is not None:
-            following = next(source, None)
-            env[s[1]], env["loop"] = now, {"index": index + 1, "index0": index, "first": index == 0, "last": following is None}
+        items = over(env)
+        if isinstance(items, (int, float)):
+            _fail(f"nothing to go through: {type(items).__name__}")
+        source, saved = iter(items or ()), (env.get(s[1]), env.get("loop"))
+        now, index = next(source, _OVER), 0
+        while now is not _OVER:
+            following = next(source, _OVER)
+            env[s[1]], env["loop"] = now, {"index": index + 1, "index0": index, "first": index == 0, "last": following is _OVER}
             yield from inner(env, learn)
             now, index = following, index + 1
         env[s[1]], env["loop"] = saved
@@ -376,12 +400,22 @@ def _statement(s: tuple) -> Writer:
 
 def compile_template(template: str) -> Callable[[Iterable[dict]], Iterator[tuple[str, bool]]]:
     """A function from messages (a list or a stream) to (text, whether it is to be learnt) pieces."""
-    write = writer(folded(parse(template)))
-    return lambda messages: write({"messages": messages}, False)
+    try:
+        write = writer(folded(parse(template)))
+    except RecursionError:  # chains within chains
+        raise TemplateError("nested too deeply") from None
+
+    def run(messages: Iterable[dict]) -> Iterator[tuple[str, bool]]:
+        try:
+            yield from write({"messages": messages}, False)
+        except RecursionError:
+            raise TemplateError("nested too deeply") from None
+
+    return run
 
 
 def render(template: str, messages: Iterable[dict]) -> tuple[str, list[tuple[int, int]]]:
-    """A conversation's text, and the spans of it that are to be learnt, in code points."""
+    """A conversation's text, and the spans of it that are to be learnt, in code points. Null items of a loop are items; null values have no text."""
     out, spans, at = [], [], 0
     for text, learn in compile_template(template)(messages):
         if text:
