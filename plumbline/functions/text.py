@@ -34,6 +34,29 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+#: Items that one fold goes through. A fold that collects copies what it has at each step, so long arrays are folded part by part.
+PART = 256
+
+
+def parted(items: Column, moved: Callable[[Column, Column], Column], of: Callable[[Column, Column], Column]) -> Column:
+    """``of(part, at)`` for each ``PART`` items, where ``at`` is what ``moved(at, item)`` makes of 0 over all items before."""
+    numbers = lambda a: F.sequence(F.lit(0), F.floor(F.greatest(F.size(a) - 1, F.lit(0)) / PART).cast("int"))
+    parts = lambda a: F.transform(numbers(a), lambda k: F.slice(a, k * PART + 1, F.lit(PART)))
+    begun = lambda ps: F.aggregate(ps, F.array(F.lit(0)), lambda out, p: F.concat(out, F.array(F.aggregate(p, F.element_at(out, -1), moved))))
+    each = lambda ps: F.transform(F.arrays_zip(ps.alias("part"), F.slice(begun(ps), F.lit(1), F.size(ps)).alias("at")), lambda z: of(z["part"], z["at"]))
+    return let(items, lambda a: let(parts(a), each))
+
+
+def lower(c: Column) -> Column:
+    """Lower case, character for character: offsets stay. The one letter whose lower case is two characters, U+0130, is left as it is."""
+    return F.when(F.contains(c, F.lit("\u0130")), F.array_join(F.transform(F.split(c, "\u0130", -1), F.lower), "\u0130")).otherwise(F.lower(c))
+
+
+def lowered(s: str) -> str:
+    """The same for a string."""
+    return "\u0130".join(x.lower() for x in s.split("\u0130"))
+
+
 def strip(c: Column) -> Column:
     """Without white space, of any script, at both ends."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
@@ -75,16 +98,18 @@ def start_of(c: Column, pattern: str) -> Column:
 
 
 def spans(c: Column, pattern: str) -> Column:
-    """``array<struct<start, match>>`` of the leftmost non-overlapping matches; meant for patterns that match rarely."""
+    """``array<struct<start, match>>`` of the leftmost non-overlapping matches."""
     steps = F.arrays_zip(F.split(c, pattern, -1).alias("gap"), F.regexp_extract_all(c, F.lit(pattern), F.lit(0)).alias("match"))
     empty = F.array().cast("array<struct<start:int,match:string>>")
+    after = lambda at, x: at + F.length(x["gap"]) + F.coalesce(F.length(x["match"]), F.lit(0))
 
     def step(s: Column, x: Column) -> Column:
         start = s["at"] + F.length(x["gap"])
         more = F.when(x["match"].isNotNull(), F.concat(s["out"], F.array(F.struct(start.alias("start"), x["match"].alias("match"))))).otherwise(s["out"])
         return F.struct((start + F.coalesce(F.length(x["match"]), F.lit(0))).alias("at"), more.alias("out"))
 
-    return F.when(c.rlike(pattern), F.aggregate(steps, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda s: s["out"])).otherwise(empty)
+    found = parted(steps, after, lambda part, at: F.aggregate(part, F.struct(at.alias("at"), empty.alias("out")), step, lambda s: s["out"]))
+    return F.when(c.rlike(pattern), F.flatten(found)).otherwise(empty)
 
 
 def token_at(c: Column, start: Column) -> Column:

@@ -54,18 +54,21 @@ def chat(prompt: Column, so_far: Column, system: str = "", prefix: str = "<|syst
     return F.concat(F.lit(prefix.replace("{system}", system)), prompt, F.lit(middle), so_far)
 
 
-def numbered(df: DataFrame, order: str, into: str = "prompt_id", ranges: int = 64) -> DataFrame:
+def numbered(df: DataFrame, order: str, into: str = "prompt_id", each: int = 1_000_000) -> DataFrame:
     """Rows numbered from 0 in the order of a numeric column.
 
-    Numbers come from ranges of the column: the counts of ranges, of which there are few, are
-    summed, and within a range rows are ranked; no task sees all rows.
+    Numbers come from ranges of the column, of about ``each`` rows: the counts of ranges, of which
+    there are few, are summed, and within a range rows are ranked; no task sees all rows. Rows
+    with a null order come last; equal ones are numbered in any order. Own columns may have any
+    names but those of ``_range``, ``_rank`` and ``_start``.
     """
-    splits = sorted(set(df.agg(F.percentile_approx(order, [k / ranges for k in range(1, ranges)], 10_000)).first()[0] or []))
+    ranges = max(64, min(4096, -(-df.count() // each)))
+    splits = sorted(set(df.agg(F.percentile_approx(order, [k / ranges for k in range(1, ranges)], 20 * ranges)).first()[0] or []))
     bucket = F.size(F.filter(F.array(*[F.lit(s) for s in splits]), lambda s: s < F.col(order))) if splits else F.lit(0)
-    ranged = df.withColumn("_range", bucket)
+    ranged = df.withColumn("_range", F.when(F.col(order).isNull(), len(splits) + 1).otherwise(bucket))
     counts = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
     starts = counts.withColumn("_start", F.coalesce(F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    ranks = ranged.withColumn("_rank", F.row_number().over(Window.partitionBy("_range").orderBy(order)))
+    ranks = ranged.withColumn("_rank", F.row_number().over(Window.partitionBy("_range").orderBy(F.col(order).asc_nulls_last())))
     return ranks.join(starts, "_range").withColumn(into, (F.col("_start") + F.col("_rank") - 1).cast("long")).drop("_range", "_rank", "_start")
 
 
@@ -106,6 +109,12 @@ def classifier_input(user: Column, assistant: Column, most: int = 256, user_most
     return F.concat(F.lit("<|user|>\n"), F.array_join(kept, " "), F.lit("\n<|assistant|>\n"), F.array_join(rest, " "))
 
 
+def joined(parts: DataFrame, key: str, order: str, text: str) -> DataFrame:
+    """``key, text``: the parts of each text in order, joined. Null parts add nothing; parts of one number are in the order of their texts. A text is one task's."""
+    one = F.struct(F.col(order).isNull().alias("last"), F.col(order).alias("at"), F.coalesce(F.col(text), F.lit("")).alias("part"))
+    return parts.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(one)), lambda x: x["part"]), "").alias("text"))
+
+
 def run_log(*parts: DataFrame) -> DataFrame:
     """All status rows as one log; columns that some lack are null there."""
     out = parts[0]

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.functions.text import let
+from plumbline.functions.text import TOKEN, let
 
 P = "array<struct<token:string,p:double>>"
 TOTAL = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x["p"])
@@ -51,8 +51,10 @@ def ranked(probs: Column) -> Column:
 
 
 def top_p(probs: Column, share: float) -> Column:
-    """The most likely candidates up to and with the one that reaches this share of probability."""
-    return let(ranked(probs), lambda ps: F.filter(ps, lambda c, i: TOTAL(F.slice(ps, F.lit(1), i)) < share))
+    """The most likely candidates up to and with the one that reaches this share of probability, by one running sum."""
+    begun = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("n"))
+    step = lambda s, c: F.struct((s["sum"] + c["p"]).alias("sum"), F.when(s["sum"] < share, s["n"] + 1).otherwise(s["n"]).alias("n"))
+    return let(ranked(probs), lambda ps: F.slice(ps, F.lit(1), F.aggregate(ps, begun, step, lambda s: s["n"])))
 
 
 def top_k(probs: Column, k: int) -> Column:
@@ -96,8 +98,9 @@ def laddered(df: DataFrame, banned: str, tried: str | None, ladder: Sequence[tup
 
 
 def choose(kept: Column, *key: Column, seed: int = 1) -> Column:
-    """A candidate drawn with its probability, the same in every run: an exponential race whose draws are hashes."""
-    u = lambda c: (F.pmod(F.xxhash64(F.lit(seed), *key, c["token"]), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
+    """A candidate drawn with its probability, the same in every run and in SQL: an exponential race whose draws are digests of seed, key and token."""
+    told = lambda c: F.concat_ws(":", F.lit(str(seed)), *[k.cast("string") for k in key], c["token"])
+    u = lambda c: (F.conv(F.substring(F.md5(told(c).cast("binary")), 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
     return F.array_min(F.transform(kept, lambda c: F.struct((-F.log(u(c)) / c["p"]).alias("t"), c["token"].alias("token"))))["token"]
 
 
@@ -118,6 +121,27 @@ def tail(candidates: Column, banned: Column, share: float = 0.01, most: int = 50
     return F.slice(kept, 1, limit)
 
 
+def select_tail(logits: Column, temperature: float = 1.0, share: float | None = None, k: int = 50, most: int = 20) -> Column:
+    """The least likely of the plausible, the unlikeliest first: softmax at a temperature, min-p (scaled anew; the best one always stays), top-k, the last of these."""
+    scaled = let(F.coalesce(logits, F.array().cast("array<struct<token:string,logit:double>>")), lambda ls: F.transform(ls, lambda c: _pair(c["token"], F.exp((c["logit"] - F.array_max(F.transform(ls, lambda x: x["logit"]))) / temperature))))
+    probs = let(scaled, _scaled)
+    kept = let(min_p(probs, share), _scaled) if share is not None else probs
+    return F.slice(F.reverse(top_k(F.filter(kept, lambda c: c["p"] > 0), k)), 1, most)
+
+
+def first_token_prefixes(rules: DataFrame, column: str = "rule", token: str = TOKEN) -> DataFrame:
+    """``prefix``: the first token of each rule in lower case, as it is and after a blank, each once. ``token``: the pattern of the tokenizer's tokens."""
+    base = F.regexp_replace(F.col(column), r"(?U)^\s+", "")
+    variants = rules.select(F.explode(F.array(base, F.concat(F.lit(" "), base))).alias("v"))
+    return variants.select(F.lower(F.regexp_extract("v", f"^(?:{token})", 0)).alias("prefix")).where("prefix <> ''").distinct()
+
+
+def prefix_set(rules: Sequence[str], shortest: int = 2, longest: int = 15) -> frozenset[str]:
+    """The same as ``rule_prefixes`` for a ban list in hand."""
+    known = [r.lstrip().lower() for r in rules]
+    return frozenset(lead + r[:n] for r in known for n in range(shortest, min(longest, len(r)) + 1) for lead in ("", " "))
+
+
 def rule_prefixes(rules: DataFrame, column: str = "rule", shortest: int = 2, longest: int = 15) -> DataFrame:
     """``prefix``: the beginnings of rules of 2 to 15 characters, with and without a blank before, each once."""
     low = F.regexp_replace(F.lower(column), r"(?U)^\s+", "")

@@ -17,21 +17,27 @@ def byte_of_char() -> dict[str, int]:
     return out
 
 
-_BYTES = byte_of_char()
+#: Where the second public alphabet begins: byte b is this plus b.
+BOXES = 0x2500
+_BYTES = byte_of_char() | {chr(BOXES + b): b for b in range(256)}
 MARKERS = {"Ċ": "\n", "Ġ": " ", "▁": " "}
 
 
+def _once(token: str) -> str:
+    """Characters of a byte alphabet as bytes, others as their own UTF-8; the token itself if that is no valid text."""
+    data = b"".join(bytes((_BYTES[c],)) if c in _BYTES else c.encode("utf-8", "surrogatepass") for c in token)
+    try:
+        return data.decode("utf-8")
+    except UnicodeDecodeError:
+        return token
+
+
 def decoded(token: str | None, rounds: int = 3) -> str | None:
-    """A token's text: byte-level characters become bytes if they make valid UTF-8, again while that goes on; markers become blanks."""
+    """A token's text: byte-alphabet characters become bytes if that makes valid UTF-8, again while it changes anything; then markers become blanks."""
     if token is None:
         return None
-    for _ in range(rounds):
-        if not all(c in _BYTES for c in token) or token.isascii():
-            break
-        try:
-            new = bytes(_BYTES[c] for c in token).decode("utf-8")
-        except UnicodeDecodeError:
-            break
+    for _ in range(0 if token.isascii() else rounds):
+        new = _once(token)
         if new == token:
             break
         token = new

@@ -1,20 +1,23 @@
 """Rule matching: phrases, regular expressions and n-grams.
 
 All matchers are expressions over one row's text: no shuffle, no join, no Python. A rule list is
-a literal (an alternation or a hash set), so it has the size of a ban list.
+a literal (an alternation or a hash set), so it has the size of a ban list. A null text has no hits:
+single hits are null, lists of hits empty or null, and exploding them gives no rows.
 
-Offsets of phrase hits are those of the lower-case text, of which case mapping may change the length.
+Offsets are code points of the text as it is: it is lower-cased character for character.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.functions import text as tx
 
@@ -25,13 +28,18 @@ HIT = "struct<kind:string,prio:int,start:int,length:int,rule:string,match:string
 
 @dataclass(frozen=True)
 class Rules:
-    """Ban lists. ``tie``: which of the phrases that start at one place is meant, the shortest or the longest."""
+    """Ban lists. ``tie``: which of the phrases that start at one place is meant, the shortest or the longest.
+
+    ``regex_reach``: characters before a change within which a pattern's match that depends on it
+    begins, where texts grow piece by piece; none: any number, so all of the text is searched again.
+    """
 
     phrases: tuple[str, ...] = ()
     regexes: tuple[str, ...] = ()
     ngrams: tuple[tuple[str, ...], ...] = ()
     remove_stopwords: bool = True
     tie: str = "shortest"
+    regex_reach: int | None = None
     stopwords: tuple[str, ...] = field(default=tuple(tx.STOPWORDS), repr=False)
 
 
@@ -41,7 +49,7 @@ def _edge(c: str) -> bool:
 
 def phrase_pattern(phrases: Sequence[str], tie: str = "shortest") -> str:
     """One alternation for all phrases. A side needs a word boundary only if the phrase has a word character there."""
-    known = sorted({p.lower() for p in phrases if p}, key=lambda p: (len(p) if tie == "shortest" else -len(p), p))
+    known = sorted({tx.lowered(p) for p in phrases if p}, key=lambda p: (len(p) if tie == "shortest" else -len(p), p))
     each = [("(?<!" + tx.WORD_CHAR + ")" if _edge(p[0]) else "") + tx.quoted(p) + ("(?!" + tx.WORD_CHAR + ")" if _edge(p[-1]) else "") for p in known]
     return "(?:" + "|".join(each) + ")" if each else "(?!)"
 
@@ -54,25 +62,32 @@ def phrase_first(text: Column, rules: Rules) -> Column:
     """The leftmost phrase hit; null if none."""
     p = phrase_pattern(rules.phrases, rules.tie)
     hit = lambda low: lambda found: F.when(found.isNotNull(), _hit(PHRASE, 0, tx.start_of(low, p), F.length(found), found, found, found)).cast(HIT)
-    return tx.let(F.lower(text), lambda low: tx.let(F.regexp_substr(low, F.lit(p)), hit(low)))
+    return tx.let(tx.lower(text), lambda low: tx.let(F.regexp_substr(low, F.lit(p)), hit(low)))
 
 
 def phrase_all(text: Column, rules: Rules) -> Column:
     """All leftmost non-overlapping phrase hits."""
-    found = tx.spans(F.lower(text), phrase_pattern(rules.phrases, rules.tie))
+    found = tx.spans(tx.lower(text), phrase_pattern(rules.phrases, rules.tie))
     return F.transform(found, lambda s: _hit(PHRASE, 0, s["start"], F.length(s["match"]), s["match"], s["match"], s["match"])).cast(f"array<{HIT}>")
 
 
-def regex_pattern(regexes: Sequence[str]) -> str:
-    """All patterns as one, each a named group. Patterns that refer to their own groups can't be fused."""
-    for r in regexes:
+def valid(regexes: Sequence[str]) -> list[tuple[int, str]]:
+    """(number, pattern) of the patterns that compile; others are left out, and keep their numbers to themselves."""
+    out = []
+    for k, r in enumerate(regexes):
+        try:
+            re.compile(r, re.I | re.M | re.S)
+        except re.error:
+            continue
         if re.search(r"\\[1-9]|\(\?P=|\\k<", r):
             raise ValueError(f"a pattern with back-references can't be fused: {r}")
-    return "(?imsU)" + "|".join(f"(?<P{k}>{r})" for k, r in enumerate(regexes)) if regexes else "(?!)"
+        out.append((k, r))
+    return out
 
 
-def _groups(regex: str) -> int:
-    return len(re.findall(r"(?<!\\)(?:\\\\)*\((?!\?)|\(\?P?<[A-Za-z]", regex))
+def regex_pattern(regexes: Sequence[str]) -> str:
+    """All valid patterns as one, each a named group. Patterns that refer to their own groups can't be fused."""
+    return "(?imsU)" + "|".join(f"(?<P{k}>{r.replace('(?P<', '(?<')})" for k, r in found) if (found := valid(regexes)) else "(?!)"
 
 
 def regex_first(text: Column, rules: Rules) -> Column:
@@ -80,27 +95,59 @@ def regex_first(text: Column, rules: Rules) -> Column:
     fused = regex_pattern(rules.regexes)
     group, which = 1, F.lit(None).cast("int")
     numbers = []
-    for r in rules.regexes:
-        numbers.append(group)
-        group += 1 + _groups(r)
-    for k in reversed(range(len(numbers))):
-        which = F.when(F.regexp_extract(text, fused, numbers[k]) != "", F.lit(k)).otherwise(which)
+    for k, r in valid(rules.regexes):
+        numbers.append((k, group))
+        group += 1 + re.compile(r).groups
+    for k, number in reversed(numbers):
+        which = F.when(F.regexp_extract(text, fused, number) != "", F.lit(k)).otherwise(which)
     rule = F.get(F.array(*[F.lit(r) for r in rules.regexes]), which) if rules.regexes else F.lit("")
     hit = lambda found: lambda r: _hit(REGEX, 1, tx.start_of(text, fused), F.length(found), r, found, F.concat_ws("_", r, found)).cast(HIT)
     return tx.let(F.regexp_substr(text, F.lit(fused)), lambda found: F.when(found.isNotNull(), tx.let(rule, hit(found))))
 
 
+def regex_first_timed(docs: DataFrame, rules: Rules, text: str = "text", seconds: float = 2.0) -> DataFrame:
+    """``docs`` with ``hit``, as ``regex_first`` gives it, and ``timed_out``: whether the patterns took longer on this text than allowed, which counts as no hit.
+
+    For patterns that may run away: the JVM's matcher cannot be stopped, so texts go through
+    Python in Arrow batches. Needs the ``regex`` package. A null text has no hit.
+    """
+    out = T.StructType([T.StructField("hit", T.StructType.fromDDL(HIT[7:-1].replace(":", " "))), T.StructField("timed_out", T.BooleanType())])
+
+    @F.pandas_udf(out)
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        import regex
+
+        found = valid(rules.regexes)
+        fused = regex.compile("|".join(f"(?P<P{k}>{r})" for k, r in found) or "(?!)", regex.I | regex.M | regex.S | regex.V0)
+
+        def one(t: str | None) -> tuple[dict | None, bool]:
+            try:
+                m = fused.search(t, timeout=seconds) if t else None
+            except TimeoutError:
+                return None, True
+            if m is None or not m.group():
+                return None, False
+            rule = next(r for k, r in found if m.group(f"P{k}") is not None)
+            return {"kind": REGEX, "prio": 1, "start": m.start(), "length": len(m.group()), "rule": rule, "match": m.group(), "detail_key": f"{rule}_{m.group()}"}, False
+
+        for batch in batches:
+            each = [one(t) for t in batch]
+            yield pd.DataFrame({"hit": pd.Series([h for h, _ in each], dtype=object), "timed_out": [t for _, t in each]})
+
+    return docs.withColumn("_timed", run(F.col(text))).withColumn("hit", F.col("_timed.hit")).withColumn("timed_out", F.col("_timed.timed_out")).drop("_timed")
+
+
 def ngram_hits(text: Column, rules: Rules) -> Column:
     """All n-gram hits: ``start`` is where the first word begins, ``length`` an estimate from the words alone."""
     by_n: dict[int, list[str]] = {}
     for g in rules.ngrams:
-        by_n.setdefault(len(g), []).append(" ".join(w.lower() for w in g))
+        by_n.setdefault(len(g), []).append(" ".join(tx.lowered(w) for w in g))
     empty = F.array().cast("array<struct<at:int,n:int,key:string>>")
     if not by_n:
         return empty
-    numbered = F.transform(F.regexp_extract_all(F.lower(text), F.lit(tx.WORD), F.lit(0)), lambda w, i: F.struct(i.alias("at"), w.alias("w")))
+    numbered = F.transform(F.regexp_extract_all(tx.lower(text), F.lit(tx.WORD), F.lit(0)), lambda w, i: F.struct(i.alias("at"), w.alias("w")))
     kept = F.filter(numbered, lambda x: ~x["w"].isin(list(rules.stopwords))) if rules.remove_stopwords else numbered
-    possible = _possible(F.lower(text), [g for keys in by_n.values() for g in keys])
+    possible = _possible(tx.lower(text), [g for keys in by_n.values() for g in keys])
     found = tx.let(kept, lambda a: F.concat(empty, *[_among(_grams(a, n), keys) for n, keys in sorted(by_n.items())]))
     return F.when(possible, found).otherwise(empty)
 
@@ -131,7 +178,7 @@ def _among(grams: Column, keys: Sequence[str]) -> Column:
 
 def word_start(text: Column, at: Column) -> Column:
     """Where the word of this number begins."""
-    low = F.lower(text)
+    low = tx.lower(text)
     gaps, ws = F.split(low, tx.WORD, -1), F.regexp_extract_all(low, F.lit(tx.WORD), F.lit(0))
     total = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + F.length(x))
     return total(F.slice(gaps, F.lit(1), at + 1)) + total(F.slice(ws, F.lit(1), at))

@@ -3,7 +3,11 @@
 One document is a loop with state of its own, which relational operators can't express; each
 row runs to its end in an Arrow batch, so documents are spread over all tasks and no lineage
 grows with the rounds. Every round suppresses one hit or uses up one candidate at a place, so
-the loop ends; ``max_rounds`` bounds it for a provider that keeps adding text.
+the loop ends by itself for a provider that ends; ``max_rounds`` is a stop for one that does not,
+and ``settled`` says of each document whether it came to its end.
+
+After a change only what may have changed is matched again: everything before it is clean, so
+hits are sought from as far back as the longest rule reaches.
 """
 
 from __future__ import annotations
@@ -13,33 +17,68 @@ import re
 import unicodedata
 from bisect import bisect_right
 from collections.abc import Callable, Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from itertools import accumulate
-from typing import Protocol
+from typing import Any, Protocol
 
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from plumbline.functions.text import lowered
+from plumbline.operators.match import Rules, valid
 
-from plumbline.operators.match import Rules
+DETAILS = "struct<phrase:string,context:string,pattern:string,match:string,ngram_tuple:array<string>,ngram_string:string,remove_stopwords_active:boolean,suppression_detail_key:string>"
+EVENT = f"struct<type:string,index:int,details:{DETAILS},original_token_string:string,chosen:string,fixed:boolean>"
+SAMPLE = "struct<context:string,generation:string,rejected:string,chosen:string,tail:array<string>,kind:string,rule:string,n:int,sequence:int>"
+REPAIRED = f"doc_id long, tokens array<string>, text string, events array<{EVENT}>, samples array<{SAMPLE}>, rounds int, settled boolean, error string"
 
-REPAIRED = "doc_id long, tokens array<string>, text string, events array<struct<kind:string,token:int,rule:string,rejected:string,chosen:string,fixed:boolean>>, rounds int"
+Candidates = list[tuple[str, float]]
 
 
 class Provider(Protocol):
     """Continues a text: (tokens, candidates of each token). An empty list ends it."""
 
-    def continue_(self, doc_id: int, tokens: Sequence[str], most: int) -> tuple[list[str], list[list[tuple[str, float]]]]: ...
+    def continue_(self, doc_id: int, prompt: str, tokens: Sequence[str], most: int) -> tuple[list[str], list[Candidates]]: ...
+
+
+class StreamingProvider(Protocol):
+    """Continues a text token by token; the stream is closed where the text is cut back."""
+
+    def stream(self, doc_id: int, prompt: str, tokens: Sequence[str], most: int) -> Iterator[tuple[str, Candidates]]: ...
 
 
 @dataclass(frozen=True)
 class Replay:
     """A provider without a model: it has nothing to add, so a repaired text ends where it was cut."""
 
-    def continue_(self, doc_id: int, tokens: Sequence[str], most: int) -> tuple[list[str], list[list[tuple[str, float]]]]:
+    def continue_(self, doc_id: int, prompt: str, tokens: Sequence[str], most: int) -> tuple[list[str], list[Candidates]]:
         return [], []
 
 
+@dataclass(frozen=True)
+class Recited:
+    """A deterministic stand-in for a model: it goes on in its prompt's own tokens, with the same candidates everywhere, ``chunk`` tokens at a time."""
+
+    candidates: tuple[tuple[str, float], ...]
+    pattern: str = r"[ \n]*[^ \n]+|[ \n]+"
+    chunk: int = 20
+
+    def continue_(self, doc_id: int, prompt: str, tokens: Sequence[str], most: int) -> tuple[list[str], list[Candidates]]:
+        more = re.findall(self.pattern, prompt)[len(tokens) : len(tokens) + min(most, self.chunk)]
+        return more, [list(self.candidates) for _ in more]
+
+
+@dataclass(frozen=True)
+class RecitedStream(Recited):
+    """The same as a stream of tokens."""
+
+    def stream(self, doc_id: int, prompt: str, tokens: Sequence[str], most: int) -> Iterator[tuple[str, Candidates]]:
+        for token in re.findall(self.pattern, prompt)[len(tokens) : len(tokens) + most]:
+            yield token, list(self.candidates)
+
+
 @dataclass(frozen=True)
 class Cycling:
     """A deterministic stand-in for a model: it goes through a word list."""
@@ -47,101 +86,216 @@ class Cycling:
     vocabulary: tuple[str, ...]
     length: int = 20
 
-    def continue_(self, doc_id: int, tokens: Sequence[str], most: int) -> tuple[list[str], list[list[tuple[str, float]]]]:
+    def continue_(self, doc_id: int, prompt: str, tokens: Sequence[str], most: int) -> tuple[list[str], list[Candidates]]:
         n = min(most, max(0, self.length - len(tokens)))
         v = self.vocabulary
         at = [(doc_id + len(tokens) + k) % len(v) for k in range(n)]
         return [v[i] for i in at], [[(v[(i + j) % len(v)], -0.5 * j) for j in range(len(v))] for i in at]
 
 
+class Rule(Protocol):
+    """A rule of one's own. ``kind`` names it in events; ``reach`` is how many characters a hit may begin before a change and still depend on it, none for the whole text."""
+
+    kind: str
+    reach: int | None
+
+    def hits(self, text: str, since: int) -> Iterator[tuple[int, int, str, str]]:
+        """(start, length, rule, key that suppresses it) of hits that start at ``since`` or later."""
+        ...
+
+
 def _category(c: str) -> bool:
     return unicodedata.category(c)[0] in "LNM"
 
 
+KINDS = ("phrase", "regex", "ngram")
+#: A hit: start, order of its kind, order among hits of one kind that start at one place, length, rule, key.
+Hit = tuple[int, int, int, int, str, str]
+
+
 class Matcher:
-    """The rules, for one text at a time: hits as (start, order of kind, rule, key)."""
+    """The rules, for one text at a time. Hits sort as the columns of ``match`` choose among them."""
 
-    def __init__(self, rules: Rules):
-        self.phrases = sorted({p.lower() for p in rules.phrases if p}, key=lambda p: (len(p) if rules.tie == "shortest" else -len(p), p))
-        self.regexes = [(r, re.compile(r, re.I | re.M | re.S)) for r in rules.regexes]
-        self.ngrams = {tuple(w.lower() for w in g) for g in rules.ngrams}
+    def __init__(self, rules: Rules, more: Sequence[Rule] = ()):
+        self.shortest = rules.tie == "shortest"
+        self.phrases = sorted({lowered(p) for p in rules.phrases if p}, key=lambda p: (len(p) if self.shortest else -len(p), p))
+        self.regexes = [(k, r, re.compile(r, re.I | re.M | re.S)) for k, r in valid(rules.regexes)]
+        self.ngrams = {tuple(lowered(w) for w in g) for g in rules.ngrams}
         self.sizes = sorted({len(g) for g in self.ngrams}, reverse=True)
         self.stop = set(rules.stopwords) if rules.remove_stopwords else set()
         self.removed = rules.remove_stopwords
-
-    def hits(self, text: str) -> Iterator[tuple[int, int, str, str]]:
-        low = text.lower()
-        for p in self.phrases:
-            at = low.find(p)
+        self.reach = rules.regex_reach
+        self.longest, self.more = max(map(len, self.phrases), default=0), tuple(more)
+        self.kinds = (*KINDS, *(r.kind for r in self.more))
+
+    def hits(self, text: str, since: int = 0, regexes: bool = True) -> Iterator[Hit]:
+        """Hits in a text of which all before ``since`` is as it was when it was searched; those that depend on nothing later may be left out."""
+        low, near = lowered(text), max(0, since - self.longest - 1)
+        for n, p in enumerate(self.phrases):
+            at = low.find(p, near)
             while at >= 0:
                 end = at + len(p)
                 if not (_category(p[0]) and at and _category(low[at - 1])) and not (_category(p[-1]) and end < len(low) and _category(low[end])):
-                    yield at, 0, p, p
+                    yield at, 0, n, len(p), p, p
                 at = low.find(p, at + 1)
-        for source, pattern in self.regexes:
-            for m in pattern.finditer(text):
+        for k, source, pattern in self.regexes if regexes else ():
+            for m in pattern.finditer(text, 0 if self.reach is None else max(0, since - self.reach)):
                 if m.group():
-                    yield m.start(), 1, source, f"{source}_{m.group()}"
+                    yield m.start(), 1, k, len(m.group()), source, f"{source}_{m.group()}"
         if self.ngrams:
-            ws = [(m.start(), m.group()) for m in re.finditer(r"[^\W\d_]+", low) if m.group() not in self.stop]
-            for i in range(len(ws)):
-                for n in self.sizes:
-                    key = tuple(w for _, w in ws[i : i + n])
-                    if len(key) == n and key in self.ngrams:
-                        yield ws[i][0], 2, " ".join(key), f"{' '.join(key)} (stopwords_removed={self.removed})"
-
-
-KINDS = ("phrase", "regex", "ngram")
-
-
-def repair_one(doc_id: int, tokens: list[str], candidates: list[list[tuple[str, float]]], matcher: Matcher, provider: Provider, weights: Callable[[list[tuple[str, float]], str, int], list[list[tuple[str, float]]]], seed: int, max_rounds: int, max_tokens: int, retries: int | None) -> tuple[list[str], list[tuple], int]:
-    """The tokens, events and rounds of one document."""
+            yield from self._ngrams(low, since)
+        for k, rule in enumerate(self.more, len(KINDS)):
+            begin = 0 if rule.reach is None else max(0, since - rule.reach)
+            for start, length, name, key in rule.hits(text, begin):
+                yield start, k, 0, length, name, key
+
+    def _ngrams(self, low: str, since: int) -> Iterator[Hit]:
+        begin = self._words_back(low, since)
+        ws = [(begin + m.start(), m.group()) for m in re.finditer(r"[^\W\d_]+", low[begin:]) if m.group() not in self.stop]
+        for i in range(len(ws)):
+            for n in self.sizes:
+                key = tuple(w for _, w in ws[i : i + n])
+                if len(key) == n and key in self.ngrams:
+                    name = " ".join(key)
+                    yield ws[i][0], 2, -n, len(name), name, f"{name} (stopwords_removed={self.removed})"
+
+    def _words_back(self, low: str, since: int) -> int:
+        """Where the words begin that an n-gram may have before a place."""
+        at, step = min(since, len(low)), 64
+        while at:
+            at, step = max(0, at - step), 2 * step
+            while at and low[at - 1].isalpha():  # not within a word
+                at -= 1
+            if sum(m.group() not in self.stop for m in re.finditer(r"[^\W\d_]+", low[at:since])) >= self.sizes[0]:
+                break
+        return at
+
+    def details(self, hit: Hit, text: str) -> dict[str, Any]:
+        """What an event says of a hit."""
+        start, kind, _, length, rule, key = hit
+        around = lambda n: text[max(0, start - n) : start + length + n].replace("\n", " ")
+        out: dict[str, Any] = {"suppression_detail_key": key}
+        if kind == 0:
+            return out | {"phrase": rule, "context": around(20)}
+        if kind == 1:
+            return out | {"pattern": rule, "match": text[start : start + length]}
+        if kind == 2:
+            return out | {"ngram_tuple": rule.split(" "), "ngram_string": rule, "remove_stopwords_active": self.removed, "context": around(30)}
+        return out | {"match": text[start : start + length], "context": around(20)}
+
+
+@dataclass
+class Settings:
+    """How one document is repaired. ``interval``: tokens of a stream between runs of the patterns."""
+
+    weights: Callable[[Candidates, str, int], list[Candidates]]
+    tail: Callable[[Candidates, str], list[str]] = field(default=lambda found, banned: [])
+    seed: int = 1
+    max_rounds: int = 10_000
+    max_tokens: int = 1 << 20
+    retries: int | None = None
+    interval: int = 20
+    on_event: Callable[[int, dict], None] | None = None
+
+
+def _place(ends: list[int], start: int) -> int:
+    return bisect_right(ends, start)
+
+
+def _more(provider: Any, doc_id: int, prompt: str, tokens: list[str], matcher: Matcher, s: Settings) -> tuple[list[str], list[Candidates]]:
+    """What a provider adds. A stream is read until it ends or a rule hits: the patterns every ``interval`` tokens, the others at each."""
+    most = s.max_tokens - len(tokens)
+    if most <= 0:
+        return [], []
+    if not hasattr(provider, "stream"):
+        return provider.continue_(doc_id, prompt, tokens, most)
+    found, options = list(tokens), []
+    text = "".join(tokens)
+    stream = provider.stream(doc_id, prompt, tokens, most)
+    for token, candidates in stream:
+        since, text = len(text), text + token
+        found.append(token)
+        options.append(candidates)
+        due = len(options) % s.interval == 0
+        if next(matcher.hits(text, since, regexes=due), None) is not None or len(found) >= s.max_tokens:
+            break
+    if hasattr(stream, "close"):
+        stream.close()
+    return found[len(tokens) :], options
+
+
+def repair_one(doc_id: int, prompt: str, tokens: list[str], candidates: list[Candidates], matcher: Matcher, provider: Any, s: Settings) -> dict[str, Any]:
+    """A document of ``REPAIRED``. A provider's failure ends it with what there is, and is told in ``error``."""
     tokens, candidates = list(tokens), [list(c) for c in candidates]
     candidates += [[] for _ in range(len(tokens) - len(candidates))]
     suppressed: set[tuple[int, int, str]] = set()
     tried: dict[int, set[str]] = {}
-    events: list[tuple] = []
-    for rounds in range(max_rounds):
+    events: list[dict] = []
+    samples: dict[str, dict] = {}
+    since, found, rounds, settled, error = 0, None, 0, False, None
+    while rounds < s.max_rounds:
+        text = "".join(tokens)
+        if found is None:
+            found = sorted(matcher.hits(text, since))
         ends = list(accumulate(len(t) for t in tokens))
-        found = ((bisect_right(ends, s), k, s, rule, key) for s, k, rule, key in matcher.hits("".join(tokens)))
-        live = [(t, k, s, rule, key) for t, k, s, rule, key in found if t < len(tokens) and (t, k, key) not in suppressed]
-        if not live:
-            more, with_ = provider.continue_(doc_id, tokens, max_tokens - len(tokens)) if len(tokens) < max_tokens else ([], [])
+        placed = ((_place(ends, h[0]), h[1], h) for h in found)
+        live = min(((t, k, h) for t, k, h in placed if t < len(tokens) and (t, k, h[5]) not in suppressed), default=None)
+        if live is None:
+            try:
+                more, with_ = _more(provider, doc_id, prompt, tokens, matcher, s)
+            except ProviderError as failed:
+                more, with_, error = [], [], str(failed)
             if not more:
-                return tokens, events, rounds
-            tokens, candidates = (tokens + more)[:max_tokens], (candidates + with_)[:max_tokens]
+                settled = True
+                break
+            since, found, rounds = len(text), None, rounds + 1
+            tokens, candidates = (tokens + more)[: s.max_tokens], (candidates + with_)[: s.max_tokens]
             continue
-        t, k, _, rule, key = min(live)
-        rejected = tokens[t]
+        rounds += 1
+        t, k, hit = live
+        rejected, key = tokens[t], hit[5]
         used = tried.setdefault(t, set())
         used.add(rejected)
         chosen = None
-        if retries is None or len(used) <= retries:
-            for rung in weights(candidates[t], rejected, t):
-                left = [(c, p) for c, p in rung if p > 0 and c not in used and not _renews(matcher, tokens[:t], c, t, k, key)]
+        before = "".join(tokens[:t])
+        if s.retries is None or len(used) <= s.retries:
+            for rung in s.weights(candidates[t], rejected, t):
+                left = [(c, p) for c, p in rung if p > 0 and c not in used and not _renews(matcher, before, c)]
                 if left:
-                    draw = lambda c: (xxhash.xxh64_intdigest(f"{doc_id}:{t}:{c}".encode(), seed) + 0.5) / 2**64  # noqa: B023, E731
+                    draw = lambda c: (xxhash.xxh64_intdigest(f"{doc_id}:{t}:{c}".encode(), s.seed) + 0.5) / 2**64  # noqa: B023, E731
                     chosen = min(left, key=lambda x: (-math.log(draw(x[0])) / x[1], x[0]))[0]
                     break
-        events.append((KINDS[k], t, rule, rejected, chosen, chosen is not None))
+        event = {"type": matcher.kinds[k], "index": t, "details": matcher.details(hit, text), "original_token_string": rejected, "chosen": chosen, "fixed": chosen is not None}
+        events.append(event)
+        if s.on_event is not None:
+            s.on_event(doc_id, event)
         if chosen is None:
             suppressed.add((t, k, key))
             continue
+        if tail := [c for c in s.tail(candidates[t], rejected) if c not in used]:
+            context = prompt + before
+            n = len(hit[4].split(" "))
+            samples[context] = {"context": context, "generation": before, "rejected": rejected, "chosen": chosen, "tail": tail, "kind": matcher.kinds[k], "rule": hit[4], "n": n, "sequence": len(events)}
         tokens, candidates = [*tokens[:t], chosen], candidates[: t + 1]
-        tried = {i: s for i, s in tried.items() if i <= t}
-    return tokens, events, max_rounds
+        tried = {i: own for i, own in tried.items() if i <= t}
+        since, found = len(before), None
+    return {"doc_id": doc_id, "tokens": tokens, "text": "".join(tokens), "events": events, "samples": sorted(samples.values(), key=lambda x: x["sequence"]), "rounds": rounds, "settled": settled, "error": error}
 
 
-def _renews(matcher: Matcher, before: list[str], token: str, t: int, k: int, key: str) -> bool:
+class ProviderError(Exception):
+    """A request that failed in a way that ends one document only: an over-long context, a time-out, a connection that broke."""
+
+
+def _renews(matcher: Matcher, before: str, token: str) -> bool:
     """Whether a candidate itself makes a violation that begins in its place."""
-    ends = list(accumulate(len(x) for x in [*before, token]))
-    return any(bisect_right(ends, s) == t for s, *_ in matcher.hits("".join([*before, token])))
+    at = len(before)
+    return any(at <= h[0] < at + len(token) for h in matcher.hits(before + token, at))
 
 
-def ladder_weights(temperature: float = 1.0, min_p: float | None = None, top_p: float | None = None, top_k: int | None = None, relax: bool = True, invert: bool = False) -> Callable:
+def ladder_weights(temperature: float = 1.0, min_p: float | None = None, top_p: float | None = None, top_k: int | None = None, relax: bool = True, invert: bool = False) -> Callable[[Candidates, str, int], list[Candidates]]:
     """The sampling settings of ``candidates`` for one position in Python."""
 
-    def run(found: list[tuple[str, float]], banned: str, position: int) -> list[list[tuple[str, float]]]:
+    def run(found: Candidates, banned: str, position: int) -> list[Candidates]:
         out = []
         ladder = [(temperature, min_p, top_p, top_k), (1.0, min_p, top_p, top_k), (1.0, None, top_p, top_k), (1.0, None, None, top_k), (1.0, None, None, None)]
         for n, (temp, share, p, k) in enumerate(ladder if relax else ladder[:1]):
@@ -151,7 +305,8 @@ def ladder_weights(temperature: float = 1.0, min_p: float | None = None, top_p:
             if probs and share is not None:
                 probs = [x for x in probs if x[1] >= share * probs[0][1]]
             if p is not None and p < 1:
-                probs = [x for i, x in enumerate(probs) if sum(y for _, y in probs[:i]) < p]
+                sums = accumulate((x for _, x in probs), initial=0.0)
+                probs = [x for x, before in zip(probs, sums) if before < p]
             probs = probs[:k] if k is not None else probs
             if probs and invert and n < 2:
                 high, low = probs[0][1], probs[-1][1]
@@ -163,24 +318,51 @@ def ladder_weights(temperature: float = 1.0, min_p: float | None = None, top_p:
     return run
 
 
-def repair(docs: DataFrame, rules: Rules, provider: Provider | None = None, weights: Callable | None = None, seed: int = 1, max_rounds: int = 10_000, max_tokens: int = 1 << 20, retries: int | None = None) -> DataFrame:
-    """``docs(doc_id, tokens array<string>, candidates array<array<struct<token,logp>>>)`` repaired; the schema is ``REPAIRED``.
+def tail_of(share: float = 0.01, most: int = 50, limit: int = 20, prefixes: frozenset[str] = frozenset()) -> Callable[[Candidates, str], list[str]]:
+    """The unlikely end of plausible candidates, as ``candidates.tail`` gives it."""
+
+    def run(found: Candidates, banned: str) -> list[str]:
+        raw = [(c, math.exp(lp)) for c, lp in found]
+        z = sum(p for _, p in raw) or 1.0
+        probs = sorted(((c, p / z) for c, p in raw if c != banned), key=lambda x: (-x[1], x[0]))
+        kept = [x for x in probs if x[1] >= share * probs[0][1]][:most] if probs else []
+        bare = lambda c: c.strip()
+        good = lambda c: "*" not in c and len(bare(c)) > 1 and any(x.isalnum() for x in c) and c.lower() not in prefixes and bare(c).lower() not in prefixes
+        return [c for c, _ in reversed(kept) if good(c)][:limit]
+
+    return run
+
+
+_DETAILS = pa.struct([("phrase", pa.string()), ("context", pa.string()), ("pattern", pa.string()), ("match", pa.string()), ("ngram_tuple", pa.list_(pa.string())), ("ngram_string", pa.string()), ("remove_stopwords_active", pa.bool_()), ("suppression_detail_key", pa.string())])
+_EVENT = pa.struct([("type", pa.string()), ("index", pa.int32()), ("details", _DETAILS), ("original_token_string", pa.string()), ("chosen", pa.string()), ("fixed", pa.bool_())])
+_SAMPLE = pa.struct([("context", pa.string()), ("generation", pa.string()), ("rejected", pa.string()), ("chosen", pa.string()), ("tail", pa.list_(pa.string())), ("kind", pa.string()), ("rule", pa.string()), ("n", pa.int32()), ("sequence", pa.int32())])
+SCHEMA = pa.schema([("doc_id", pa.int64()), ("tokens", pa.list_(pa.string())), ("text", pa.string()), ("events", pa.list_(_EVENT)), ("samples", pa.list_(_SAMPLE)), ("rounds", pa.int32()), ("settled", pa.bool_()), ("error", pa.string())])
+
+
+def repair(
+    docs: DataFrame, rules: Rules, provider: Any = None, weights: Callable | None = None, tail: Callable | None = None, seed: int = 1, max_rounds: int = 10_000, max_tokens: int = 1 << 20,
+    retries: int | None = None, interval: int = 20, more: Sequence[Rule] = (), on_event: Callable[[int, dict], None] | None = None,
+) -> DataFrame:
+    """``docs(doc_id, tokens array<string>, candidates array<array<struct<token,logp>>>)``, with ``prompt string`` if there is one, repaired; the schema is ``REPAIRED``.
 
     A violation's token is replaced by a sampled candidate and what follows is dropped, then the
     provider goes on; where no candidate is left, the violation is suppressed and the text stays.
+    Null tokens and candidates are none, a null prompt is empty. ``provider`` may be a function
+    without arguments that makes one, which each task calls once. ``more``: rules of one's own.
     """
-    provider, weights = provider or Replay(), weights or ladder_weights()
+    provider = provider if provider is not None else Replay()
+    settings = Settings(weights or ladder_weights(), tail or (lambda found, banned: []), seed, max_rounds, max_tokens, retries, interval, on_event)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(rules)
-        for b in batches:
-            out = []
-            for doc_id, tokens, candidates in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                found = [[(c["token"], c["logp"]) for c in x or []] for x in candidates or []]
-                done, events, rounds = repair_one(doc_id, tokens or [], found, matcher, provider, weights, seed, max_rounds, max_tokens, retries)
-                names = ("kind", "token", "rule", "rejected", "chosen", "fixed")
-                out.append({"doc_id": doc_id, "tokens": done, "text": "".join(done), "events": [dict(zip(names, e, strict=True)) for e in events], "rounds": rounds})
-            event = pa.struct([("kind", pa.string()), ("token", pa.int32()), ("rule", pa.string()), ("rejected", pa.string()), ("chosen", pa.string()), ("fixed", pa.bool_())])
-            yield pa.RecordBatch.from_pylist(out, pa.schema([("doc_id", pa.int64()), ("tokens", pa.list_(pa.string())), ("text", pa.string()), ("events", pa.list_(event)), ("rounds", pa.int32())]))
-
-    return docs.select("doc_id", "tokens", "candidates").mapInArrow(run, REPAIRED)
+        matcher = Matcher(rules, more)
+        own = provider if hasattr(provider, "continue_") or hasattr(provider, "stream") else provider()
+        for batch in batches:
+            for i in range(0, batch.num_rows, 64):
+                b, out = batch.slice(i, 64), []
+                for doc_id, tokens, candidates, prompt in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
+                    found = [[(c["token"], c["logp"]) for c in x or []] for x in candidates or []]
+                    out.append(repair_one(doc_id, prompt or "", tokens or [], found, matcher, own, settings))
+                yield pa.RecordBatch.from_pylist(out, SCHEMA)
+
+    prompt = F.col("prompt").cast("string") if "prompt" in docs.columns else F.lit("")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "tokens", "candidates", prompt.alias("prompt")).mapInArrow(run, REPAIRED)

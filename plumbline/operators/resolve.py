@@ -39,6 +39,30 @@ def earliest(hits: DataFrame, key: str = "doc_id") -> DataFrame:
     return hits.groupBy(key).agg(F.min_by(F.struct("token", "hit"), order).alias("v")).select(key, "v.token", "v.hit")
 
 
+def placed(hits: Column, text: Column) -> Column:
+    """Hits of one row with their tokens, in the order in which they count; those beyond the text are dropped."""
+    order = lambda h: F.struct(tx.token_at(text, h["start"]).alias("token"), h["prio"].alias("prio"), h["start"].alias("start"), (-h["length"]).alias("minus"), h["rule"].alias("rule"), h.alias("hit"))
+    return F.array_sort(F.filter(F.transform(hits, order), lambda x: x["token"].isNotNull()))
+
+
+def first_unsuppressed(found: Column, suppressed: Column) -> Column:
+    """Of ``placed`` hits of one row, the first that ``suppressed``, an array of (kind, token, detail_key), does not list. No shuffle."""
+    key = lambda x: F.struct(x["hit"]["kind"].alias("kind"), x["token"].alias("token"), x["hit"]["detail_key"].alias("detail_key"))
+    return F.get(F.filter(found, lambda x: ~F.coalesce(F.array_contains(suppressed, key(x)), F.lit(False))), F.lit(0))
+
+
+def first_masked(found: Column, suppressed: Column, kinds: tuple[str, ...] = ("phrase", "regex", "ngram")) -> Column:
+    """The other reading: each kind has one hit, its first, and where that is suppressed the kind is silent."""
+    first = lambda kind: F.get(F.filter(found, lambda x: x["hit"]["kind"] == kind), F.lit(0))
+    firsts = F.array_compact(F.array(*[first(k) for k in kinds]))
+    return first_unsuppressed(F.array_sort(firsts), suppressed)
+
+
+def suppressed_lists(suppressed: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``key, suppressed`` of ``suppressed(key, kind, token, detail_key)``: a list for each document, to be joined once."""
+    return suppressed.groupBy(key).agg(F.collect_set(F.struct("kind", "token", "detail_key")).alias("suppressed"))
+
+
 def message(hit: Column) -> Column:
     """One line for a console or log: what was banned."""
     return (

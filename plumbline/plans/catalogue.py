@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline import config, generate
 from plumbline.functions import text as tx
 from plumbline.operators import batch, candidates as cd, decode, match, metrics, pairs, profile, repair, resolve
 from plumbline.plans import oracles
-from plumbline.plans.oracles import HUMAN_MIN, LADDER, NGRAMS, PHRASES, PREFIX_RULES, REGEXES
+from plumbline.plans.oracles import BANNED_WORDS, HUMAN_MIN, LADDER, LOOKAROUND, NGRAMS, OPTIONS, PHRASES, PREFIX_RULES, REGEXES
 from plumbline.sources.tables import table
 
 RULES = match.Rules(PHRASES, REGEXES, NGRAMS)
@@ -90,23 +91,16 @@ def render_prompt(s: SparkSession, d: str) -> DataFrame:
 
 def render_chat(s: SparkSession, d: str) -> DataFrame:
     both = first_user_prompt(s, d).join(batch.first_assistant(turns(s, d)), "conv_id", "left")
-    return both.select("conv_id", batch.chat(F.col("prompt"), F.coalesce(F.substring("output", 1, 40), F.lit("")), "Be brief.").alias("rendered"))
+    return both.select("conv_id", batch.chat(F.col("prompt"), F.coalesce("output", F.lit("")), "Be brief.").alias("rendered"))
 
 
 def classifier_input(s: SparkSession, d: str) -> DataFrame:
     both = first_user_prompt(s, d).join(batch.first_assistant(turns(s, d)), "conv_id")
-    return both.select("conv_id", batch.classifier_input(F.col("prompt"), F.col("output"), 64, 30, 10).alias("input"))
+    return both.select("conv_id", batch.classifier_input(F.col("prompt"), F.col("output")).alias("input"))
 
 
-def render_chat_whole(s: SparkSession, d: str) -> DataFrame:
-    both = first_user_prompt(s, d).join(batch.first_assistant(turns(s, d)), "conv_id", "left")
-    return both.select("conv_id", batch.chat(F.col("prompt"), F.coalesce("output", F.lit("")), "Be brief.").alias("rendered"))
-
-
-def classifier_input_whole(s: SparkSession, d: str) -> DataFrame:
-    """With the reference's own numbers of words."""
-    both = first_user_prompt(s, d).join(batch.first_assistant(turns(s, d)), "conv_id")
-    return both.select("conv_id", batch.classifier_input(F.col("prompt"), F.col("output")).alias("input"))
+def joined_parts(s: SparkSession, d: str) -> DataFrame:
+    return batch.joined(turns(s, d), "conv_id", "turn", "text")
 
 
 # Rules
@@ -150,49 +144,62 @@ def ban_event_message(s: SparkSession, d: str) -> DataFrame:
 
 
 def placed_hits(s: SparkSession, d: str) -> DataFrame:
-    hits = docs(s, d).withColumn("hit", F.explode(F.concat(match.phrase_all(F.col("text"), RULES), F.transform(match.ngram_hits(F.col("text"), RULES), lambda h: match.ngram_of(F.col("text"), h, RULES)))))
-    return resolve.with_tokens(hits).select("doc_id", "token", "hit")
-
+    """All hits of each document, in a row, and as suppressed the first of every second document."""
+    t = F.col("text")
+    hits = F.concat(match.phrase_all(t, RULES), F.transform(match.ngram_hits(t, RULES), lambda h: match.ngram_of(t, h, RULES)).cast(f"array<{match.HIT}>"))
+    rows = docs(s, d).select("doc_id", resolve.placed(hits, t).alias("found")).where(F.size("found") > 0)
+    first = F.get("found", F.lit(0))
+    key = F.struct(first["hit"]["kind"].alias("kind"), first["token"].alias("token"), first["hit"]["detail_key"].alias("detail_key"))
+    return rows.withColumn("suppressed", F.when(F.col("doc_id") % 2 == 0, F.array(key)))
 
-def suppressed(s: SparkSession, d: str) -> DataFrame:
-    return resolve.earliest(placed_hits(s, d)).where("doc_id % 2 = 0").select("doc_id", F.col("hit.kind").alias("kind"), "token", F.col("hit.detail_key").alias("detail_key"))
 
+def left_of(choice) -> DataFrame:
+    def run(s: SparkSession, d: str) -> DataFrame:
+        left = placed_hits(s, d).select("doc_id", choice(F.col("found"), F.col("suppressed")).alias("v")).where("v is not null")
+        return left.select("doc_id", "v.token", F.col("v.hit.kind").alias("kind"), F.col("v.hit.start").alias("start"), F.col("v.hit.rule").alias("rule"))
 
-def unsuppressed_violation(s: SparkSession, d: str) -> DataFrame:
-    left = resolve.earliest(resolve.unsuppressed(placed_hits(s, d), suppressed(s, d)))
-    return left.select("doc_id", "token", F.col("hit.kind").alias("kind"), F.col("hit.start").alias("start"), F.col("hit.rule").alias("rule"))
+    return run
 
 
-def masked_violation(s: SparkSession, d: str) -> DataFrame:
-    left = resolve.earliest(resolve.masked(placed_hits(s, d), suppressed(s, d)))
-    return left.select("doc_id", "token", F.col("hit.kind").alias("kind"), F.col("hit.start").alias("start"), F.col("hit.rule").alias("rule"))
+def regex_lookahead_hit(s: SparkSession, d: str) -> DataFrame:
+    """Patterns with look-ahead and look-behind, which not every engine has."""
+    return hit_columns(docs(s, d).withColumn("hit", match.regex_first(F.col("text"), match.Rules(regexes=LOOKAROUND))).where("hit is not null"))
 
 
-#: The shipped kind of pattern, with look-ahead, which RE2 has not.
-LOOKAHEAD = (r"\bnot\s+(?:just|only|merely)?\s*(?:(?!but\b|[.?!]).){1,50}?[,;:]?\s*but\s+", r"\bit'?s\s+not\s+(?:(?!it'?s\b|[.?!]).){1,50}?[,;]\s*it'?s\s+")
+# Tokens
 
 
-def regex_lookahead_hit(s: SparkSession, d: str) -> DataFrame:
-    rows = s.createDataFrame([(0, "\U0001f600 it was not cold, but warm"), (1, "It's not about money; it's about love."), (2, "Is not but"), (3, "plain")], "doc_id long, text string")
-    return hit_columns(rows.withColumn("hit", match.regex_first(F.col("text"), match.Rules(regexes=LOOKAHEAD))))
+def tokens_of(text: str = "text"):
+    return F.regexp_extract_all(text, F.lit(tx.TOKEN), F.lit(0))
 
 
-# Tokens
+def token_offsets(s: SparkSession, d: str) -> DataFrame:
+    begun = F.struct(F.lit(0).alias("tokens"), F.lit(0).alias("chars"), F.lit(0).cast("long").alias("starts"))
+    step = lambda a, t: F.struct((a["tokens"] + 1).alias("tokens"), (a["chars"] + F.length(t)).alias("chars"), (a["starts"] + a["chars"]).alias("starts"))
+    found = docs(s, d).select("doc_id", F.aggregate(tokens_of(), begun, step).alias("x")).where("x.tokens > 0")
+    return found.select("doc_id", F.col("x.tokens").cast("long").alias("tokens"), F.col("x.chars").cast("long").alias("chars"), "x.starts")
 
 
-def token_offsets(s: SparkSession, d: str) -> DataFrame:
-    return resolve.token_table(docs(s, d)).groupBy("doc_id").agg(F.count("*").alias("tokens"), F.max("end").alias("chars"), F.sum("start").alias("starts"))
+def token_counts(s: SparkSession, d: str) -> DataFrame:
+    return docs(s, d).select("doc_id", F.size(tokens_of()).alias("tokens"))
 
 
 def offset_to_token(s: SparkSession, d: str) -> DataFrame:
-    base = docs(s, d)
-    offsets = base.select("doc_id", F.explode(F.array(F.lit(0), F.floor(F.length("text") / 2).cast("int"), F.length("text"))).alias("offset")).distinct()
-    return resolve.tokens_at(offsets, resolve.token_table(base))
+    offsets = F.array_distinct(F.array(F.lit(0), F.floor(F.length("text") / 2).cast("int"), F.length("text")))
+    each = F.transform(offsets, lambda o: F.struct(o.alias("offset"), tx.token_at(F.col("text"), o).alias("pos")))
+    return docs(s, d).select("doc_id", F.inline(each))
+
+
+def truncated_tokens(s: SparkSession, d: str) -> DataFrame:
+    """Each violating text cut at its violation, as a backtrack leaves it."""
+    cut = F.array_join(F.slice(tokens_of(), F.lit(1), F.col("token")), "")
+    return earliest()(s, d).select("doc_id", "token", F.sha2(cut, 256).alias("kept_sha256"))
 
 
 def decode_tokens(s: SparkSession, d: str) -> DataFrame:
-    rows = s.createDataFrame([(0, ["Hello", "Ġworld", "Ċ", "▁next", "Ã©t", "Ã©", None])], "doc_id long, tokens array<string>")
-    return rows.withColumn("decoded", decode.decode(F.col("tokens"))).select("doc_id", "decoded", decode.text_of(F.col("decoded")).alias("text"))
+    """All texts as tokenizers write their tokens, decoded again."""
+    marked = F.transform(tokens_of(), lambda t: F.translate(t, " \n", "ĠĊ"))
+    return docs(s, d).select("doc_id", F.sha2(decode.text_of(decode.decode(marked)), 256).alias("text_sha256"))
 
 
 # Candidates: each vector stands for the logits of one position.
@@ -249,45 +256,45 @@ def tail_candidates(s: SparkSession, d: str) -> DataFrame:
     return tails(s, d).select("vec_id", F.array_join("tail", " ").alias("tail"))
 
 
-def banned_prefixes(s: SparkSession, d: str) -> DataFrame:
-    return cd.rule_prefixes(s.createDataFrame([(r,) for r in PREFIX_RULES], "rule string"))
+def rule_table(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "benchmark").select(F.col("text").alias("rule"))
 
 
-def tail_without_prefixes(s: SparkSession, d: str) -> DataFrame:
-    found = tuple(r["prefix"] for r in banned_prefixes(s, d).collect())  # from a ban list, not from data
-    return tails(s, d, found).select("vec_id", F.array_join("tail", " ").alias("tail"))
+def banned_prefixes(s: SparkSession, d: str) -> DataFrame:
+    return cd.rule_prefixes(rule_table(s, d))
 
 
-def decisions(s: SparkSession, d: str) -> DataFrame:
-    e = earliest()(s, d)
-    rejected = F.get(F.regexp_extract_all("text", F.lit(tx.TOKEN), F.lit(0)), F.col("token"))
-    chosen = tails(s, d).select(F.col("vec_id").alias("doc_id"), "tail", F.element_at(cd.filtered(F.col("candidates"), F.col("banned"), LADDER[4]), 1)["token"].alias("chosen"))
-    return e.withColumn("rejected", rejected).join(chosen, "doc_id").select(
-        F.col("doc_id").cast("string").alias("prompt"), F.substring("text", 1, 20).alias("generation"), F.concat(F.col("kind"), F.lit(":"), F.col("rule")).alias("context"),
-        "rejected", "chosen", "tail", "kind", "rule", F.size(F.split("rule", " ")).alias("n"), "doc_id",
-    )
+def first_token_prefixes(s: SparkSession, d: str) -> DataFrame:
+    return cd.first_token_prefixes(rule_table(s, d))
 
 
-def flat_pairs(df: DataFrame) -> DataFrame:
-    return df.select("prompt_raw", "generation_raw", "context_with_chat_template", "chosen_decoded", "rejected_decoded", F.array_join("multi_chosen_decoded", " ").alias("multi_chosen"), F.col("validator.class").alias("class"), F.col("validator.subtype").alias("subtype"))
+def tail_without_prefixes(s: SparkSession, d: str) -> DataFrame:
+    return tails(s, d, tuple(sorted(cd.prefix_set(PREFIX_RULES)))).select("vec_id", F.array_join("tail", " ").alias("tail"))
 
 
-def preference_pairs(s: SparkSession, d: str) -> DataFrame:
-    return flat_pairs(pairs.pairs(decisions(s, d)))
+def select_tail(s: SparkSession, d: str) -> DataFrame:
+    x = F.transform("embedding", lambda v, i: F.struct(F.concat(F.lit("t"), i.cast("string")).alias("token"), (v.cast("double") * 10.0).alias("logit")))
+    rows = table(s, d, "embeddings").select("vec_id", x.alias("logits")).where("logits is not null")
+    return rows.select("vec_id", F.array_join(F.transform(cd.select_tail(F.col("logits"), 0.9, 0.05, 30, 10), lambda c: c["token"]), " ").alias("tail"))
 
 
-def pair_dedup(s: SparkSession, d: str) -> DataFrame:
-    made = pairs.pairs(decisions(s, d)).withColumn("sequence", F.col("prompt_raw").cast("long"))
-    return flat_pairs(pairs.last_per_context(made.drop("stats"), "sequence"))
+def token_pairs(s: SparkSession, d: str) -> DataFrame:
+    """Each violation with the candidates recorded for its very position: a join by document and position."""
+    vectors = table(s, d, "embeddings").count()
+    places = batch.numbered(table(s, d, "embeddings").select("vec_id"), "vec_id", "place")
+    options = tails(s, d).select("vec_id", "tail", F.element_at(cd.filtered(F.col("candidates"), F.col("banned"), LADDER[4]), 1)["token"].alias("chosen")).join(places, "vec_id")
+    # What a run records: for each document and position, which candidates it had. Vectors stand for them in turn.
+    recorded = docs(s, d).select("doc_id", F.posexplode(tokens_of()).alias("pos", "token")).withColumn("place", F.pmod(F.col("doc_id") * 7 + F.col("pos"), F.lit(max(1, vectors))))
+    found = earliest()(s, d).select("doc_id", F.col("token").alias("pos"), "kind", "rule")
+    return found.join(recorded, ["doc_id", "pos"]).join(options, "place").select("doc_id", "pos", "kind", "rule", F.col("token").alias("rejected"), "chosen", F.array_join("tail", " ").alias("tail"))
 
 
-def whole_decisions(s: SparkSession, d: str) -> DataFrame:
-    """As the reference captures them: every violating document has candidates, ``generation`` is all text before the token, the context is the prompt and that text."""
+def decisions(s: SparkSession, d: str) -> DataFrame:
+    """Every violating document has candidates, ``generation`` is all text before the token, the context is the prompt and that text."""
     places = batch.numbered(table(s, d, "embeddings").select("vec_id"), "vec_id", "place")
     chosen = tails(s, d).select("vec_id", "tail", F.element_at(cd.filtered(F.col("candidates"), F.col("banned"), LADDER[4]), 1)["token"].alias("chosen")).join(places, "vec_id")
-    tokens = F.regexp_extract_all("text", F.lit(tx.TOKEN), F.lit(0))
-    e = earliest()(s, d).withColumn("place", F.pmod("doc_id", F.lit(table(s, d, "embeddings").count())))
-    told = e.withColumn("split", tx.let(tokens, lambda t: F.struct(F.array_join(F.slice(t, F.lit(1), F.col("token")), "").alias("before"), F.get(t, F.col("token")).alias("rejected"))))
+    e = earliest()(s, d).withColumn("place", F.pmod("doc_id", F.lit(max(1, table(s, d, "embeddings").count()))))
+    told = e.withColumn("split", tx.let(tokens_of(), lambda t: F.struct(F.array_join(F.slice(t, F.lit(1), F.col("token")), "").alias("before"), F.get(t, F.col("token")).alias("rejected"))))
     prompt = F.col("doc_id").cast("string")
     return told.join(chosen, "place").select(
         prompt.alias("prompt"), F.col("split.before").alias("generation"), F.concat(prompt, "split.before").alias("context"),
@@ -295,12 +302,16 @@ def whole_decisions(s: SparkSession, d: str) -> DataFrame:
     )
 
 
-def preference_pairs_whole(s: SparkSession, d: str) -> DataFrame:
-    return flat_pairs(pairs.pairs(whole_decisions(s, d)))
+def flat_pairs(df: DataFrame) -> DataFrame:
+    return df.select("prompt_raw", "generation_raw", "context_with_chat_template", "chosen_decoded", "rejected_decoded", F.array_join("multi_chosen_decoded", " ").alias("multi_chosen"), F.col("validator.class").alias("class"), F.col("validator.subtype").alias("subtype"))
 
 
-def pair_dedup_whole(s: SparkSession, d: str) -> DataFrame:
-    made = pairs.pairs(whole_decisions(s, d)).withColumn("sequence", F.col("prompt_raw").cast("long"))
+def preference_pairs(s: SparkSession, d: str) -> DataFrame:
+    return flat_pairs(pairs.pairs(decisions(s, d)))
+
+
+def pair_dedup(s: SparkSession, d: str) -> DataFrame:
+    made = pairs.pairs(decisions(s, d)).withColumn("sequence", F.col("prompt_raw").cast("long"))
     return flat_pairs(pairs.last_per_context(made.drop("stats"), "sequence"))
 
 
@@ -312,9 +323,9 @@ def events(s: SparkSession, d: str) -> DataFrame:
 
 
 def rate_5s_burst(s: SparkSession, d: str) -> DataFrame:
-    per = events(s, d).groupBy("user_id", "us").agg(F.sum("tokens").alias("tokens"))
-    out = metrics.smoothed_rate(per, "user_id", 60_000_000, 86_400_000_000)
-    return out.withColumn("rate", F.round("rate", 9))
+    """Events lie minutes apart, so time runs 12,000 times faster here: a minute is 5 ms."""
+    per = events(s, d).withColumn("us", F.floor(F.col("us") / 12_000)).groupBy("user_id", "us").agg(F.sum("tokens").alias("tokens"))
+    return metrics.smoothed_rate(per, "user_id").withColumn("rate", F.round("rate", 9))
 
 
 def chunk_throughput(s: SparkSession, d: str) -> DataFrame:
@@ -335,10 +346,30 @@ def profile_zones(s: SparkSession, d: str) -> DataFrame:
 
 
 def fixpoint_backtrack(s: SparkSession, d: str) -> DataFrame:
-    tokens = F.regexp_extract_all("text", F.lit(tx.TOKEN), F.lit(0))
-    options = F.array(*[F.struct(F.lit(f" {w}").alias("token"), F.lit(-float(k)).alias("logp")) for k, w in enumerate(("stone", "river", "of", "the"))])
-    rows = docs(s, d).select("doc_id", tokens.alias("tokens")).withColumn("candidates", F.transform("tokens", lambda t: options))
-    return repair.repair(rows, RULES).select("doc_id", F.size("tokens").alias("tokens"), F.size("events").alias("events"), "rounds", F.sha2("text", 256).alias("text_sha256"))
+    """All texts, each banned word's token replaced by the likeliest candidate; the provider then goes on with the text as it was."""
+    rows = docs(s, d).select("doc_id", F.col("text").alias("prompt"), F.array().cast("array<string>").alias("tokens"), F.array().cast("array<array<struct<token:string,logp:double>>>").alias("candidates"))
+    done = repair.repair(rows, match.Rules(BANNED_WORDS), repair.Recited(OPTIONS, chunk=1 << 20), repair.ladder_weights(top_k=1))
+    return done.select("doc_id", F.size("tokens").alias("tokens"), F.size("events").alias("events"), "settled", F.sha2("text", 256).alias("text_sha256"))
+
+
+def refuses():
+    """A stand-in for a classifier of refusals."""
+    return lambda prompts_, answers: [("Refusal", 0.9) if len(p) % 5 == 0 else ("ok", 0.99) for p in prompts_]
+
+
+def run_rows(s: SparkSession, d: str) -> DataFrame:
+    settings = config.merged(config.Config(), {"max_new_tokens": 60, "chunk_size": 20, "top_k": 1, "min_p": None, "invert_probs": False, "enable_refusal_detection": True, "prompt_template": "Go on: {prompt}"})
+    return generate.generate(prompts(s, d), settings, match.Rules(BANNED_WORDS), repair.Recited(OPTIONS), existing(s, d), refused(s, d), refuses)
+
+
+def run_log(s: SparkSession, d: str) -> DataFrame:
+    """The run: what is done and refused left out, the rest completed, repaired, scored, and logged beside placeholders."""
+    return run_rows(s, d).select("prompt_id", "prompt", "generation", "status", "error", F.size("events").alias("events"), "tokens_generated_prompt", "refusal_detected", F.size("ftpo_samples").alias("pairs"), "settled")
+
+
+def run_pairs(s: SparkSession, d: str) -> DataFrame:
+    """The pairs of the run, and where in its text each was made."""
+    return generate.pair_rows(run_rows(s, d)).select("prompt_raw", "generation_raw", "context_with_chat_template", "chosen_decoded", "rejected_decoded", F.array_join("multi_chosen_decoded", "|").alias("multi_chosen"))
 
 
 def stream_rate_watermarked(s: SparkSession, d: str) -> DataFrame:
@@ -367,8 +398,6 @@ QUERIES = {
     "render_prompt": render_prompt,
     "render_chat": render_chat,
     "classifier_input": classifier_input,
-    "render_chat_whole": render_chat_whole,
-    "classifier_input_whole": classifier_input_whole,
     "number_prompts": prompts,
     "resume_pending": lambda s, d: batch.pending(prompts(s, d), existing(s, d), refused(s, d)).select("prompt_id", "prompt"),
     "resume_pending_limited": lambda s, d: batch.pending(prompts(s, d), existing(s, d), refused(s, d), limit=10).select("prompt_id", "prompt"),
@@ -386,10 +415,13 @@ QUERIES = {
     "earliest_skip_regex": lambda s, d: earliest((match.REGEX,))(s, d).drop("text", "hit"),
     "violation_snippet": violation_snippet,
     "ban_event_message": ban_event_message,
-    "unsuppressed_violation": unsuppressed_violation,
-    "masked_violation": masked_violation,
+    "unsuppressed_violation": left_of(resolve.first_unsuppressed),
+    "masked_violation": left_of(resolve.first_masked),
     "token_offsets": token_offsets,
     "offset_to_token": offset_to_token,
+    "token_counts": token_counts,
+    "truncated_tokens": truncated_tokens,
+    "joined_parts": joined_parts,
     "decode_tokens": decode_tokens,
     "softmax_temperature": softmax_temperature,
     "min_p": one_filter(lambda p: cd.min_p(p, 0.3)),
@@ -400,16 +432,19 @@ QUERIES = {
     "weighted_choice": weighted_choice,
     "tail_candidates": tail_candidates,
     "banned_prefixes": banned_prefixes,
+    "first_token_prefixes": first_token_prefixes,
     "tail_without_prefixes": tail_without_prefixes,
+    "select_tail": select_tail,
+    "token_pairs": token_pairs,
     "preference_pairs": preference_pairs,
     "pair_dedup": pair_dedup,
-    "preference_pairs_whole": preference_pairs_whole,
-    "pair_dedup_whole": pair_dedup_whole,
     "rate_5s_burst": rate_5s_burst,
     "chunk_throughput": chunk_throughput,
     "run_totals": run_totals,
     "profile_zones": profile_zones,
     "fixpoint_backtrack": fixpoint_backtrack,
+    "run_log": run_log,
+    "run_pairs": run_pairs,
     "stream_rate_watermarked": stream_rate_watermarked,
 }
 ORACLES = oracles.ORACLES

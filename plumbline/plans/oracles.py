@@ -8,6 +8,11 @@ from plumbline.functions.text import STOPWORDS
 PHRASES = ("of the", "in the", "de la", "die der", "the the")
 REGEXES = (r"[0-9]{3}-[0-9]{4}", r"er[a-z]*tion\.", r"license[ds]?[ .,]")
 NGRAMS = (("creative", "commons"), ("public", "license"), ("general", "public", "license"), ("gnu", "general"))
+#: Patterns that look around: words in "er...tion" before a blank or comma; a licence after a word of three letters or more.
+LOOKAROUND = (r"er(?=[a-z]*tion[ ,])[a-z]+", r"(?<=[a-z]{3} )licen[cs]e(?=[ds]?[ .,])")
+#: Words that the repair loop replaces, and what by.
+BANNED_WORDS = ("license", "commons", "public", "of")
+OPTIONS = ((" stone", -0.5), (" river", -1.5), (" of", -2.0))
 PREFIX_RULES = ("t1", "t2 and more", "T33")
 #: (temperature, min-p, top-p, top-k) of each rung.
 LADDER = [(0.7, 0.8, 0.5, 5), (1.0, 0.8, 0.5, 5), (1.0, None, 0.5, 5), (1.0, None, None, 5), (1.0, None, None, None)]
@@ -114,18 +119,17 @@ ends AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY p, token DESC
 tails AS (SELECT vec_id, string_agg(token, ' ' ORDER BY e) FILTER (WHERE e <= 20) AS tail FROM ends GROUP BY vec_id)"""
 
 
-_pairs = f"""{_all}, {_positions}, {_tails()}, best AS (SELECT vec_id, token AS chosen FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY p DESC, token) AS r FROM left_) WHERE r = 1),
-pairs AS (SELECT doc_id, doc_id::VARCHAR AS prompt_raw, substr(text, 1, 20) AS generation_raw, kind || ':' || rule AS context_with_chat_template, chosen AS chosen_decoded,
-  regexp_extract_all(text, '{_token}')[token + 1] AS rejected_decoded, tail AS multi_chosen, kind AS class, CASE WHEN kind = 'ngram' THEN CASE WHEN len(string_split(rule, ' ')) = 3 THEN 'trigram' ELSE 'bigram' END ELSE kind END AS subtype
-  FROM earliest JOIN tails ON vec_id = doc_id JOIN best USING (vec_id))"""
 _pair_columns = "prompt_raw, generation_raw, context_with_chat_template, chosen_decoded, rejected_decoded, multi_chosen, class, subtype"
-# The same with all text before the token, and vectors dealt to all documents.
-_whole_pairs = f"""{_all}, {_positions}, {_tails()}, best AS (SELECT vec_id, token AS chosen FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY p DESC, token) AS r FROM left_) WHERE r = 1),
+# All text before the token is the generation; vectors are dealt to all documents.
+_pairs = f"""{_all}, {_positions}, {_tails()}, best AS (SELECT vec_id, token AS chosen FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY p DESC, token) AS r FROM left_) WHERE r = 1),
 places AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS place, count(*) OVER () AS vectors FROM embeddings),
 split_ AS (SELECT *, regexp_extract_all(text, '{_token}') AS tokens FROM earliest),
 pairs AS (SELECT doc_id, doc_id::VARCHAR AS prompt_raw, array_to_string(tokens[1:token], '') AS generation_raw, doc_id::VARCHAR || array_to_string(tokens[1:token], '') AS context_with_chat_template, chosen AS chosen_decoded,
   tokens[token + 1] AS rejected_decoded, tail AS multi_chosen, kind AS class, CASE WHEN kind = 'ngram' THEN CASE WHEN len(string_split(rule, ' ')) = 3 THEN 'trigram' ELSE 'bigram' END ELSE kind END AS subtype
   FROM split_ JOIN places ON place = doc_id % vectors JOIN tails USING (vec_id) JOIN best USING (vec_id))"""
+_banned = rf"(^|{_edge})({'|'.join(BANNED_WORDS)})($|{_edge})"
+_recited = lambda source, column, most="": f"cut AS (SELECT *, regexp_extract_all({column}, '{_token}'){most} AS ts FROM {source}), recited AS (SELECT *, list_transform(ts, lambda t: CASE WHEN regexp_matches(lower(t), '{_banned}') THEN ' stone' ELSE t END) AS new, len(list_filter(ts, lambda t: regexp_matches(lower(t), '{_banned}'))) AS n FROM cut)"
+_run = f"""{_log}, asked AS (SELECT prompt_id, 'Go on: ' || prompt AS prompt FROM pending), {_recited("asked", "prompt", "[1:60]")}"""
 _events = "ev AS (SELECT *, epoch_us(ts) AS us, (event_id % 7 + 1)::BIGINT AS tokens FROM events)"
 
 ORACLES = {
@@ -144,12 +148,8 @@ SELECT ws[1] || ' ' || ws[2] AS term, sum(frequency)::BIGINT AS count FROM norma
     "first_assistant_turn": f"WITH {_answers} SELECT conv_id, output FROM answers",
     "text_prompt_filter": f"WITH {_docs} SELECT doc_id FROM docs WHERE NOT (contains(lower(text), 'assistant:') OR contains(lower(text), 'bot:') OR contains(lower(text), 'gpt:') OR contains(text, chr(10) || chr(10)))",
     "render_prompt": f"WITH {_prompts} SELECT conv_id, 'Writing prompt: ' || prompt || chr(10) || chr(10) || 'Your response:' || chr(10) AS rendered FROM prompts",
-    "render_chat": f"WITH {_prompts}, {_answers} SELECT conv_id, '<|system|>' || chr(10) || 'Be brief.' || chr(10) || '<|user|>' || chr(10) || prompt || chr(10) || '<|assistant|>' || chr(10) || coalesce(substr(output, 1, 40), '') AS rendered FROM prompts LEFT JOIN answers USING (conv_id)",
-    "classifier_input": f"""WITH {_prompts}, {_answers}, cut AS (SELECT conv_id, string_split(prompt, ' ')[1:30] AS u, string_split(output, ' ') AS a FROM prompts JOIN answers USING (conv_id)),
-room AS (SELECT conv_id, a, u[1:greatest(10, least(len(u), 64 - len(a)))] AS u FROM cut)
-SELECT conv_id, '<|user|>' || chr(10) || array_to_string(u, ' ') || chr(10) || '<|assistant|>' || chr(10) || array_to_string(a[1:64 - len(u)], ' ') AS input FROM room""",
-    "render_chat_whole": f"WITH {_prompts}, {_answers} SELECT conv_id, '<|system|>' || chr(10) || 'Be brief.' || chr(10) || '<|user|>' || chr(10) || prompt || chr(10) || '<|assistant|>' || chr(10) || coalesce(output, '') AS rendered FROM prompts LEFT JOIN answers USING (conv_id)",
-    "classifier_input_whole": f"""WITH {_prompts}, {_answers}, cut AS (SELECT conv_id, string_split(prompt, ' ')[1:100] AS u, string_split(output, ' ') AS a FROM prompts JOIN answers USING (conv_id)),
+    "render_chat": f"WITH {_prompts}, {_answers} SELECT conv_id, '<|system|>' || chr(10) || 'Be brief.' || chr(10) || '<|user|>' || chr(10) || prompt || chr(10) || '<|assistant|>' || chr(10) || coalesce(output, '') AS rendered FROM prompts LEFT JOIN answers USING (conv_id)",
+    "classifier_input": f"""WITH {_prompts}, {_answers}, cut AS (SELECT conv_id, string_split(prompt, ' ')[1:100] AS u, string_split(output, ' ') AS a FROM prompts JOIN answers USING (conv_id)),
 room AS (SELECT conv_id, a, u[1:greatest(40, least(len(u), 256 - len(a)))] AS u FROM cut)
 SELECT conv_id, '<|user|>' || chr(10) || array_to_string(u, ' ') || chr(10) || '<|assistant|>' || chr(10) || array_to_string(a[1:256 - len(u)], ' ') AS input FROM room""",
     "number_prompts": f"WITH {_prompts} SELECT conv_id, prompt, prompt_id::BIGINT AS prompt_id FROM prompts",
@@ -187,18 +187,43 @@ first_ AS (SELECT vec_id, min(n) AS rung FROM untried GROUP BY vec_id)
 SELECT e.vec_id, rung::INT AS rung, CASE WHEN rung IS NULL THEN -1 ELSE count(token) END::INT AS kept, arg_min(token, r) AS best FROM (SELECT DISTINCT vec_id FROM embeddings) e LEFT JOIN first_ f USING (vec_id) LEFT JOIN untried u ON u.vec_id = f.vec_id AND u.n = f.rung GROUP BY e.vec_id, rung""",
     "invert_probs": f"WITH {_positions}, {_kept}, one AS (SELECT vec_id, token, max(p) OVER (PARTITION BY vec_id) - p + min(p) OVER (PARTITION BY vec_id) AS q FROM kept WHERE n = 1) SELECT vec_id, token, round(q / sum(q) OVER (PARTITION BY vec_id), 6) AS p FROM one",
     "tail_candidates": f"WITH {_positions}, {_tails()} SELECT vec_id, coalesce(tail, '') AS tail FROM (SELECT DISTINCT vec_id FROM embeddings) LEFT JOIN tails USING (vec_id)",
-    "banned_prefixes": f"WITH {_prefixes} SELECT prefix FROM prefixes",
+    "banned_prefixes": "SELECT DISTINCT unnest([substr(r, 1, n), ' ' || substr(r, 1, n)]) AS prefix FROM (SELECT r, unnest(range(2, least(15, length(r)) + 1)) AS n FROM (SELECT lower(ltrim(text)) AS r FROM benchmark) WHERE length(r) >= 2)",
+    "first_token_prefixes": f"WITH v AS (SELECT unnest([ltrim(text), ' ' || ltrim(text)]) AS v FROM benchmark) SELECT DISTINCT lower(regexp_extract(v, '^(?:{_token})', 0)) AS prefix FROM v WHERE regexp_extract(v, '^(?:{_token})', 0) <> ''",
+    "select_tail": """WITH raw AS (SELECT vec_id, unnest(embedding)::DOUBLE * 10.0 / 0.9::DOUBLE AS x, 't' || unnest(range(len(embedding))) AS token FROM embeddings),
+soft AS (SELECT vec_id, token, exp(x) / sum(exp(x)) OVER (PARTITION BY vec_id) AS p FROM raw),
+plausible AS (SELECT * FROM (SELECT *, max(p) OVER (PARTITION BY vec_id) AS best FROM soft) WHERE p >= 0.05::DOUBLE * best),
+top_ AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY p DESC, token) AS r FROM plausible),
+ends AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY r DESC) AS e FROM top_ WHERE r <= 30)
+SELECT vec_id, string_agg(token, ' ' ORDER BY e) FILTER (WHERE e <= 10) AS tail FROM ends GROUP BY vec_id""",
+    "weighted_choice": f"WITH {_positions}, {_kept}, drawn AS (SELECT vec_id, token, -ln((('0x' || substr(md5('1:' || vec_id || ':' || token), 1, 12))::BIGINT + 0.5::DOUBLE) / 281474976710656.0::DOUBLE) / p AS t FROM kept WHERE n = 1) SELECT vec_id, arg_min(token, t) AS chosen FROM drawn GROUP BY vec_id",
+    "token_pairs": f"""{_all}, {_positions}, {_tails()}, best AS (SELECT vec_id, token AS chosen FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY p DESC, token) AS r FROM left_) WHERE r = 1),
+places AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS place, count(*) OVER () AS vectors FROM embeddings)
+SELECT doc_id, e.token AS pos, kind, rule, regexp_extract_all(text, '{_token}')[e.token + 1] AS rejected, chosen, tail FROM earliest e JOIN places ON place = (doc_id * 7 + e.token) % vectors JOIN tails USING (vec_id) JOIN best USING (vec_id)""",
+    "token_counts": f"WITH {_docs} SELECT doc_id, len(regexp_extract_all(text, '{_token}'))::INT AS tokens FROM docs",
+    "truncated_tokens": f"{_all} SELECT doc_id, token, sha256(array_to_string(regexp_extract_all(text, '{_token}')[1:token], '')) AS kept_sha256 FROM earliest",
+    "joined_parts": "SELECT conv_id, string_agg(coalesce(text, ''), '' ORDER BY turn NULLS LAST, coalesce(text, '')) AS text FROM conversations GROUP BY conv_id",
+    "decode_tokens": f"WITH {_docs} SELECT doc_id, sha256(text) AS text_sha256 FROM docs",
+    "regex_lookahead_hit": f"""WITH {_docs}, both_ AS (
+  SELECT doc_id, 0 AS k, length(string_split_regex(text, '(?i)er[a-z]*tion[ ,]')[1])::INT AS start, regexp_extract(text, '(?i)(er[a-z]*tion)[ ,]', 1) AS match FROM docs WHERE regexp_matches(text, '(?i)er[a-z]*tion[ ,]')
+  UNION ALL SELECT doc_id, 1, (length(string_split_regex(text, '(?i)[a-z]{{3}} licen[cs]e[ds]?[ .,]')[1]) + 4)::INT, regexp_extract(text, '(?i)[a-z]{{3}} (licen[cs]e)[ds]?[ .,]', 1) FROM docs WHERE regexp_matches(text, '(?i)[a-z]{{3}} licen[cs]e[ds]?[ .,]'))
+SELECT doc_id, 'regex' AS kind, start, length(match)::INT AS length, CASE k WHEN 0 THEN '{LOOKAROUND[0]}' ELSE '{LOOKAROUND[1]}' END AS rule, match FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY start, k) AS r FROM both_) WHERE r = 1""",
+    "fixpoint_backtrack": f"WITH {_docs}, {_recited('docs', 'text')} SELECT doc_id, len(new)::INT AS tokens, n::INT AS events, true AS settled, sha256(array_to_string(new, '')) AS text_sha256 FROM recited",
+    "run_log": f"""WITH {_run} SELECT prompt_id::VARCHAR AS prompt_id, prompt, array_to_string(new, '') AS generation, CASE WHEN length(prompt) % 5 = 0 THEN 'failed' ELSE 'success' END AS status,
+  CASE WHEN length(prompt) % 5 = 0 THEN 'refusal detected (Refusal, p=0.900)' END AS error, n::INT AS events, len(new)::BIGINT AS tokens_generated_prompt, length(prompt) % 5 = 0 AS refusal_detected, CASE WHEN length(prompt) % 5 = 0 THEN 0 ELSE n END::INT AS pairs, true AS settled FROM recited
+UNION ALL SELECT prompt_id::VARCHAR, CASE WHEN p.prompt = '' THEN '' ELSE 'Go on: ' || p.prompt END, NULL, 'skipped', 'skipped -- prior refusal', 0, 0, true, NULL, NULL FROM placeholders p""",
+    "run_pairs": f"""WITH {_run}, places AS (SELECT *, unnest(range(1, len(ts) + 1)) AS i FROM recited WHERE length(prompt) % 5 <> 0)
+SELECT prompt AS prompt_raw, array_to_string(new[1:i - 1], '') AS generation_raw, prompt || array_to_string(new[1:i - 1], '') AS context_with_chat_template, ' stone' AS chosen_decoded, ts[i] AS rejected_decoded, ' river| stone' AS multi_chosen FROM places WHERE new[i] <> ts[i]""",
     "tail_without_prefixes": f"WITH {_prefixes}, {_positions}, {_tails('AND token NOT IN (SELECT prefix FROM prefixes)')} SELECT vec_id, coalesce(tail, '') AS tail FROM (SELECT DISTINCT vec_id FROM embeddings) LEFT JOIN tails USING (vec_id)",
     "preference_pairs": f"{_pairs} SELECT {_pair_columns} FROM pairs",
     "pair_dedup": f"{_pairs} SELECT {_pair_columns} FROM (SELECT *, row_number() OVER (PARTITION BY context_with_chat_template ORDER BY doc_id DESC) AS r FROM pairs) WHERE r = 1",
-    "preference_pairs_whole": f"{_whole_pairs} SELECT {_pair_columns} FROM pairs",
-    "pair_dedup_whole": f"{_whole_pairs} SELECT {_pair_columns} FROM (SELECT *, row_number() OVER (PARTITION BY context_with_chat_template ORDER BY doc_id DESC) AS r FROM pairs) WHERE r = 1",
-    "rate_5s_burst": f"""WITH {_events}, per AS (SELECT user_id, us, sum(tokens)::BIGINT AS tokens FROM ev GROUP BY user_id, us),
-opened AS (SELECT *, CASE WHEN us - lag(us) OVER (PARTITION BY user_id ORDER BY us) <= 60000000 THEN 0 ELSE 1 END AS o FROM per),
+    "rate_5s_burst": f"""WITH {_events}, per AS (SELECT user_id, us // 12000 AS us, sum(tokens)::BIGINT AS tokens FROM ev GROUP BY 1, 2),
+opened AS (SELECT *, CASE WHEN us - lag(us) OVER (PARTITION BY user_id ORDER BY us) <= 5000 THEN 0 ELSE 1 END AS o FROM per),
 islands AS (SELECT *, sum(o) OVER (PARTITION BY user_id ORDER BY us) AS island FROM opened),
 merged AS (SELECT user_id, max(us) AS us, sum(tokens)::BIGINT AS tokens FROM islands GROUP BY user_id, island),
-framed AS (SELECT *, (us - min(us) OVER w) / 1e6::DOUBLE AS span, sum(tokens) OVER w AS total FROM merged WINDOW w AS (PARTITION BY user_id ORDER BY us RANGE BETWEEN 86400000000 PRECEDING AND CURRENT ROW))
-SELECT user_id, us, tokens, round(CASE WHEN span > 1e-6 THEN total / span END, 9) AS rate FROM framed""",
+framed AS (SELECT *, (us - min(us) OVER w) / 1e6::DOUBLE AS span, sum(tokens) OVER w AS total, count(*) OVER w AS entries, (us - min(us) OVER f) / 1e6::DOUBLE AS last_span, sum(tokens) OVER f AS last_total FROM merged
+  WINDOW w AS (PARTITION BY user_id ORDER BY us RANGE BETWEEN 5000000 PRECEDING AND CURRENT ROW), f AS (PARTITION BY user_id ORDER BY us ROWS BETWEEN 159 PRECEDING AND CURRENT ROW)),
+chosen AS (SELECT user_id, us, tokens, CASE WHEN entries > 160 THEN last_span ELSE span END AS span, CASE WHEN entries > 160 THEN last_total ELSE total END AS total FROM framed)
+SELECT user_id, us, tokens, round(CASE WHEN span > 1e-6 THEN total / span END, 9) AS rate FROM chosen""",
     "chunk_throughput": "SELECT user_id AS run_id, event_id AS chunk, CASE WHEN event_id % 5 > 0 THEN (event_id * 3 - coalesce(lag(event_id * 3) OVER (PARTITION BY user_id ORDER BY event_id), 0)) / (event_id % 5 / 2.0::DOUBLE) END AS tokens_per_sec FROM events",
     "run_totals": f"WITH {_events}, t AS (SELECT user_id, count(*) AS prompts, sum(tokens)::BIGINT AS tokens, (max(us) - min(us)) / 1e6::DOUBLE AS seconds FROM ev GROUP BY user_id) SELECT *, round(CASE WHEN seconds > 0 THEN tokens / seconds ELSE 0.0 END, 9) AS tokens_per_sec FROM t",
     "profile_zones": "SELECT event_type AS label, round(sum(value), 4) AS seconds, count(*) AS calls, round(sum(value) / count(*) * 1000.0, 4) AS ms_per_call FROM events GROUP BY event_type",

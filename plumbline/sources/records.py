@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.operators.batch import is_refused
+
 EVENT = "struct<type:string,index:int,details:struct<phrase:string,context:string,pattern:string,match:string,ngram_tuple:array<string>,ngram_string:string,remove_stopwords_active:boolean,suppression_detail_key:string>,original_token_string:string,fixed:boolean>"
 GENERATION = f"prompt_id string, prompt string, generation string, status string, error string, events array<{EVENT}>, duration_sec double, tokens_generated_prompt long, refusal_detected boolean, refusal_label string, refusal_confidence double"
 SHAREGPT = "conversations array<struct<`from`:string,value:string>>, prompt string, text string"
@@ -31,6 +33,48 @@ def generations(spark: SparkSession, path: str) -> DataFrame:
     return rows.where("prompt_id is not null")
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
+def log_ids(spark: SparkSession, path: str) -> DataFrame:
+    """``prompt_id`` of a log; none where there is no log yet."""
+    return generations(spark, path).select("prompt_id") if _exists(spark, path) else spark.createDataFrame([], "prompt_id string")
+
+
+def refusals(spark: SparkSession, path: str) -> DataFrame:
+    """``prompt_id`` of the rows of an earlier log that count as refused, each once. A missing file is an error; lines without an id are left out."""
+    if not _exists(spark, path):
+        raise FileNotFoundError(path)
+    rows = generations(spark, path)
+    return rows.where(is_refused(F.col("refusal_detected"), F.col("status"), F.col("generation"))).select("prompt_id").distinct()
+
+
+def dataset(spark: SparkSession, path: str, split: str = "train", config: str | None = None, limit: int | None = None) -> DataFrame:
+    """``conversations, prompt, text`` of a dialogue dataset on disk: a folder or file of parquet or JSON lines.
+
+    A folder may have its configuration and its split as folders within, or as the beginnings of
+    file names. Columns that it lacks are null.
+    """
+    base = f"{path.rstrip('/')}/{config}" if config else path.rstrip("/")
+    folder = f"{base}/{split}" if _exists(spark, f"{base}/{split}") else base
+    if not _exists(spark, folder):
+        raise FileNotFoundError(folder)
+    named = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path").where(F.col("path").rlike(r"\.(parquet|jsonl?|json\.gz|jsonl\.gz)$"))
+    files = [r["path"] for r in named.collect()]  # names only
+    if folder == base and any(f.rsplit("/", 1)[-1].startswith(split) for f in files):
+        files = [f for f in files if f.rsplit("/", 1)[-1].startswith(split)]
+    if not files:
+        raise FileNotFoundError(f"no dataset files under {folder}")
+    tables = [f for f in files if f.endswith(".parquet")]
+    found = spark.read.parquet(*tables) if tables else spark.read.schema(SHAREGPT).json(files)
+    turns = "array<struct<`from`:string,value:string>>"
+    kinds = {"conversations": turns, "prompt": "string", "text": "string"}
+    rows = found.select(*[(F.col(c) if c in found.columns else F.lit(None)).cast(t).alias(c) for c, t in kinds.items()])
+    return rows if limit is None else rows.limit(limit)
+
+
 def malformed(spark: SparkSession, path: str) -> DataFrame:
     """The lines of a log that are not valid."""
     parsed = F.from_json("value", GENERATION + ", _corrupt_record string", {"mode": "PERMISSIVE"})

@@ -13,9 +13,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from plumbline.operators.match import Rules
-from plumbline.operators.repair import KINDS, Matcher
+from plumbline.operators.repair import Matcher
 
 YIELDED = "doc_id long, seq long, text string, hit_kind string, hit_rule string, hit_start int, done boolean"
+#: Milliseconds in a unit of ``forget``.
+UNITS = {"second": 1_000, "minute": 60_000, "hour": 3_600_000, "day": 86_400_000}
+
+
+def milliseconds(duration: str) -> int:
+    """Of a number and a unit, as in "10 minutes"."""
+    number, unit = duration.split()
+    return int(float(number) * UNITS[unit.lower().rstrip("s")])
 
 
 def rates(events: DataFrame, key: str, window: str = "5 seconds", slide: str = "1 second", late: str = "10 seconds") -> DataFrame:
@@ -25,33 +33,87 @@ def rates(events: DataFrame, key: str, window: str = "5 seconds", slide: str = "
     return out.select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "tokens", (F.col("tokens") / (seconds / 1e6)).alias("rate"))
 
 
-def checked(chunks: DataFrame, rules: Rules, hold_back: int = 256, every: int = 1) -> DataFrame:
+def checked(chunks: DataFrame, rules: Rules, hold_back: int = 256, every: int = 1, forget: str | None = None) -> DataFrame:
     """Chunks ``doc_id, seq, text, done`` in, safe text and the first violation out.
 
-    State is a document's text so far and how much of it was handed out. The last ``hold_back``
+    State is a document's text that was not handed out, the character before it (so that a word
+    cut in two is not taken for a whole one), and how much was handed out. The last ``hold_back``
     characters stay until more text comes or the document is done, so a violation across chunks
     is seen before its text leaves. Rules run every so many chunks, and at the end; between
-    runs no text leaves, unless a violation was found before.
+    runs no text leaves, unless a violation was found before. Null texts add nothing.
+
+    A document that never says it is done keeps its state, unless ``forget`` (a duration such as
+    "1 hour") says how long to wait for its next chunk: then the rest is checked, handed out in a
+    row without a ``seq`` that says done, and forgotten.
     """
 
+    def first(matcher: Matcher, before: str, held: str) -> tuple[int, str, str] | None:
+        hits = (h for h in matcher.hits(before + held) if h[0] >= len(before))
+        found = min(hits, default=None)
+        return None if found is None else (found[0] - len(before), matcher.kinds[found[1]], found[4])
+
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held, out_of, seen, hit = state.get if state.exists else ("", 0, 0, False)
+        before, held, out_of, seen, hit = state.get if state.exists else ("", "", 0, 0, False)
         matcher, rows = Matcher(rules), []
-        for row in pd.concat(list(frames)).sort_values("seq").itertuples():
-            held, seen = held + (row.text or ""), seen + 1
+        if state.hasTimedOut:
+            given = [(None, "", True)]
+        else:
+            given = [(r.seq, r.text or "", bool(r.done)) for r in pd.concat(list(frames)).sort_values("seq").itertuples()]
+        for seq, text, done in given:
+            held, seen = held + text, seen + 1
             kind = rule = start = None
-            ran = hit or bool(row.done) or seen % every == 0
-            if not hit and ran:
-                first = min(matcher.hits(held), default=None)
-                if first is not None:
-                    hit, start, kind, rule = True, out_of + first[0], KINDS[first[1]], first[2]
-            safe = len(held) if row.done else max(0, len(held) - hold_back) if ran else 0
-            rows.append((key[0], row.seq, held[:safe], kind, rule, start, bool(row.done)))
-            held, out_of = held[safe:], out_of + safe
-        if rows and rows[-1][-1]:
+            ran = hit or done or seen % every == 0
+            if not hit and ran and (found := first(matcher, before, held)) is not None:
+                hit, start, kind, rule = True, out_of + found[0], found[1], found[2]
+            safe = len(held) if done else max(0, len(held) - hold_back) if ran else 0
+            rows.append((key[0], seq, held[:safe], kind, rule, start, done))
+            before, held, out_of = (held[safe - 1] if safe else before), held[safe:], out_of + safe
+        if rows[-1][-1]:
             state.remove()
         else:
-            state.update((held, out_of, seen, hit))
-        yield pd.DataFrame(rows, columns=["doc_id", "seq", "text", "hit_kind", "hit_rule", "hit_start", "done"])
+            state.update((before, held, out_of, seen, hit))
+            if forget:
+                state.setTimeoutDuration(milliseconds(forget))
+        yield pd.DataFrame(rows, columns=["doc_id", "seq", "text", "hit_kind", "hit_rule", "hit_start", "done"]).astype({"seq": "Int64", "hit_start": "Int64"})
+
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if forget else GroupStateTimeout.NoTimeout
+    return chunks.groupBy("doc_id").applyInPandasWithState(step, YIELDED, "before string, held string, out_of long, seen long, hit boolean", "append", timeout)
+
+
+EDITS = "doc_id long, seq long, op string, at int, token string"
+STATE = "doc_id long, seq long, tokens array<string>, text string"
+
+
+def edited(edits: DataFrame) -> DataFrame:
+    """Token lists that are appended to, cut back and changed as edits come; after each batch, what has changed.
+
+    ``op``: ``append`` adds ``token``; ``truncate`` drops what is at ``at`` and after; ``replace``
+    puts ``token`` at ``at`` and keeps what follows; ``commit`` cuts back to ``at`` and puts ``token``
+    there, as a replacement in a text that is still written does. Places beyond the end change nothing.
+    """
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        tokens = list(state.get[0]) if state.exists else []
+        last = 0
+        for row in pd.concat(list(frames)).sort_values("seq").itertuples():
+            last = row.seq
+            tokens = applied(tokens, row.op, None if pd.isna(row.at) else int(row.at), row.token)
+        state.update((tokens,))
+        yield pd.DataFrame({"doc_id": [key[0]], "seq": [last], "tokens": [tokens], "text": ["".join(tokens)]})
+
+    return edits.groupBy("doc_id").applyInPandasWithState(step, STATE, "tokens array<string>", "update", GroupStateTimeout.NoTimeout)
+
 
-    return chunks.groupBy("doc_id").applyInPandasWithState(step, YIELDED, "held string, out_of long, seen long, hit boolean", "append", GroupStateTimeout.NoTimeout)
+def applied(tokens: list[str], op: str, at: int | None, token: str | None) -> list[str]:
+    """A token list after one edit."""
+    if op == "append":
+        return [*tokens, token or ""]
+    if at is None or not 0 <= at < len(tokens):
+        return tokens
+    if op == "truncate":
+        return tokens[:at]
+    if op == "commit":
+        return [*tokens[:at], token or ""]
+    if op == "replace":
+        return [*tokens[:at], token or "", *tokens[at + 1 :]]
+    raise ValueError(f"no such edit: {op}")

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import json
 import math
+import os
+import random
+import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline import config
+from plumbline import config, generate
 from plumbline.operators import batch, candidates as cd, decode, match, metrics, repair
 from plumbline.sources import completions, records
 from plumbline.streaming import live
@@ -80,35 +84,79 @@ def test_records(spark, tmp_path):
 
 def test_decoding(spark):
     assert [decode.decoded(t) for t in ("Ġworld", "Ċ", "▁a", "Ã©", "plain", "ā", None)] == [" world", "\n", " a", "é", "plain", "\x01", None]
+    # Characters outside the alphabets pass as they are; the second alphabet begins at U+2500; what is no valid text stays.
+    assert [decode.decoded(t) for t in ("中Ã©", chr(0x2500 + 0x41), chr(0x25C3) + chr(0x25A9), "déjà", "Ġdéjà", "", "ÃĥÂ©")] == ["中é", "A", "é", "déjà", " déjà", "", "é"]
 
 
-def test_settings():
-    c = config.merged(config.Config(), {"generation_params": {"chunk_size": 50}, "backtracking": {"force_backtrack": True}, "ngram_validator": {"banned_list": ["a b"]}, "temperature": 0.5})
+def test_settings(tmp_path):
+    c = config.merged(config.Config(), {"generation_params": {"chunk_size": 50, "threads": 4}, "backtracking": {"force_backtrack": True}, "ngram_validator": {"banned_list": ["a b"]}, "temperature": 0.5, "threads": 3})
     assert (c.generation.chunk_size, c.generation.max_new_tokens, c.backtracking.force_backtrack, c.bans.ngram_list, c.generation.temperature) == (50, 1200, True, ("a b",), 0.5)
     with pytest.raises(KeyError):
         config.merged(config.Config(), {"nonsense": 1})
     assert config.base_url("http://x/") == "http://x/v1"
-    with pytest.raises(ValueError):
-        config.checked_key("xxx")
-
-
-def test_completions(spark):
+    for key, url in (("xxx", "http://x"), ("YOUR_API_KEY_HERE", "http://x"), ("", "https://api.openai.com/v1")):
+        with pytest.raises(ValueError):
+            config.checked_key(key, url)
+    assert config.checked_key("", "http://x") == ""
+    (tmp_path / "c.yaml").write_text("generation_params:\n  chunk_size: 7\n  temperature: 0.4\nforce_backtrack: true\nprompt_template: 'x {prompt}'\n")
+    c, prompt = config.from_arguments(["--config", str(tmp_path / "c.yaml"), "--temperature", "0.9", "--stop-sequences", "a, ,b", "--invert-probs", "no", "--ngram-banned-list", "one two,three", "--prompt", "hi"])
+    assert (c.generation.chunk_size, c.generation.temperature, c.generation.stop_sequences, c.generation.invert_probs, c.bans.ngram_cli_list, c.prompt_template, c.backtracking.force_backtrack, prompt) == (7, 0.9, ("a", "b"), False, ("one two", "three"), "x {prompt}", True, "hi")
+    (tmp_path / "bad.yaml").write_text("a: [")
+    for path in (tmp_path / "bad.yaml", tmp_path / "none.yaml"):
+        with pytest.warns(UserWarning):
+            assert config.load(str(path)) == config.Config()
+    with pytest.raises(SystemExit):
+        config.from_arguments(["--input-json", "a", "--input-hf-dataset", "b"])
+    assert [config.yes(x) for x in ("Yes", "0", True)] == [True, False, True]
+
+
+def test_payloads():
+    g, at = config.Generation(stop_sequences=("x",)), lambda url: config.Provider(url, "k", "m", provider_order=("p",))
+    a, b, c = (completions.payload(at(url), g, "hi") for url in ("https://api.openai.com", "https://openrouter.ai/api/v1", "http://localhost:8000"))
+    assert (a["logprobs"], a["stop"], "min_p" in a) == (20, ["x"], False)
+    assert (b["logprobs"], b["top_logprobs"], b["provider"]["order"]) == (True, 20, ["p"])
+    assert (c["logprobs"], c["min_p"], c["max_tokens"], c["top_k"]) == (20, 0.03, 20, 50)
+    assert completions.payload(at("http://x"), g, "hi", 7)["max_tokens"] == 7
+
+
+def chunk(text, tokens, finish="length"):
+    return {"choices": [{"text": text, "logprobs": {"tokens": tokens, "top_logprobs": [{t: -0.1, " other": -1.0} for t in tokens]}, "finish_reason": finish}]}
+
+
+def test_completions(spark, tmp_path):
     assert completions.parsed_event("data: [DONE]")["finish_reason"] == "stream_end"
     assert completions.parsed_event("data: {oops") is None and completions.parsed_event(": ping") is None
-    chat_shape = {"choices": [{"text": "a", "finish_reason": "stop", "logprobs": {"content": [{"token": "a", "top_logprobs": [{"token": "a", "logprob": -0.1}]}]}}]}
+    chat_shape = {"choices": [{"text": "a", "finish_reason": "stop", "logprobs": {"content": [{"top_logprobs": []}, {"token": "a", "top_logprobs": [{"token": "a", "logprob": -0.1}]}]}}]}
     assert completions.parsed(chat_shape)["logprobs"] == {0: [{"token": "a", "logp": -0.1}]}
+    assert completions.parsed({})["finish_reason"] == "no_choice"
 
-    def poster(provider, settings):
+    def connect(provider, settings):
         def post(body):
             if body["prompt"] == "bad":
-                raise OSError("400")
-            return {"choices": [{"text": body["prompt"] + "!", "logprobs": {"tokens": ["!"], "top_logprobs": [{"!": -0.5}]}, "finish_reason": "length"}]}
-
-        return post
-
-    df = spark.createDataFrame([(1, "hi"), (2, "bad")], "prompt_id long, prompt string")
-    got = {r["prompt_id"]: r for r in completions.complete(df, config.Provider(), config.Generation(), poster).collect()}
-    assert got[1]["generated_text"] == "hi!" and got[1]["logprobs"][0][0]["logp"] == -0.5 and got[2]["finish_reason"] == "error"
+                raise repair.ProviderError("400: too long")
+            if body["prompt"] == "denied":
+                raise completions.Denied("401")
+            return chunk(body["prompt"] + "!", ["!"])
+
+        return completions.Http(post, lambda body: ["data: " + json.dumps(chunk("a", ["a"])), "data: [DONE]"])
+
+    df = spark.createDataFrame([(1, "hi"), (2, "bad"), (3, None)], "prompt_id long, prompt string")
+    got = {r["prompt_id"]: r for r in completions.complete(df, config.Provider(), config.Generation(), connect).collect()}
+    assert got[1]["generated_text"] == "hi!" and got[1]["logprobs"][0][0]["logp"] == -0.1 and got[3]["generated_text"] == "!"
+    assert (got[2]["finish_reason"], got[2]["error"]) == ("error", "400: too long")
+    with pytest.raises(Exception, match="401"):
+        completions.complete(spark.createDataFrame([(1, "denied")], "prompt_id long, prompt string"), config.Provider(), config.Generation(), connect).collect()
+    assert completions.gives_logprobs(config.Provider(), config.Generation(), connect)
+    silent = lambda p, g: completions.Http(lambda body: {}, lambda body: ["data: " + json.dumps({"choices": [{"text": "a"}]})])
+    assert not completions.gives_logprobs(config.Provider(), config.Generation(), silent)
+    (tmp_path / "events").mkdir()
+    (tmp_path / "events/a.txt").write_text("\n".join(["data: " + json.dumps(chunk("a", ["a"])), ": ping", "data: {oops", "", "data: [DONE]"]))
+    assert [(r["generated_text"], r["finish_reason"]) for r in completions.recorded_events(spark, f"file://{tmp_path}/events").collect()] == [("a", "length"), ("", "stream_end")]
+    stream = completions.parsed_lines(spark.readStream.text(f"file://{tmp_path}/events").selectExpr("'f' as file", "value"))
+    query = stream.writeStream.format("memory").queryName("sse").option("checkpointLocation", f"file://{tmp_path}/sse").start()
+    query.processAllAvailable()
+    query.stop()
+    assert spark.sql("select * from sse").count() == 2
 
 
 def test_throughput(spark):
@@ -116,18 +164,195 @@ def test_throughput(spark):
     assert [r["tokens_per_sec"] for r in metrics.chunk_throughput(t).orderBy("chunk").collect()] == [10.0, 10.0, None]
 
 
+def repaired(tokens, options, own, provider=None, prompt="", most=12, **more):
+    return repair.repair_one(1, prompt, tokens, options, own, provider or repair.Replay(), repair.Settings(repair.ladder_weights(), max_tokens=most, **more))
+
+
 def test_repair_ends_without_violations():
-    rules = match.Rules(("the cat",), (r"\d{3}",), (("deep", "breath"),))
-    own = repair.Matcher(rules)
+    own = repair.Matcher(match.Rules(("the cat",), (r"\d{3}",), (("deep", "breath"),)))
     tokens = ["See", " the", " cat", " take", " deep", " breath", " 123"]
     options = [[(t, -0.1), (" dog", -1.0), (" sun", -2.0)] for t in tokens]
-    done, events, rounds = repair.repair_one(1, tokens, options, own, repair.Cycling((" the", " cat", " sat", " down"), 12), repair.ladder_weights(), 1, 1000, 12, None)
-    assert not list(own.hits("".join(done))) and any(e[5] for e in events) and rounds < 1000 and len(done) == 12
-    done, events, _ = repair.repair_one(1, tokens[:3], [[], [], []], own, repair.Replay(), repair.ladder_weights(), 1, 1000, 12, None)
-    assert done == tokens[:3] and [e[5] for e in events] == [False]
+    done = repaired(tokens, options, own, repair.Cycling((" the", " cat", " sat", " down"), 12))
+    assert not list(own.hits(done["text"])) and any(e["fixed"] for e in done["events"]) and done["rounds"] < 1000 and len(done["tokens"]) == 12 and done["settled"]
+    done = repaired(tokens[:3], [[], [], []], own)
+    assert done["tokens"] == tokens[:3] and [e["fixed"] for e in done["events"]] == [False] and done["settled"]
+    assert done["events"][0]["details"]["phrase"] == "the cat" and done["events"][0]["details"]["context"] == "See the cat"
     assert math.isclose(sum(p for _, p in repair.ladder_weights(invert=True)([("a", -0.1), ("b", -2.0), ("c", -3.0)], "a", 0)[0]), 1.0)
 
 
+def test_what_is_not_settled_is_told():
+    class Endless:
+        def continue_(self, doc_id, prompt, tokens, most):
+            return [" more"], [[]]
+
+    done = repaired([], [], repair.Matcher(match.Rules(("x",))), Endless(), most=10**6, max_rounds=50)
+    assert not done["settled"] and len(done["tokens"]) == 50
+
+
+def test_failures_keep_the_text():
+    class Failing:
+        def continue_(self, doc_id, prompt, tokens, most):
+            if tokens:
+                raise repair.ProviderError("context too long")
+            return ["so", " far"], [[], []]
+
+    done = repaired([], [], repair.Matcher(match.Rules(("x",))), Failing())
+    assert (done["text"], done["error"], done["settled"]) == ("so far", "context too long", True)
+
+
+def test_streams_are_cut_at_violations():
+    """A stream is closed where a rule hits; patterns are run every few tokens only."""
+    read, closed = [], []
+
+    class Stream(repair.Recited):
+        def stream(self, doc_id, prompt, tokens, most):
+            try:
+                for token in prompt.split("|")[len(tokens) :]:
+                    read.append(token)
+                    yield token, list(self.candidates)
+            finally:
+                closed.append(len(read))
+
+    own = repair.Matcher(match.Rules(("bad",), (r"\d{3}",)))
+    done = repair.repair_one(1, "a| bad| c| 123| d| e| f", [], [], own, Stream(((" good", -0.1), (" fine", -1.0))), repair.Settings(repair.ladder_weights(top_k=1), interval=2))
+    assert done["text"] == "a good c good d e f" and [e["index"] for e in done["events"]] == [1, 3]
+    assert read[:2] == ["a", " bad"] and closed[0] == 2 and len(closed) >= 3
+
+
+def test_rules_of_ones_own(spark):
+    class Doubled:
+        kind, reach = "doubled", None
+
+        def hits(self, text, since):
+            for m in re.finditer(r"\b(\w+) \1\b", text):
+                yield m.start(), len(m.group()), m.group(), m.group()
+
+    rows = spark.createDataFrame([(1, ["the", " the", " end"], None, None), (2, None, None, "x")], "doc_id long, tokens array<string>, candidates array<array<struct<token:string,logp:double>>>, prompt string")
+    got = {r["doc_id"]: r for r in repair.repair(rows, match.Rules(), more=(Doubled(),)).collect()}
+    assert [(e["type"], e["index"], e["fixed"]) for e in got[1]["events"]] == [("doubled", 0, False)] and got[2]["text"] == "" and got[2]["settled"]
+
+
+def test_a_run_and_its_resumption(spark, tmp_path):
+    (tmp_path / "p.json").write_text(json.dumps(["say the cat sat", "a plain one", "refuse this", "the cat again"]))
+    (tmp_path / "old.jsonl").write_text(json.dumps({"prompt_id": "1", "generation": "", "status": "failed"}) + "\n{broken\n" + json.dumps({"generation": "no id"}))
+    (tmp_path / "bans.json").write_text(json.dumps([["the cat", 1.0]]))
+    settings = config.merged(config.Config(), {
+        "input_json": f"file://{tmp_path}/p.json", "output_jsonl": f"file://{tmp_path}/log", "ftpo_pairs_jsonl": f"file://{tmp_path}/pairs", "refusals_file": f"file://{tmp_path}/old.jsonl",
+        "slop_phrases_file": f"file://{tmp_path}/bans.json", "enable_refusal_detection": True, "top_k": 1, "min_p": None, "invert_probs": False, "prompt_template": "{prompt}!",
+    })
+    provider = repair.Recited(((" a", -0.5), (" some", -1.0), (" kind", -2.0)), chunk=3)
+    scorer = lambda: lambda prompts, answers: [("refusal", 0.95) if "refuse" in p else ("no", 0.5) for p in prompts]
+    totals = generate.run(spark, settings, provider, scorer).first()
+    assert (totals["prompts"], totals["succeeded"], totals["unsettled"]) == (4, 2, 0)
+    log = {r["prompt_id"]: r for r in records.generations(spark, f"file://{tmp_path}/log").collect()}
+    assert {k: (r["status"], r["generation"]) for k, r in log.items()} == {"0": ("success", "say a cat sat!"), "1": ("skipped", None), "2": ("failed", "refuse this!"), "3": ("success", " a cat again!")}
+    assert log["2"]["error"] == "refusal detected (refusal, p=0.950)" and log["1"]["error"] == "skipped -- prior refusal" and log["0"]["events"][0]["details"]["phrase"] == "the cat"
+    pairs = spark.read.json(f"file://{tmp_path}/pairs").orderBy("prompt_raw").collect()
+    assert [(r["context_with_chat_template"], r["rejected_raw"], r["chosen_raw"], r["multi_chosen_raw"]) for r in pairs] == [("say the cat sat!say", " the", " a", [" kind", " some"]), ("the cat again!", "the", " a", [" kind", " some"])]
+    assert generate.run(spark, settings, provider, scorer).first()["prompts"] == 0  # nothing is left
+    with pytest.raises(FileNotFoundError):
+        records.refusals(spark, f"file://{tmp_path}/none.jsonl")
+
+
+def test_a_scorer_that_fails(spark):
+    rows = spark.createDataFrame([(1, "p", "g")], "prompt_id long, prompt string, generation string")
+
+    def broken():
+        raise OSError("no model")
+
+    assert [tuple(r) for r in generate.scored(rows, broken).collect()] == [(1, "error", 0.0)]
+
+
+def test_one_prompt():
+    told = []
+    found = generate.one("see the cat", config.merged(config.Config(), {"top_k": 1, "min_p": None, "invert_probs": False}), match.Rules(("the cat",)), repair.RecitedStream(((" a", -0.5), (" dog", -1.0))), lambda i, e: told.append(e["type"]))
+    assert found["text"] == "see a cat" and told == ["phrase"]
+
+
+def test_datasets(spark, tmp_path):
+    rows = [{"conversations": [{"from": "human", "value": "hi"}]}, {"prompt": "p"}]
+    (tmp_path / "d/train").mkdir(parents=True)
+    (tmp_path / "d/train/a.jsonl").write_text("\n".join(map(json.dumps, rows)))
+    (tmp_path / "d/test").mkdir()
+    (tmp_path / "d/test/b.jsonl").write_text(json.dumps({"text": "t"}))
+    assert records.dataset(spark, f"file://{tmp_path}/d").count() == 2 and records.dataset(spark, f"file://{tmp_path}/d", "test").first()["text"] == "t"
+    assert records.dataset(spark, f"file://{tmp_path}/d", limit=1).count() == 1
+    settings = config.merged(config.Config(), {"input_hf_dataset": f"file://{tmp_path}/d"})
+    assert sorted(tuple(r) for r in generate.read_prompts(spark, settings).collect()) == [(0, "hi"), (1, "p")]
+    with pytest.raises(FileNotFoundError):
+        records.dataset(spark, f"file://{tmp_path}/p")
+
+
+def test_latest_timings(spark, tmp_path):
+    for name, at in (("a", 1_000_000), ("b", 2_000_000)):
+        (tmp_path / f"{name}.csv").write_text(f"chunk,ctx_len,api_sec,validators_sec\n0,{at // 1000},1.5,0.1\n")
+        os.utime(tmp_path / f"{name}.csv", (at, at))
+    assert [r["ctx_len"] for r in records.latest_timings(spark, f"file://{tmp_path}").collect()] == [2000]
+
+
+def test_writers(spark, tmp_path):
+    rows = spark.createDataFrame([(0, 10, 1.0, 0.5)], "chunk int, ctx_len int, api_sec double, validators_sec double")
+    records.write_timings(rows, f"file://{tmp_path}/t")
+    records.write_timings(rows, f"file://{tmp_path}/t")
+    assert records.latest_timings(spark, f"file://{tmp_path}/t").count() == 1
+    records.write_analysis({"bigrams": rows}, f"file://{tmp_path}/a")
+    assert spark.read.option("header", True).csv(f"file://{tmp_path}/a/bigrams").count() == 1
+
+
+def test_rates_by_hand(spark):
+    """Bursts that go across buckets of time, trailing windows of them, and the limit of entries, against a plain loop."""
+    random.seed(5)
+    rows, now = [], 0
+    for _ in range(1500):
+        now += random.choice([1_000, 4_000, 5_000, 6_000, 20_000, 400_000, 7_000_000])
+        rows.append(("k", now, random.randint(1, 5)))
+    held, want = [], []
+    for i, (_, us, n) in enumerate(rows):
+        if held and us - held[-1][2] <= 5_000:
+            held[-1] = (held[-1][0], held[-1][1] + n, us)
+        else:
+            held.append((us, n, us))
+        if i + 1 == len(rows) or rows[i + 1][1] - us > 5_000:
+            back = [(last, m) for _, m, last in held if last >= us - 5_000_000][-20:]
+            span = (us - back[0][0]) / 1e6
+            want.append((us, held[-1][1], round(sum(m for _, m in back) / span, 6) if span > 1e-6 else None))
+    df = spark.createDataFrame(rows, "key string, us long, tokens long")
+    got = [(r["us"], r["tokens"], r["rate"] and round(r["rate"], 6)) for r in metrics.smoothed_rate(df, "key", entries=20).orderBy("us").collect()]
+    assert got == want and sum(w[2] is not None for w in want) > 200
+
+
+def test_edits_of_token_lists(spark, tmp_path):
+    edits = [("append", None, "a"), ("append", None, " b"), ("append", None, " c"), ("replace", 1, " B"), ("commit", 1, " x"), ("append", None, " y"), ("truncate", 2, None), ("truncate", 9, None)]
+    states, now = [], []
+    for op, at, token in edits:
+        now = live.applied(now, op, at, token)
+        states.append("".join(now))
+    assert states == ["a", "a b", "a b c", "a B c", "a x", "a x y", "a x", "a x"]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.json").write_text("\n".join(json.dumps({"doc_id": 1, "seq": k, "op": op, "at": at, "token": t}) for k, (op, at, t) in enumerate(edits)))
+    stream = spark.readStream.schema(live.EDITS).json(f"file://{tmp_path}/in")
+    query = live.edited(stream).writeStream.format("memory").queryName("edits").outputMode("update").option("checkpointLocation", f"file://{tmp_path}/c").start()
+    query.processAllAvailable()
+    query.stop()
+    assert [(r["text"], r["tokens"]) for r in spark.sql("select * from edits").collect()] == [("a x", ["a", " x"])]
+
+
+def test_words_cut_by_the_stream(spark, tmp_path):
+    """Text that was handed out still tells that a word began there; what never ends is handed out after a while."""
+    (tmp_path / "in").mkdir()
+    parts = [(1, 0, "the scat sat", False), (1, 1, " on the mat", True), (2, 0, "the cat", False)]
+    (tmp_path / "in/a.json").write_text("\n".join(json.dumps({"doc_id": d, "seq": k, "text": t, "done": e}) for d, k, t, e in parts))
+    chunks = spark.readStream.schema("doc_id long, seq long, text string, done boolean").json(f"file://{tmp_path}/in")
+    query = live.checked(chunks, match.Rules(("cat",)), hold_back=7, forget="1 second").writeStream.format("memory").queryName("words").outputMode("append").option("checkpointLocation", f"file://{tmp_path}/c").start()
+    deadline = time.time() + 60  # timeouts go on making batches, so there is no end to wait for
+    while time.time() < deadline and spark.sql("select * from words where doc_id = 2 and done").isEmpty():
+        time.sleep(1)
+    query.stop()
+    got = spark.sql("select * from words where doc_id < 3 order by doc_id, done").collect()
+    assert ["".join(r["text"] for r in got if r["doc_id"] == d) for d in (1, 2)] == ["the scat sat on the mat", "the cat"]
+    assert [(r["doc_id"], r["hit_start"]) for r in got if r["hit_kind"]] == [(2, 4)] and got[-1]["done"] and got[-1]["seq"] is None
+
+
 def test_streams(spark, tmp_path):
     (tmp_path / "in").mkdir()
     rows = [{"ts": f"2024-01-01T00:00:{s:02d}.000Z", "key": "a", "tokens": 10} for s in (0, 1, 2, 50)]
@@ -156,11 +381,10 @@ def test_pairs_of_all_documents(spark, tmp_path):
     texts = [(7, "one two of the rest"), (8, "in the first place"), (900, "so it is, in the end"), (901, "nothing here"), (902, "one two of the rest")]
     spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"file://{tmp_path}/documents.parquet")
     spark.createDataFrame([(k * 10, [0.1 * k, 0.3, 0.2, 0.4, 0.1]) for k in range(3)], "vec_id long, embedding array<double>").write.parquet(f"file://{tmp_path}/embeddings.parquet")
-    got = {r["prompt_raw"]: r for r in catalogue.preference_pairs_whole(spark, f"file://{tmp_path}").collect()}
+    got = {r["prompt_raw"]: r for r in catalogue.preference_pairs(spark, f"file://{tmp_path}").collect()}
     assert {k: (r["generation_raw"], r["rejected_decoded"]) for k, r in got.items()} == {"7": ("one two", " of"), "8": ("", "in"), "900": ("so it is,", " in"), "902": ("one two", " of")}
     assert all(r["context_with_chat_template"] == k + r["generation_raw"] for k, r in got.items())
-    assert catalogue.pair_dedup_whole(spark, f"file://{tmp_path}").count() == 4
-    assert catalogue.preference_pairs(spark, f"file://{tmp_path}").count() == 0
+    assert catalogue.pair_dedup(spark, f"file://{tmp_path}").count() == 4
 
 
 def test_whole_answers(spark, tmp_path):
@@ -168,9 +392,9 @@ def test_whole_answers(spark, tmp_path):
 
     answer = " ".join(f"word{k}" for k in range(200))
     spark.createDataFrame([(1, 0, "user", "a question"), (1, 1, "assistant", answer)], "conv_id long, turn long, role string, text string").write.parquet(f"file://{tmp_path}/conversations.parquet")
-    found = catalogue.QUERIES["render_chat_whole"](spark, f"file://{tmp_path}").first()
+    found = catalogue.QUERIES["render_chat"](spark, f"file://{tmp_path}").first()
     assert found["rendered"] == f"<|system|>\nBe brief.\n<|user|>\na question\n<|assistant|>\n{answer}"
-    found = catalogue.QUERIES["classifier_input_whole"](spark, f"file://{tmp_path}").first()
+    found = catalogue.QUERIES["classifier_input"](spark, f"file://{tmp_path}").first()
     assert found["input"] == f"<|user|>\na question\n<|assistant|>\n{answer}"
 
 

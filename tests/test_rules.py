@@ -8,13 +8,11 @@ import unicodedata
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.operators import match, resolve
+from plumbline.operators import match, repair, resolve
 from plumbline.sources import rules as lists
 
-SHIPPED_LIKE = (
-    r"\bnot\s+(?:just|only|merely)?\s*(?:(?!but\b|[.?!]).){1,50}?[,;:]?\s*but\s+",
-    r"\bit'?s\s+not\s+(?:(?!it'?s\b|[.?!]).){1,50}?[,;]\s*it'?s\s+",
-)
+#: Patterns with look-ahead and with alternatives inside, for other turns of phrase.
+PATTERNS = (r"\bon\s+the\s+(?=one|other)\w+\s+hand\b", r"\beither\b(?![^.;]*\bnor\b)[^.;]{1,40}\bor\b", r"[(]a[)]|\[b\]")
 
 
 def first(spark, expression, *texts):
@@ -38,13 +36,75 @@ def test_longest_tie(spark):
 
 
 def test_regexes(spark):
-    rules = match.Rules(regexes=SHIPPED_LIKE)
-    got = first(spark, match.regex_first(F.col("text"), rules), "😀 it was not cold, but warm", "It's not about money; it's about love.", "Is not but")
-    assert got == [(9, SHIPPED_LIKE[0]), (0, SHIPPED_LIKE[1]), None]
+    rules = match.Rules(regexes=PATTERNS)
+    got = first(spark, match.regex_first(F.col("text"), rules), "😀 and then, on the other hand", "It is either this\nor that on the one hand", "either nor or", "see [b]", "see (a)", None)
+    assert got == [(12, PATTERNS[0]), (6, PATTERNS[1]), None, (4, PATTERNS[2]), (4, PATTERNS[2]), None]
     with pytest.raises(ValueError):
         match.regex_pattern([r"(a)\1"])
 
 
+def test_groups_and_invalid_patterns(spark):
+    """Parentheses in character classes are no groups; a pattern that does not compile is left out, and the others keep their numbers."""
+    rules = match.Rules(regexes=(r"[(]a", "(unclosed", r"(x)(?:y)(?P<n>z)", r"q"))
+    assert [k for k, _ in match.valid(rules.regexes)] == [0, 2, 3]
+    assert first(spark, match.regex_first(F.col("text"), rules), "a q", "an xyz", "b (a") == [(2, "q"), (3, r"(x)(?:y)(?P<n>z)"), (2, "[(]a")]
+    assert first(spark, match.regex_first(F.col("text"), match.Rules(regexes=("(",))), "(") == [None]
+
+
+def test_patterns_that_run_away(spark):
+    rules = match.Rules(regexes=(r"(?:a|a\B|aa)+[^ab ]", r"b\d"))
+    rows = spark.createDataFrame([(0, "a" * 60 + "b"), (1, "see b7"), (2, None), (3, "none")], "id long, text string")
+    got = match.regex_first_timed(rows, rules, seconds=0.3).orderBy("id").collect()
+    assert [(r["timed_out"], r["hit"] and r["hit"]["start"]) for r in got] == [(True, None), (False, 4), (False, None), (False, None)]
+    assert got[1]["hit"]["rule"] == r"b\d" and got[1]["hit"]["kind"] == "regex"
+
+
+def test_offsets_are_those_of_the_text(spark):
+    """A letter whose lower case is longer does not move what comes after it."""
+    assert first(spark, match.phrase_first(F.col("text"), match.Rules(("cat", "İx"))), "İİ the cat", "İ cat", "an İX") == [(7, "cat"), (2, "cat"), (3, "İx")]
+    assert first(spark, match.ngram_first(F.col("text"), match.Rules(ngrams=(("deep", "breath"),))), "İİ Deep breath") == [(3, "deep breath")]
+    hits = spark.createDataFrame([("İ cat cat",)], "text string").select(match.phrase_all(F.col("text"), match.Rules(("cat",))).alias("h")).first()["h"]
+    assert [h["start"] for h in hits] == [2, 6]
+
+
+def test_many_hits_in_one_text(spark):
+    text = "a cat, " * 1500
+    hits = spark.createDataFrame([(text,)], "text string").select(match.phrase_all(F.col("text"), match.Rules(("cat",))).alias("h")).first()["h"]
+    assert [h["start"] for h in hits] == list(range(2, len(text), 7))
+
+
+@pytest.mark.parametrize("tie", ["shortest", "longest"])
+def test_columns_and_loop_agree(spark, tie):
+    """The rules as columns and as the loop's matcher: the same first hit of each kind, on random texts."""
+    random.seed(11)
+    rules = match.Rules(("b a", "b", "ab c", "é"), (r"a[bc]+\b", r"c{2,}"), (("ab", "c"), ("c", "ab"), ("c", "ab", "é")), tie=tie)
+    texts = ["".join(random.choice(["a", "b", "c", " ", " ", "é", "İ", "-", "\n", "ab", " c ", "AB"]) for _ in range(random.randint(0, 14))) for _ in range(800)]
+    own = repair.Matcher(rules)
+    rows = match.first_hits(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), rules).orderBy("id").collect()
+    some = 0
+    for r in rows:
+        want = {}
+        for start, kind, _, length, rule, key in sorted(own.hits(r["text"])):
+            want.setdefault(own.kinds[kind], (start, length, rule, key))
+        got = {h["kind"]: (h["start"], h["length"], h["rule"], h["detail_key"]) for h in r["hits"]}
+        assert got == want, r["text"]
+        some += len(want)
+    assert some > 400
+
+
+def test_matching_goes_on_where_a_text_grew():
+    """Hits found again only from where a text changed are those that a search of the whole text would find from there on."""
+    random.seed(12)
+    own = repair.Matcher(match.Rules(("b a", "ab c d"), (), (("ab", "c"), ("d", "ab", "c"))))
+    for _ in range(600):
+        before = "".join(random.choice(["a", "b", "c", "d", " ", " ", "the ", "-"]) for _ in range(random.randint(0, 60)))
+        after = before + "".join(random.choice(["a", "b", "c", "d", " ", "the "]) for _ in range(random.randint(1, 8)))
+        known = set(own.hits(before)) - set(own.hits(after))
+        new = set(own.hits(after)) - set(own.hits(before))
+        assert new <= set(own.hits(after, len(before)))
+        assert all(h[0] + h[3] >= len(before) - 1 or h[1] == 2 for h in known)
+
+
 def test_ngrams(spark):
     assert first(spark, match.ngram_first(F.col("text"), match.Rules(ngrams=(("took", "deep", "breath"),))), "He took a deep breath") == [(3, "took deep breath")]
     kept = match.Rules(ngrams=(("could", "help"), ("could", "help", "feel")), remove_stopwords=False)
@@ -92,6 +152,16 @@ def test_suppression(spark):
     assert resolve.masked(hits, gone).count() == 0
 
 
+def test_suppression_within_rows(spark):
+    rules = match.Rules(("cat",), (), (("big", "cat"),))
+    docs = spark.createDataFrame([(1, "cat and big cat"), (2, "cat"), (3, "none"), (4, None)], "doc_id long, text string")
+    hits = F.concat(match.phrase_all(F.col("text"), rules), F.transform(match.ngram_hits(F.col("text"), rules), lambda h: match.ngram_of(F.col("text"), h, rules)).cast(f"array<{match.HIT}>"))
+    gone = spark.createDataFrame([(1, "phrase", 0, "cat"), (2, "phrase", 0, "cat"), (9, "phrase", 0, "x")], "doc_id long, kind string, token int, detail_key string")
+    rows = docs.withColumn("found", resolve.placed(hits, F.col("text"))).join(resolve.suppressed_lists(gone), "doc_id", "left")
+    got = {r["doc_id"]: (r["a"] and r["a"]["token"], r["b"] and r["b"]["hit"]["kind"]) for r in rows.select("doc_id", resolve.first_unsuppressed(F.col("found"), F.col("suppressed")).alias("a"), resolve.first_masked(F.col("found"), F.col("suppressed")).alias("b")).collect()}
+    assert got == {1: (2, "ngram"), 2: (None, None), 3: (None, None), 4: (None, None)}
+
+
 def test_lists():
     assert lists.phrases([["Cat", 2], ["dog"], ["cat", 3], 5, [7]]) == {"cat": 3.0, "dog": 0.0}
     assert lists.phrases([["a"], ["b"]], 1) == {"a": 0.0}
