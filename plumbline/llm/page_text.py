@@ -3,9 +3,14 @@
 A page is parsed into a tree that forgives missing and misplaced end tags. Paragraphs earn
 points for their length and their commas and pass them to their ancestors, less at each step.
 An ancestor's points are discounted by the share of its text that lies in links. The container
-with most points is kept, with those of its siblings that score near it or read like prose. If
-it lies within an article, that is kept whole instead. In what is kept, what is not running text
-(menus, forms, notices, adverts, comments) is left out.
+with most points is kept, with those of its siblings that score near it or read like prose, and
+with the headings, lists, tables and other text that lie among or right beside them. If it lies
+within an article, that is kept whole instead. In what is kept, what is not running text (menus,
+forms, notices, adverts, comments) is left out.
+
+Class words tell adverts and comments. Words that an article may use of its own parts as well
+(``related``, ``search``) count inside one only where an element has little text or mostly links.
+Parsing, measuring and scoring each pass once over a page, however deep its elements are nested.
 """
 
 from __future__ import annotations
@@ -13,6 +18,7 @@ from __future__ import annotations
 import html as entities
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,8 +43,24 @@ IMPLIED = {
 }
 #: Elements that hold no running text.
 DROPPED = RAW | frozenset("head nav aside footer form button select option input label fieldset legend menu dialog template svg canvas object embed audio video map datalist".split())
-#: Words of class, id or role by which sites mark what is not the article, and what is.
-UNWANTED = re.compile(
+#: Words of class, id or role by which sites mark what is not the article.
+MARKED = frozenset(
+    "ad ads adsense adslot banner cookie cookies consent gdpr notice popup modal newsletter signup login comment comments commentlist disqus respond replies sidebar nav navbar "
+    "navigation menu breadcrumb breadcrumbs pagination pager footer masthead topbar hidden complementary contentinfo".split()
+)
+MARKED_BEGINNING = ("advert", "sponsor", "promo", "subscri")
+#: Words that may also name parts of an article: inside one, and on paragraphs, quotations, lists and tables, they count only with little text or many links.
+DOUBTFUL = frozenset("related search share sharing social tags widget toolbar rail overlay discussion header recommended recommendations recommend".split())
+#: Words beside those that change nothing: ``ad-box`` is an ``ad``, but ``notice-period`` is no ``notice``.
+BESIDE = frozenset(
+    "box wrap wrapper container block area section bar list item items inner outer content links posts post buttons button icons top bottom left right center main site form page global "
+    "primary secondary message text label unit slot region module group panel title heading sticky fixed side skip link sr only screen reader row col js the and of no".split()
+)
+#: Compounds of such words that do mark.
+COMPOUND = frozenset("side-bar skip-link sr-only screen-reader-text site-header page-header top-bar".split())
+#: An element marked by a doubtful word goes if it has fewer characters than this or this share of them in links.
+LITTLE, LINKED = 100, 0.3
+WANTED = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notice|popup|modal|overlay|newsletter|subscri\w+|signup|login|comments?|commentlist|disqus|respond|replies|discussion"
     r"|sidebar|side-bar|rail|widget|nav|navbar|navigation|menu|breadcrumbs?|pagination|pager|toolbar|share|sharing|social|related|recommend\w*|footer|masthead|site-header|page-header|topbar|search|skip-link|tags|hidden|screen-reader-text|sr-only|complementary|contentinfo)(?:[\s_-]|$)",
     re.I,
@@ -46,7 +68,13 @@ UNWANTED = re.compile(
 WANTED = re.compile(r"(?:^|[\s_-])(?:article|body|content|entry|hentry|main|page|post|story|text|blog)(?:[\s_-]|$)", re.I)
 _HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
-_MARK = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+# A quoted value ends at a quote that something else may follow; where quotes do not close so, the tag ends at the next ">".
+_AFTER = r"(?=[\s/>]|[\w:.-]+\s*=|\Z)"
+_MARK = re.compile(
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*(?:>|\Z)"
+    rf"|<(/?)([A-Za-z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"{_AFTER}|'[^']*+'{_AFTER})*+(?=>|\Z)|[^>]*+)(?:>|\Z)",
+    re.S,
+)
 _ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _SPACE = re.compile(r"\s+")
 
@@ -57,181 +85,269 @@ ROLE = {"article": 25.0, "main": 25.0, "section": 3.0, "div": 3.0, "blockquote":
 SIBLING, LEAST = 0.2, 10.0
 
 
+#: What may be kept beside the best container; headings are if something kept follows them.
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+PROSE = frozenset("p pre ul ol dl table blockquote figure".split())
+_SCORED = frozenset("p pre td blockquote div section article dd li".split())
+_LEAVES = frozenset("p pre td blockquote dd li".split())
+_WORD = re.compile(r"[A-Za-z][a-z]*|[0-9]+")
+
+
 class Node:
-    """An element: its children are nodes and strings."""
+    """An element: its children are nodes and strings. Measures are those of all its text that is not left out."""
 
-    __slots__ = ("attributes", "children", "parent", "score", "tag")
+    __slots__ = ("articles", "attributes", "chars", "children", "commas", "left_out", "links", "parent", "score", "tag", "titled")
 
     def __init__(self, tag: str, parent: Node | None, attributes: dict[str, str]):
         self.tag, self.parent, self.attributes = tag, parent, attributes
         self.children: list[Node | str] = []
         self.score: float | None = None
+        self.chars = self.links = self.commas = self.articles = 0
+        self.left_out = self.titled = False
+
+    @property
+    def density(self) -> float:
+        """The share of the text that lies in links."""
+        return self.links / self.chars if self.chars else 0.0
+
+
+class _Tree:
+    """The tree being built: the open elements, and how many of each tag are open."""
+
+    def __init__(self):
+        self.root = self.now = Node("#root", None, {})
+        self.open: dict[str, int] = {}
+
+    def enter(self, node: Node) -> None:
+        self.now = node
+        self.open[node.tag] = self.open.get(node.tag, 0) + 1
+
+    def leave(self, to: Node) -> None:
+        """Close elements until ``to`` is the innermost open one."""
+        while self.now is not to:
+            self.open[self.now.tag] -= 1
+            self.now = self.now.parent
+
+    def end(self, tag: str) -> None:
+        """An end tag closes the nearest such element, unless a block lies between an inline one and it."""
+        if not self.open.get(tag):
+            return
+        node = self.now
+        while node.tag != tag:
+            if tag not in BLOCK and node.tag in BLOCK:
+                return
+            node = node.parent
+        self.leave(node.parent)
+
+    def start(self, tag: str) -> None:
+        """Close what a start tag implies to be over."""
+        if tag in CLOSES_P and self.open.get("p"):
+            node = self.now
+            while node.tag != "#root" and (node.tag not in BLOCK or node.tag == "p"):
+                if node.tag == "p":
+                    self.leave(node.parent)
+                    break
+                node = node.parent
+        if tag in IMPLIED and any(self.open.get(t) for t in IMPLIED[tag][0]):
+            ends, fences = IMPLIED[tag]
+            node, out = self.now, None
+            while node.tag not in fences and node.tag != "#root":
+                if node.tag in ends:
+                    out = node.parent
+                node = node.parent
+            if out is not None:
+                self.leave(out)
 
 
 def parse(source: str) -> Node:
     """The tree of a page."""
-    root = now = Node("#root", None, {})
-    at, low = 0, None
+    tree, at = _Tree(), 0
+    ends: dict[str, re.Pattern] = {}
     while True:
         m = _MARK.search(source, at)
         text = source[at : m.start() if m else len(source)]
         if text:
-            now.children.append(entities.unescape(text) if "&" in text else text)
+            tree.now.children.append(entities.unescape(text) if "&" in text else text)
         if m is None:
-            return root
+            return tree.root
         at = m.end()
         if m[1] is not None:
-            now.children.append(m[1])
+            tree.now.children.append(m[1])
         tag = m[3] and m[3].lower()
         if not tag:
             continue
         if m[2]:
-            now = _ended(now, tag)
+            tree.end(tag)
             continue
-        now = _before(now, tag)
-        node = Node(tag, now, {k.lower(): entities.unescape(a or b or c or "") for k, a, b, c in _ATTRIBUTE.findall(m[4])} if m[4] and not m[4].isspace() else {})
-        now.children.append(node)
+        tree.start(tag)
+        node = Node(tag, tree.now, {k.lower(): entities.unescape(a or b or c or "") for k, a, b, c in _ATTRIBUTE.findall(m[4])} if m[4] and not m[4].isspace() else {})
+        tree.now.children.append(node)
         if tag in RAW:
-            low = low if low is not None else source.lower()
-            # Case mapping may change a text's length; then the end tag is sought without it.
-            end = low.find(f"</{tag}", at) if len(low) == len(source) else next((x.start() for x in re.finditer(f"</{tag}", source[at:], re.I)), -1 - at) + at
-            close = source.find(">", end) if end >= 0 else -1
-            inner = source[at : end if end >= 0 else len(source)]
+            # What is no markup goes on to its end tag; without one, to the end.
+            end = (ends.get(tag) or ends.setdefault(tag, re.compile(rf"</{tag}(?![A-Za-z0-9-])[^>]*(?:>|\Z)", re.I))).search(source, at)
+            inner = source[at : end.start() if end else len(source)]
             node.children.append(entities.unescape(inner) if tag in ("title", "textarea") else inner)
-            at = close + 1 if close >= 0 else len(source)
+            at = end.end() if end else len(source)
         elif tag not in VOID:
-            now = node
-
-
-def _ended(now: Node, tag: str) -> Node:
-    """Where an end tag leads: out of the nearest such element, within the nearest cell or list that can hold it."""
-    node: Node | None = now
-    while node is not None and node.tag != "#root":
-        if node.tag == tag:
-            return node.parent or node
-        if tag not in BLOCK and node.tag in BLOCK:
-            return now
-        node = node.parent
-    return now
-
-
-def _before(now: Node, tag: str) -> Node:
-    """Where a start tag belongs, after the end tags that it implies."""
-    if tag in CLOSES_P:
-        node: Node | None = now
-        while node is not None and (node.tag not in BLOCK or node.tag == "p"):
-            if node.tag == "p":
-                now = node.parent or node
-                break
-            node = node.parent
-    if tag in IMPLIED:
-        ends, fences = IMPLIED[tag]
-        node, out = now, None
-        while node is not None and node.tag not in fences and node.tag != "#root":
-            if node.tag in ends:
-                out = node.parent
-            node = node.parent
-        now = out or now
-    return now
+            tree.enter(node)
 
 
-def unwanted(node: Node) -> bool:
-    """Whether an element holds no running text of the article."""
-    if node.tag in DROPPED:
+@lru_cache(4096)
+def marked(marks: str) -> tuple[bool, bool]:
+    """Whether a word of class, id or role marks what is not the article, and whether a doubtful one does."""
+    sure = doubtful = False
+    for word in marks.lower().split():
+        if word in COMPOUND:
+            sure = True
+            continue
+        parts = _WORD.findall(word)
+        told = [p in MARKED or p.startswith(MARKED_BEGINNING) for p in parts]
+        maybe = [p in DOUBTFUL for p in parts]
+        if all(t or d or p in BESIDE or p.isdigit() for t, d, p in zip(told, maybe, parts, strict=True)):
+            sure, doubtful = sure or any(told), doubtful or any(maybe)
+    return sure, doubtful
+
+
+def _marks(node: Node) -> str:
+    a = node.attributes
+    return f"{a.get('class', '')} {a.get('id', '')} {a.get('role', '')}"
+
+
+def _left_out(node: Node, inside: bool) -> bool:
+    """Whether an element, whose content is measured, holds no running text of the article. ``inside``: it lies in an article."""
+    if node.tag in DROPPED or (node.tag == "header" and not inside):
         return True
-    if node.tag == "header":  # a site's, unless it heads the article itself
-        up = node.parent
-        while up is not None and up.tag not in ("article", "main"):
-            up = up.parent
-        if up is None:
-            return True
     a = node.attributes
     if not a:
         return False
     if "hidden" in a or a.get("aria-hidden") == "true" or _HIDING.search(a.get("style", "")):
         return True
-    marks = f"{a.get('class', '')} {a.get('id', '')} {a.get('role', '')}"
-    return node.tag not in ("html", "body", "article", "main") and bool(UNWANTED.search(marks)) and not (WANTED.search(marks) and node.tag == "p")
-
-
-def _measures(root: Node) -> dict[int, tuple[int, int, int]]:
-    """For each element that is not left out: characters, characters in links, commas."""
-    out: dict[int, tuple[int, int, int]] = {}
-    stack: list[tuple[Node, bool, bool]] = [(root, False, False)]
-    while stack:
-        node, link, done = stack.pop()
-        if done:
-            chars = links = commas = 0
-            for c in node.children:
-                if isinstance(c, str):
-                    n = len(_SPACE.sub(" ", c)) if not c.isspace() else 0
-                    chars, links, commas = chars + n, links + n * link, commas + c.count(",") + c.count("，") + c.count("、")
-                elif id(c) in out:
-                    a, b, d = out[id(c)]
-                    chars, links, commas = chars + a, links + b, commas + d
-            out[id(node)] = chars, links, commas
-        else:
-            link = link or node.tag == "a"
-            stack.append((node, link, True))
-            stack.extend((c, link, False) for c in node.children if isinstance(c, Node) and not unwanted(c))
-    return out
-
-
-def _density(measure: tuple[int, int, int]) -> float:
-    return measure[1] / measure[0] if measure[0] else 0.0
+    if node.tag in ("html", "body", "article", "main"):
+        return False
+    sure, doubtful = marked(_marks(node))
+    if inside and node.titled:  # it holds the article's title
+        return False
+    if sure:
+        return not (node.tag == "p" and WANTED.search(_marks(node)))
+    return doubtful and (not inside and node.tag not in PROSE or node.chars < LITTLE or node.density >= LINKED)
 
 
-def best_containers(root: Node) -> list[Node]:
-    """The best container and the siblings kept with it, in page order; none if nothing reads like a paragraph."""
-    measures = _measures(root)
+def measure(root: Node) -> list[Node]:
+    """Sets measures, points and what is left out, in one pass; the elements that have points, in page order of their ends."""
     scored: list[Node] = []
-    stack = [root]
+    passed: dict[int, list[float]] = {}  # points that paragraphs gave to an element, and those that came from further below
+    stack: list[tuple[Node, bool, bool, int]] = [(root, False, False, -1)]
     while stack:
-        node = stack.pop()
-        if id(node) not in measures:
+        node, link, inside, begun = stack.pop()
+        if begun < 0:
+            link, within = link or node.tag == "a", inside or node.tag in ("article", "main")
+            stack.append((node, link, inside, len(scored)))
+            if node.tag not in DROPPED:
+                stack.extend((c, link, within, -1) for c in reversed(node.children) if isinstance(c, Node))
             continue
-        inner = [c for c in node.children if isinstance(c, Node)]
-        stack.extend(inner)
-        chars, _, commas = measures[id(node)]
-        if node.tag not in ("p", "pre", "td", "blockquote", "div", "section", "article", "dd", "li") or chars < SHORTEST or (node.tag not in ("p", "pre") and any(c.tag in BLOCK for c in inner)):
+        block_inside = False
+        own = passed.pop(id(node), [0.0, 0.0])
+        for c in node.children:
+            if isinstance(c, str):
+                if not c.isspace():
+                    n = len(_SPACE.sub(" ", c))
+                    node.chars, node.links, node.commas = node.chars + n, node.links + n * link, node.commas + c.count(",") + c.count("，") + c.count("、")
+            elif not c.left_out:
+                node.chars, node.links, node.commas, node.articles = node.chars + c.chars, node.links + c.links, node.commas + c.commas, node.articles + c.articles
+                node.titled = node.titled or c.titled or (c.tag == "h1" and c.chars > 0)
+            block_inside = block_inside or isinstance(c, Node) and c.tag in BLOCK
+        node.left_out = _left_out(node, inside)
+        if node.left_out:
+            del scored[begun:]
             continue
-        points = (1 + commas + min(MOST, chars / PER)) * (1 - _density(measures[id(node)]))
-        up, step = node.parent if node.tag in ("p", "pre", "td", "blockquote", "dd", "li") else node, 1.0
-        while up is not None and up.tag not in ("#root", "html"):
-            if up.score is None:
-                marks = f"{up.attributes.get('class', '')} {up.attributes.get('id', '')}"
-                up.score = ROLE.get(up.tag, 0.0) + (25.0 if WANTED.search(marks) else 0.0)
-                scored.append(up)
-            up.score += points * step
-            step = 0.5 if step == 1.0 else step / 1.5
-            up = up.parent
+        node.articles += node.tag == "article"
+        if node.tag in _SCORED and node.chars >= SHORTEST and (node.tag in ("p", "pre") or not block_inside):
+            points = (1 + node.commas + min(MOST, node.chars / PER)) * (1 - node.density)
+            if node.tag in _LEAVES:
+                if node.parent is not None:
+                    passed.setdefault(id(node.parent), [0.0, 0.0])[0] += points
+            else:
+                own[0] += points
+        if (own[0] or own[1]) and node.tag not in ("#root", "html"):
+            marks = f"{node.attributes.get('class', '')} {node.attributes.get('id', '')}"
+            node.score = (ROLE.get(node.tag, 0.0) + (25.0 if WANTED.search(marks) else 0.0) + own[0] + own[1]) * (1 - node.density)
+            scored.append(node)
+            if node.parent is not None:
+                passed.setdefault(id(node.parent), [0.0, 0.0])[1] += own[0] * 0.5 + own[1] / 1.5
+    return scored
+
+
+def best_containers(root: Node) -> list[Node | str]:
+    """The best container and what is kept with it, in page order; none if nothing reads like a paragraph."""
+    scored = measure(root)
     if not scored:
         return []
-    final = {id(n): (n.score or 0.0) * (1 - _density(measures[id(n)])) for n in scored}
-    order = {id(n): k for k, n in enumerate(_ordered(root))}
-    top = max(scored, key=lambda n: (final[id(n)], -order[id(n)]))
+    top = max(scored, key=lambda n: n.score)
     if (article := enclosing(top)) is not None:
         return [article]
-    if top.parent is None:
-        return [top]
-    kept, least = [], max(LEAST, SIBLING * final[id(top)])
-    for c in top.parent.children:
-        if isinstance(c, Node) and id(c) in measures:
-            chars = measures[id(c)][0]
-            prose = c.tag == "p" and (chars > 80 and _density(measures[id(c)]) < 0.25 or 0 < chars <= 80 and measures[id(c)][1] == 0)
-            if c is top or final.get(id(c), 0.0) >= least or prose:
-                kept.append(c)
+    if top.tag in ("article", "main"):  # others like it count as far as they score
+        least = max(LEAST, SIBLING * top.score)
+        return [c for c in top.parent.children if c is top or isinstance(c, Node) and c.tag == top.tag and not c.left_out and (c.score or 0.0) >= least]
+    kept, at = _beside(top), top
+    while at.parent.tag not in ("#root", "html", "body"):
+        at = at.parent
+        kept = _headings_before(at) + kept
     return kept
 
 
+#: Left out themselves, they part what is above them from what is below.
+_FENCES = frozenset("nav header footer".split())
+
+
+def _around(node: Node) -> list[Node | str]:
+    """An element and its siblings that have text, or are fences."""
+    return [c for c in node.parent.children if c is node or (not c.isspace() if isinstance(c, str) else c.tag in _FENCES or not c.left_out and c.chars)]
+
+
+def _plain(c: Node | str) -> bool:
+    return isinstance(c, str) or not c.left_out and c.density < 0.5
+
+
+def _headings_before(node: Node) -> list[Node | str]:
+    """The headings right before an element."""
+    around = _around(node)
+    high = low = next(k for k, c in enumerate(around) if c is node)
+    while low and isinstance(around[low - 1], Node) and around[low - 1].tag in HEADINGS and _plain(around[low - 1]):
+        low -= 1
+    return around[low:high]
+
+
+def _beside(top: Node) -> list[Node | str]:
+    """The best container with what is kept of its siblings.
+
+    Those that score near it, and paragraphs of prose, span a run; all text in that run is kept,
+    and so are headings right before it, and prose, lists and tables right after it.
+    """
+    around, least = _around(top), max(LEAST, SIBLING * top.score)
+
+    def good(c: Node | str) -> bool:
+        if c is top or isinstance(c, str) or c.left_out:
+            return c is top
+        prose = c.tag == "p" and (c.links == 0 if c.chars <= 80 else c.density < 0.25)
+        return prose or (c.score or 0.0) >= least
+
+    spots = [k for k, c in enumerate(around) if good(c)]
+    low, high = spots[0], spots[-1]
+    before = _headings_before(around[low])
+    end = high
+    while end + 1 < len(around) and isinstance(around[end + 1], Node) and _plain(around[end + 1]) and around[end + 1].tag in HEADINGS | PROSE:
+        end += 1
+        if around[end].tag in PROSE:  # a heading counts if something follows it
+            high = end
+    return before + [c for k, c in enumerate(around[low : high + 1], low) if k in spots or _plain(c)]
+
+
 def enclosing(node: Node) -> Node | None:
     """The article that an element lies within: the nearest ``article``, or ``main`` if that has no other one; none if there is neither."""
-    found: Node | None = None
+    found: Node | None = node if node.tag in ("article", "main") else None
     up = node.parent
-    if node.tag in ("article", "main"):
-        found = node
     while up is not None:
-        if up.tag == "article" and found is None or up.tag == "main" and sum(n.tag == "article" and not unwanted(n) for n in _ordered(up)) <= 1:
+        if up.tag == "article" and found is None or up.tag == "main" and up.articles <= 1:
             found = up
         up = up.parent
     # An article by itself may have others like it beside it.
@@ -246,7 +362,7 @@ def _ordered(root: Node) -> Iterator[Node]:
         stack.extend(c for c in reversed(node.children) if isinstance(c, Node))
 
 
-def blocks(nodes: list[Node]) -> list[str]:
+def blocks(nodes: list[Node | str]) -> list[str]:
     """The texts of blocks in page order, white space made single, empty ones left out."""
     out: list[str] = []
     open_text: list[str] = []
@@ -266,7 +382,7 @@ def blocks(nodes: list[Node]) -> list[str]:
             open_text.append(x)
         elif x.tag == "br":
             open_text.append(" ")
-        elif not unwanted(x):
+        elif not x.left_out:
             if x.tag in BLOCK or x.tag == "#root":
                 end()
                 stack.append(None)
@@ -276,7 +392,7 @@ def blocks(nodes: list[Node]) -> list[str]:
 
 
 def main_text(source: str | None) -> str:
-    """The article of a page: its blocks joined by two line ends; empty if there is none."""
+    """The article of a page: its blocks joined by two line ends; empty if there is none. Of equal scores, the container that ends first is best."""
     if not source:
         return ""
     root = parse(source)
