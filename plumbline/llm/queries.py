@@ -83,7 +83,7 @@ def op6_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in all documents; the base kinds' digest and all spans."""
     base = [r.kind for r in secret_scan.BASE]
-    found = secret_scan.scan(table(spark, sf_dir, "documents"))
+    found = secret_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     of = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
     digest = F.sha2(secret_scan.told(F.filter("spans", lambda s: s["kind"].isin(base))), 256)
     return found.select("doc_id", *[of(kind).alias(f"n_{kind}") for kind in base], digest.alias("base_sha256"), secret_scan.told(F.col("spans")).alias("spans"))

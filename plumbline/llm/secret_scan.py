@@ -1,9 +1,9 @@
 """Secret scans through a trigram inverted index.
 
 From each rule's regex a Boolean query over trigrams is derived: whatever the regex matches
-contains those trigrams, in lower case. The index holds posting lists (trigram, block of
-documents) of the trigrams that some rule's query names; a posting of any other trigram could
-never be consulted. Within each block, posting lists are intersected and united as the queries
+contains those trigrams, in lower case. One pass over each text's trigrams gives the index: posting
+lists (trigram, block of documents) of those that some rule's query names; a posting of any other
+trigram could never be consulted. Within each block, posting lists are intersected and united as the queries
 say, and the rules are run over the candidates only. A rule without mandatory trigrams scans
 every text. Blocks are dealt by a hash of the row, so no posting list grows with a frequent
 trigram, only with the block.
@@ -15,13 +15,15 @@ plain Python, when the plan is made.
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.functions.text import let, parted
+
 try:
     from re import _constants as sre
     from re import _parser as parser
@@ -163,12 +165,23 @@ def named(query) -> set[str]:
     return set() if query is True else {query} if isinstance(query, str) else set().union(*map(named, query[1]))
 
 
+def _literal(s: str) -> str:
+    return "".join(c if c.isalnum() else f"\\x{{{ord(c):x}}}" for c in s)
+
+
+def at_each_place(trigrams: Sequence[str]) -> str:
+    """A pattern that matches wherever one of the trigrams begins, and captures it without going past it."""
+    by_first: dict[str, list[str]] = {}
+    for g in sorted(trigrams):
+        by_first.setdefault(g[0], []).append(g[1:])
+    return "(?=(" + "|".join(_literal(c) + "(?:" + "|".join(map(_literal, rest)) + ")" for c, rest in by_first.items()) + "))"
+
+
 def postings(rows: DataFrame, trigrams: Sequence[str], blocks: int) -> DataFrame:
     """``block, trigram, rows``: the inverted index of ``row_key, text`` for these trigrams."""
-    low = rows.select("row_key", F.lower("text").alias("low"))
-    found = low.select("row_key", F.array_compact(F.array(*[F.when(F.contains("low", F.lit(g)), F.lit(g)) for g in trigrams])).alias("found"))
+    found = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(at_each_place(trigrams)), F.lit(1)))
     block = F.pmod("row_key", F.lit(blocks)).cast("int").alias("block")
-    return found.select(block, "row_key", F.explode("found").alias("trigram")).groupBy("block", "trigram").agg(F.collect_set("row_key").alias("rows"))
+    return rows.select(block, "row_key", F.explode(found).alias("trigram")).groupBy("block", "trigram").agg(F.collect_set("row_key").alias("rows"))
 
 
 def _answer(query, index: Column) -> Column:
@@ -195,6 +208,9 @@ def candidates(rows: DataFrame, rules: Sequence[Rule]) -> DataFrame | None:
     return per_block.select(F.explode(F.flatten(answers)).alias("hit")).groupBy("hit.row_key").agg(F.collect_set("hit.kind").alias("kinds"))
 
 
+_SPANS = "array<struct<start:int,order:int,kind:string,end:int>>"
+
+
 def spans_of(rule: Rule, order: int, text: Column) -> Column:
     """``array<struct<start, order, kind, end>>`` of a rule's leftmost matches, in code points.
 
@@ -206,8 +222,6 @@ def spans_of(rule: Rule, order: int, text: Column) -> Column:
     value = F.transform(F.regexp_extract_all(text, pattern, F.lit(rule.value)), lambda m: F.length(m)) if rule.value else match
     gap = F.transform(F.split(text, rule.java, -1), lambda g: F.length(g))
     steps = F.arrays_zip(gap.alias("gap"), match.alias("match"), value.alias("value"))
-    empty = F.array().cast("array<struct<start:int,order:int,kind:string,end:int>>")
-    begun = F.struct(F.lit(0).alias("at"), empty.alias("spans"))
 
     def step(state, x):
         start = state["at"] + x["gap"]
@@ -216,7 +230,13 @@ def spans_of(rule: Rule, order: int, text: Column) -> Column:
         kept = x["match"].isNotNull() & (x["value"] >= rule.least)
         return F.struct(end.alias("at"), F.when(kept, F.concat(state["spans"], F.array(span))).otherwise(state["spans"]).alias("spans"))
 
-    return F.when(F.coalesce(text.rlike(rule.java), F.lit(False)), F.aggregate(steps, begun, step, lambda s: s["spans"])).otherwise(empty)
+    moved = lambda at, x: at + x["gap"] + F.coalesce(x["match"], F.lit(0))
+    found = parted(steps, moved, lambda part, at: F.aggregate(part, F.struct(at.alias("at"), _none().alias("spans")), step, lambda s: s["spans"]))
+    return F.when(F.coalesce(text.rlike(rule.java), F.lit(False)), F.flatten(found)).otherwise(_none())
+
+
+def _none(kind: str = _SPANS) -> Column:
+    return F.array().cast(kind)
 
 
 def scan(docs: DataFrame, rules: Sequence[Rule] = BASE + EXTRA, into: str = "spans") -> DataFrame:
@@ -232,12 +252,11 @@ def scan(docs: DataFrame, rules: Sequence[Rule] = BASE + EXTRA, into: str = "spa
     packed = docs.select(F.struct("*").alias("_doc"), key.alias("_key"))
     joined = packed.join(found.select(F.col("row_key").alias("_key"), F.col("kinds").alias("_kinds")), "_key", "left") if found is not None else packed.withColumn("_kinds", F.lit(None).cast("array<string>"))
     text = F.coalesce(F.col("_doc.text"), F.lit(""))
-    empty = F.array().cast("array<struct<start:int,order:int,kind:string,end:int>>")
     parts = []
     for order, rule in enumerate(rules):
         spans = spans_of(rule, order, text)
-        parts.append(spans if rule.kind in full else F.when(F.coalesce(F.array_contains("_kinds", rule.kind), F.lit(False)), spans).otherwise(empty))
-    return joined.select(*[F.col("_doc")[c].alias(c) for c in docs.columns if c != into], F.array_sort(F.concat(*parts)).alias(into))
+        parts.append(spans if rule.kind in full else F.when(F.coalesce(F.array_contains("_kinds", rule.kind), F.lit(False)), spans).otherwise(_none()))
+    return joined.select(*[F.col("_doc")[c].alias(c) for c in docs.columns if c.lower() != into.lower()], F.array_sort(F.concat(*parts)).alias(into))
 
 
 def told(spans: Column) -> Column:
@@ -246,14 +265,31 @@ def told(spans: Column) -> Column:
 
 
 def redact(docs: DataFrame, rules: Sequence[Rule] = TAKEN_OUT, mark: str = "[SECRET]") -> DataFrame:
-    """``docs`` with every span of its text replaced by ``mark``; overlapping spans become one mark."""
-    state = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    """``docs`` with every span of its text replaced by ``mark``; overlapping spans become one mark.
 
-    def step(s, x):
-        opens = x["start"] >= s["at"]
-        out = F.when(opens, F.concat(s["out"], F.array(F.substring(F.col("text"), s["at"] + 1, x["start"] - s["at"]), F.lit(mark)))).otherwise(s["out"])
-        return F.struct(F.greatest(s["at"], x["end"]).alias("at"), out.alias("out"))
+    Null texts stay null. Own columns may have any names. Texts are read whole, and the work is in
+    proportion to a text's length and to its secrets.
+    """
+    into = "_spans"
+    while into.lower() in [c.lower() for c in docs.columns]:
+        into = f"_{into}"
+    pair = "array<struct<from:int,to:int>>"
 
-    rest = lambda s: F.concat(F.array_join(s["out"], ""), F.substring(F.col("text"), s["at"] + 1, F.length("text")))
-    found = scan(docs, rules, "_spans")
-    return found.withColumn("text", F.when(F.size("_spans") > 0, F.aggregate("_spans", state, step, rest)).otherwise(F.col("text"))).select(*docs.columns)
+    def step(s, x):
+        gap = F.struct(s["at"].alias("from"), x["start"].alias("to"))
+        return F.struct(F.greatest(s["at"], x["end"]).alias("at"), F.when(x["start"] >= s["at"], F.concat(s["out"], F.array(gap))).otherwise(s["out"]).alias("out"))
+
+    # What lies between marks: from the furthest end so far to the start of a span beyond it.
+    furthest = lambda at, x: F.greatest(at, x["end"])
+    gaps = F.flatten(parted(F.col(into), furthest, lambda part, at: F.aggregate(part, F.struct(at.alias("at"), _none(pair).alias("out")), step, lambda s: s["out"])))
+
+    def cut_parts(part: Column, _: Column) -> Column:
+        # A stretch of the text is taken once for all gaps in it, since finding a place takes time in proportion to its distance.
+        first = lambda: F.try_element_at(part, F.lit(1))["from"]
+        stretch = F.substring(F.col("text"), first() + 1, F.try_element_at(part, F.lit(-1))["to"] - first())
+        return let(stretch, lambda t: F.array_join(F.transform(part, lambda g: F.concat(F.substring(t, g["from"] - first() + 1, g["to"] - g["from"]), F.lit(mark))), ""))
+
+    end = F.aggregate(into, F.lit(0), furthest)
+    kept = F.concat(F.array_join(parted(gaps, lambda at, _: at, cut_parts), ""), F.substring(F.col("text"), end + 1, F.length("text")))
+    found = scan(docs, rules, into)
+    return found.withColumn("text", F.when(F.size(into) > 0, kept).otherwise(F.col("text"))).select(*docs.columns)
