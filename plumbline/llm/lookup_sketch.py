@@ -1,8 +1,10 @@
 """Document fingerprints as invertible Bloom lookup tables of paragraph digests.
 
 A text's paragraphs are its lines, cut at sentence ends and after so many words, so that an
-edit touches few of them. Each paragraph, with its number among equal ones, becomes a
-64-bit key whose last 16 bits are its length. A key goes to three cells; a cell holds a count,
+edit touches few of them. Where there are no blanks (some scripts, encoded data), a very long word
+is cut where a hash of its last characters says so, so the cuts move with the content. Each
+paragraph, with its number among equal ones, becomes a 64-bit key whose last 16 bits are its
+length; by construction none is longer than they can say. A key goes to three cells; a cell holds a count,
 the exclusive or of its keys and of their check sums. Subtracting two tables leaves the keys
 that only one version has, and peeling recovers them from cells that hold one key. Where that
 gets stuck, both tables are built again with twice the cells.
@@ -17,6 +19,7 @@ import hashlib
 import math
 import re
 import struct
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -27,27 +30,64 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.session import partitions, slices
+from plumbline.llm.session import cut, partitions, slices
 
 #: Words in a paragraph at most; words after which a sentence's end is its end; paragraphs for each cell of a fingerprint; fewest cells.
 WORDS, ENOUGH, RATE, FEWEST = 24, 10, 4, 12
+#: A word of more characters than the first is cut into pieces of the second at least, the third at most, and some 130 on average.
+LONG, SHORT_PIECE, LONG_PIECE = 256, 32, 512
+#: Characters whose hash tells a cut; one in so many places is one.
+WINDOW, ONE_IN = 8, 128
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
 _SHIFTS = np.array([[0], [21], [42]], np.uint64)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(29))) * _MIX
+    x = (x ^ (x >> np.uint64(32))) * _MIX
+    return x ^ (x >> np.uint64(31))
+
+
+def pieces(word: str) -> list[str]:
+    """A long word cut by its content: equal stretches are cut alike, wherever they lie."""
+    c = np.frombuffer(word.encode("utf-32-le"), np.uint32).astype(np.uint64)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mixed(c + np.uint64(1)))])
+    # The place after each window of characters.
+    places = np.flatnonzero((_mixed(sums[WINDOW:] - sums[:-WINDOW]) & np.uint64(ONE_IN - 1)) == 0) + WINDOW
+    out, at = [], 0
+    for place in [*places.tolist(), len(word)]:
+        while place - at > LONG_PIECE:
+            out.append(word[at : at + LONG_PIECE])
+            at += LONG_PIECE
+        if place - at >= SHORT_PIECE or place == len(word) and place > at:
+            out.append(word[at:place])
+            at = place
+    return out
+
+
 def paragraphs(text: str) -> list[str]:
-    """Lines, cut at sentence ends after some words, and after ``WORDS`` at the latest; white space around them is dropped."""
+    """Lines, cut at sentence ends after some words, after ``WORDS`` at the latest, and within long words; white space around them is dropped."""
     out = []
     for line in text.split("\n"):
         held: list[str] = []
         for sentence in _SENTENCE.split(line) if len(line) > 6 * ENOUGH else (line,):
-            held += sentence.split()
+            words = sentence.split()
+            if len(sentence) > LONG and max(map(len, words), default=0) > LONG:
+                for w in words:
+                    if len(w) > LONG:
+                        out += [" ".join(held[i : i + WORDS]) for i in range(0, len(held), WORDS)]
+                        out += pieces(w)
+                        held = []
+                    else:
+                        held.append(w)
+            else:
+                held += words
             if len(held) >= ENOUGH:
                 out += [" ".join(held[i : i + WORDS]) for i in range(0, len(held), WORDS)]
                 held = []
         if held:
-            out.append(" ".join(held))
+            out += [" ".join(held[i : i + WORDS]) for i in range(0, len(held), WORDS)]
     return out
 
 
@@ -60,16 +100,10 @@ def keys(text: str) -> np.ndarray:
         seen[p] += 1
         # The number goes into the bytes: with short inputs, seeds of this hash make equal results.
         data = p.encode() if seen[p] == 1 else f"{p}\0{seen[p]}".encode()
-        out.append(hashed(data) & ~0xFFFF | min(len(p), 0xFFFF))
+        out.append(hashed(data) & ~0xFFFF | len(p))
     return np.unique(np.array(out, np.uint64))  # peeling needs keys that differ
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(29))) * _MIX
-    x = (x ^ (x >> np.uint64(32))) * _MIX
-    return x ^ (x >> np.uint64(31))
-
-
 class Table:
     """Cells of counts, keys and check sums, in three parts of ``cells`` each."""
 
@@ -188,69 +222,128 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - cut] + following[:cut]
 
 
-def _sent(batches: Iterator[pa.RecordBatch], splits: np.ndarray, guests: dict) -> Iterator[pa.RecordBatch]:
-    """Rows with their bucket; the first of a bucket also as a guest of the bucket before it. Texts travel compressed."""
+#: An order of rows: without an id last, larger ids first, then by the hash of the text.
+Key = tuple[int, int, int]
+HASHES = 1 << 63
+
+
+def _key(doc_id: int | None, tie: int) -> Key:
+    return (1, 0, tie) if doc_id is None else (0, -doc_id, tie)
+
+
+def boundaries(quantiles: list[int], nulls: int, total: int, n: int) -> list[Key]:
+    """Keys at which ranges begin: at quantiles of the ids; an id that is several quantiles, and rows without one, are split by hash."""
+    out = [_key(i, k * (HASHES // times)) for i, times in Counter(quantiles).items() for k in range(times)]
+    parts = nulls * n // max(1, total) + 1 if nulls else 0
+    return sorted([*out, *(_key(None, k * (HASHES // parts)) for k in range(parts))])
+
+
+def _sent(batches: Iterator[pa.RecordBatch], splits: list[Key], guests: dict[int, tuple[Key, int]]) -> Iterator[pa.RecordBatch]:
+    """Rows with their range; the first of a range also as a guest of the range before it. Texts travel compressed."""
     pack = zstandard.ZstdCompressor(level=3)
     for batch in slices(batches):
-        ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         rows: list[tuple] = []
-        for i, t in zip(ids, texts, strict=True):
-            data = (t or "").encode()
-            bucket = -1 if i is None else int(np.searchsorted(splits, i))
-            row = (i, xxhash.xxh3_64_intdigest(data) >> 1, pack.compress(data))
+        for i, tie, times, t in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+            key = _key(i, tie)
+            bucket = bisect_right(splits, key)
+            row = (i, tie, times, pack.compress((t or "").encode()))
             rows.append((bucket, 0, *row))
             top, to = guests[bucket]
-            if top == i:
+            if top == key:
                 rows.append((to, 1, *row))
-        cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["bucket", "guest", "doc_id", "tie", "packed"])
+        cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
+        types = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["bucket", "guest", "doc_id", "tie", "times", "packed"])
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in order; each is compared with the one after it in its bucket."""
+    """Rows in order; each is compared with the one after it in its range, and, where it has copies, with itself, as all copies but the last are."""
     unpack = zstandard.ZstdDecompressor()
-    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-    types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "times"]
+    types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64()]
     before = None
-    for batch in slices(batches):
+
+    def answer(own: tuple, following: tuple, times: int) -> tuple:
+        doc_id, _, text, own_keys, own_table, own_print = own
+        new = edited(text, following[2])
+        new_keys, new_table, new_print = sketch(new)
+        next_ = 1.0 if following is own else likeness(own_keys, following[3], own_table, following[4])
+        return doc_id, len(text), hashlib.sha256(new.encode()).hexdigest(), own_print, new_print, likeness(own_keys, new_keys, own_table, new_table), next_, times
+
+    for batch in slices(batches, 64):
         out = []
-        for bucket, guest, doc_id, packed in zip(*(batch.column(k).to_pylist() for k in (0, 1, 2, 4)), strict=True):
+        for guest, doc_id, times, packed in zip(*(batch.column(k).to_pylist() for k in (1, 2, 4, 5)), strict=True):
             if guest and before is None:
                 continue
             text = unpack.decompress(packed).decode()
-            now = (bucket, doc_id, text, *sketch(text))
+            now = (doc_id, times, text, *sketch(text))
             if before is not None:
-                _, own_id, own, own_keys, own_table, own_print = before
-                new = edited(own, text)
-                new_keys, new_table, new_print = sketch(new)
-                out.append((own_id, len(own), hashlib.sha256(new.encode()).hexdigest(), own_print, new_print, likeness(own_keys, new_keys, own_table, new_table), likeness(own_keys, now[3], own_table, now[4])))
+                out.append(answer(before, now, 1))
+            if not guest and times > 1:
+                out.append(answer(now, now, times - 1))
             before = None if guest else now
         cols = list(zip(*out, strict=True)) if out else [[]] * len(names)
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
 
 
+#: Copies of an answer that one row stands for until they are listed.
+LISTED = 4096
+
+
 def versions(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     """Fingerprints of every text and of its edited version, and how alike they and the next text are.
 
     The next document is the one before in doc_id; rows that share a doc_id are in the order of
     their texts' hashes, rows without one come last, and after the last comes the first. Null
-    texts are empty. A lone row is followed by itself; an empty table gives no rows; columns but
-    doc_id and text are ignored.
-
-    Rows are dealt into ranges of doc_id, each with the first row of the range after it as a
-    guest, so order needs no single task. The driver holds one boundary for each range.
+    texts are empty. Copies of a row follow one another. A lone row is followed by itself; an
+    empty table gives no rows; columns but doc_id and text are ignored. A very long text is held
+    whole, with the one before it.
+
+    Rows are dealt into ranges of that order, each with the first row of the range after it as a
+    guest, so order needs no single task; a frequent id, and rows without one, are several
+    ranges. Copies are one row with their number until the end. The driver holds one boundary
+    for each range.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    tie = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).bitwiseAND(F.lit(HASHES - 1)).alias("tie")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), tie, F.lit(1).cast("long").alias("times"), F.col("text").cast("string").alias("text"))
+    keys_ = cut(rows.select("doc_id", "tie"), "keys")
+    copies = cut(keys_.groupBy("doc_id", "tie").agg(F.count("*").alias("times")).where("times > 1"), "copies")
+    copied = not copies.isEmpty()
+    if copied:
+        on = [F.col("r.doc_id").eqNullSafe(F.col("c.doc_id")), F.col("r.tie") == F.col("c.tie")]
+        once = rows.alias("r").join(copies.alias("c"), on, "left_anti")
+        several = rows.alias("r").join(copies.alias("c"), on).select("r.doc_id", "r.tie", "c.times", "r.text")
+        rows = once.unionByName(several.groupBy("doc_id", "tie", "times").agg(F.first("text").alias("text")))
+        keys_ = cut(keys_.distinct(), "keys")
+
     n = buckets or 4 * partitions(spark)
-    quantiles = rows.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)], 20 * n)).first()[0] if n > 1 else None
-    splits = np.unique(np.array(quantiles or [], np.int64))
-    edges = splits.tolist()
-    bucket_of = lambda it: (pa.RecordBatch.from_arrays([pa.array([-1 if i is None else int(np.searchsorted(edges, i)) for i in b.column(0).to_pylist()], pa.int32()), b.column(0)], ["bucket", "doc_id"]) for b in it)
-    tops = {r["bucket"]: r["top"] for r in rows.select("doc_id").mapInArrow(bucket_of, "bucket int, doc_id long").groupBy("bucket").agg(F.max("doc_id").alias("top")).collect()}
-    order = sorted(tops, reverse=True)
-    guests = {b: (tops[b], order[k - 1]) for k, b in enumerate(order)}
-    # Rows without an id are one bucket, so that one's first row is found by the order among all of them.
-    sent = rows.mapInArrow(lambda it: _sent(it, splits, guests), "bucket int, guest int, doc_id long, tie long, packed binary")
-    dealt = sent.repartition("bucket").sortWithinPartitions("bucket", "guest", F.col("doc_id").desc_nulls_last(), "tie")
-    return dealt.mapInArrow(_compared, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    told = keys_.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)], 20 * n).alias("q") if n > 1 else F.lit(None).alias("q"), F.count("*").alias("total"), F.count_if(F.col("doc_id").isNull()).alias("nulls")).first()
+    splits = boundaries(told["q"] or [], told["nulls"], told["total"], n)
+
+    def tops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The first row of each range, of those that a task reads."""
+        best: dict[int, tuple[Key, int | None]] = {}
+        for b in batches:
+            for i, tie in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                key = _key(i, tie)
+                bucket = bisect_right(splits, key)
+                if bucket not in best or key < best[bucket][0]:
+                    best[bucket] = (key, i)
+        cols = [[b for b in best], [best[b][1] for b in best], [best[b][0][2] for b in best]]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.int64()), strict=True)], ["bucket", "doc_id", "tie"])
+
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), (-F.col("doc_id").cast("decimal(20,0)")).alias("down"), "tie")).alias("top")
+    found = keys_.mapInArrow(tops, "bucket int, doc_id long, tie long").groupBy("bucket").agg(first).collect()  # one row for each range
+    firsts = {r["bucket"]: _key(None if r["top"]["last"] else -int(r["top"]["down"]), r["top"]["tie"]) for r in found}
+    order = sorted(firsts)
+    guests = {b: (firsts[b], order[k - 1]) for k, b in enumerate(order)}
+    sent = rows.mapInArrow(lambda it: _sent(it, splits, guests), "bucket int, guest int, doc_id long, tie long, times long, packed binary")
+    dealt = sent.repartition("bucket").sortWithinPartitions("bucket", "guest", F.col("doc_id").desc_nulls_last(), "tie", "packed")
+    answers = dealt.mapInArrow(_compared, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, times long")
+    if not copied:
+        return answers.drop("times")
+    # A row's copies are listed by many tasks, however many there are.
+    parts = F.transform(F.sequence(F.lit(0).cast("long"), F.floor((F.col("times") - 1) / LISTED)), lambda k: F.least(F.lit(LISTED).cast("long"), F.col("times") - k * LISTED))
+    shares = cut(answers, "answers").withColumn("share", F.explode(parts)).repartition(partitions(spark))
+    return shares.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("share")))).drop("times", "share", "copy")
