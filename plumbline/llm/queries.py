@@ -50,7 +50,7 @@ OP5_SQL = r"""
 WITH rows AS (
   SELECT doc_id, source, coalesce('s' || source, 'n') AS sk,
          len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         md5(coalesce(doc_id::VARCHAR, '')) AS h
+         md5(coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))) AS h
   FROM documents),
 sources AS (
   SELECT sk, source, sum(size)::BIGINT AS source_size,
