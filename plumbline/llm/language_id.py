@@ -35,7 +35,8 @@ SAMPLE, LEAST = 4000, 5
 BINS, SPREAD, STRENGTH = 1 << 18, 0.1, 20.0
 #: Over so many trigrams ``und`` spreads.
 EVEN = 1 << 20
-#: Trigrams overlap, so each counts for a third; of a long text no more than so many count, so that other evidence is heard.
+#: Trigrams overlap, so each counts for a third. ``HEARD``: a text's trigrams together count for so many independent ones at most
+#: (the mean of all of them does, so no part of the text is left out), lest a long text drown all other evidence.
 OVERLAP, HEARD = 3.0, 300.0
 UNKNOWN = "und"
 #: A row is rejected if its best language is ``und`` or has less than this posterior.
@@ -59,14 +60,14 @@ class Model:
         table = np.log((1.0 - SPREAD) * shares + SPREAD / BINS)
         self.table = np.concatenate([table, np.full((1, BINS), -np.log(EVEN))]).T.astype(np.float32).copy()
 
-    def evidence(self, text: str) -> np.ndarray:
-        """Log likelihood of a text in each language, less that of the best."""
+    def evidence(self, text: str, heard: float = HEARD) -> np.ndarray:
+        """Log likelihood of the whole text in each language, less that of the best; as of ``heard`` independent trigrams at most."""
         t = trigrams(text)
         total = np.zeros(len(self.languages))
         for i in range(0, len(t), 1 << 16):
             total += self.table[t[i : i + (1 << 16)]].sum(axis=0, dtype=np.float64)
         n = max(1, len(t))
-        total *= min(n / OVERLAP, HEARD) / n
+        total *= min(n / OVERLAP, heard) / n
         return total - total.max()
 
 
@@ -105,7 +106,15 @@ def levels(url: Column) -> tuple[Column, Column, Column]:
 
 
 _LANG = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?\s*([A-Za-z]{2,3})\b", re.I)
-_HIDDEN = re.compile(r"(?is)<(script|style|nav|footer|title)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>")
+#: What is not running text. Content that is no markup goes on to its end tag, or to the page's end; menus and footers end at the next such part
+#: at the latest. Every stretch is read once, whatever is left open.
+_HIDDEN = (
+    r"(?is)<!--.*?(?:-->|\z)|"
+    + "|".join(rf"<{t}\b[^<]*+(?:<(?!/{t}\b)[^<]*+)*+(?:</{t}\b[^>]*+>|\z)" for t in ("script", "style", "title"))
+    + "|"
+    + "|".join(rf"<{t}\b[^<]*+(?:<(?!/{t}\b|(?:nav|footer|article|main|body)\b)[^<]*+)*+</{t}\b[^>]*+>" for t in ("nav", "footer"))
+    + r"|<[^>]*+>"
+)
 
 
 def declared_markup(html: Column) -> Column:
@@ -116,22 +125,24 @@ def declared_markup(html: Column) -> Column:
 
 def visible(html: Column) -> Column:
     """A page's text, roughly: scripts, styles, menus and markup left out."""
-    return F.regexp_replace(F.coalesce(html, F.lit("")), _HIDDEN.pattern, " ")
+    return F.regexp_replace(F.coalesce(html, F.lit("")), _HIDDEN, " ")
 
 
-def identify(rows: DataFrame, model: Model, least: float = LEAST_POSTERIOR) -> DataFrame:
+def identify(rows: DataFrame, model: Model, least: float = LEAST_POSTERIOR, heard: float = HEARD) -> DataFrame:
     """``id, language, posterior, kept``, one row per row of ``rows(id, text, declared, host, domain, suffix)``.
 
     Null or empty texts have no text evidence: other evidence alone may name a language. Rows
     that repeat are counted and answered each. Missing evidence (null or empty) is left out. An
-    empty table gives no rows. Ties go to the language first in order, ``und`` last.
+    empty table gives no rows. Ties go to the language first in order, ``und`` last. Texts are
+    read whole, however long; ``heard`` bounds how much theirs outweighs the other evidence.
+    Further columns are ignored.
     """
     n = len(model.languages)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             texts = b.column(b.schema.get_field_index("text")).to_pylist()
-            found = [model.evidence(t or "") for t in texts]
+            found = [model.evidence(t or "", heard) for t in texts]
             best = [int(x.argmax()) if t and t.strip() else -1 for x, t in zip(found, texts, strict=True)]
             keep = [k for k, name in enumerate(b.schema.names) if name != "text"]
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), pa.array([x.tolist() for x in found], pa.list_(pa.float64())), pa.array(best, pa.int32())], [*(b.schema.names[k] for k in keep), "evidence", "best"])
