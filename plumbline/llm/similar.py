@@ -1,14 +1,18 @@
-"""Near duplicates by the likeness of their word shingles: every pair found is compared shingle by shingle.
+"""Near duplicates: SimHash links, completed by bands of minima, every link compared shingle by shingle.
 
 A text's shingles are five words each (all of its words, if it has fewer), without repeats. Texts
-are near when at least four fifths of the shingles of both are common. A SimHash of 64 bits
-cannot tell that: pairs at 0.87 differ in 9 bits, and pairs at 0.68 in 4. So candidates come from
-40 bands of 5 minima of the shingles' hashes. A pair at 0.8 has no band in common with a
-probability of (1 - 0.8^5)^40 = 1.3e-7, a nearer one with less.
-
-Candidates are compared in two rounds: first each text of a band with the band's least, which
-ties large groups of copies, and then all pairs of a band that no link joins yet. No pair of
-different components is left out, however full a band is.
+are near when at least four fifths of the shingles of both are common. Candidates come from
+
+1. the ball hashing of ``simhash``, over the SimHashes of these shingles: pairs within 4 bits;
+2. since a SimHash of 64 bits tells no more (pairs at 0.87 may differ in 9 bits), 40 bands of 5
+   minima of the shingles' hashes. A pair at 0.8 has no band in common with a probability of
+   (1 - 0.8^5)^40 = 1.3e-7, a nearer one with less.
+
+No band emits its pairs: each text of a band is compared with one of them, another in each band,
+and in further rounds, where a band still holds several components, one text of each with another
+centre. So the work is in proportion to the rows of all bands, however many copies fill one. Two
+texts are never compared directly only if no centre is either of them; they then still are in one
+group if other texts tie them. Links that are found are exact.
 """
 
 from __future__ import annotations
@@ -23,11 +27,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.components import components
-from plumbline.llm.session import cut, slices
+from plumbline.llm.session import cut, dropped, slices
+from plumbline.llm.simhash import links as simhash_links
 from plumbline.llm.simhash import one_of_each, row_key
 
 WIDTH, LEAST = 5, 0.8
 BANDS, ROWS = 40, 5
+#: Rounds of comparing a band's texts with one of them.
+ROUNDS = 3
 #: Shingles whose hashes are spread at once.
 AT_ONCE = 1024
 #: The session's setting of rows in a batch, and rows in a batch of pairs.
@@ -69,17 +76,24 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return common / every if every else 1.0
 
 
+def simhash_of(found: np.ndarray) -> np.uint64:
+    """The SimHash of a set of shingles."""
+    ones = np.unpackbits(found.astype(">u8").view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > len(found)).view(">u8")[0]
+
+
 def sketches(docs: DataFrame) -> DataFrame:
-    """``doc_id, row_key, same, size, bands``: ``same`` is one number for each set of shingles, ``size`` its shingles."""
+    """``doc_id, row_key, same, size, fp, bands``: ``same`` is one number for each set of shingles, ``size`` its shingles, ``fp`` its SimHash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             sets = [shingles(t) for t in batch.column(2).to_pylist()]
             same = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
             keys = pa.array([bands(s) if len(s) else np.zeros(0, np.int64) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(same), pa.array([len(s) for s in sets], pa.int32()), keys], ["doc_id", "row_key", "same", "size", "bands"])
+            fps = np.array([simhash_of(s) if len(s) else 0 for s in sets], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(same), pa.array([len(s) for s in sets], pa.int32()), pa.array(fps), keys], ["doc_id", "row_key", "same", "size", "fp", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long"), row_key(), F.col("text").cast("string")).mapInArrow(run, "doc_id long, row_key long, same long, size int, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long"), row_key(), F.col("text").cast("string")).mapInArrow(run, "doc_id long, row_key long, same long, size int, fp long, bands array<long>")
 
 
 def near(pairs: DataFrame, bodies: DataFrame, least: float = LEAST) -> DataFrame:
@@ -109,16 +123,36 @@ def compared(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
         conf.set(BATCH, old)
 
 
+def by_simhash(prints: DataFrame) -> DataFrame:
+    """``a, b``: sets of shingles whose SimHashes are the same or within 4 bits, enough of them to connect all such."""
+    classes = cut(prints.select("same", "fp").distinct(), "classes")
+    least = cut(classes.groupBy("fp").agg(F.min("same").alias("rep")), "least")
+    equal = classes.join(least, "fp").where("same <> rep").select(F.col("rep").alias("a"), F.col("same").alias("b"))
+    near_by = simhash_links(least.select("fp")).toDF("x", "y")
+    named = near_by.join(least.toDF("x", "a"), "x").join(least.toDF("y", "b"), "y").select("a", "b")
+    return equal.unionByName(named)
+
+
+def stars(rooted: DataFrame, turn: int) -> DataFrame:
+    """``a, b``: one set of each root of ``rooted(band, same, root)`` in each band, with one set of the whole band, which ``turn`` changes."""
+    drawn = F.struct(F.xxhash64("band", "same", F.lit(turn)).alias("h"), "same")
+    each = rooted.groupBy("band", "root").agg(F.min(drawn).alias("rep"))
+    centre = each.groupBy("band").agg(F.min(F.struct("rep", "root")).alias("c"), F.count("*").alias("n")).where("n > 1").select("band", "c")
+    met = each.join(centre, "band").where(F.col("root") != F.col("c.root"))
+    return met.select(F.least("rep.same", "c.rep.same").alias("a"), F.greatest("rep.same", "c.rep.same").alias("b"))
+
+
 def groups(docs: DataFrame) -> DataFrame:
     """``doc_id, row_key, root``: rows of one root are linked by near pairs, one row per row of ``docs``.
 
     Null texts have no words, as empty ones; all of those are one group.
     """
     prints = cut(sketches(docs), "sketches")
-    told = prints.select("same", F.explode("bands").alias("band")).distinct()
-    told = cut(told, "bands")
-    full = told.groupBy("band").agg(F.count("*").alias("n"), F.min("same").alias("least")).where("n > 1").select("band", "least")
-    shared = cut(told.join(full, "band"), "shared")
+    told = cut(prints.select("same", F.explode("bands").alias("band")).distinct(), "bands")
+    full = told.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
+    shared = cut(told.join(full, "band").select("band", "same"), "shared")
+    dropped(told)
+    tested = cut(by_simhash(prints).unionByName(stars(shared.withColumn("root", F.col("same")), 0)).distinct(), "pairs")
 
     def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -127,24 +161,24 @@ def groups(docs: DataFrame) -> DataFrame:
 
     # One row stands for all of one set; equal rows have equal keys.
     # They are written out first, so the planner knows their size and need not deal all texts.
-    standing = cut(prints.join(shared.select("same").distinct(), "same").groupBy("same").agg(F.min("row_key").alias("row_key")), "standing")
+    needed = shared.select("same").union(tested.select("a")).union(tested.select("b")).distinct()
+    standing = cut(prints.join(needed, "same").groupBy("same").agg(F.min("row_key").alias("row_key")), "standing")
     texts = docs.select(row_key(), F.col("text").cast("string").alias("text")).join(standing, "row_key").select("same", "text")
     bodies = texts.mapInArrow(body, "same long, size int, body binary")
     if not prints.join(standing, "row_key").groupBy("row_key").count().where("count > 1").isEmpty():
         bodies = bodies.dropDuplicates(["same"])
     bodies = cut(bodies, "bodies")
 
-    first = cut(shared.where("same <> least").select(F.col("least").alias("a"), F.col("same").alias("b")).distinct(), "first")
-    links = compared(first, bodies)
-    roots = cut(components(links), "roots")
-    rooted = shared.join(roots, shared["same"] == roots["node"], "left").select("band", "same", F.coalesce("root", "same").alias("root"))
-    # Bands whose texts are all tied already have nothing more to tell.
-    loose = rooted.groupBy("band").agg(F.min("root").alias("p"), F.max("root").alias("q")).where("p <> q").select("band")
-    open_ = cut(rooted.join(loose, "band"), "open")
-    other = open_.select("band", F.col("same").alias("b"), F.col("root").alias("q"))
-    second = open_.select("band", F.col("same").alias("a"), F.col("root").alias("p")).join(other, "band").where("a < b and p <> q").select("a", "b").distinct()
-    second = cut(second.join(first, ["a", "b"], "left_anti"), "second")
-    found = components(links.unionByName(compared(second, bodies)))
+    links = compared(tested, bodies)
+    for turn in range(1, ROUNDS):
+        roots = cut(components(links), "roots")
+        rooted = shared.join(roots, shared["same"] == roots["node"], "left").select("band", "same", F.coalesce("root", "same").alias("root"))
+        new = cut(stars(rooted, turn).distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+        if new.isEmpty():
+            break
+        links, tested = cut(links.unionByName(compared(new, bodies)), "links"), cut(tested.unionByName(new), "pairs")
+    dropped(shared, tested, bodies)
+    found = components(links)
     return prints.join(found, prints["same"] == found["node"], "left").select("doc_id", "row_key", F.coalesce("root", "same").alias("root"))
 
 
