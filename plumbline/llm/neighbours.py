@@ -2,57 +2,83 @@
 
 With M the largest norm, (x, sqrt(M^2 - |x|^2)) turns largest inner product into smallest
 Euclidean distance. Each of a few tables hashes a vector by several Gaussian projections cut
-into cells of one width. A query visits, in each table, its own bucket and those that differ by
-a cell in some projections, in the order of estimated success: the sum of the squared distances
-from the query to the cell edges that are crossed. All rows of the visited buckets are ranked
-by their exact inner products, and the tables' best are merged.
-
-Equal vectors are one entry that carries its least ids; large buckets are split into blocks,
-each of which every probe of the bucket visits. Nothing is capped, so the results are the exact
-best of all candidates, and a block is all that one task has to hold.
-
-Set for vectors of weak contrast (64 dimensions, the 20 nearest hardly nearer than the next
-hundreds): with these settings recall was 0.96 to 0.99; a simulation with 24 probes, over 60
-queries of 10,256 such vectors, visited 0.8 of the rows for a recall of 0.97.
+into cells of one width. A projection of the difference to a row at distance r is normal with
+deviation r, which tells with what probability such a row lies in each cell around the query's
+place. A query visits buckets in the order of that probability, its own and perturbed ones, until
+they add up to the success asked of a table; so the number of probes follows from the query, and
+recall from ``success``. All rows of the visited buckets are ranked by their exact inner
+products, and the tables' best are merged.
+
+The settings follow from the data: projections from the logarithm of the number of vectors, so a
+bucket's size hardly grows, widths from the largest norm, and r from the distances at which a
+bounded sample of vectors has its k-th neighbours among all rows. On vectors of weak contrast (64
+dimensions, even in all directions) most buckets must be visited: by simulation at a success of
+0.5 a table, 0.86 of 2,000 rows, 0.79 of 10,256 and 0.57 of 51,282, for a recall of 0.94 to 0.96.
+
+Buckets are dealt in parts of about ``BLOCK`` vectors; a query goes once to each part in which it
+visits buckets. Equal vectors are one entry that carries its least ids; a larger bucket is split
+into blocks, all of which its visitors visit. Nothing is capped, so the results are the exact best
+of all candidates, and a part is all that one task has to hold. A query that found fewer than k
+rows is compared with all rows, in parts, so its list is full.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm.session import cut
 
-TABLES, PROJECTIONS, WIDTH, PROBES = 4, 6, 2.5, 40
-#: Distinct vectors in a block, about; salts of the ids of one vector.
-BLOCK, SALTS = 8192, 64
+#: Tables; cells' width, in largest norms; share of the k nearest that is sought.
+TABLES, WIDTH, SUCCESS = 4, 2.5, 0.95
+#: Projections are the binary logarithm of the vectors less this, within limits.
+LESS, FEWEST, MOST = 6, 2, 24
+#: Distinct vectors in a part, about; salts of the ids of one vector; vectors whose neighbours tell the distance.
+BLOCK, SALTS, SAMPLE = 8192, 64, 64
+#: The quantile of the sample's distances for which success is asked.
+FAR = 0.75
+#: Cells on either side of a query's own that may be visited.
+AROUND = 3
+
+
+def _normal(x: float) -> float:
+    return 0.5 * (1.0 + math.erf(x / math.sqrt(2.0)))
 
 
-def perturbations(inside: np.ndarray, width: float, n: int) -> Iterator[np.ndarray]:
-    """The first n steps in {-1, 0, 1}^m from a point's cell, the likeliest first; ``inside``: its distances from the cell's lower edges."""
-    m = len(inside)
-    cost = np.concatenate([inside**2, (width - inside) ** 2])
-    order = np.argsort(cost, kind="stable")
-    yield np.zeros(m, np.int64)
-    given, heap = 1, [(float(cost[order[0]]), (0,))]
-    while heap and given < n:
+def visits(place: np.ndarray, width: float, distance: float, success: float) -> Iterator[np.ndarray]:
+    """The cells, by projection, in which a row at ``distance`` from a query at ``place`` most likely lies, the likeliest first, until they hold it with the probability ``success``."""
+    own = np.floor(place / width)
+    best, costs = own.copy(), []
+    log_all = 0.0
+    for j, (p, c) in enumerate(zip(place.tolist(), own.tolist(), strict=True)):
+        cells = [(_normal(((c + d + 1) * width - p) / distance) - _normal(((c + d) * width - p) / distance), c + d) for d in range(-AROUND, AROUND + 1)]
+        cells.sort(key=lambda x: -x[0])
+        best[j] = cells[0][1]
+        log_all += math.log(cells[0][0])
+        costs += [(math.log(cells[0][0] / q), j, cell) for q, cell in cells[1:] if q > 1e-12]
+    costs.sort()
+    yield best
+    held, heap = math.exp(log_all), [(costs[0][0], (0,))] if costs else []
+    while heap and held < success:
         total, chosen = heapq.heappop(heap)
-        at = order[list(chosen)]
-        if len(set((at % m).tolist())) == len(chosen):
-            step = np.zeros(m, np.int64)
-            step[at % m] = np.where(at < m, -1, 1)
-            given += 1
-            yield step
+        moved = [costs[i] for i in chosen]
+        if len({j for _, j, _ in moved}) == len(moved):
+            cell = best.copy()
+            for _, j, c in moved:
+                cell[j] = c
+            held += math.exp(log_all - total)
+            yield cell
         last = chosen[-1]
-        if last + 1 < 2 * m:
-            rest = total - float(cost[order[last]])
-            heapq.heappush(heap, (rest + float(cost[order[last + 1]]), (*chosen[:-1], last + 1)))
-            heapq.heappush(heap, (total + float(cost[order[last + 1]]), (*chosen, last + 1)))
+        if last + 1 < len(costs):
+            rest = total - costs[last][0]
+            heapq.heappush(heap, (rest + costs[last + 1][0], (*chosen[:-1], last + 1)))
+            heapq.heappush(heap, (total + costs[last + 1][0], (*chosen, last + 1)))
 
 
 class Hashes:
@@ -78,14 +104,87 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), dim)
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int = TABLES, projections: int = PROJECTIONS, width: float = WIDTH, probes: int = PROBES, seed: int = 1) -> DataFrame:
+def kth_distance(entries: DataFrame, dim: int, most: float, k: int) -> float:
+    """The distance, in largest norms, within which most vectors have their k nearest: of ``SAMPLE`` vectors, chosen by a hash, among all."""
+    order = [F.xxhash64("rep"), F.col("rep")]
+    sample = np.array([r["v"] for r in entries.orderBy(*order).limit(SAMPLE).collect()])
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = np.zeros((len(sample), 0))
+        for b in batches:
+            both = np.concatenate([best, sample @ _matrix(b.column(0), dim).T], axis=1)
+            best = -np.partition(-both, k, axis=1)[:, : k + 1] if both.shape[1] > k + 1 else both
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(sample)), pa.int32()), pa.array(best.tolist(), pa.list_(pa.float64()))], ["sample", "scores"])
+
+    found = entries.select("v").mapInArrow(nearest, "sample int, scores array<double>")
+    # The k-th without itself, or the last if there are fewer. One task merges k + 1 numbers of each task above.
+    scores = F.slice(F.sort_array(F.flatten(F.collect_list("scores")), asc=False), 1, k + 1)
+    last = {r["sample"]: r["s"] for r in found.groupBy("sample").agg(F.element_at(scores, -1).alias("s")).collect()}
+    squared = [max(0.0, 1.0 + ((sample[i] ** 2).sum() - 2.0 * s) / most**2) for i, s in last.items()]
+    return max(1e-6, float(np.sqrt(np.quantile(squared, FAR))))
+
+
+def _ranked(dim: int, k: int):
+    """Rows of ``bucket, rep, v`` against queries ``q, buckets, v``: the k + 1 best of each query in the buckets that it visits."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        nothing = pa.table({"q": pa.array([], pa.int64()), "rep": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+        if not len(left) or not len(right):
+            return nothing
+        bucket = left.column("bucket").to_numpy()
+        order = np.argsort(bucket, kind="stable")
+        x, rep = _matrix(left.column("v").combine_chunks(), dim)[order], left.column("rep").to_numpy()[order]
+        names, begin = np.unique(bucket[order], return_index=True)
+        end = np.concatenate([begin[1:], [len(x)]])
+        q, qid = _matrix(right.column("v").combine_chunks(), dim), right.column("q").to_numpy()
+        lists = right.column("buckets").combine_chunks()
+        wanted, owner = lists.flatten().to_numpy(), np.repeat(np.arange(len(q)), lists.value_lengths().to_numpy())
+        at = np.minimum(np.searchsorted(names, wanted), len(names) - 1)
+        known = names[at] == wanted  # no row is in the others
+        at, owner = at[known], owner[known]
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for first in range(0, len(q), 256):
+            here = np.flatnonzero((owner >= first) & (owner < first + 256))
+            here = here[np.argsort(at[here], kind="stable")]
+            found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            for own in np.split(here, np.flatnonzero(np.diff(at[here])) + 1) if len(here) else []:
+                a, z = begin[at[own[0]]], end[at[own[0]]]
+                scores, keep = q[owner[own]] @ x[a:z].T, min(k + 5, z - a)
+                best = np.argpartition(-scores, keep - 1, axis=1)[:, :keep]
+                low = np.take_along_axis(scores, best, 1).min(axis=1) - 1e-9
+                # Product rounding depends on the block's shape, so the last ones' ties are kept, and finalists summed anew.
+                i, j = np.nonzero(scores >= low[:, None])
+                found.append((owner[own][i], a + j, scores[i, j]))
+            if not found:
+                continue
+            i, j, score = (np.concatenate(c) for c in zip(*found, strict=True))
+            order = np.lexsort((-score, i))
+            i, j, score = i[order], j[order], score[order]
+            start = np.searchsorted(i, i)
+            last = np.minimum(start + k, np.searchsorted(i, i, side="right") - 1)
+            finalists = score >= score[last] - 1e-9
+            i, j = i[finalists], j[finalists]
+            exact = (x[j] * q[i]).sum(axis=1)
+            order = np.lexsort((rep[j], -exact, i))
+            i, j, exact = i[order], j[order], exact[order]
+            top = np.arange(len(i)) - np.searchsorted(i, i) <= k
+            out.append((qid[i[top]], rep[j[top]], exact[top]))
+        if not out:
+            return nothing
+        a, b, c = (np.concatenate(z) for z in zip(*out, strict=True))
+        return pa.table({"q": a, "rep": b, "score": c})
+
+    return run
+
+
+def search(vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int = TABLES, projections: int | None = None, width: float = WIDTH, success: float = SUCCESS, seed: int = 1) -> DataFrame:
     """``query_id, rank, vec_id, score`` of each query's k nearest found among all rows of ``vectors`` but its own.
 
     ``vectors(vec_id, embedding)``; ``queries(vec_id)`` are ids of rows in it. Null vectors, zero
     ones, those with null or non-finite components, and those of a dimension other than the most
     frequent take no part, neither as queries. Ties go to the smaller vec_id. Rows that share a
-    vec_id are candidates each, of which a query leaves out one as its own. Further columns are
-    ignored; an empty table gives no rows.
+    vec_id are candidates each, of which a query leaves out one as its own. A list has k rows, or
+    all others if there are fewer. Further columns are ignored; an empty table gives no rows.
     """
     spark = vectors.sparkSession
     v = F.col("embedding").cast("array<double>")
@@ -98,7 +197,6 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int = TA
     dim = dims["dim"]
     rows = cut(rows.where(F.size("v") == dim), "vectors")
     most = rows.agg(F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)))).first()[0]
-    hashes = Hashes(dim, float(most), tables, projections, width, seed)
 
     # Equal vectors: the least k + 1 ids are all that can be in any list. Salted, so that no task gathers a hot vector's ids.
     own_ids = lambda ids: F.slice(F.sort_array(ids), 1, k + 1)
@@ -106,60 +204,59 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int = TA
     entries = cut(salted.groupBy("v").agg(own_ids(F.flatten(F.collect_list("ids"))).alias("ids")).select(F.element_at("ids", 1).alias("rep"), "v", "ids"), "entries")
     asked = rows.join(queries.select(F.col("vec_id").cast("long")).distinct(), "vec_id", "left_semi")
     asked = cut(asked.join(entries.select("v", F.col("rep").alias("q")), "v").select(F.col("vec_id").alias("query_id"), "q"), "asked")
-    sought = entries.join(asked.select(F.col("q").alias("rep")).distinct(), "rep", "left_semi")
+    sought = cut(entries.join(asked.select(F.col("q").alias("rep")).distinct(), "rep", "left_semi").select(F.col("rep").alias("q"), "v"), "sought")
+    total, n = dims["count"], entries.count()
+    if projections is None:
+        projections = max(FEWEST, min(MOST, round(math.log2(n)) - LESS))
+    distance = kth_distance(entries.select("rep", "v"), dim, most, k)
+    each = 1.0 - (1.0 - success) ** (1.0 / tables)
+    hashes = Hashes(dim, float(most), tables, projections, width, seed)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = _matrix(b.column(1), dim)
-            keys = hashes.bucket(np.floor(hashes.places(x, False) / width))
+            keys = hashes.bucket(np.floor(hashes.places(_matrix(b.column(1), dim), False) / width))
             for t in range(tables):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t, np.int32)), pa.array(keys[:, t]), b.column(0), b.column(1)], ["t", "bucket", "rep", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), t, np.int32)), pa.array(keys[:, t]), b.column(0), b.column(1)], ["t", "bucket", "rep", "v"])
 
     def probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             place = hashes.places(_matrix(b.column(1), dim), True)
-            cell = np.floor(place / width)
-            for t in range(tables):
-                at, keys = [], []
-                for i in range(len(place)):
-                    for step in perturbations(place[i, t] - cell[i, t] * width, width, probes):
-                        at.append(i)
-                        keys.append(hashes.bucket(cell[i, t] + step))
-                if at:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), t, np.int32)), pa.array(np.array(keys, np.int64)), b.column(0).take(pa.array(at)), b.column(1).take(pa.array(at))], ["t", "bucket", "q", "v"])
+            for i, q in enumerate(b.column(0).to_pylist()):
+                for t in range(tables):
+                    keys = hashes.bucket(np.array(list(visits(place[i, t], width, distance, each))))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), t, np.int32)), pa.array(keys), pa.array(np.full(len(keys), q, np.int64))], ["t", "bucket", "q"])
 
     index = entries.select("rep", "v").mapInArrow(hashed, "t int, bucket long, rep long, v array<double>")
-    probe = sought.select("rep", "v").mapInArrow(probed, "t int, bucket long, q long, v array<double>")
-    blocks = cut(index.groupBy("t", "bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n")), "buckets")
-    blocked = index.join(blocks, ["t", "bucket"]).withColumn("block", F.pmod(F.xxhash64("rep"), "n").cast("int"))
-    sent = probe.join(blocks, ["t", "bucket"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    probe = sought.repartition(spark.sparkContext.defaultParallelism).mapInArrow(probed, "t int, bucket long, q long")
+    # Buckets are dealt by hash into parts; those larger than a part are parts of their own, in blocks.
+    large = cut(index.groupBy("t", "bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n")).where("n > 1"), "large")
+    part = F.when(F.col("n").isNull(), F.pmod(F.xxhash64("bucket"), F.lit(-(-n // BLOCK)))).otherwise(F.col("bucket")).alias("part")
+    keys = ["t", "part", "block"]
+    dealt = index.join(large, ["t", "bucket"], "left").select("t", part, F.when(F.col("n").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64("rep"), "n")).cast("int").alias("block"), "bucket", "rep", "v")
+    blocks = F.when(F.col("n").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(1), F.col("n")))
+    sent = probe.join(large, ["t", "bucket"], "left").select("t", part, F.explode(blocks).alias("block"), "bucket", "q")
+    sent = sent.groupBy(*keys, "q").agg(F.collect_list("bucket").alias("buckets")).join(sought, "q").select(*keys, "q", "buckets", "v")
+    found = dealt.groupBy(*keys).cogroup(sent.groupBy(*keys)).applyInArrow(_ranked(dim, k), "q long, rep long, score double")
+    answers = cut(_lists(asked, found, entries, k), "answers")
+
+    full = answers.where(F.size("list") >= min(k, total - 1)).select("query_id", "q").distinct()
+    short = cut(asked.join(full, ["query_id", "q"], "left_anti"), "short")
+    if not short.isEmpty():  # too few rows in the buckets visited: all rows, in parts
+        parts = -(-n // BLOCK)
+        every = entries.select(F.pmod(F.xxhash64("rep"), F.lit(parts)).alias("part"), F.lit(0).cast("long").alias("bucket"), "rep", "v")
+        to = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part")
+        them = sought.join(short.select("q").distinct(), "q", "left_semi").select(to, "q", F.array(F.lit(0).cast("long")).alias("buckets"), "v")
+        found = every.groupBy("part").cogroup(them.groupBy("part")).applyInArrow(_ranked(dim, k), "q long, rep long, score double")
+        answers = answers.join(short, ["query_id", "q"], "left_anti").unionByName(_lists(short, found, entries, k))
+    return answers.select("query_id", F.posexplode("list").alias("pos", "x")).select("query_id", (F.col("pos") + 1).alias("rank"), F.col("x.vec_id").alias("vec_id"), F.col("x.score").alias("score"))
 
-    def ranked(left, right):
-        if not len(left) or not len(right):
-            return pa.table({"q": pa.array([], pa.int64()), "rep": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        x, rep = _matrix(left.column("v").combine_chunks(), dim), left.column("rep").to_numpy()
-        q, qid = _matrix(right.column("v").combine_chunks(), dim), right.column("q").to_numpy()
-        keep, out = min(k + 5, len(x)), []
-        for i in range(0, len(q), 256):
-            scores = q[i : i + 256] @ x.T
-            best = np.argpartition(-scores, keep - 1, axis=1)[:, :keep]
-            # Product rounding depends on the block's shape, so the finalists' scores are summed anew, and the last ones' ties kept.
-            for j, own in enumerate(best):
-                least = scores[j, own].min() - 1e-9
-                own = np.flatnonzero(scores[j] >= least) if keep < len(x) else own
-                exact = (x[own] * q[i + j]).sum(axis=1)
-                order = np.lexsort((rep[own], -exact))[: k + 1]
-                out.append((np.full(len(order), qid[i + j]), rep[own][order], exact[order]))
-        a, b, c = (np.concatenate(z) for z in zip(*out, strict=True))
-        return pa.table({"q": a, "rep": b, "score": c})
 
-    keys = ("t", "bucket", "block")
-    found = blocked.select(*keys, "rep", "v").groupBy(*keys).cogroup(sent.select(*keys, "q", "v").groupBy(*keys)).applyInArrow(ranked, "q long, rep long, score double")
+def _lists(asked: DataFrame, found: DataFrame, entries: DataFrame, k: int) -> DataFrame:
+    """``query_id, q, list``: of what was found for the vectors of queries, the k best rows but the query's own."""
     best = Window.partitionBy("q").orderBy(F.desc("score"), "rep")
     near = found.distinct().withColumn("place", F.row_number().over(best)).where(F.col("place") <= k + 1)
     rows_of = near.join(entries.select("rep", "ids"), "rep").select("q", "score", F.explode("ids").alias("vec_id"))
     listed = rows_of.withColumn("place", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))).where(F.col("place") <= k + 1)
     lists = listed.groupBy("q").agg(F.array_sort(F.collect_list(F.struct("place", "vec_id", "score"))).alias("list"))
-    own = F.coalesce(F.array_position(F.transform("list", lambda x: x["vec_id"]), F.col("query_id")), F.lit(0))
-    answered = asked.join(lists, "q").withColumn("own", own).select("query_id", F.slice(F.filter("list", lambda x, i: i + 1 != F.col("own")), 1, k).alias("list"))
-    return answered.select("query_id", F.posexplode("list").alias("pos", "x")).select("query_id", (F.col("pos") + 1).alias("rank"), F.col("x.vec_id").alias("vec_id"), F.col("x.score").alias("score"))
+    own: Column = F.coalesce(F.array_position(F.transform("list", lambda x: x["vec_id"]), F.col("query_id")), F.lit(0))
+    return asked.join(lists, "q").withColumn("own", own).select("query_id", "q", F.slice(F.filter("list", lambda x, i: i + 1 != F.col("own")), 1, k).alias("list"))
