@@ -112,9 +112,23 @@ def spans(c: Column, pattern: str) -> Column:
     return F.when(c.rlike(pattern), F.flatten(found)).otherwise(empty)
 
 
+#: Where a token ends and the next begins: a token begins with its blanks.
+TOKEN_EDGE = r"[^ \n][ \n]"
+
+
 def token_at(c: Column, start: Column) -> Column:
     """The number of the token that holds the character at ``start``; null beyond the text."""
-    return F.when((start >= 0) & (start < F.length(c)), F.size(F.regexp_extract_all(F.substring(c, F.lit(1), start + 1), F.lit(TOKEN), F.lit(0))) - 1)
+    return F.when((start >= 0) & (start < F.length(c)), F.regexp_count(F.substring(c, F.lit(1), start + 1), F.lit(TOKEN_EDGE)))
+
+
+def tokens_after(c: Column, start: Column, then: Column) -> Column:
+    """How many tokens further on than the character at ``start`` the one at ``then`` is."""
+    return F.regexp_count(F.substring(c, start + 1, then - start + 1), F.lit(TOKEN_EDGE))
+
+
+def only(value: Column) -> Column:
+    """A generator of one row, or of none where the value is null. (A filter on the value would work it out a second time.)"""
+    return F.explode(F.array_compact(F.array(value)))
 
 
 def snippet(c: Column, start: Column, length: Column, around: int) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import text as tx
+from plumbline.operators.match import HIT
 
 
 def with_tokens(hits: DataFrame, text: str = "text") -> DataFrame:
@@ -40,9 +41,18 @@ def earliest(hits: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def placed(hits: Column, text: Column) -> Column:
-    """Hits of one row with their tokens, in the order in which they count; those beyond the text are dropped."""
-    order = lambda h: F.struct(tx.token_at(text, h["start"]).alias("token"), h["prio"].alias("prio"), h["start"].alias("start"), (-h["length"]).alias("minus"), h["rule"].alias("rule"), h.alias("hit"))
-    return F.array_sort(F.filter(F.transform(hits, order), lambda x: x["token"].isNotNull()))
+    """Hits of one row with their tokens, in the order in which they count; those beyond the text are dropped. Tokens are counted on from hit to hit."""
+    inside = F.array_sort(F.transform(F.filter(hits, lambda h: (h["start"] >= 0) & (h["start"] < F.length(text))), lambda h: F.struct(h["start"].alias("start"), h.alias("hit"))))
+    out = "array<struct<token:int,prio:int,start:int,minus:int,rule:string,hit:" + HIT + ">>"
+
+    def step(s: Column, x: Column) -> Column:
+        h, token = x["hit"], s["token"] + tx.tokens_after(text, s["at"], x["start"])
+        one = F.struct(token.cast("int").alias("token"), h["prio"].alias("prio"), h["start"].alias("start"), (-h["length"]).alias("minus"), h["rule"].alias("rule"), h.alias("hit"))
+        return F.struct(x["start"].alias("at"), token.cast("int").alias("token"), F.concat(s["out"], F.array(one)).alias("out"))
+
+    begun = lambda at: F.struct(at.alias("at"), F.coalesce(tx.token_at(text, at), F.lit(0)).cast("int").alias("token"), F.array().cast(out).alias("out"))
+    parts = tx.parted(inside, lambda at, x: x["start"], lambda part, at: F.aggregate(part, begun(at), step, lambda s: s["out"]))
+    return F.array_sort(F.flatten(parts))
 
 
 def first_unsuppressed(found: Column, suppressed: Column) -> Column:

@@ -111,7 +111,7 @@ def hit_columns(df: DataFrame, hit: str = "hit", *more: str) -> DataFrame:
 
 
 def one_kind(expression):
-    return lambda s, d: hit_columns(docs(s, d).withColumn("hit", expression(F.col("text"), RULES)).where("hit is not null"))
+    return lambda s, d: hit_columns(docs(s, d).select("doc_id", tx.only(expression(F.col("text"), RULES)).alias("hit")))
 
 
 def phrase_all_hits(s: SparkSession, d: str) -> DataFrame:
@@ -124,7 +124,7 @@ def ngram_hit_counts(s: SparkSession, d: str) -> DataFrame:
 
 def earliest(skip: tuple[str, ...] = ()):
     def run(s: SparkSession, d: str) -> DataFrame:
-        first = match.first_hits(docs(s, d), RULES).withColumn("v", resolve.earliest_of(skip)).where("v is not null")
+        first = match.first_hits(docs(s, d), RULES).select("doc_id", "text", tx.only(resolve.earliest_of(skip)).alias("v"))
         return first.select("doc_id", "v.token", F.col("v.hit.kind").alias("kind"), F.col("v.hit.start").alias("start"), F.col("v.hit.rule").alias("rule"), F.col("v.hit.match").alias("match"), "text", F.col("v.hit").alias("hit"))
 
     return run
@@ -147,7 +147,7 @@ def placed_hits(s: SparkSession, d: str) -> DataFrame:
     """All hits of each document, in a row, and as suppressed the first of every second document."""
     t = F.col("text")
     hits = F.concat(match.phrase_all(t, RULES), F.transform(match.ngram_hits(t, RULES), lambda h: match.ngram_of(t, h, RULES)).cast(f"array<{match.HIT}>"))
-    rows = docs(s, d).select("doc_id", resolve.placed(hits, t).alias("found")).where(F.size("found") > 0)
+    rows = docs(s, d).select("doc_id", resolve.placed(hits, t).alias("found"))
     first = F.get("found", F.lit(0))
     key = F.struct(first["hit"]["kind"].alias("kind"), first["token"].alias("token"), first["hit"]["detail_key"].alias("detail_key"))
     return rows.withColumn("suppressed", F.when(F.col("doc_id") % 2 == 0, F.array(key)))
@@ -155,7 +155,7 @@ def placed_hits(s: SparkSession, d: str) -> DataFrame:
 
 def left_of(choice) -> DataFrame:
     def run(s: SparkSession, d: str) -> DataFrame:
-        left = placed_hits(s, d).select("doc_id", choice(F.col("found"), F.col("suppressed")).alias("v")).where("v is not null")
+        left = placed_hits(s, d).select("doc_id", tx.only(choice(F.col("found"), F.col("suppressed"))).alias("v"))
         return left.select("doc_id", "v.token", F.col("v.hit.kind").alias("kind"), F.col("v.hit.start").alias("start"), F.col("v.hit.rule").alias("rule"))
 
     return run
@@ -163,7 +163,7 @@ def left_of(choice) -> DataFrame:
 
 def regex_lookahead_hit(s: SparkSession, d: str) -> DataFrame:
     """Patterns with look-ahead and look-behind, which not every engine has."""
-    return hit_columns(docs(s, d).withColumn("hit", match.regex_first(F.col("text"), match.Rules(regexes=LOOKAROUND))).where("hit is not null"))
+    return hit_columns(docs(s, d).select("doc_id", tx.only(match.regex_first(F.col("text"), match.Rules(regexes=LOOKAROUND))).alias("hit")))
 
 
 # Tokens
