@@ -31,6 +31,8 @@ from plumbline.llm.session import cut, slices
 
 #: Different texts of one label that the trigram table is fitted on at most; rows of a label in the whole table at least for it to count.
 SAMPLE, LEAST = 4000, 5
+#: Labels whose table is sent to all tasks.
+FEW_LABELS = 10_000
 #: Hash bins of trigrams; share of a language's probability that is spread over all of them; strength of the smoothing by the next level.
 BINS, SPREAD, STRENGTH = 1 << 18, 0.1, 20.0
 #: Over so many trigrams ``und`` spreads.
@@ -78,7 +80,10 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     # A rare label is noise, unless all are rare.
     frequent = seen.where(F.col("n") >= LEAST)
     frequent = (seen if frequent.isEmpty() else frequent).select("label", F.least(F.lit(1.0), 2.0 * sample / F.col("texts")).alias("share"))
-    drawn = rows.join(F.broadcast(frequent), "label").where(F.pmod("h", F.lit(1 << 30)) <= F.col("share") * (1 << 30)).dropDuplicates(["label", "h"])
+    frequent = cut(frequent, "labels")
+    # One row a label: broadcast only if there are few.
+    known = F.broadcast(frequent) if frequent.count() <= FEW_LABELS else frequent
+    drawn = rows.join(known, "label").where(F.pmod("h", F.lit(1 << 30)) <= F.col("share") * (1 << 30)).dropDuplicates(["label", "h"])
     place = F.row_number().over(Window.partitionBy("label").orderBy(F.pmod("h", F.lit(1 << 30)), "h"))
     chosen = drawn.withColumn("place", place).where(F.col("place") <= sample).select("label", "text")
 
