@@ -1,11 +1,11 @@
-"""The queries of the ten operators, and DuckDB SQL for those that SQL can express."""
+"""The queries of the operators, and DuckDB SQL for those that SQL can express."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, chat, language_id, lookup_sketch, mixing, neighbours, page_text, repeats, secret_scan, simhash
+from plumbline.llm import bpe, chat, language_id, lookup_sketch, mixing, neighbours, page_text, repeats, secret_scan, simhash, turn_repair
 from plumbline.llm.session import table
 
 
@@ -139,6 +139,20 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.digests(table(spark, sf_dir, "documents"))
 
 
+def damaged(turns: DataFrame) -> DataFrame:
+    """``conv_id, turn, role, text, gone`` of conversations with faults put in by a checksum of each row's place; nulls are one space."""
+    space = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    rows = turns.select("conv_id", "turn", space("role").alias("role"), space("text").alias("text"), (F.crc32(F.concat(space("conv_id"), F.lit(":"), space("turn"))) % 20).alias("fault"))
+    text = F.when(F.col("fault") == 1, "").when(F.col("fault") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    times = F.explode(F.when(F.col("fault") == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))
+    return rows.select("conv_id", "turn", F.when(F.col("fault") == 4, "user").otherwise(F.col("role")).alias("role"), text.alias("text"), (F.col("fault") == 0).alias("gone"), times.alias("time")).drop("time")
+
+
+def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, damaged and repaired again."""
+    return turn_repair.digests(turn_repair.repair(damaged(table(spark, sf_dir, "conversations"))))
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_neighbours": op2_neighbours,
@@ -151,6 +165,7 @@ QUERIES = {
     "op8_chat_format": op8_chat_format,
     "op9_simhash": op9_simhash,
     "op10_repeats": op10_repeats,
+    "op11_turn_repair": op11_turn_repair,
 }
 OP8_SQL = r"""
 WITH turns AS (
@@ -167,4 +182,69 @@ SELECT conv_id::BIGINT AS conv_id, count(*)::BIGINT AS n_turns,
   sum(chars)::BIGINT AS formatted_chars
 FROM ordered GROUP BY conv_id
 """
-ORACLES = {"op5_mixing": OP5_SQL, "op7_secret_scan": _op7_sql(), "op8_chat_format": OP8_SQL}
+
+
+def _op11_sql() -> str:
+    """Going back over the rows, the least (cost, edits, repaired) from each state, a recursion step a row."""
+    name = {2: "user", 3: "assistant"}
+    due = [2, 2, 3, 2]
+    keeps = {(0, "s"): 1, (0, "u"): 2, (1, "u"): 2, (3, "u"): 2, (2, "a"): 3}
+
+    def least(state: int, base: str) -> str:
+        """With up to two insertions before; ``base`` is a list's name, 1-based by state."""
+        ways, at, edits, text = [f"{base}[{state + 1}]"], state, "", ""
+        for k in (1, 2):
+            at = due[at]
+            edits, text = edits + "I", f"{text}{name[at]}:' || chr(10) || '"
+            v = f"{base}[{at + 1}]"
+            ways.append(f"{{'c': {v}.c + {2 * k}, 'a': '{edits}' || {v}.a, 'r': '{text}' || {v}.r}}")
+        return f"list_min([{', '.join(ways)}])"
+
+    def step(state: int) -> str:
+        never = "1000000000::BIGINT"
+        v = lambda s: f"v[{s + 1}]"
+        ways = [f"{{'c': {v(state)}.c + 3, 'a': 'D' || {v(state)}.a, 'r': {v(state)}.r}}"]
+        for (s, initial), to in keeps.items():
+            if s == state:
+                ways.append(f"{{'c': CASE WHEN go OR initial <> '{initial}' THEN {never} ELSE {v(to)}.c + short END, 'a': 'K' || {v(to)}.a, 'r': role || ':' || text || chr(10) || {v(to)}.r}}")
+        to = due[state]
+        ways.append(f"{{'c': CASE WHEN go THEN {never} ELSE {v(to)}.c + short + 2 END, 'a': 'R' || {v(to)}.a, 'r': '{name[to]}:' || text || chr(10) || {v(to)}.r}}")
+        return f"list_min([{', '.join(ways)}])"
+
+    white = "[^\\x20\\x09-\\x0D]"
+    unit = "{'c': %s::BIGINT, 'a': '', 'r': ''}"
+    end = f"[{', '.join(unit % c for c in (0, 1000000000, 1000000000, 0))}]"
+    steps, lists = ", ".join(step(s) for s in range(4)), lambda base: ", ".join(least(s, base) for s in range(4))
+    return f"""
+WITH RECURSIVE bits AS (SELECT unnest(range(256))::UBIGINT AS n),
+crc0 AS (SELECT n, n AS v, 0 AS k FROM bits UNION ALL SELECT n, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384::UBIGINT) ELSE v >> 1 END, k + 1 FROM crc0 WHERE k < 8),
+crc AS (SELECT list(v ORDER BY n) AS t FROM crc0 WHERE k = 8),
+raw AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+  coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS place FROM conversations),
+faulty AS (SELECT raw.*, xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(place, ''), lambda c: ascii(c)::UBIGINT)),
+  lambda a, b: xor(a >> 8, t[(xor(a, b) & 255)::INT + 1])), 4294967295::UBIGINT) % 20 AS fault FROM raw, crc),
+damaged AS (SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role,
+  CASE WHEN fault = 1 THEN '' WHEN fault = 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+  unnest(CASE WHEN fault = 3 THEN [1, 2] ELSE [1] END) AS time FROM faulty WHERE fault <> 0),
+placed AS (SELECT *, left(role, 1) AS initial, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
+  regexp_extract_all(text, '{white}') AS seen_chars FROM damaged),
+rows AS (SELECT *, len(seen_chars) = 0 AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again,
+  lag(initial) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM placed),
+faults AS (SELECT *, blank OR again AS go, (NOT blank AND NOT again AND seen_chars[-1] NOT IN ('.', '!', '?'))::BIGINT AS short FROM rows),
+stats AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE blank) AS blank,
+  count(*) FILTER (WHERE NOT blank AND again) AS duplicate, sum(short) AS truncated,
+  count(*) FILTER (WHERE before || initial NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n FROM faults GROUP BY conv_id),
+back AS (
+  SELECT conv_id, n AS i, (SELECT [{lists('e')}] FROM (SELECT {end} AS e)) AS v FROM stats
+  UNION ALL
+  SELECT conv_id, i, [{lists('w')}] FROM (
+    SELECT b.conv_id, b.i - 1 AS i, [{steps}] AS w FROM back b JOIN faults f ON f.conv_id IS NOT DISTINCT FROM b.conv_id AND f.i = b.i WHERE b.i > 0)),
+ids AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT ids.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+  coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(v[1].c, 0)::BIGINT AS cost, coalesce(v[1].a, '') AS audit,
+  sha256(coalesce(left(v[1].r, greatest(length(v[1].r) - 1, 0)), '')) AS repaired_sha256
+FROM ids LEFT JOIN stats ON ids.conv_id IS NOT DISTINCT FROM stats.conv_id LEFT JOIN back ON back.conv_id IS NOT DISTINCT FROM ids.conv_id AND back.i = 0
+"""
+
+
+ORACLES = {"op5_mixing": OP5_SQL, "op7_secret_scan": _op7_sql(), "op8_chat_format": OP8_SQL, "op11_turn_repair": _op11_sql()}
