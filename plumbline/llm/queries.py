@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, chat, language_id, lookup_sketch, mixing, neighbours, page_text, repeats, secret_scan, simhash, turn_repair
+from plumbline.llm import bpe, chat, language_id, lookup_sketch, mixing, neighbours, page_text, ranked, repeats, secret_scan, simhash, turn_repair
 from plumbline.llm.session import table
 
 
@@ -153,6 +153,29 @@ def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turn_repair.digests(turn_repair.repair(damaged(table(spark, sf_dir, "conversations"))))
 
 
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 documents that score highest for each benchmark item, among all."""
+    return ranked.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+OP13_SQL = f"""
+WITH t AS (SELECT doc_id, row_number() OVER () AS row_key,
+  regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents WHERE text IS NOT NULL),
+d AS (SELECT * FROM t WHERE len(terms) > 0),
+totals AS (SELECT count(*)::BIGINT AS n_docs, sum(len(terms))::BIGINT AS n_words FROM d),
+asked AS (SELECT item_id, term, count(*)::BIGINT AS r FROM (
+  SELECT item_id, unnest(regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark WHERE text IS NOT NULL) GROUP BY ALL),
+tf AS (SELECT row_key, doc_id, n, term, count(*)::BIGINT AS tf FROM (SELECT row_key, doc_id, len(terms)::BIGINT AS n, unnest(terms) AS term FROM d)
+  WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM tf, totals GROUP BY term, n_docs),
+scored AS (SELECT item_id, row_key, doc_id, sum(r * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * n_docs) // n_words))))::BIGINT AS score
+  FROM asked JOIN tf USING (term) JOIN w USING (term), totals GROUP BY ALL)
+SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST))::INT AS rank, doc_id, score
+FROM scored WHERE score > 0 QUALIFY rank <= 20
+"""
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_neighbours": op2_neighbours,
@@ -166,6 +189,7 @@ QUERIES = {
     "op9_simhash": op9_simhash,
     "op10_repeats": op10_repeats,
     "op11_turn_repair": op11_turn_repair,
+    "op13_ranked_search": op13_ranked_search,
 }
 OP8_SQL = r"""
 WITH turns AS (
@@ -247,4 +271,4 @@ FROM ids LEFT JOIN stats ON ids.conv_id IS NOT DISTINCT FROM stats.conv_id LEFT
 """
 
 
-ORACLES = {"op5_mixing": OP5_SQL, "op7_secret_scan": _op7_sql(), "op8_chat_format": OP8_SQL, "op11_turn_repair": _op11_sql()}
+ORACLES = {"op5_mixing": OP5_SQL, "op7_secret_scan": _op7_sql(), "op8_chat_format": OP8_SQL, "op11_turn_repair": _op11_sql(), "op13_ranked_search": OP13_SQL}
