@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, chat, language_id, lookup_sketch, mixing, neighbours, page_text, ranked, repeats, secret_scan, simhash, turn_repair
+from plumbline.llm import bpe, chat, class_lm, language_id, lookup_sketch, mixing, neighbours, page_text, ranked, repeats, secret_scan, simhash, turn_repair
 from plumbline.llm.session import table
 
 
@@ -153,6 +153,11 @@ def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turn_repair.digests(turn_repair.repair(damaged(table(spark, sf_dir, "conversations"))))
 
 
+def op12_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents by class bigrams learnt from nine tenths of them."""
+    return class_lm.scores(table(spark, sf_dir, "documents"))
+
+
 def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 documents that score highest for each benchmark item, among all."""
     return ranked.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -189,6 +194,7 @@ QUERIES = {
     "op9_simhash": op9_simhash,
     "op10_repeats": op10_repeats,
     "op11_turn_repair": op11_turn_repair,
+    "op12_class_lm": op12_class_lm,
     "op13_ranked_search": op13_ranked_search,
 }
 OP8_SQL = r"""
