@@ -20,7 +20,8 @@ def main(arguments: list[str] | None = None) -> int:
         found = generate.one(prompt, config, lists.load(spark, config.bans, config.regex_reach), generate.provider_of(config)(), told)
         print(found["text"])
         return 0 if found["error"] is None else 1
-    generate.run(spark, config).show()
+    told = lambda p: print(f"wave {p['wave']}: {p['prompts']} prompts, {p['tokens']} tokens, banned {p['events']}", file=sys.stderr)
+    generate.run(spark, config, progress=told).show()
     return 0
 
 

@@ -89,6 +89,9 @@ class Config:
     regex_validation_interval: int = 20
     #: Characters that a pattern's match may span; none: any number.
     regex_reach: int | None = None
+    #: Requests that each task has in flight; prompts of a wave, after which the log and the pairs are written.
+    threads: int = 1
+    wave_prompts: int = 10_000
     logging_level: str = "INFO"
     seed: int = 1
 
@@ -96,7 +99,7 @@ class Config:
 #: Names under which configuration files know the groups.
 GROUPS = {"generation_params": "generation", "ngram_validator": "bans"}
 #: Settings of configuration files that have no meaning here: Spark deals out the work.
-IGNORED = frozenset(["threads", "prompt", "chat_template_model_id", "refusal_model_id", "regex_max_span_tokens"])
+IGNORED = frozenset(["prompt", "chat_template_model_id", "refusal_model_id", "regex_max_span_tokens"])
 RENAMED = {("bans", "banned_file"): "ngram_file", ("bans", "banned_list"): "ngram_list"}
 
 
@@ -179,7 +182,7 @@ FLAGS: dict[str, tuple[str, Any]] = {
     "--top-k": ("top_k", int), "--min-p": ("min_p", float), "--timeout": ("timeout", int), "--stop-sequences": ("stop_sequences", listed), "--invert-probs": ("invert_probs", yes),
     "--max-retries-per-position": ("max_retries_per_position", int), "--ngram-banned-list": ("ngram_cli_list", listed), "--ngram-banned-file": ("ngram_file", str), "--ngram-remove-stopwords": ("remove_stopwords", yes),
     "--ngram-language": ("language", str), "--input-json": ("input_json", str), "--input-hf-dataset": ("input_hf_dataset", str), "--hf-dataset-split": ("hf_dataset_split", str),
-    "--hf-dataset-config-name": ("hf_dataset_config_name", str), "--output-jsonl": ("output_jsonl", str), "--ftpo-pairs-jsonl": ("ftpo_pairs_jsonl", str), "--max-prompts": ("max_prompts", int),
+    "--hf-dataset-config-name": ("hf_dataset_config_name", str), "--output-jsonl": ("output_jsonl", str), "--ftpo-pairs-jsonl": ("ftpo_pairs_jsonl", str), "--max-prompts": ("max_prompts", int), "--threads": ("threads", int),
 }
 CHOICES = {"--request-mode": ("chunk", "stream"), "--logging-level": ("DEBUG", "INFO", "WARNING", "ERROR", "CRITICAL")}
 

@@ -2,16 +2,19 @@
 
 Prompts that the log has, or that were refused before, are left out; the rest are completed by a
 provider, checked and repaired as they grow, scored for refusal, and become rows of the log, with
-a row for each refused prompt. All but the loop over one text is DataFrame operations, and a run
-that was broken off goes on where its log ends.
+a row for each refused prompt. All but the loop over one text is DataFrame operations.
+
+A run works in waves of prompts, a micro-batch each: a wave's rows are written once, and from these
+its part of the log and of the pairs, each a folder named for the wave, so that a wave that is
+committed twice is there once. A run that was broken off goes on with the first wave that is not.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+import uuid
+from collections.abc import Callable
 from typing import Any
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,12 +23,10 @@ from plumbline.operators import batch, repair
 from plumbline.operators.candidates import prefix_set
 from plumbline.operators.match import Rules
 from plumbline.operators.pairs import pairs
+from plumbline.operators.refusal import Scorer, judged
 from plumbline.sources import completions, records
 from plumbline.sources import rules as lists
 
-#: A scorer of refusals: made once for each task; (label, confidence) of each prompt and answer.
-Scorer = Callable[[Sequence[str], Sequence[str]], list[tuple[str, float]]]
-SCORED = "prompt_id long, label string, confidence double"
 
 
 def prefixes(rules: Rules) -> frozenset[str]:
@@ -47,22 +48,7 @@ def provider_of(config: Config, connect: Callable[..., completions.Http] = compl
 
 def scored(rows: DataFrame, scorer: Callable[[], Scorer]) -> DataFrame:
     """``prompt_id, label, confidence`` of ``rows(prompt_id, prompt, generation)``. A scorer that can't be made, or fails, says ``error`` with confidence 0."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        try:
-            score: Scorer | None = scorer()
-        except Exception:  # whatever a model's loader raises: the run goes on without it
-            score = None
-        for f in frames:
-            try:
-                if score is None:
-                    raise RuntimeError("no scorer")
-                found = score(f["prompt"].fillna("").tolist(), f["generation"].fillna("").tolist())
-            except Exception:
-                found = [("error", 0.0)] * len(f)
-            yield pd.DataFrame({"prompt_id": f["prompt_id"], "label": [x for x, _ in found], "confidence": [float(y) for _, y in found]})
-
-    return rows.select("prompt_id", "prompt", "generation").mapInPandas(run, SCORED)
+    return judged(rows.select("prompt_id", "prompt", "generation"), scorer, "prompt", "generation").select("prompt_id", "label", "confidence")
 
 
 def completed(prompts: DataFrame, config: Config, rules: Rules, provider: Any, **more: Any) -> DataFrame:
@@ -75,23 +61,24 @@ def completed(prompts: DataFrame, config: Config, rules: Rules, provider: Any, *
     banned = prefixes(rules) if config.filter_tail_banned_prefix_tokens else frozenset()
     done = repair.repair(
         begun, rules, provider, sampling(config), repair.tail_of(most=config.tail_top_k, limit=config.max_chosen_tokens, share=config.generation.min_p or 0.01, prefixes=banned), config.seed,
-        max_tokens=config.generation.max_new_tokens, retries=config.backtracking.max_retries_per_position, interval=config.regex_validation_interval, **more,
+        max_tokens=config.generation.max_new_tokens, retries=config.backtracking.max_retries_per_position, interval=config.regex_validation_interval, in_flight=config.threads, **more,
     )
     return done.withColumnRenamed("doc_id", "prompt_id").join(prompts.select("prompt_id", "prompt"), "prompt_id")
 
 
-def log_rows(done: DataFrame, decisions: DataFrame | None, config: Config) -> DataFrame:
-    """Completions as rows of the log, with ``ftpo_samples``; those that a scorer takes for refusals fail, keep their text and lose their pairs."""
-    rows = done.select("prompt_id", "prompt", F.col("text").alias("generation"), F.lit("success").alias("status"), F.col("error").alias("service_error"), "events", "samples", F.size("tokens").cast("long").alias("tokens_generated_prompt"), "settled")
-    if decisions is None:
-        found = rows.withColumn("refusal_detected", F.lit(False)).withColumn("keep_pairs", F.lit(True)).withColumn("label", F.lit(None).cast("string")).withColumn("confidence", F.lit(None).cast("double"))
+def log_rows(done: DataFrame, config: Config) -> DataFrame:
+    """Completions as rows of the log, with ``ftpo_samples``; those that a scorer (``label``, ``confidence``) takes for refusals fail, keep their text and lose their pairs."""
+    rows = done.withColumnsRenamed({"text": "generation", "error": "service_error"}).withColumn("status", F.lit("success")).withColumn("tokens_generated_prompt", F.size("tokens").cast("long"))
+    if "label" not in done.columns:
+        none = {"refusal_detected": F.lit(False), "keep_pairs": F.lit(True), "label": F.lit(None).cast("string"), "confidence": F.lit(None).cast("double"), "scorer_error": F.lit(None).cast("string")}
+        found = rows.withColumns(none)
     else:
-        found = batch.decided(rows.join(decisions, "prompt_id", "left"), config.refusal_threshold, config.enable_refusal_detection)
+        found = batch.decided(rows, config.refusal_threshold, config.enable_refusal_detection)
     samples = F.when(F.col("keep_pairs"), F.col("samples")).otherwise(F.array().cast(f"array<{repair.SAMPLE}>"))
     kept = F.transform("events", lambda e: e.dropFields("chosen"))
     return found.select(
         F.col("prompt_id").cast("string").alias("prompt_id"), "prompt", "generation", "status", F.when(F.col("refusal_detected"), F.format_string("refusal detected (%s, p=%.3f)", "label", "confidence")).otherwise(F.col("service_error")).alias("error"), kept.alias("events"), "tokens_generated_prompt",
-        "refusal_detected", F.col("label").alias("refusal_label"), F.col("confidence").alias("refusal_confidence"), samples.alias("ftpo_samples"), "settled",
+        "refusal_detected", F.col("label").alias("refusal_label"), F.col("confidence").alias("refusal_confidence"), F.col("scorer_error").alias("refusal_error"), samples.alias("ftpo_samples"), "settled",
     )
 
 
@@ -107,16 +94,24 @@ def generate(prompts: DataFrame, config: Config, rules: Rules, provider: Any = N
     ``existing`` and ``refused`` are tables of ``prompt_id``. Nulls: a null prompt is empty. Equal
     ids are one prompt to the log. Rows are in no order.
     """
-    spark = prompts.sparkSession
-    none = spark.createDataFrame([], "prompt_id string")
+    left, stand_ins = outstanding(prompts, config, existing, refused)
+    return batch.run_log(answered(left, config, rules, provider, scorer, **more), stand_ins)
+
+
+def outstanding(prompts: DataFrame, config: Config, existing: DataFrame | None = None, refused: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The prompts that are still to be asked, and the rows that stand for refused ones."""
+    none = prompts.sparkSession.createDataFrame([], "prompt_id string")
     existing, refused = existing if existing is not None else none, refused if refused is not None else none
     asked = prompts.withColumn("prompt", batch.templated(F.coalesce("prompt", F.lit("")), config.prompt_template)) if config.prompt_template != "{prompt}" else prompts
-    left = batch.pending(asked, existing, refused, limit=config.max_prompts)
-    done = completed(left, config, rules, provider if provider is not None else provider_of(config), **more)
-    decisions = scored(done.select("prompt_id", "prompt", F.col("text").alias("generation")), scorer) if scorer is not None and config.enable_refusal_detection else None
     stand_ins = batch.placeholders(refused, existing, asked)
     stand_ins = stand_ins.withColumn("prompt_id", F.col("prompt_id").cast("string")).withColumn("events", F.array().cast(f"array<{records.EVENT}>"))
-    return batch.run_log(log_rows(done, decisions, config), stand_ins)
+    return batch.pending(asked, existing, refused, limit=config.max_prompts), stand_ins
+
+
+def answered(asked: DataFrame, config: Config, rules: Rules, provider: Any = None, scorer: Callable[[], Scorer] | None = None, **more: Any) -> DataFrame:
+    """The log's rows for ``asked(prompt_id, prompt)``: completed, repaired and scored in one pass, so each prompt goes to the service once."""
+    done = completed(asked, config, rules, provider if provider is not None else provider_of(config), **more)
+    return log_rows(judged(done, scorer) if scorer is not None and config.enable_refusal_detection else done, config)
 
 
 def read_prompts(spark: SparkSession, config: Config) -> DataFrame:
@@ -130,24 +125,68 @@ def read_prompts(spark: SparkSession, config: Config) -> DataFrame:
     return batch.numbered(found, "at").select("prompt_id", "prompt")
 
 
-def run(spark: SparkSession, config: Config, provider: Any = None, scorer: Callable[[], Scorer] | None = None) -> DataFrame:
-    """A whole run by the settings: reads, generates, appends to the log and to the pairs, and gives the totals."""
+#: What is told of a wave: its number, its rows and tokens, and its events by kind.
+Progress = Callable[[dict[str, Any]], None]
+TOTALS = "prompts long, tokens long, succeeded long, unsettled long"
+
+
+def run(spark: SparkSession, config: Config, provider: Any = None, scorer: Callable[[], Scorer] | None = None, progress: Progress | None = None) -> DataFrame:
+    """A whole run by the settings: reads, generates, writes the log and the pairs wave by wave, and gives the totals.
+
+    What is still to be asked is written beside the log, in as many files as there are waves, and
+    read as a stream of them. A run that ended early left this folder: the next one goes on with
+    it, whatever its prompts. ``progress`` is called here, on the driver, after each wave.
+    """
     if not config.output_jsonl:
         raise ValueError("output_jsonl is needed")
     if config.generation.request_mode == "stream" and provider is None and not completions.gives_logprobs(config.provider, config.generation):
         raise RuntimeError("the service gives no log probabilities in streams; use request_mode=chunk")
     rules = lists.load(spark, config.bans, config.regex_reach)
-    existing = records.log_ids(spark, config.output_jsonl)
-    refused = records.refusals(spark, config.refusals_file) if config.refusals_file else None
-    rows = generate(read_prompts(spark, config), config, rules, provider, existing, refused, scorer)
-    # Written once, so nothing is asked twice of the service; pairs are read from what was written.
-    staged = f"{config.output_jsonl.rstrip('/')}.staged"
-    rows.write.mode("overwrite").parquet(staged)
-    written = spark.read.parquet(staged)
-    records.append_generations(written.drop("settled"), config.output_jsonl)
-    if config.ftpo_pairs_jsonl:
-        records.append_pairs(pair_rows(written), config.ftpo_pairs_jsonl)
-    return written.agg(F.count("*").alias("prompts"), F.sum("tokens_generated_prompt").alias("tokens"), F.count_if(F.col("status") == "success").alias("succeeded"), F.count_if(~F.coalesce("settled", F.lit(True))).alias("unsettled"))
+    log = config.output_jsonl.rstrip("/")
+    waves = f"{log}.waves"
+    if not records.exists(spark, f"{waves}/prompts/_SUCCESS"):
+        existing = records.log_ids(spark, log)
+        refused = records.refusals(spark, config.refusals_file) if config.refusals_file else None
+        left, stand_ins = outstanding(read_prompts(spark, config), config, existing, refused)
+        spark.createDataFrame([(uuid.uuid4().hex,)], "run string").write.mode("overwrite").parquet(f"{waves}/run")
+        stand_ins.write.mode("overwrite").parquet(f"{waves}/stand_ins")
+        left = left.select(F.col("prompt_id").cast("long").alias("prompt_id"), "prompt")
+        files = -(-left.count() // max(1, config.wave_prompts))
+        left.repartition(max(1, files)).write.mode("overwrite").parquet(f"{waves}/prompts")
+    run_id = spark.read.parquet(f"{waves}/run").first()["run"]
+
+    def staged(rows: DataFrame, wave: str) -> DataFrame:
+        path = f"{waves}/staged/wave={wave}"
+        if not records.exists(spark, f"{path}/_SUCCESS"):
+            rows.write.mode("overwrite").parquet(path)
+        return spark.read.parquet(path)
+
+    def commit(rows: DataFrame, wave: str) -> None:
+        written = staged(rows, wave)
+        if config.ftpo_pairs_jsonl and "ftpo_samples" in written.columns:
+            records.put(pair_rows(written), f"{config.ftpo_pairs_jsonl.rstrip('/')}/run={run_id}/wave={wave}")
+        records.put(written.drop("settled", "ftpo_samples"), f"{log}/run={run_id}/wave={wave}")
+        if progress is not None:
+            kinds = written.select(F.explode("events").alias("e")).groupBy("e.type").count().collect()  # as many as there are kinds of rules
+            told = written.agg(F.count("*").alias("prompts"), F.sum("tokens_generated_prompt").alias("tokens")).first()
+            progress({"wave": wave, "prompts": told["prompts"], "tokens": told["tokens"] or 0, "events": {r["type"]: r["count"] for r in kinds}})
+
+    def wave(prompts: DataFrame, number: int) -> None:
+        if not prompts.isEmpty():
+            commit(answered(prompts.repartition(spark.sparkContext.defaultParallelism), config, rules, provider, scorer), str(number))
+
+    stand_ins = spark.read.parquet(f"{waves}/stand_ins")
+    if not stand_ins.isEmpty():
+        commit(stand_ins, "stand_ins")
+    queue = spark.readStream.schema("prompt_id long, prompt string").option("maxFilesPerTrigger", 1).parquet(f"{waves}/prompts")
+    queue.writeStream.foreachBatch(wave).option("checkpointLocation", f"{waves}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    totals = (0, 0, 0, 0)
+    if records.exists(spark, f"{waves}/staged"):
+        written = spark.read.option("mergeSchema", "true").parquet(f"{waves}/staged")
+        settled = F.coalesce("settled", F.lit(True)) if "settled" in written.columns else F.lit(True)
+        totals = tuple(written.agg(F.count("*"), F.coalesce(F.sum("tokens_generated_prompt"), F.lit(0)), F.count_if(F.col("status") == "success"), F.count_if(~settled)).first())
+    records.removed(spark, waves)
+    return spark.createDataFrame([totals], TOTALS)
 
 
 def one(prompt: str, config: Config, rules: Rules, provider: Any, on_event: Callable[[int, dict], None] | None = None) -> dict[str, Any]:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from plumbline import config, generate
 from plumbline.functions import text as tx
 from plumbline.operators import batch, candidates as cd, decode, match, metrics, pairs, profile, repair, resolve
-from plumbline.plans import oracles
+from plumbline.plans import oracles, standins
 from plumbline.plans.oracles import BANNED_WORDS, HUMAN_MIN, LADDER, LOOKAROUND, NGRAMS, OPTIONS, PHRASES, PREFIX_RULES, REGEXES
 from plumbline.sources.tables import table
 
@@ -348,7 +348,7 @@ def profile_zones(s: SparkSession, d: str) -> DataFrame:
 def fixpoint_backtrack(s: SparkSession, d: str) -> DataFrame:
     """All texts, each banned word's token replaced by the likeliest candidate; the provider then goes on with the text as it was."""
     rows = docs(s, d).select("doc_id", F.col("text").alias("prompt"), F.array().cast("array<string>").alias("tokens"), F.array().cast("array<array<struct<token:string,logp:double>>>").alias("candidates"))
-    done = repair.repair(rows, match.Rules(BANNED_WORDS), repair.Recited(OPTIONS, chunk=1 << 20), repair.ladder_weights(top_k=1))
+    done = repair.repair(rows, match.Rules(BANNED_WORDS), standins.Recited(OPTIONS, chunk=1 << 20), repair.ladder_weights(top_k=1))
     return done.select("doc_id", F.size("tokens").alias("tokens"), F.size("events").alias("events"), "settled", F.sha2("text", 256).alias("text_sha256"))
 
 
@@ -359,7 +359,7 @@ def refuses():
 
 def run_rows(s: SparkSession, d: str) -> DataFrame:
     settings = config.merged(config.Config(), {"max_new_tokens": 60, "chunk_size": 20, "top_k": 1, "min_p": None, "invert_probs": False, "enable_refusal_detection": True, "prompt_template": "Go on: {prompt}"})
-    return generate.generate(prompts(s, d), settings, match.Rules(BANNED_WORDS), repair.Recited(OPTIONS), existing(s, d), refused(s, d), refuses)
+    return generate.generate(prompts(s, d), settings, match.Rules(BANNED_WORDS), standins.Recited(OPTIONS), existing(s, d), refused(s, d), refuses)
 
 
 def run_log(s: SparkSession, d: str) -> DataFrame:

@@ -128,20 +128,22 @@ class Service:
     settings: Generation
     http: Http
 
-    def continue_(self, doc_id: int, prompt: str, tokens: Sequence[str], most: int) -> tuple[list[str], list[Candidates]]:
+    def continue_(self, doc_id: int, prompt: str, tokens: Sequence[str], most: int) -> tuple[list[str], list[Candidates], str | None]:
         chunk = parsed(self.http.post(payload(self.provider, self.settings, prompt + "".join(tokens), most)))
-        return list(chunk["token_strings"]), [_options(chunk, i) for i in range(len(chunk["token_strings"]))]
+        return list(chunk["token_strings"]), [_options(chunk, i) for i in range(len(chunk["token_strings"]))], chunk["finish_reason"]
 
 
 @dataclass(frozen=True)
 class StreamingService(Service):
     """The same, read token by token; closing the stream ends the request."""
 
-    def stream(self, doc_id: int, prompt: str, tokens: Sequence[str], most: int) -> Iterator[tuple[str, Candidates]]:
+    def stream(self, doc_id: int, prompt: str, tokens: Sequence[str], most: int) -> Iterator[tuple[str | None, Candidates, str | None]]:
         body = payload(self.provider, self.settings, prompt + "".join(tokens), None, True) | {"max_tokens": most}
         for chunk in events(self.http.stream(body)):
             for i, token in enumerate(chunk["token_strings"]):
-                yield token, _options(chunk, i)
+                yield token, _options(chunk, i), chunk["finish_reason"] if i + 1 == len(chunk["token_strings"]) else None
+            if not chunk["token_strings"] and chunk["finish_reason"]:
+                yield None, [], chunk["finish_reason"]
 
 
 def _options(chunk: dict[str, Any], i: int) -> Candidates:

@@ -28,24 +28,36 @@ def sharegpt(spark: SparkSession, path: str) -> DataFrame:
 
 
 def generations(spark: SparkSession, path: str) -> DataFrame:
-    """A generation log; malformed lines and lines without an id are left out."""
-    rows = spark.read.schema(GENERATION).option("mode", "DROPMALFORMED").json(path)
+    """A generation log, with the folders of its waves; malformed lines and lines without an id are left out."""
+    rows = spark.read.schema(GENERATION).option("mode", "DROPMALFORMED").option("recursiveFileLookup", True).json(path)
     return rows.where("prompt_id is not null")
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def _at(spark: SparkSession, path: str):
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder, in whatever store."""
+    fs, where = _at(spark, path)
+    return fs.exists(where)
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a folder of this engine's own."""
+    fs, where = _at(spark, path)
+    fs.delete(where, True)
 
 
 def log_ids(spark: SparkSession, path: str) -> DataFrame:
     """``prompt_id`` of a log; none where there is no log yet."""
-    return generations(spark, path).select("prompt_id") if _exists(spark, path) else spark.createDataFrame([], "prompt_id string")
+    return generations(spark, path).select("prompt_id") if exists(spark, path) else spark.createDataFrame([], "prompt_id string")
 
 
 def refusals(spark: SparkSession, path: str) -> DataFrame:
     """``prompt_id`` of the rows of an earlier log that count as refused, each once. A missing file is an error; lines without an id are left out."""
-    if not _exists(spark, path):
+    if not exists(spark, path):
         raise FileNotFoundError(path)
     rows = generations(spark, path)
     return rows.where(is_refused(F.col("refusal_detected"), F.col("status"), F.col("generation"))).select("prompt_id").distinct()
@@ -58,8 +70,8 @@ def dataset(spark: SparkSession, path: str, split: str = "train", config: str |
     file names. Columns that it lacks are null.
     """
     base = f"{path.rstrip('/')}/{config}" if config else path.rstrip("/")
-    folder = f"{base}/{split}" if _exists(spark, f"{base}/{split}") else base
-    if not _exists(spark, folder):
+    folder = f"{base}/{split}" if exists(spark, f"{base}/{split}") else base
+    if not exists(spark, folder):
         raise FileNotFoundError(folder)
     named = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path").where(F.col("path").rlike(r"\.(parquet|jsonl?|json\.gz|jsonl\.gz)$"))
     files = [r["path"] for r in named.collect()]  # names only
@@ -108,6 +120,11 @@ def append_generations(rows: DataFrame, path: str) -> None:
     rows.drop("ftpo_samples").write.mode("append").json(path)
 
 
+def put(rows: DataFrame, path: str) -> None:
+    """Write a part of a log or of pairs, in place of what an earlier try left there."""
+    rows.write.mode("overwrite").json(path)
+
+
 def append_pairs(rows: DataFrame, path: str) -> None:
     """Append preference pairs."""
     rows.write.mode("append").json(path)

@@ -30,7 +30,7 @@ ODD = [(1, "one two three", "a"), (1, "one two three", "a"), (1, "other", None),
 
 def sql(query):
     con = duckdb.connect()
-    for t in ("documents", "conversations", "pages", "embeddings"):
+    for t in ("documents", "conversations", "pages", "embeddings", "benchmark"):
         con.execute(f"create view {t} as select * from read_parquet('{SF}/{t}.parquet')")
     found = con.sql(query)
     names = found.columns

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from plumbline import config, generate
 from plumbline.operators import batch, candidates as cd, decode, match, metrics, repair
+from plumbline.plans import standins
 from plumbline.sources import completions, records
 from plumbline.streaming import live
 
@@ -172,7 +173,7 @@ def test_repair_ends_without_violations():
     own = repair.Matcher(match.Rules(("the cat",), (r"\d{3}",), (("deep", "breath"),)))
     tokens = ["See", " the", " cat", " take", " deep", " breath", " 123"]
     options = [[(t, -0.1), (" dog", -1.0), (" sun", -2.0)] for t in tokens]
-    done = repaired(tokens, options, own, repair.Cycling((" the", " cat", " sat", " down"), 12))
+    done = repaired(tokens, options, own, standins.Cycling((" the", " cat", " sat", " down"), 12))
     assert not list(own.hits(done["text"])) and any(e["fixed"] for e in done["events"]) and done["rounds"] < 1000 and len(done["tokens"]) == 12 and done["settled"]
     done = repaired(tokens[:3], [[], [], []], own)
     assert done["tokens"] == tokens[:3] and [e["fixed"] for e in done["events"]] == [False] and done["settled"]
@@ -204,7 +205,7 @@ def test_streams_are_cut_at_violations():
     """A stream is closed where a rule hits; patterns are run every few tokens only."""
     read, closed = [], []
 
-    class Stream(repair.Recited):
+    class Stream(standins.Recited):
         def stream(self, doc_id, prompt, tokens, most):
             try:
                 for token in prompt.split("|")[len(tokens) :]:
@@ -240,7 +241,7 @@ def test_a_run_and_its_resumption(spark, tmp_path):
         "input_json": f"file://{tmp_path}/p.json", "output_jsonl": f"file://{tmp_path}/log", "ftpo_pairs_jsonl": f"file://{tmp_path}/pairs", "refusals_file": f"file://{tmp_path}/old.jsonl",
         "slop_phrases_file": f"file://{tmp_path}/bans.json", "enable_refusal_detection": True, "top_k": 1, "min_p": None, "invert_probs": False, "prompt_template": "{prompt}!",
     })
-    provider = repair.Recited(((" a", -0.5), (" some", -1.0), (" kind", -2.0)), chunk=3)
+    provider = standins.Recited(((" a", -0.5), (" some", -1.0), (" kind", -2.0)), chunk=3)
     scorer = lambda: lambda prompts, answers: [("refusal", 0.95) if "refuse" in p else ("no", 0.5) for p in prompts]
     totals = generate.run(spark, settings, provider, scorer).first()
     assert (totals["prompts"], totals["succeeded"], totals["unsettled"]) == (4, 2, 0)
@@ -265,7 +266,7 @@ def test_a_scorer_that_fails(spark):
 
 def test_one_prompt():
     told = []
-    found = generate.one("see the cat", config.merged(config.Config(), {"top_k": 1, "min_p": None, "invert_probs": False}), match.Rules(("the cat",)), repair.RecitedStream(((" a", -0.5), (" dog", -1.0))), lambda i, e: told.append(e["type"]))
+    found = generate.one("see the cat", config.merged(config.Config(), {"top_k": 1, "min_p": None, "invert_probs": False}), match.Rules(("the cat",)), standins.RecitedStream(((" a", -0.5), (" dog", -1.0))), lambda i, e: told.append(e["type"]))
     assert found["text"] == "see a cat" and told == ["phrase"]
 
 
