@@ -23,7 +23,7 @@ from plumbline.operators import batch, repair
 from plumbline.operators.candidates import prefix_set
 from plumbline.operators.match import Rules
 from plumbline.operators.pairs import pairs
-from plumbline.operators.refusal import Scorer, judged
+from plumbline.operators.refusal import Scorer, Tokenizer, Words, judged
 from plumbline.sources import completions, records
 from plumbline.sources import rules as lists
 
@@ -88,14 +88,15 @@ def pair_rows(log: DataFrame) -> DataFrame:
     return pairs(x.select("prompt", "s.generation", "s.context", "s.rejected", "s.chosen", "s.tail", "s.kind", "s.rule", "s.n"))
 
 
-def generate(prompts: DataFrame, config: Config, rules: Rules, provider: Any = None, existing: DataFrame | None = None, refused: DataFrame | None = None, scorer: Callable[[], Scorer] | None = None, **more: Any) -> DataFrame:
+def generate(prompts: DataFrame, config: Config, rules: Rules, provider: Any = None, existing: DataFrame | None = None, refused: DataFrame | None = None, scorer: Callable[[], Scorer] | None = None, tokenizer: Callable[[], Tokenizer] | None = Words, **more: Any) -> DataFrame:
     """Rows to append to the log of ``prompts(prompt_id, prompt)``: a placeholder for each refused prompt without a row, and a row for each prompt that is neither there nor refused.
 
     ``existing`` and ``refused`` are tables of ``prompt_id``. Nulls: a null prompt is empty. Equal
-    ids are one prompt to the log. Rows are in no order.
+    ids are one prompt to the log. Rows are in no order. ``tokenizer`` cuts what the scorer reads;
+    none: it cuts by itself.
     """
     left, stand_ins = outstanding(prompts, config, existing, refused)
-    return batch.run_log(answered(left, config, rules, provider, scorer, **more), stand_ins)
+    return batch.run_log(answered(left, config, rules, provider, scorer, tokenizer, **more), stand_ins)
 
 
 def outstanding(prompts: DataFrame, config: Config, existing: DataFrame | None = None, refused: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -108,10 +109,10 @@ def outstanding(prompts: DataFrame, config: Config, existing: DataFrame | None =
     return batch.pending(asked, existing, refused, limit=config.max_prompts), stand_ins
 
 
-def answered(asked: DataFrame, config: Config, rules: Rules, provider: Any = None, scorer: Callable[[], Scorer] | None = None, **more: Any) -> DataFrame:
+def answered(asked: DataFrame, config: Config, rules: Rules, provider: Any = None, scorer: Callable[[], Scorer] | None = None, tokenizer: Callable[[], Tokenizer] | None = Words, **more: Any) -> DataFrame:
     """The log's rows for ``asked(prompt_id, prompt)``: completed, repaired and scored in one pass, so each prompt goes to the service once."""
     done = completed(asked, config, rules, provider if provider is not None else provider_of(config), **more)
-    return log_rows(judged(done, scorer) if scorer is not None and config.enable_refusal_detection else done, config)
+    return log_rows(judged(done, scorer, tokenizer=tokenizer) if scorer is not None and config.enable_refusal_detection else done, config)
 
 
 def read_prompts(spark: SparkSession, config: Config) -> DataFrame:

@@ -358,8 +358,8 @@ def refuses():
 
 
 def run_rows(s: SparkSession, d: str) -> DataFrame:
-    settings = config.merged(config.Config(), {"max_new_tokens": 60, "chunk_size": 20, "top_k": 1, "min_p": None, "invert_probs": False, "enable_refusal_detection": True, "prompt_template": "Go on: {prompt}"})
-    return generate.generate(prompts(s, d), settings, match.Rules(BANNED_WORDS), standins.Recited(OPTIONS), existing(s, d), refused(s, d), refuses)
+    settings = config.merged(config.Config(), {"chunk_size": 20, "top_k": 1, "min_p": None, "invert_probs": False, "enable_refusal_detection": True, "prompt_template": "Go on: {prompt}"})
+    return generate.generate(prompts(s, d), settings, match.Rules(BANNED_WORDS), standins.Recited(OPTIONS), existing(s, d), refused(s, d), refuses, None)
 
 
 def run_log(s: SparkSession, d: str) -> DataFrame:
