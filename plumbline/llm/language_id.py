@@ -14,7 +14,8 @@ The posterior of a row's language is, up to a factor,
 
 Counts use the text evidence alone as label, so no evidence confirms itself. Only the trigram
 table is fitted on a sample: of each label at most ``SAMPLE`` different texts, chosen by a hash.
-Which labels are languages is told by counts over all rows, so it does not depend on the sample.
+Every label that some row declares is a language, however rare: what keeps noise down is that a
+language's prior follows its counts over all rows.
 """
 
 from __future__ import annotations
@@ -29,10 +30,10 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.session import cut, slices
 
-#: Different texts of one label that the trigram table is fitted on at most; rows of a label in the whole table at least for it to count.
-SAMPLE, LEAST = 4000, 5
-#: Labels whose table is sent to all tasks.
-FEW_LABELS = 10_000
+#: Different texts of one label that the trigram table is fitted on at most.
+SAMPLE = 4000
+#: Labels at most: a table of them all, 1 MB each, is in every task. A column with more does not name languages, which is an error.
+MOST_LABELS = 256
 #: Hash bins of trigrams; share of a language's probability that is spread over all of them; strength of the smoothing by the next level.
 BINS, SPREAD, STRENGTH = 1 << 18, 0.1, 20.0
 #: Over so many trigrams ``und`` spreads.
@@ -76,32 +77,38 @@ class Model:
 def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     """The trigram table of ``labelled(id, text, label)``, from at most ``sample`` different texts of each label, chosen by a hash."""
     rows = labelled.where("text is not null and label is not null").select("label", "text", F.xxhash64("text").alias("h"))
-    seen = rows.groupBy("label").agg(F.count("*").alias("n"), F.approx_count_distinct("h").alias("texts"))
-    # A rare label is noise, unless all are rare.
-    frequent = seen.where(F.col("n") >= LEAST)
-    frequent = (seen if frequent.isEmpty() else frequent).select("label", F.least(F.lit(1.0), 2.0 * sample / F.col("texts")).alias("share"))
-    frequent = cut(frequent, "labels")
-    # One row a label: broadcast only if there are few.
-    known = F.broadcast(frequent) if frequent.count() <= FEW_LABELS else frequent
+    seen = cut(rows.groupBy("label").agg(F.approx_count_distinct("h").alias("texts")), "labels")
+    if (found := seen.count()) > MOST_LABELS:
+        raise ValueError(f"{found} labels; at most {MOST_LABELS} languages are told apart")
+    known = F.broadcast(seen.select("label", F.least(F.lit(1.0), 2.0 * sample / F.col("texts")).alias("share")))  # one row a label
     drawn = rows.join(known, "label").where(F.pmod("h", F.lit(1 << 30)) <= F.col("share") * (1 << 30)).dropDuplicates(["label", "h"])
     place = F.row_number().over(Window.partitionBy("label").orderBy(F.pmod("h", F.lit(1 << 30)), "h"))
     chosen = drawn.withColumn("place", place).where(F.col("place") <= sample).select("label", "text")
 
+    def told(sums: dict[str, np.ndarray]) -> list[pa.Array]:
+        bins = [np.flatnonzero(x).astype(np.int32) for x in sums.values()]
+        return [pa.array(list(sums), pa.string()), pa.array([b.tobytes() for b in bins], pa.binary()), pa.array([x[b].tobytes() for b, x in zip(bins, sums.values(), strict=True)], pa.binary())]
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[str, tuple[np.ndarray, int]] = {}
+        sums: dict[str, np.ndarray] = {}
         for b in batches:
             for label, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                counts, k = found.get(label, (np.zeros(BINS, np.int64), 0))
-                found[label] = counts + np.bincount(trigrams(text), minlength=BINS), k + 1
-        labels = sorted(found)
-        yield pa.RecordBatch.from_arrays([pa.array(labels, pa.string()), pa.array([found[x][1] for x in labels], pa.int64()), pa.array([found[x][0].tobytes() for x in labels], pa.binary())], ["label", "n", "counts"])
-
-    totals: dict[str, list] = {}
-    for r in chosen.mapInArrow(count, "label string, n long, counts binary").collect():  # a bounded sample: few rows
-        n, counts = totals.get(r["label"], (0, np.zeros(BINS, np.int64)))
-        totals[r["label"]] = [n + r["n"], counts + np.frombuffer(r["counts"], np.int64)]
-    kept = sorted(totals)
-    return Model(kept, np.array([totals[x][1] for x in kept]).reshape(len(kept), BINS))
+                bins, n = np.unique(trigrams(text), return_counts=True)
+                sums.setdefault(label, np.zeros(BINS, np.int64))[bins] += n
+        yield pa.RecordBatch.from_arrays(told(sums), ["label", "bins", "counts"])
+
+    def summed(group: pa.Table) -> pa.Table:
+        total = np.zeros(BINS, np.int64)
+        for bins, n in zip(group.column("bins").to_pylist(), group.column("counts").to_pylist(), strict=True):
+            total[np.frombuffer(bins, np.int32)] += np.frombuffer(n, np.int64)
+        return pa.Table.from_arrays(told({group.column("label")[0].as_py(): total}), ["label", "bins", "counts"])
+
+    schema = "label string, bins binary, counts binary"
+    kept: dict[str, np.ndarray] = {}
+    for r in chosen.mapInArrow(count, schema).groupBy("label").applyInArrow(summed, schema).collect():  # the bins of one label a row, and few labels
+        kept[r["label"]] = np.zeros(BINS, np.int64)
+        kept[r["label"]][np.frombuffer(r["bins"], np.int32)] = np.frombuffer(r["counts"], np.int64)
+    return Model(sorted(kept), np.array([kept[x] for x in sorted(kept)]).reshape(len(kept), BINS))
 
 
 def levels(url: Column) -> tuple[Column, Column, Column]:
