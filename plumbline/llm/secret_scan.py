@@ -61,9 +61,9 @@ BASE = (
 #: What this engine adds: the forms that issuers publish.
 EXTRA = (
     Rule("pem", r"-----BEGIN [A-Z0-9 ]{0,32}PRIVATE KEY-----"),
-    Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,255}"),
-    Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,255}"),
-    Rule("stripe", r"[rs]k_live_[A-Za-z0-9]{16,255}"),
+    Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
+    Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
+    Rule("stripe", r"[rs]k_live_[A-Za-z0-9]{16,}"),
     Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
 )
@@ -72,7 +72,7 @@ _GAP = r"(?:\s|\\[nr])"
 _LINE = r"[A-Za-z0-9+/]"
 WHOLE_KEY = Rule(
     "pem",
-    r"-----BEGIN [A-Z0-9 ]{0,32}PRIVATE KEY-----(?:[^-]*+(?:-(?!----)[^-]*+){0,64}+-----END [A-Z0-9 ]{0,32}PRIVATE KEY-----"
+    r"-----BEGIN [A-Z0-9 ]{0,32}PRIVATE KEY-----(?:[^-]*+(?:-(?!----)[^-]*+)*+-----END [A-Z0-9 ]{0,32}PRIVATE KEY-----"
     rf"|(?:{_GAP}++(?:Proc-Type|DEK-Info): ?[A-Za-z0-9,.-]++)*+(?:{_GAP}++{_LINE}{{40,}}+={{0,2}})++(?:{_GAP}++(?:{_LINE}*[0-9+/]{_LINE}*={{0,2}}|{_LINE}+=={{0,1}}|{_LINE}+(?=[ \t]*(?:[\r\n]|\Z))))?|)",
 )
 TAKEN_OUT = tuple(WHOLE_KEY if r.kind == "pem" else r for r in BASE + EXTRA)
