@@ -54,24 +54,19 @@ DOUBTFUL = frozenset("related search share sharing social tags widget toolbar ra
 #: Words beside those that change nothing: ``ad-box`` is an ``ad``, but ``notice-period`` is no ``notice``.
 BESIDE = frozenset(
     "box wrap wrapper container block area section bar list item items inner outer content links posts post buttons button icons top bottom left right center main site form page global "
-    "primary secondary message text label unit slot region module group panel title heading sticky fixed side skip link sr only screen reader row col js the and of no".split()
+    "primary secondary message text label unit slot region user users reader readers visitor visitors module group panel title heading sticky fixed side skip link sr only screen row col js the and of no".split()
 )
 #: Compounds of such words that do mark.
 COMPOUND = frozenset("side-bar skip-link sr-only screen-reader-text site-header page-header top-bar".split())
 #: An element marked by a doubtful word goes if it has fewer characters than this or this share of them in links.
 LITTLE, LINKED = 100, 0.3
-WANTED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notice|popup|modal|overlay|newsletter|subscri\w+|signup|login|comments?|commentlist|disqus|respond|replies|discussion"
-    r"|sidebar|side-bar|rail|widget|nav|navbar|navigation|menu|breadcrumbs?|pagination|pager|toolbar|share|sharing|social|related|recommend\w*|footer|masthead|site-header|page-header|topbar|search|skip-link|tags|hidden|screen-reader-text|sr-only|complementary|contentinfo)(?:[\s_-]|$)",
-    re.I,
-)
 WANTED = re.compile(r"(?:^|[\s_-])(?:article|body|content|entry|hentry|main|page|post|story|text|blog)(?:[\s_-]|$)", re.I)
 _HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 # A quoted value ends at a quote that something else may follow; where quotes do not close so, the tag ends at the next ">".
 _AFTER = r"(?=[\s/>]|[\w:.-]+\s*=|\Z)"
 _MARK = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*(?:>|\Z)"
+    r"<!--.*?(?:-->|\Z)|(<!\[CDATA\[)|<[!?][^>]*(?:>|\Z)"
     rf"|<(/?)([A-Za-z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"{_AFTER}|'[^']*+'{_AFTER})*+(?=>|\Z)|[^>]*+)(?:>|\Z)",
     re.S,
 )
@@ -90,7 +85,8 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 PROSE = frozenset("p pre ul ol dl table blockquote figure".split())
 _SCORED = frozenset("p pre td blockquote div section article dd li".split())
 _LEAVES = frozenset("p pre td blockquote dd li".split())
-_WORD = re.compile(r"[A-Za-z][a-z]*|[0-9]+")
+_WORD = re.compile(r"[a-z]+|[0-9]+")
+_CAPITAL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])")
 
 
 class Node:
@@ -162,6 +158,7 @@ class _Tree:
 def parse(source: str) -> Node:
     """The tree of a page."""
     tree, at = _Tree(), 0
+    last = source.rfind("]]>")  # no CDATA section ends after it
     ends: dict[str, re.Pattern] = {}
     while True:
         m = _MARK.search(source, at)
@@ -171,8 +168,13 @@ def parse(source: str) -> Node:
         if m is None:
             return tree.root
         at = m.end()
-        if m[1] is not None:
-            tree.now.children.append(m[1])
+        if m[1] is not None:  # a CDATA section, or without an end any other declaration
+            end = source.find("]]>", at) if at <= last else -1
+            if end >= 0:
+                tree.now.children.append(source[at:end])
+                at = end + 3
+            else:
+                at = source.find(">", at) + 1 or len(source)
         tag = m[3] and m[3].lower()
         if not tag:
             continue
@@ -196,7 +198,7 @@ def parse(source: str) -> Node:
 def marked(marks: str) -> tuple[bool, bool]:
     """Whether a word of class, id or role marks what is not the article, and whether a doubtful one does."""
     sure = doubtful = False
-    for word in marks.lower().split():
+    for word in marks.split():
         if word in COMPOUND:
             sure = True
             continue
@@ -209,8 +211,9 @@ def marked(marks: str) -> tuple[bool, bool]:
 
 
 def _marks(node: Node) -> str:
+    """Words of class, id and role, in lower case and with hyphens, also where capitals part them."""
     a = node.attributes
-    return f"{a.get('class', '')} {a.get('id', '')} {a.get('role', '')}"
+    return _CAPITAL.sub("-", f"{a.get('class', '')} {a.get('id', '')} {a.get('role', '')}").lower()
 
 
 def _left_out(node: Node, inside: bool) -> bool:
@@ -269,8 +272,7 @@ def measure(root: Node) -> list[Node]:
             else:
                 own[0] += points
         if (own[0] or own[1]) and node.tag not in ("#root", "html"):
-            marks = f"{node.attributes.get('class', '')} {node.attributes.get('id', '')}"
-            node.score = (ROLE.get(node.tag, 0.0) + (25.0 if WANTED.search(marks) else 0.0) + own[0] + own[1]) * (1 - node.density)
+            node.score = (ROLE.get(node.tag, 0.0) + (25.0 if WANTED.search(_marks(node)) else 0.0) + own[0] + own[1]) * (1 - node.density)
             scored.append(node)
             if node.parent is not None:
                 passed.setdefault(id(node.parent), [0.0, 0.0])[1] += own[0] * 0.5 + own[1] / 1.5
@@ -405,7 +407,9 @@ def main_text(source: str | None) -> str:
 def extract(pages: DataFrame) -> DataFrame:
     """``page_id, url, text, n_chars``: the main text of every page, one row per row of ``pages``.
 
-    A null page is empty; a page without an article has empty text. Repeated rows are read each,
+    A null page is empty; a page without an article has empty text. Of several ``article`` or
+    ``main`` elements side by side, those stay that score a fifth of the best one or more: a
+    list of teasers beside an article is not it. Repeated rows are read each,
     further columns are ignored, an empty table gives no rows. No shuffle.
     """
 
