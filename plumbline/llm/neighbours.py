@@ -18,8 +18,14 @@ dimensions, even in all directions) most buckets must be visited: by simulation
 Buckets are dealt in parts of about ``BLOCK`` vectors; a query goes once to each part in which it
 visits buckets. Equal vectors are one entry that carries its least ids; a larger bucket is split
 into blocks, all of which its visitors visit. Nothing is capped, so the results are the exact best
-of all candidates, and a part is all that one task has to hold. A query that found fewer than k
-rows is compared with all rows, in parts, so its list is full.
+of all candidates. Where many queries visit a part, they are split by hash into sets of about
+``ASKED``, each of which gets the part's vectors, so a part and such a set are all that one task has
+to hold. A query that found fewer than k rows is compared with all rows, in parts and sets of queries
+as well, so its list is full.
+
+Cells more than ``AROUND`` from a query's own are not visited: with the registered settings a near
+row lies there with a probability of 2e-4 a projection at most, which is within the share that
+``success`` leaves, and measured recall includes it.
 """
 
 from __future__ import annotations
@@ -41,6 +47,8 @@ TABLES, WIDTH, SUCCESS = 4, 2.5, 0.95
 LESS, FEWEST, MOST = 6, 2, 24
 #: Distinct vectors in a part, about; salts of the ids of one vector; vectors whose neighbours tell the distance.
 BLOCK, SALTS, SAMPLE = 8192, 64, 64
+#: Queries that meet a part's vectors in one task, about.
+ASKED = 4096
 #: The quantile of the sample's distances for which success is asked.
 FAR = 0.75
 #: Cells on either side of a query's own that may be visited.
@@ -235,18 +243,24 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int = TA
     dealt = index.join(large, ["t", "bucket"], "left").select("t", part, F.when(F.col("n").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64("rep"), "n")).cast("int").alias("block"), "bucket", "rep", "v")
     blocks = F.when(F.col("n").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(1), F.col("n")))
     sent = probe.join(large, ["t", "bucket"], "left").select("t", part, F.explode(blocks).alias("block"), "bucket", "q")
-    sent = sent.groupBy(*keys, "q").agg(F.collect_list("bucket").alias("buckets")).join(sought, "q").select(*keys, "q", "buckets", "v")
-    found = dealt.groupBy(*keys).cogroup(sent.groupBy(*keys)).applyInArrow(_ranked(dim, k), "q long, rep long, score double")
+    sent = cut(sent.groupBy(*keys, "q").agg(F.collect_list("bucket").alias("buckets")), "sent")
+    # How many sets the queries of a part make; most parts have one.
+    sets = cut(sent.groupBy(*keys).agg(F.ceil(F.count("*") / ASKED).cast("int").alias("sets")), "sets")
+    dealt = dealt.join(sets, keys).withColumn("set", F.explode(F.sequence(F.lit(0), F.col("sets") - 1))).drop("sets")
+    sent = sent.join(sets, keys).withColumn("set", F.pmod(F.xxhash64("q"), "sets").cast("int")).join(sought, "q").select(*keys, "set", "q", "buckets", "v")
+    found = dealt.groupBy(*keys, "set").cogroup(sent.groupBy(*keys, "set")).applyInArrow(_ranked(dim, k), "q long, rep long, score double")
     answers = cut(_lists(asked, found, entries, k), "answers")
 
     full = answers.where(F.size("list") >= min(k, total - 1)).select("query_id", "q").distinct()
     short = cut(asked.join(full, ["query_id", "q"], "left_anti"), "short")
     if not short.isEmpty():  # too few rows in the buckets visited: all rows, in parts
         parts = -(-n // BLOCK)
-        every = entries.select(F.pmod(F.xxhash64("rep"), F.lit(parts)).alias("part"), F.lit(0).cast("long").alias("bucket"), "rep", "v")
+        them = short.select("q").distinct()
+        sets_of = -(-them.count() // ASKED)
+        every = entries.select(F.pmod(F.xxhash64("rep"), F.lit(parts)).alias("part"), F.explode(F.sequence(F.lit(0), F.lit(sets_of - 1))).alias("set"), F.lit(0).cast("long").alias("bucket"), "rep", "v")
         to = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part")
-        them = sought.join(short.select("q").distinct(), "q", "left_semi").select(to, "q", F.array(F.lit(0).cast("long")).alias("buckets"), "v")
-        found = every.groupBy("part").cogroup(them.groupBy("part")).applyInArrow(_ranked(dim, k), "q long, rep long, score double")
+        them = sought.join(them, "q", "left_semi").select(to, F.pmod(F.xxhash64("q"), F.lit(sets_of)).cast("int").alias("set"), "q", F.array(F.lit(0).cast("long")).alias("buckets"), "v")
+        found = every.groupBy("part", "set").cogroup(them.groupBy("part", "set")).applyInArrow(_ranked(dim, k), "q long, rep long, score double")
         answers = answers.join(short, ["query_id", "q"], "left_anti").unionByName(_lists(short, found, entries, k))
     return answers.select("query_id", F.posexplode("list").alias("pos", "x")).select("query_id", (F.col("pos") + 1).alias("rank"), F.col("x.vec_id").alias("vec_id"), F.col("x.score").alias("score"))
 
