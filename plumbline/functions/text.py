@@ -97,10 +97,22 @@ def start_of(c: Column, pattern: str) -> Column:
     return F.length(F.get(F.split(c, pattern, 2), F.lit(0)))
 
 
+#: Characters that mark places in a text on the way; texts that hold one themselves go another way.
+MARKS = ("\u0001", "\u0002")
+
+
+def unmarked(c: Column) -> Column:
+    """Whether a text holds none of the marks."""
+    return ~(F.contains(c, F.lit(MARKS[0])) | F.contains(c, F.lit(MARKS[1])))
+
+
 def spans(c: Column, pattern: str) -> Column:
-    """``array<struct<start, match>>`` of the leftmost non-overlapping matches."""
-    steps = F.arrays_zip(F.split(c, pattern, -1).alias("gap"), F.regexp_extract_all(c, F.lit(pattern), F.lit(0)).alias("match"))
+    """``array<struct<start, match>>`` of the leftmost non-overlapping matches. The pattern runs once over the text."""
     empty = F.array().cast("array<struct<start:int,match:string>>")
+    pieces = F.split(F.regexp_replace(c, pattern, f"{MARKS[0]}$0{MARKS[0]}"), MARKS[0], -1)  # gap, match, gap, ..., gap
+    every = lambda rest: lambda ps: F.filter(ps, lambda x, i: i % 2 == rest)
+    quick = let(pieces, lambda ps: F.arrays_zip(every(0)(ps).alias("gap"), every(1)(ps).alias("match")))
+    slow = F.arrays_zip(F.split(c, pattern, -1).alias("gap"), F.regexp_extract_all(c, F.lit(pattern), F.lit(0)).alias("match"))
     after = lambda at, x: at + F.length(x["gap"]) + F.coalesce(F.length(x["match"]), F.lit(0))
 
     def step(s: Column, x: Column) -> Column:
@@ -108,8 +120,10 @@ def spans(c: Column, pattern: str) -> Column:
         more = F.when(x["match"].isNotNull(), F.concat(s["out"], F.array(F.struct(start.alias("start"), x["match"].alias("match"))))).otherwise(s["out"])
         return F.struct((start + F.coalesce(F.length(x["match"]), F.lit(0))).alias("at"), more.alias("out"))
 
-    found = parted(steps, after, lambda part, at: F.aggregate(part, F.struct(at.alias("at"), empty.alias("out")), step, lambda s: s["out"]))
-    return F.when(c.rlike(pattern), F.flatten(found)).otherwise(empty)
+    def placed(steps: Column) -> Column:
+        return F.flatten(parted(steps, after, lambda part, at: F.aggregate(part, F.struct(at.alias("at"), empty.alias("out")), step, lambda s: s["out"])))
+
+    return let(F.when(unmarked(c), quick).otherwise(slow), lambda steps: F.when(F.size(steps) > 1, placed(steps)).otherwise(empty))
 
 
 #: Where a token ends and the next begins: a token begins with its blanks.

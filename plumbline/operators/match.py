@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -47,11 +47,61 @@ def _edge(c: str) -> bool:
     return unicodedata.category(c)[0] in "LNM"
 
 
+class _Branch:
+    """A node of the tree of all phrases: whether one ends here, and what may follow."""
+
+    __slots__ = ("ends", "then")
+
+    def __init__(self):
+        self.then: dict[str, _Branch] = {}
+        self.ends = False
+
+
+def _tree(phrases: Sequence[str]) -> _Branch:
+    root = _Branch()
+    for p in phrases:
+        node = root
+        for c in p:
+            node = node.then.setdefault(c, _Branch())
+        node.ends = True
+    return root
+
+
+def _factored(node: _Branch, last: str, shortest: bool) -> str:
+    """What may follow in a text after what leads to a node, as a pattern. Text decides the way down, so the order of branches does not matter, but whether a phrase's end comes first."""
+    run = ""
+    while not node.ends and len(node.then) == 1:  # a way without a choice
+        last, node = next(iter(node.then.items()))
+        run += last
+    out = tx.quoted(run) if run else ""
+    end = ("(?!" + tx.WORD_CHAR + ")" if _edge(last) else "") if node.ends else None
+    if not node.then:
+        return out + (end or "")
+    each = [(tx.quoted(c) + _factored(child, c, shortest)) for c, child in sorted(node.then.items())]
+    ways = "|".join(each) if len(each) < 4 else f"(?=[{_listed(node.then)}])(?:{'|'.join(each)})"
+    if end is None:
+        return f"{out}(?:{ways})"
+    return f"{out}(?:{end}|{ways})" if shortest else f"{out}(?:{ways}|{end})"
+
+
+def _listed(chars: Iterable[str]) -> str:
+    """Characters as the inside of a class."""
+    return "".join(f"\\x{{{ord(c):x}}}" for c in sorted(chars))
+
+
 def phrase_pattern(phrases: Sequence[str], tie: str = "shortest") -> str:
-    """One alternation for all phrases. A side needs a word boundary only if the phrase has a word character there."""
-    known = sorted({tx.lowered(p) for p in phrases if p}, key=lambda p: (len(p) if tie == "shortest" else -len(p), p))
-    each = [("(?<!" + tx.WORD_CHAR + ")" if _edge(p[0]) else "") + tx.quoted(p) + ("(?!" + tx.WORD_CHAR + ")" if _edge(p[-1]) else "") for p in known]
-    return "(?:" + "|".join(each) + ")" if each else "(?!)"
+    """One pattern for all phrases, factored by their common beginnings, so that its time hardly grows with the list.
+
+    A side needs a word boundary only if the phrase has a word character there.
+    """
+    root = _tree(sorted({tx.lowered(p) for p in phrases if p}))
+    kinds = []
+    for word in (True, False):
+        own = _Branch()
+        own.then = {c: n for c, n in root.then.items() if _edge(c) is word}
+        if own.then:
+            kinds.append(("(?<!" + tx.WORD_CHAR + ")" if word else "") + f"(?=[{_listed(own.then)}])" + _factored(own, "", tie == "shortest"))
+    return "(?:" + "|".join(kinds) + ")" if kinds else "(?!)"
 
 
 def _hit(kind: str, prio: int, start: Column, length: Column, rule: Column, match: Column, key: Column) -> Column:
@@ -92,17 +142,31 @@ def regex_pattern(regexes: Sequence[str]) -> str:
 
 def regex_first(text: Column, rules: Rules) -> Column:
     """The leftmost regex hit; of patterns that match there, the first."""
-    fused = regex_pattern(rules.regexes)
-    group, which = 1, F.lit(None).cast("int")
-    numbers = []
-    for k, r in valid(rules.regexes):
-        numbers.append((k, group))
+    fused, found = regex_pattern(rules.regexes), valid(rules.regexes)
+    if not found:
+        return F.lit(None).cast(HIT)
+    names = F.array(*[F.lit(r) for _, r in found])
+
+    def hit(match: Column) -> Column:
+        # One pass tells where the first match is and which of the patterns it is: the groups are written out around it.
+        groups = "".join(f"${{P{k}}}{tx.MARKS[1]}" for k, _ in found)
+        parts = F.split(F.regexp_replace(text, fused, f"{tx.MARKS[0]}{groups}{tx.MARKS[0]}"), tx.MARKS[0], 3)
+        which = lambda g: F.array_position(F.transform(F.split(g, tx.MARKS[1], -1), lambda x: x != ""), True)
+        quick = tx.let(parts, lambda p: F.struct(F.length(p[0]).alias("start"), which(p[1]).cast("int").alias("rule")))
+        return tx.let(F.when(tx.unmarked(text), quick).otherwise(_slowly(text, fused, found)), lambda at: tx.let(F.get(names, at["rule"] - 1), lambda r: _hit(REGEX, 1, at["start"], F.length(match), r, match, F.concat_ws("_", r, match)).cast(HIT)))
+
+    return tx.let(F.regexp_substr(text, F.lit(fused)), lambda match: F.when(match.isNotNull() & (match != ""), hit(match)))
+
+
+def _slowly(text: Column, fused: str, found: Sequence[tuple[int, str]]) -> Column:
+    """The same for texts that hold the marks themselves: a pass for each pattern."""
+    which, group, numbers = F.lit(None).cast("int"), 1, []
+    for place, (_, r) in enumerate(found):
+        numbers.append((place + 1, group))
         group += 1 + re.compile(r).groups
-    for k, number in reversed(numbers):
-        which = F.when(F.regexp_extract(text, fused, number) != "", F.lit(k)).otherwise(which)
-    rule = F.get(F.array(*[F.lit(r) for r in rules.regexes]), which) if rules.regexes else F.lit("")
-    hit = lambda found: lambda r: _hit(REGEX, 1, tx.start_of(text, fused), F.length(found), r, found, F.concat_ws("_", r, found)).cast(HIT)
-    return tx.let(F.regexp_substr(text, F.lit(fused)), lambda found: F.when(found.isNotNull(), tx.let(rule, hit(found))))
+    for place, number in reversed(numbers):
+        which = F.when(F.regexp_extract(text, fused, number) != "", F.lit(place)).otherwise(which)
+    return F.struct(tx.start_of(text, fused).alias("start"), which.alias("rule"))
 
 
 def regex_first_timed(docs: DataFrame, rules: Rules, text: str = "text", seconds: float = 2.0) -> DataFrame:
