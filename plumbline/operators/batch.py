@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.text import strip
+from plumbline.sources.shared import written
 
 
 def first_human(turns: DataFrame, role: str = "user") -> DataFrame:
@@ -54,22 +55,29 @@ def chat(prompt: Column, so_far: Column, system: str = "", prefix: str = "<|syst
     return F.concat(F.lit(prefix.replace("{system}", system)), prompt, F.lit(middle), so_far)
 
 
-def numbered(df: DataFrame, order: str, into: str = "prompt_id", each: int = 1_000_000) -> DataFrame:
-    """Rows numbered from 0 in the order of a numeric column.
+def numbered(df: DataFrame, order: str, into: str = "prompt_id") -> DataFrame:
+    """Rows numbered from 0 in the order of a column.
 
-    Numbers come from ranges of the column, of about ``each`` rows: the counts of ranges, of which
-    there are few, are summed, and within a range rows are ranked; no task sees all rows. Rows
-    with a null order come last; equal ones are numbered in any order. Own columns may have any
-    names but those of ``_range``, ``_rank`` and ``_start``.
+    Rows are dealt to tasks by ranges of the column, and within equal values by where they were
+    read, so no value is too frequent for a task. They are written once, in order; the counts of the
+    ranges, one a task, are summed up, and each row's number is its place in its range and the sum
+    before. Rows with a null order come last; equal ones are numbered in any order. Own columns may
+    have any names; one of the new name is replaced.
     """
-    ranges = max(64, min(4096, -(-df.count() // each)))
-    splits = sorted(set(df.agg(F.percentile_approx(order, [k / ranges for k in range(1, ranges)], 20 * ranges)).first()[0] or []))
-    bucket = F.size(F.filter(F.array(*[F.lit(s) for s in splits]), lambda s: s < F.col(order))) if splits else F.lit(0)
-    ranged = df.withColumn("_range", F.when(F.col(order).isNull(), len(splits) + 1).otherwise(bucket))
-    counts = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
-    starts = counts.withColumn("_start", F.coalesce(F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    ranks = ranged.withColumn("_rank", F.row_number().over(Window.partitionBy("_range").orderBy(F.col(order).asc_nulls_last())))
-    return ranks.join(starts, "_range").withColumn(into, (F.col("_start") + F.col("_rank") - 1).cast("long")).drop("_range", "_rank", "_start")
+    spark = df.sparkSession
+    kept = [c for c in df.columns if c.lower() != into.lower()]
+    keyed = df.select(F.struct(*[F.col(c) for c in kept]).alias("row"), F.col(order).alias("at"), F.monotonically_increasing_id().alias("read"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    by = [F.col("at").asc_nulls_last(), F.col("read")]
+    # The id's upper bits number the range, its lower 33 bits the rows within.
+    dealt = keyed.repartitionByRange(parts, *by).sortWithinPartitions(*by).select("row", F.monotonically_increasing_id().alias("place"))
+    placed = written(dealt, "numbered")
+    part = F.shiftright("place", 33)
+    counts = placed.groupBy(part.alias("part")).agg(F.count("*").alias("n"))  # one row a task
+    starts = counts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
+    number = F.col("start") + F.col("place").bitwiseAND(F.lit((1 << 33) - 1).cast("long"))
+    found = placed.withColumn("part", part).join(F.broadcast(starts), "part")
+    return found.select(*[F.col("row")[c].alias(c) for c in kept], number.cast("long").alias(into))
 
 
 def pending(prompts: DataFrame, existing: DataFrame, refused: DataFrame, key: str = "prompt_id", limit: int | None = None) -> DataFrame:

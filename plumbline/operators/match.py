@@ -198,7 +198,9 @@ def regex_first_timed(docs: DataFrame, rules: Rules, text: str = "text", seconds
             each = [one(t) for t in batch]
             yield pd.DataFrame({"hit": pd.Series([h for h, _ in each], dtype=object), "timed_out": [t for _, t in each]})
 
-    return docs.withColumn("_timed", run(F.col(text))).withColumn("hit", F.col("_timed.hit")).withColumn("timed_out", F.col("_timed.timed_out")).drop("_timed")
+    kept = [c for c in docs.columns if c.lower() not in ("hit", "timed_out")]
+    rows = docs.select(F.struct(*[F.col(c) for c in kept]).alias("row"), run.asNondeterministic()(F.col(text)).alias("timed"))
+    return rows.select(*[F.col("row")[c].alias(c) for c in kept], "timed.hit", "timed.timed_out")
 
 
 def ngram_hits(text: Column, rules: Rules) -> Column:

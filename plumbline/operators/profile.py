@@ -29,9 +29,12 @@ def top_terms(docs: DataFrame, n: int, k: int, text: str = "text") -> DataFrame:
 
 def compared(gen: DataFrame, human: DataFrame, human_chars: DataFrame) -> DataFrame:
     """``gen`` with the human counts beside it: null ``human_count`` where the profile lacks the term."""
-    joined = gen.join(human.select("term", F.col("count").alias("human_count")), "term", "left").join(F.broadcast(human_chars.select(F.col("chars").alias("_h"))))
-    freq = per_100k(F.coalesce("human_count", F.lit(0)), F.col("_h"))
-    return joined.withColumn("human_freq_per_100k", freq).withColumn("freq_ratio_gen_hu", ratio(F.col("gen_freq_per_100k"), F.col("human_freq_per_100k"))).drop("_h")
+    own = [c for c in gen.columns if c not in ("term", "human_count", "human_freq_per_100k", "freq_ratio_gen_hu")]
+    rows = gen.select("term", F.struct(*[F.col(c) for c in own]).alias("row"))
+    joined = rows.join(human.select("term", F.col("count").alias("human_count")), "term", "left").join(F.broadcast(human_chars.select(F.struct("chars").alias("whole"))))
+    freq = per_100k(F.coalesce("human_count", F.lit(0)), F.col("whole.chars"))
+    found = joined.select("term", *[F.col("row")[c].alias(c) for c in own], "human_count", freq.alias("human_freq_per_100k"))
+    return found.withColumn("freq_ratio_gen_hu", ratio(F.col("gen_freq_per_100k"), F.col("human_freq_per_100k")))
 
 
 def matched(both: DataFrame) -> DataFrame:

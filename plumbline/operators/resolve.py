@@ -23,9 +23,9 @@ def earliest_of(skip: tuple[str, ...] = (), text: str = "text") -> Column:
 
 def unsuppressed(hits: DataFrame, suppressed: DataFrame, key: str = "doc_id") -> DataFrame:
     """Hits without those that ``suppressed(key, kind, token, detail_key)`` lists; taken out before the earliest is sought, so later hits show."""
-    flat = hits.withColumn("_kind", F.col("hit.kind")).withColumn("_detail", F.col("hit.detail_key"))
-    same = [flat[key] == suppressed[key], flat["_kind"] == suppressed["kind"], flat["token"] == suppressed["token"], flat["_detail"] == suppressed["detail_key"]]
-    return flat.join(suppressed, same, "left_anti").drop("_kind", "_detail")
+    h, s = hits.alias("h"), suppressed.alias("s")
+    same = [F.col(f"h.{key}") == F.col(f"s.{key}"), F.col("h.hit.kind") == F.col("s.kind"), F.col("h.token") == F.col("s.token"), F.col("h.hit.detail_key") == F.col("s.detail_key")]
+    return h.join(s, same, "left_anti")
 
 
 def masked(hits: DataFrame, suppressed: DataFrame, key: str = "doc_id") -> DataFrame:

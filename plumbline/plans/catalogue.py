@@ -283,10 +283,10 @@ def token_pairs(s: SparkSession, d: str) -> DataFrame:
     vectors = table(s, d, "embeddings").count()
     places = batch.numbered(table(s, d, "embeddings").select("vec_id"), "vec_id", "place")
     options = tails(s, d).select("vec_id", "tail", F.element_at(cd.filtered(F.col("candidates"), F.col("banned"), LADDER[4]), 1)["token"].alias("chosen")).join(places, "vec_id")
-    # What a run records: for each document and position, which candidates it had. Vectors stand for them in turn.
-    recorded = docs(s, d).select("doc_id", F.posexplode(tokens_of()).alias("pos", "token")).withColumn("place", F.pmod(F.col("doc_id") * 7 + F.col("pos"), F.lit(max(1, vectors))))
-    found = earliest()(s, d).select("doc_id", F.col("token").alias("pos"), "kind", "rule")
-    return found.join(recorded, ["doc_id", "pos"]).join(options, "place").select("doc_id", "pos", "kind", "rule", F.col("token").alias("rejected"), "chosen", F.array_join("tail", " ").alias("tail"))
+    # What a run records: for each document and position, which candidates it had. Vectors stand for them in turn. Only the violations' places are read, one a text, so no token is shuffled.
+    found = earliest()(s, d).select("doc_id", F.col("token").alias("pos"), "kind", "rule", F.get(tokens_of(), F.col("token")).alias("token"))
+    recorded = found.where("token is not null").withColumn("place", F.pmod(F.col("doc_id") * 7 + F.col("pos"), F.lit(max(1, vectors))))
+    return recorded.join(options, "place").select("doc_id", "pos", "kind", "rule", F.col("token").alias("rejected"), "chosen", F.array_join("tail", " ").alias("tail"))
 
 
 def decisions(s: SparkSession, d: str) -> DataFrame:

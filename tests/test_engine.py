@@ -423,3 +423,32 @@ def test_rules_see_text_before_it_leaves(spark, tmp_path):
     got = spark.sql("select * from late order by seq").collect()
     assert "".join(r["text"] for r in got) == "".join(texts) and [r["text"] for r in got[:2]] == ["", ""]
     assert [(r["seq"], r["hit_rule"], r["hit_start"]) for r in got if r["hit_kind"]] == [(2, "the cat", 7)]
+
+
+def test_numbers_of_frequent_keys(spark):
+    """Nulls last, one key that is most of the rows in several tasks, own columns of odd names, an empty table."""
+    rows = [(None, "n", 1)] * 3 + [(5, f"x{i}", i) for i in range(3000)] + [(k, "y", k) for k in (9, -2, 7)]
+    df = spark.createDataFrame(rows, "k long, place string, PROMPT_ID int").repartition(3)
+    got = batch.numbered(df, "k")
+    assert got.columns == ["k", "place", "prompt_id"]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "5" not in [w for w in plan.split() if w.isdigit()]  # no boundaries from the data
+    out = sorted(got.collect(), key=lambda r: r["prompt_id"])
+    assert [r["prompt_id"] for r in out] == list(range(len(rows)))
+    assert [r["k"] for r in out] == [-2, *[5] * 3000, 7, 9, None, None, None] and {r["place"] for r in out if r["k"] == 5} == {f"x{i}" for i in range(3000)}
+    files = spark.read.parquet(*got.inputFiles()).select(F.spark_partition_id().alias("p")) if got.inputFiles() else got
+    assert files.count() == len(rows) and len(got.inputFiles()) > 1
+    assert batch.numbered(df.where("false"), "k").count() == 0
+
+
+def test_own_columns_stay(spark):
+    """Columns that have names of the engine's own are carried as they are, or replaced where the new ones are meant."""
+    docs = spark.createDataFrame([(1, "cat", 7, 8)], "doc_id long, text string, _kind int, _timed int")
+    hits = match.all_hits(docs, match.Rules(("cat",)))
+    from plumbline.operators import resolve
+
+    gone = spark.createDataFrame([(2, "phrase", 0, "cat", 5)], "doc_id long, kind string, token int, detail_key string, _kind int")
+    assert [(r["_kind"], r["_timed"]) for r in resolve.unsuppressed(resolve.with_tokens(hits), gone).collect()] == [(7, 8)]
+    timed = match.regex_first_timed(docs.withColumn("hit", F.lit(9)), match.Rules(regexes=("c.t",)))
+    row = timed.first()
+    assert (row["_timed"], row["hit"]["match"], row["timed_out"]) == (8, "cat", False) and timed.columns.count("hit") == 1
