@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from plumbline import config, generate
 from plumbline.functions import text as tx
 from plumbline.operators import batch, candidates as cd, decode, match, metrics, pairs, profile, repair, resolve
-from plumbline.plans import oracles, standins
+from plumbline.plans import oracles, sourced, standins
 from plumbline.plans.oracles import BANNED_WORDS, HUMAN_MIN, LADDER, LOOKAROUND, NGRAMS, OPTIONS, PHRASES, PREFIX_RULES, REGEXES
 from plumbline.sources.tables import table
 
@@ -446,6 +446,6 @@ QUERIES = {
     "run_log": run_log,
     "run_pairs": run_pairs,
     "stream_rate_watermarked": stream_rate_watermarked,
-}
-ORACLES = oracles.ORACLES
+} | sourced.QUERIES
+ORACLES = oracles.ORACLES | sourced.ORACLES
 FLAGSHIP = earliest_violation

@@ -129,6 +129,7 @@ pairs AS (SELECT doc_id, doc_id::VARCHAR AS prompt_raw, array_to_string(tokens[1
   FROM split_ JOIN places ON place = doc_id % vectors JOIN tails USING (vec_id) JOIN best USING (vec_id))"""
 _banned = rf"(^|{_edge})({'|'.join(BANNED_WORDS)})($|{_edge})"
 _recited = lambda source, column, most="": f"cut AS (SELECT *, regexp_extract_all({column}, '{_token}'){most} AS ts FROM {source}), recited AS (SELECT *, list_transform(ts, lambda t: CASE WHEN regexp_matches(lower(t), '{_banned}') THEN ' stone' ELSE t END) AS new, len(list_filter(ts, lambda t: regexp_matches(lower(t), '{_banned}'))) AS n FROM cut)"
+PROMPTS_SQL, TOKEN_SQL, BANNED_SQL = _prompts, _token, _banned
 _run = f"""{_log}, asked AS (SELECT prompt_id, 'Go on: ' || prompt AS prompt FROM pending), {_recited("asked", "prompt", "[1:1200]")}"""
 _events = "ev AS (SELECT *, epoch_us(ts) AS us, (event_id % 7 + 1)::BIGINT AS tokens FROM events)"
 
