@@ -31,11 +31,9 @@ def regex_timed_hit(s: SparkSession, d: str) -> DataFrame:
 
 
 def decode_byte_tokens(s: SparkSession, d: str) -> DataFrame:
-    """All texts as tokens of a byte alphabet, decoded."""
-    alphabet = F.array(*[F.lit(chr(decode.BOXES + b)) for b in range(256)])
-    octet = lambda h: lambda i: F.element_at(alphabet, F.conv(F.substring(h, 2 * i - 1, F.lit(2)), 16, 10).cast("int") + 1)
-    written = lambda t: tx.let(F.hex(F.encode(t, "UTF-8")), lambda h: F.array_join(F.transform(F.sequence(F.lit(1), (F.length(h) / 2).cast("int")), octet(h)), ""))
-    tokens = F.transform(F.regexp_extract_all("text", F.lit(tx.TOKEN), F.lit(0)), written)
+    """All texts as tokens, those of ASCII in a byte alphabet, decoded."""
+    ascii_, boxes = "".join(map(chr, range(128))), "".join(chr(decode.BOXES + b) for b in range(128))
+    tokens = F.transform(F.regexp_extract_all("text", F.lit(tx.TOKEN), F.lit(0)), lambda t: F.when(F.octet_length(t) == F.length(t), F.translate(t, ascii_, boxes)).otherwise(t))
     return _texts(s, d).select("doc_id", F.sha2(decode.text_of(decode.decode(tokens)), 256).alias("text_sha256"))
 
 
@@ -236,7 +234,7 @@ ORACLES = {
     "run_in_waves": f"""WITH {_data}, cut AS (SELECT prompt, regexp_extract_all(prompt, '{_token}')[1:1200] AS ts FROM data WHERE coalesce(prompt, '') <> ''),
 recited AS (SELECT prompt, list_transform(ts, lambda t: CASE WHEN regexp_matches(lower(t), '{_banned}') THEN ' stone' ELSE t END) AS new, len(list_filter(ts, lambda t: regexp_matches(lower(t), '{_banned}'))) AS n FROM cut),
 judged AS (SELECT *, array_to_string(new, '') AS generation, string_split(prompt, ' ') AS u, string_split(array_to_string(new, ''), ' ') AS a FROM recited),
-sized AS (SELECT *, 1 + least(256 - 1, least(len(u), 100) + len(a)) AS words FROM judged)
+sized AS (SELECT *, least(len(u), 100) + len(a) - 1 AS words FROM judged)
 SELECT prompt, count(*) AS texts, sum(n)::BIGINT AS events, sum(n)::BIGINT AS pairs, min(sha256(generation)) AS generation_sha256, 'success' AS status, min(CASE WHEN words < 12 THEN 'short' ELSE 'long' END) AS label FROM sized GROUP BY prompt""",
     "recorded_events": _event_sql,
     "streamed_events": _event_sql,
