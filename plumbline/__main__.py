@@ -8,7 +8,6 @@ from pyspark.sql import SparkSession
 
 from plumbline import generate
 from plumbline.config import from_arguments
-from plumbline.sources import rules as lists
 
 
 def main(arguments: list[str] | None = None) -> int:
@@ -17,7 +16,7 @@ def main(arguments: list[str] | None = None) -> int:
     spark.sparkContext.setLogLevel({"WARNING": "WARN", "CRITICAL": "FATAL"}.get(config.logging_level, config.logging_level))
     if prompt is not None:
         told = lambda _, event: print(f"banned {event['type']}: {event['details']['suppression_detail_key']}", file=sys.stderr)
-        found = generate.one(prompt, config, lists.load(spark, config.bans, config.regex_reach), generate.provider_of(config)(), told)
+        found = generate.one(prompt, config, generate.rules_of(spark, config), generate.provider_of(config)(), told)
         print(found["text"])
         return 0 if found["error"] is None else 1
     told = lambda p: print(f"wave {p['wave']}: {p['prompts']} prompts, {p['tokens']} tokens, banned {p['events']}", file=sys.stderr)

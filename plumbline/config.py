@@ -73,6 +73,8 @@ class Config:
     #: The literal parts of a chat template, around the prompt; none: no chat template.
     chat_prefix: str | None = None
     chat_middle: str = ""
+    #: A file with a chat template, or a tokenizer's settings with one, that gives these parts.
+    chat_template_file: str | None = None
     enable_refusal_detection: bool = False
     refusal_threshold: float = 0.8
     refusals_file: str | None = None
@@ -87,8 +89,9 @@ class Config:
     max_chosen_tokens: int = 20
     filter_tail_banned_prefix_tokens: bool = True
     regex_validation_interval: int = 20
-    #: Characters that a pattern's match may span; none: any number.
+    #: Characters, or tokens, that a pattern's match may span; none: any number.
     regex_reach: int | None = None
+    regex_max_span_tokens: int | None = None
     #: Requests that each task has in flight; prompts of a wave, after which the log and the pairs are written.
     threads: int = 1
     wave_prompts: int = 10_000
@@ -98,8 +101,8 @@ class Config:
 
 #: Names under which configuration files know the groups.
 GROUPS = {"generation_params": "generation", "ngram_validator": "bans"}
-#: Settings of configuration files that have no meaning here: Spark deals out the work.
-IGNORED = frozenset(["prompt", "chat_template_model_id", "refusal_model_id", "regex_max_span_tokens"])
+#: Settings of configuration files that have no meaning here: models are given as files or objects, not by name.
+IGNORED = frozenset(["prompt", "chat_template_model_id", "refusal_model_id"])
 RENAMED = {("bans", "banned_file"): "ngram_file", ("bans", "banned_list"): "ngram_list"}
 
 

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,7 +25,7 @@ from plumbline.operators.candidates import prefix_set
 from plumbline.operators.match import Rules
 from plumbline.operators.pairs import pairs
 from plumbline.operators.refusal import Scorer, Tokenizer, Words, judged
-from plumbline.sources import completions, records
+from plumbline.sources import completions, records, templates
 from plumbline.sources import rules as lists
 
 
@@ -126,6 +127,19 @@ def read_prompts(spark: SparkSession, config: Config) -> DataFrame:
     return batch.numbered(found, "at").select("prompt_id", "prompt")
 
 
+def rules_of(spark: SparkSession, config: Config) -> Rules:
+    """The rules that the settings name."""
+    return lists.load(spark, config.bans, config.regex_reach, config.regex_max_span_tokens)
+
+
+def with_template(spark: SparkSession, config: Config) -> Config:
+    """The settings with the literal parts of the chat template in a file, if they name one."""
+    if config.chat_template_file is None:
+        return config
+    prefix, middle = templates.load(spark, config.chat_template_file, config.system_prompt)
+    return replace(config, chat_prefix=prefix, chat_middle=middle)
+
+
 #: What is told of a wave: its number, its rows and tokens, and its events by kind.
 Progress = Callable[[dict[str, Any]], None]
 TOTALS = "prompts long, tokens long, succeeded long, unsettled long"
@@ -142,7 +156,8 @@ def run(spark: SparkSession, config: Config, provider: Any = None, scorer: Calla
         raise ValueError("output_jsonl is needed")
     if config.generation.request_mode == "stream" and provider is None and not completions.gives_logprobs(config.provider, config.generation):
         raise RuntimeError("the service gives no log probabilities in streams; use request_mode=chunk")
-    rules = lists.load(spark, config.bans, config.regex_reach)
+    rules = rules_of(spark, config)
+    config = with_template(spark, config)
     log = config.output_jsonl.rstrip("/")
     waves = f"{log}.waves"
     if not records.exists(spark, f"{waves}/prompts/_SUCCESS"):

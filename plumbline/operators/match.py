@@ -31,7 +31,8 @@ class Rules:
     """Ban lists. ``tie``: which of the phrases that start at one place is meant, the shortest or the longest.
 
     ``regex_reach``: characters before a change within which a pattern's match that depends on it
-    begins, where texts grow piece by piece; none: any number, so all of the text is searched again.
+    begins, where texts grow piece by piece; ``regex_span``: the same in tokens; none: any number, so all
+    of the text is searched again.
     """
 
     phrases: tuple[str, ...] = ()
@@ -40,6 +41,7 @@ class Rules:
     remove_stopwords: bool = True
     tie: str = "shortest"
     regex_reach: int | None = None
+    regex_span: int | None = None
     stopwords: tuple[str, ...] = field(default=tuple(tx.STOPWORDS), repr=False)
 
 

@@ -125,6 +125,10 @@ class Text:
             self.known(self.known(0) + 1)
         return self.ends[token - 1] if token else 0
 
+    def back(self, at: int, tokens: int) -> int:
+        """Where the token begins that comes so many before the one at a place."""
+        return self.begin(max(0, self.place(at) - tokens))
+
     def edge(self, at: int) -> int:
         """Where the first token ends that ends at this place or later, or the text."""
         end = self.known(at)
@@ -157,7 +161,7 @@ class Grown(Text):
     """What a text would be with one token after its first so many; the text itself stays."""
 
     def __init__(self, base: Text, token: int, then: str):
-        self.base, self.at, self.then = base, base.begin(token), then
+        self.base, self.at, self.then, self.token = base, base.begin(token), then, token
         self.size = self.at + len(then)
 
     def known(self, upto: int | None = None) -> int:
@@ -166,6 +170,9 @@ class Grown(Text):
     def whole(self) -> bool:
         return True
 
+    def back(self, at: int, tokens: int) -> int:
+        return self.base.begin(max(0, self.token - tokens))
+
     def slice(self, begin: int, end: int | None = None) -> str:
         end = self.size if end is None else min(end, self.size)
         before = self.base.slice(begin, min(end, self.at)) if begin < self.at else ""
@@ -183,7 +190,7 @@ class Matcher:
         self.sizes = sorted({len(g) for g in self.ngrams}, reverse=True)
         self.stop = set(rules.stopwords) if rules.remove_stopwords else set()
         self.removed = rules.remove_stopwords
-        self.reach = rules.regex_reach
+        self.reach, self.span = rules.regex_reach, rules.regex_span
         self.longest, self.more = max(map(len, self.phrases), default=0), tuple(more)
         self.kinds = (*KINDS, *(r.kind for r in self.more))
         self.automaton = None
@@ -237,8 +244,12 @@ class Matcher:
     def others(self, text: Text, since: int, regexes: bool = True) -> Iterator[Hit]:
         """Hits of the patterns, and of rules of one's own, that may depend on what comes at ``since`` or later."""
         if regexes and self.regexes:
-            begin = 0 if self.reach is None else max(0, since - self.reach)
-            before = 0 if self.reach is None else max(0, begin - self.reach - 1)  # for what looks behind
+            begin = before = 0
+            if self.reach is not None:
+                begin = max(0, since - self.reach)
+                before = max(0, begin - self.reach - 1)  # for what looks behind
+            if self.span is not None:
+                begin, before = max(begin, text.back(since, self.span)), max(before, text.back(since, 2 * self.span + 1))
             string = text.slice(before)
             for k, source, pattern in self.regexes:
                 for m in pattern.finditer(string, begin - before):

@@ -56,12 +56,12 @@ def lengths(rules: Sequence[Sequence[str]]) -> tuple[int, int]:
     return (min(sizes), max(sizes)) if sizes else (0, 0)
 
 
-def load(spark: SparkSession, bans: Bans, regex_reach: int | None = None) -> Rules:
+def load(spark: SparkSession, bans: Bans, regex_reach: int | None = None, regex_span: int | None = None) -> Rules:
     """The rules that a configuration names. N-grams: a list from the command line, else a file, else an inline list."""
     found = phrases(_json(spark, bans.slop_phrases_file), bans.top_n_slop_phrases) if bans.slop_phrases_file else {}
     patterns = regexes(_json(spark, bans.regex_blocklist_file)) if bans.regex_blocklist_file else []
     items = bans.ngram_cli_list or (_json(spark, bans.ngram_file) if bans.ngram_file else bans.ngram_list)
-    return Rules(tuple(found), tuple(patterns), tuple(ngrams(items, bans.remove_stopwords)), bans.remove_stopwords, regex_reach=regex_reach)
+    return Rules(tuple(found), tuple(patterns), tuple(ngrams(items, bans.remove_stopwords)), bans.remove_stopwords, regex_reach=regex_reach, regex_span=regex_span)
 
 
 def as_table(spark: SparkSession, rules: Rules) -> DataFrame:

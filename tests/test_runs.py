@@ -336,3 +336,48 @@ def test_the_run_feeds_what_is_cut(spark, tmp_path):
     assert (row["refusal_label"], row["refusal_error"], row["status"]) == ("error", "OSError: no model", "success")
     more = refusal.judged(rows.withColumn("text", F.lit(None).cast("string")).withColumn("row", F.lit(7)), scorer).first()
     assert (more["row"], more["label"]) == (7, "100,0")
+
+
+# Chat templates and spans in tokens
+
+
+def test_parts_of_a_template(spark, tmp_path):
+    """The literal parts come from rendering placeholders; templates are read from a file of their own or from a tokenizer's settings."""
+    from plumbline.sources import templates
+
+    def render(messages):
+        return "<s>" + "".join(f"<{m['role']}>{m['content'].strip()}</{m['role']}>\n" for m in messages)
+
+    assert templates.parts(render) == ("<s><user>", "</user>\n<assistant>")
+    assert templates.parts(render, "Be {brief}.") == ("<s><system>Be {brief}.</system>\n<user>", "</user>\n<assistant>")
+    with pytest.raises(ValueError, match="where"):
+        templates.parts(lambda messages: messages[-1]["content"])
+    assert templates.template_of("{{ x }}") == ("{{ x }}", {})
+    many = {"chat_template": [{"name": "tools", "template": "t"}, {"name": "default", "template": "d"}], "bos_token": {"content": "<s>"}, "eos_token": "</s>", "pad_token": None}
+    assert templates.template_of(json.dumps(many)) == ("d", {"bos_token": "<s>", "eos_token": "</s>"})
+    (tmp_path / "t.json").write_text(json.dumps({"chat_template": "x\ny"}))
+    made = []
+    assert templates.load(spark, f"file://{tmp_path}/t.json", "", lambda t, names: made.append((t, names)) or render) == ("<s><user>", "</user>\n<assistant>") and made == [("x\ny", {})]
+    rows = spark.createDataFrame([(1, "hi")], "prompt_id long, prompt string")
+    own = config.merged(config.Config(), {"chat_prefix": "<s><user>", "chat_middle": "</user>", "top_k": 1})
+    assert generate.generate(rows, own, match.Rules(("x",)), standins.Recited(OPTIONS)).first()["generation"] == "<s><user>hi</user>"
+
+
+def test_spans_in_tokens():
+    """Patterns whose matches span few tokens need not search the whole text again, and find the same."""
+    rng = random.Random(13)
+    plain, near = (repair.Matcher(match.Rules(regexes=(r"a b", r"c{2,}", r"\bd e f\b"), regex_span=n)) for n in (None, 4))
+    some = 0
+    for _ in range(300):
+        tokens = [rng.choice(["a", " b", "c", " d", " e", " f", " "]) for _ in range(rng.randint(0, 30))]
+        options = [[(" x", -0.1), (" b", -0.5), ("c", -1.0)][rng.randint(0, 3) :] for _ in tokens]
+        one, two = (repair.repair_one(1, "", tokens, options, m, repair.Replay(), repair.Settings(GREEDY)) for m in (plain, near))
+        assert one == two
+        some += len(one["events"])
+    assert some > 100
+    took = {}
+    for n in (1000, 2000):
+        begun = time.process_time()
+        repair.repair_one(1, "see a b and so on it goes " * n, [], [], near, standins.Recited(OPTIONS), repair.Settings(GREEDY))
+        took[n] = time.process_time() - begun
+    assert took[2000] < 2.6 * took[1000] + 0.1
