@@ -142,6 +142,12 @@ class Table:
         out.counts, out.sums, out.checks = a.counts - b.counts, a.sums ^ b.sums, a.checks ^ b.checks
         return out
 
+    def differing(self) -> float:
+        """About how many keys a subtracted table holds: they spread the counts, whatever their signs."""
+        c = self.counts.astype(np.float64)
+        spread = float((c * c).sum()) / 3 - (c.sum() / 3) ** 2 / self.cells
+        return max(0.0, spread / (1.0 - 1.0 / self.cells)) if self.cells > 1 else float(np.abs(c).max())
+
     def peeled(self) -> tuple[np.ndarray, np.ndarray] | None:
         """The keys with positive and with negative count, or None if some can't be recovered. Empties the table."""
         if np.count_nonzero(self.checks) > 2.8 * self.cells:
@@ -202,9 +208,11 @@ def length(key: np.ndarray) -> int:
 
 def likeness(a: np.ndarray, b: np.ndarray, ta: Table, tb: Table) -> float:
     """The share of characters in common paragraphs, from 0 to 1; 1 for two texts without paragraphs."""
-    found = ta.minus(tb).peeled()
-    if found is None:
-        found = difference(a, b, 2 * min(ta.cells, tb.cells))
+    rest = ta.minus(tb)
+    expected = rest.differing()
+    found = rest.peeled()
+    if found is None:  # larger at once, by what the counts let expect
+        found = difference(a, b, max(2 * min(ta.cells, tb.cells), 1 << math.ceil(math.log2(max(1.0, (1.6 * expected + 6) / 3)))))
     total = length(a) + length(b)
     return 1.0 if not total else 1.0 - (length(found[0]) + length(found[1])) / total
 
