@@ -137,7 +137,7 @@ def collisions(fps: np.ndarray, bucket: int, bits: int) -> Iterator[np.ndarray]:
     yield np.stack([owner[same], owner[same + 1]], axis=1)
 
 
-def _forest(pairs: np.ndarray) -> list[tuple[int, int]]:
+def forest(pairs: np.ndarray) -> list[tuple[int, int]]:
     """Pairs enough to connect what the given pairs connect."""
     parent: dict[int, int] = {}
 
@@ -172,7 +172,7 @@ def links(classes: DataFrame, distance: int = 2 * RADIUS) -> DataFrame:
             pairs = pairs[(pairs[:, 0] != pairs[:, 1]) & (_popcount(fps[pairs[:, 0]] ^ fps[pairs[:, 1]]) <= distance)]
             if len(pairs):
                 found.append(pairs)
-        kept = np.array(_forest(np.concatenate(found)) if found else [], np.int64).reshape(-1, 2)
+        kept = np.array(forest(np.concatenate(found)) if found else [], np.int64).reshape(-1, 2)
         return pa.table({"a": fps[kept[:, 0]].view(np.int64), "b": fps[kept[:, 1]].view(np.int64)})
 
     return routed(classes, bits).groupBy("bits", "bucket").applyInArrow(meet, "a long, b long")

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from plumbline.llm import language_id, neighbours, page_text, secret_scan
+from plumbline.llm import language_id, neighbours, page_text, secret_scan, similar
 from tests.llm.test_operators import WORDS, brute_lists, docs, lists_of, page
 
 
@@ -131,3 +131,39 @@ def test_many_queries_of_one_part(spark, monkeypatch):
     assert len(got) == 900 and np.mean(found) >= 0.9
     few = lists_of(neighbours.search(df, df, success=0.01, tables=1, projections=12))  # most go on to all parts
     assert all(len(v) == 20 for v in few.values())
+
+
+def test_near_texts_of_a_crowded_band_are_found(spark, monkeypatch):
+    """Many twins, each near its other only, that share bands with many: found whatever the centres of bands tell."""
+    monkeypatch.setattr(similar, "BLOCK_SETS", 12, raising=False)
+    monkeypatch.setattr(similar, "stars", lambda rooted, turn: rooted.where("false").select(F.col("same").alias("a"), F.col("same").alias("b")))
+    rng = random.Random(5)
+    base = [f"w{k}" for k in range(1600)]
+
+    def edited(words, times):
+        out = list(words)
+        for at in rng.sample(range(320), times):
+            out[5 * at] = f"v{at}"  # others have it too, so no band is of two twins alone
+        return out
+
+    texts = []
+    for _ in range(60):
+        one = edited(base, 30)
+        texts += [one, edited(one, 34)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    sets = [similar.shingles(t) for _, t in rows]
+    near = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if similar.likeness(sets[i], sets[j]) >= similar.LEAST}
+    assert sum((2 * f, 2 * f + 1) in near for f in range(60)) > 50
+    up = list(range(len(sets)))
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i, j in near:
+        up[max(root(i), root(j))] = min(root(i), root(j))
+    want = {i for i in range(len(sets)) if root(i) == i}
+    assert 50 < len(want) < 70
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"] for r in similar.deduplicated(table).collect()} == want
