@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -46,12 +50,30 @@ def decoded(token: str | None, rounds: int = 3) -> str | None:
     return token
 
 
+#: Rows that are decoded at once.
+ROWS = 64
+
+
+def _all_decoded(tokens: pa.Array) -> pa.Array:
+    """Lists of tokens decoded, each distinct token once."""
+    # A slice's lists begin where it begins; what lies under null lists is left out.
+    known = pc.dictionary_encode(tokens.flatten())
+    if isinstance(known, pa.ChunkedArray):
+        known = known.combine_chunks()
+    texts = pa.array([decoded(t) for t in known.dictionary.to_pylist()], pa.string()).take(known.indices)
+    sizes = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy()
+    starts = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(starts, pa.int32()), texts, mask=tokens.is_null())
+
+
 def decode(tokens: Column) -> Column:
-    """``array<string>`` of token strings as text, in Arrow batches."""
+    """``array<string>`` of token strings as text, in Arrow batches. A few rows' tokens are in memory at once as Python strings, and each distinct one once."""
 
-    @F.pandas_udf("array<string>")
-    def run(batch: pd.Series) -> pd.Series:
-        return batch.map(lambda ts: None if ts is None else [decoded(t) for t in ts])
+    @F.arrow_udf("array<string>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            for i in range(0, len(batch), ROWS):
+                yield _all_decoded(batch.slice(i, ROWS))
 
     return run(tokens)
 

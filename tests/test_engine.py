@@ -452,3 +452,19 @@ def test_own_columns_stay(spark):
     timed = match.regex_first_timed(docs.withColumn("hit", F.lit(9)), match.Rules(regexes=("c.t",)))
     row = timed.first()
     assert (row["_timed"], row["hit"]["match"], row["timed_out"]) == (8, "cat", False) and timed.columns.count("hit") == 1
+
+
+def test_each_distinct_token_is_decoded_once(spark, monkeypatch):
+    """In slices too, with null and empty lists and null tokens between."""
+    import pyarrow as pa
+
+    seen, old = [], decode.decoded
+    monkeypatch.setattr(decode, "decoded", lambda t: seen.append(t) or old(t))
+    lists = [["Ġa", "Ċ", None], None, [], ["Ġa", "Ã©", "Ġa"], ["Ã©"], None]
+    want = [None if ts is None else [old(t) for t in ts] for ts in lists]
+    rows = pa.array(lists, pa.list_(pa.string()))
+    assert decode._all_decoded(rows).to_pylist() == want and len(seen) == len(set(seen)) <= 4
+    assert decode._all_decoded(rows.slice(2, 3)).to_pylist() == want[2:5] and decode._all_decoded(rows.slice(1, 1)).to_pylist() == [None]
+    monkeypatch.undo()
+    table = spark.createDataFrame(list(enumerate(lists * 40)), "k int, ts array<string>").coalesce(1)
+    assert [r["ts"] for r in table.select("k", decode.decode(F.col("ts")).alias("ts")).orderBy("k").collect()] == want * 40
