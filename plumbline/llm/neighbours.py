@@ -15,13 +15,16 @@ bounded sample of vectors has its k-th neighbours among all rows. On vectors of
 dimensions, even in all directions) most buckets must be visited: by simulation at a success of
 0.5 a table, 0.86 of 2,000 rows, 0.79 of 10,256 and 0.57 of 51,282, for a recall of 0.94 to 0.96.
 
-Buckets are dealt in parts of about ``BLOCK`` vectors; a query goes once to each part in which it
-visits buckets. Equal vectors are one entry that carries its least ids; a larger bucket is split
-into blocks, all of which its visitors visit. Nothing is capped, so the results are the exact best
-of all candidates. Where many queries visit a part, they are split by hash into sets of about
-``ASKED``, each of which gets the part's vectors, so a part and such a set are all that one task has
-to hold. A query that found fewer than k rows is compared with all rows, in parts and sets of queries
-as well, so its list is full.
+Buckets are dealt in parts of about ``BLOCK`` vectors. Equal vectors are one entry that carries its
+least ids; a larger bucket is split into blocks, all of which its visitors visit. Nothing is capped, so
+the results are the exact best of all candidates. The cells that a query visits are not listed one by one:
+it carries what a cell costs by projection, and the cost of the last one that it visits, and so is one row for
+a table, however many cells there are. Parts are dealt to lanes and queries by hash to sets of about ``WIDE *
+ASKED``, each of which gets all vectors. A task reads a lane's parts one after another, finds in each the
+buckets that its queries visit, ``ASKED`` queries at a time, and carries each query's best along. So it holds a
+part, a set and their lists, and gives k + 1 rows a query, however many parts there are. Lanes are as many
+as leave ``SHARE`` vectors to each query and lane, so rows grow with the input, and few queries still have many tasks.
+A query that found fewer than k rows is compared with all rows, in parts, lanes and sets as well, so its list is full.
 
 Cells more than ``AROUND`` from a query's own are not visited: with the registered settings a near
 row lies there with a probability of 2e-4 a projection at most, which is within the share that
@@ -47,8 +50,8 @@ TABLES, WIDTH, SUCCESS = 4, 2.5, 0.95
 LESS, FEWEST, MOST = 6, 2, 24
 #: Distinct vectors in a part, about; salts of the ids of one vector; vectors whose neighbours tell the distance.
 BLOCK, SALTS, SAMPLE = 8192, 64, 64
-#: Queries that meet a part's vectors in one task, about.
-ASKED = 4096
+#: Queries that meet a part's vectors at once; times that in a set, about; vectors to each query and lane.
+ASKED, WIDE, SHARE = 4096, 2, 7
 #: The quantile of the sample's distances for which success is asked.
 FAR = 0.75
 #: Cells on either side of a query's own that may be visited.
@@ -89,6 +92,30 @@ def visits(place: np.ndarray, width: float, distance: float, success: float) ->
             heapq.heappush(heap, (total + costs[last + 1][0], (*chosen, last + 1)))
 
 
+def reach(place: np.ndarray, width: float, distance: float, success: float) -> np.ndarray:
+    """The cells of ``visits``, in as many numbers for any count of them: the cost of the last, its own cells by projection, and by projection what each cell around its own costs."""
+    own = np.floor(place / width)
+    held = np.array([[_normal(((c + d + 1) * width - p) / distance) - _normal(((c + d) * width - p) / distance) for d in range(-AROUND, AROUND + 1)] for p, c in zip(place.tolist(), own.tolist(), strict=True)]).reshape(len(place), 2 * AROUND + 1)
+    best = held.max(axis=1, keepdims=True)
+    costs = np.where((held > 1e-12) | (held == best), np.log(best) - np.log(np.maximum(held, 1e-300)), np.inf)
+    last = own
+    for last in visits(place, width, distance, success):
+        pass
+    at = (last - own).astype(int) + AROUND
+    return np.concatenate([[costs[np.arange(len(own)), at].sum() + 1e-9], own, costs.ravel()])
+
+
+def visited(reaches: np.ndarray, cells: np.ndarray) -> np.ndarray:
+    """Which of the cells (cells x projections) each query visits, by its ``reach``."""
+    n, wide = cells.shape[1], 2 * AROUND + 1
+    own, costs = reaches[:, 1 : n + 1].astype(np.int64), reaches[:, n + 1 :].reshape(len(reaches), n, wide)
+    total = np.zeros((len(reaches), len(cells)))
+    for j in range(n):
+        at = cells[None, :, j] - own[:, j, None] + AROUND
+        total += np.where((at >= 0) & (at < wide), np.take_along_axis(costs[:, j], at.clip(0, wide - 1), 1), np.inf)
+    return total <= reaches[:, :1]
+
+
 class Hashes:
     """The projections; the same for the same seed and dimension."""
 
@@ -185,6 +212,85 @@ def _ranked(dim: int, k: int):
     return run
 
 
+def _carried(dim: int, k: int):
+    """The k + 1 best rows of each query of a set, over all parts of a lane.
+
+    First come the queries (``kind`` 0: ``id, x`` as their ``reach``, ``v``), then the vectors, part by
+    part (1: ``id, x`` as their cells, ``bucket, v``).
+    """
+    ranked, asked = _ranked(dim, k), ASKED
+
+    def best(q: np.ndarray, rep: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        order = np.lexsort((rep, -score, q))
+        q, rep, score = q[order], rep[order], score[order]
+        top = np.arange(len(q)) - np.searchsorted(q, q) <= k
+        return q[top], rep[top], score[top]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        queries: list[pa.RecordBatch] = []
+        part: list[pa.RecordBatch] = []
+        held = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        new: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        ids = x = reaches = None
+
+        def met() -> None:
+            """A part is there: its visitors' best are added, and merged once they are as many as what is held."""
+            nonlocal held, new, ids, x, reaches
+            if queries and part:
+                if x is None:
+                    them = pa.Table.from_batches(queries)
+                    ids, x, reaches = them.column("id").to_numpy(), _matrix(them.column("v").combine_chunks(), dim), _matrix(them.column("x").combine_chunks(), len(them.column("x")[0]))
+                rows = pa.Table.from_batches(part)
+                left = rows.select(["bucket", "id", "v"]).rename_columns(["bucket", "rep", "v"])
+                names, first = np.unique(left.column("bucket").to_numpy(), return_index=True)
+                cells = np.array(rows.column("x").take(pa.array(first)).to_pylist(), np.int64).reshape(len(names), -1)
+                for i in range(0, len(ids), asked):
+                    who, bucket = np.nonzero(visited(reaches[i : i + asked], cells))
+                    here, counts = np.unique(who, return_counts=True)
+                    if len(here):
+                        starts = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int64())
+                        v = pa.FixedSizeListArray.from_arrays(pa.array(x[i + here].ravel()), dim)
+                        found = ranked(left, pa.table({"q": ids[i + here], "buckets": pa.LargeListArray.from_arrays(starts, pa.array(names[bucket])), "v": v}))
+                        new.append(tuple(c.to_numpy() for c in found.columns))
+                if sum(len(n[0]) for n in new) >= len(held[0]):
+                    held, new = best(*(np.concatenate(c) for c in zip(held, *new, strict=True))), []
+            part.clear()
+
+        last = None
+        for b in batches:
+            at = np.column_stack([b.column(c).to_numpy() for c in ("kind", "part", "block")])
+            changes = np.flatnonzero((np.diff(at, axis=0) != 0).any(axis=1)) + 1
+            for i, j in zip([0, *changes], [*changes, len(at)], strict=True):
+                if i == j:
+                    continue
+                place = tuple(at[i].tolist())
+                if last is not None and place < last:
+                    raise RuntimeError("rows of a set are not in order")
+                if place != last:
+                    met()
+                (part if place[0] else queries).append(b.slice(i, j - i))
+                last = place
+        met()
+        q, rep, score = best(*(np.concatenate(c) for c in zip(held, *new, strict=True)))
+        for i in range(0, len(q), 10_000):
+            yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 10_000]) for c in (q, rep, score)], ["q", "rep", "score"])
+
+    return run
+
+
+def _best(dealt: DataFrame, sent: DataFrame, n: int, asking: int, dim: int, k: int) -> DataFrame:
+    """``q, rep, score``: of ``dealt(t, part, block, bucket, x, rep, v)``, n vectors in each table, the k + 1 best in each table and lane of each of the queries ``sent(t, q, x, v)``."""
+    lanes = max(1, min(-(-n // BLOCK), round(n / (SHARE * max(1, asking)))))
+    sets = max(1, -(-asking // (WIDE * ASKED)))
+    all_of = lambda many: F.explode(F.sequence(F.lit(0), F.lit(many - 1)))
+    keys, order = ["t", "lane", "set"], ["kind", "part", "block"]
+    queries = sent.select("t", all_of(lanes).alias("lane"), F.pmod(F.xxhash64("q"), F.lit(sets)).cast("int").alias("set"), F.lit(0).alias("kind"), F.lit(0).cast("long").alias("part"), F.lit(0).alias("block"), F.col("q").alias("id"), "x", F.lit(0).cast("long").alias("bucket"), "v")
+    lane = F.pmod(F.pmod("part", F.lit(lanes)) + F.col("block"), F.lit(lanes)).cast("int").alias("lane")
+    rows = dealt.select("t", lane, all_of(sets).alias("set"), F.lit(1).alias("kind"), "part", "block", F.col("rep").alias("id"), "x", "bucket", "v")
+    ordered = queries.unionByName(rows).repartition(*keys).sortWithinPartitions(*keys, *order)
+    return ordered.groupBy(*keys).applyInArrow(_carried(dim, k), "q long, rep long, score double")
+
+
 def search(vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int = TABLES, projections: int | None = None, width: float = WIDTH, success: float = SUCCESS, seed: int = 1) -> DataFrame:
     """``query_id, rank, vec_id, score`` of each query's k nearest found among all rows of ``vectors`` but its own.
 
@@ -222,45 +328,36 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int = TA
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys = hashes.bucket(np.floor(hashes.places(_matrix(b.column(1), dim), False) / width))
+            cells = np.floor(hashes.places(_matrix(b.column(1), dim), False) / width)
+            keys = hashes.bucket(cells)
             for t in range(tables):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), t, np.int32)), pa.array(keys[:, t]), b.column(0), b.column(1)], ["t", "bucket", "rep", "v"])
+                x = pa.FixedSizeListArray.from_arrays(pa.array(cells[:, t].ravel()), cells.shape[2]).cast(pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), t, np.int32)), pa.array(keys[:, t]), x, b.column(0), b.column(1)], ["t", "bucket", "x", "rep", "v"])
 
     def probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             place = hashes.places(_matrix(b.column(1), dim), True)
-            for i, q in enumerate(b.column(0).to_pylist()):
-                for t in range(tables):
-                    keys = hashes.bucket(np.array(list(visits(place[i, t], width, distance, each))))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), t, np.int32)), pa.array(keys), pa.array(np.full(len(keys), q, np.int64))], ["t", "bucket", "q"])
+            for t in range(tables):
+                x = [reach(place[i, t], width, distance, each) for i in range(len(place))]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t, np.int32)), b.column(0), pa.array(x, pa.list_(pa.float64())), b.column(1)], ["t", "q", "x", "v"])
 
-    index = entries.select("rep", "v").mapInArrow(hashed, "t int, bucket long, rep long, v array<double>")
-    probe = sought.repartition(spark.sparkContext.defaultParallelism).mapInArrow(probed, "t int, bucket long, q long")
+    index = entries.select("rep", "v").mapInArrow(hashed, "t int, bucket long, x array<double>, rep long, v array<double>")
+    sent = sought.repartition(spark.sparkContext.defaultParallelism).mapInArrow(probed, "t int, q long, x array<double>, v array<double>")
     # Buckets are dealt by hash into parts; those larger than a part are parts of their own, in blocks.
     large = cut(index.groupBy("t", "bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n")).where("n > 1"), "large")
     part = F.when(F.col("n").isNull(), F.pmod(F.xxhash64("bucket"), F.lit(-(-n // BLOCK)))).otherwise(F.col("bucket")).alias("part")
-    keys = ["t", "part", "block"]
-    dealt = index.join(large, ["t", "bucket"], "left").select("t", part, F.when(F.col("n").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64("rep"), "n")).cast("int").alias("block"), "bucket", "rep", "v")
-    blocks = F.when(F.col("n").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(1), F.col("n")))
-    sent = probe.join(large, ["t", "bucket"], "left").select("t", part, F.explode(blocks).alias("block"), "bucket", "q")
-    sent = cut(sent.groupBy(*keys, "q").agg(F.collect_list("bucket").alias("buckets")), "sent")
-    # How many sets the queries of a part make; most parts have one.
-    sets = cut(sent.groupBy(*keys).agg(F.ceil(F.count("*") / ASKED).cast("int").alias("sets")), "sets")
-    dealt = dealt.join(sets, keys).withColumn("set", F.explode(F.sequence(F.lit(0), F.col("sets") - 1))).drop("sets")
-    sent = sent.join(sets, keys).withColumn("set", F.pmod(F.xxhash64("q"), "sets").cast("int")).join(sought, "q").select(*keys, "set", "q", "buckets", "v")
-    found = dealt.groupBy(*keys, "set").cogroup(sent.groupBy(*keys, "set")).applyInArrow(_ranked(dim, k), "q long, rep long, score double")
+    dealt = index.join(large, ["t", "bucket"], "left").select("t", part, F.when(F.col("n").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64("rep"), "n")).cast("int").alias("block"), "bucket", "x", "rep", "v")
+    found = _best(dealt, sent, n, sought.count(), dim, k)
     answers = cut(_lists(asked, found, entries, k), "answers")
 
     full = answers.where(F.size("list") >= min(k, total - 1)).select("query_id", "q").distinct()
     short = cut(asked.join(full, ["query_id", "q"], "left_anti"), "short")
     if not short.isEmpty():  # too few rows in the buckets visited: all rows, in parts
         parts = -(-n // BLOCK)
-        them = short.select("q").distinct()
-        sets_of = -(-them.count() // ASKED)
-        every = entries.select(F.pmod(F.xxhash64("rep"), F.lit(parts)).alias("part"), F.explode(F.sequence(F.lit(0), F.lit(sets_of - 1))).alias("set"), F.lit(0).cast("long").alias("bucket"), "rep", "v")
-        to = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part")
-        them = sought.join(them, "q", "left_semi").select(to, F.pmod(F.xxhash64("q"), F.lit(sets_of)).cast("int").alias("set"), "q", F.array(F.lit(0).cast("long")).alias("buckets"), "v")
-        found = every.groupBy("part", "set").cogroup(them.groupBy("part", "set")).applyInArrow(_ranked(dim, k), "q long, rep long, score double")
+        none, all_cells = F.array().cast("array<double>").alias("x"), F.array(F.lit(0.0)).alias("x")
+        every = entries.select(F.lit(0).alias("t"), F.pmod(F.xxhash64("rep"), F.lit(parts)).alias("part"), F.lit(0).alias("block"), F.lit(0).cast("long").alias("bucket"), none, "rep", "v")
+        them = cut(sought.join(short.select("q").distinct(), "q", "left_semi").select(F.lit(0).alias("t"), "q", all_cells, "v"), "them")
+        found = _best(every, them, n, them.count(), dim, k)
         answers = answers.join(short, ["query_id", "q"], "left_anti").unionByName(_lists(short, found, entries, k))
     return answers.select("query_id", F.posexplode("list").alias("pos", "x")).select("query_id", (F.col("pos") + 1).alias("rank"), F.col("x.vec_id").alias("vec_id"), F.col("x.score").alias("score"))
 

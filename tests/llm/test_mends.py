@@ -133,6 +133,29 @@ def test_many_queries_of_one_part(spark, monkeypatch):
     assert all(len(v) == 20 for v in few.values())
 
 
+def test_rows_of_the_ranking_do_not_grow_with_parts(spark, monkeypatch):
+    """Many parts: what leaves the ranking is in proportion to the vectors, and lists are as with one part."""
+    x = np.random.default_rng(6).normal(size=(900, 8))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    want, lists, made = lists_of(neighbours.search(df, df.where("vec_id % 20 = 0"))), neighbours._lists, []
+    monkeypatch.setattr(neighbours, "BLOCK", 64)
+    monkeypatch.setattr(neighbours, "_lists", lambda asked, found, entries, k: made.append(found.count()) or lists(asked, found, entries, k))
+    assert lists_of(neighbours.search(df, df.where("vec_id % 20 = 0"))) == want and len(want) == 45
+    assert lists_of(neighbours.search(df, df.where("vec_id % 20 = 0"), success=0.01, tables=1, projections=12)).keys() == want.keys()  # most are compared with all
+    assert len(made) == 3 and max(made) <= 15 * len(x)
+
+
+@pytest.mark.parametrize(("n", "success"), [(1, 0.9), (3, 0.3), (4, 0.7), (6, 0.5)])
+def test_a_reach_tells_the_cells_visited(n, success):
+    """A query's row has one length, whatever it visits, and tells exactly the cells of ``visits``."""
+    place = np.random.default_rng(n).uniform(-9, 9, n)
+    cells = np.array([c.tolist() for c in neighbours.visits(place, 2.5, 1.2, success)], np.int64)
+    grid = np.stack(np.meshgrid(*[np.arange(-4, 5) + int(np.floor(p / 2.5)) for p in place]), -1).reshape(-1, n)
+    found = neighbours.reach(place, 2.5, 1.2, success)
+    assert len(found) == 1 + n + n * (2 * neighbours.AROUND + 1)
+    assert {tuple(c) for c in grid[neighbours.visited(found[None], grid)[0]]} == {tuple(c) for c in cells}
+
+
 def test_near_texts_of_a_crowded_band_are_found(spark, monkeypatch):
     """Many twins, each near its other only, that share bands with many: found whatever the centres of bands tell."""
     monkeypatch.setattr(similar, "BLOCK_SETS", 12, raising=False)
