@@ -468,3 +468,18 @@ def test_each_distinct_token_is_decoded_once(spark, monkeypatch):
     monkeypatch.undo()
     table = spark.createDataFrame(list(enumerate(lists * 40)), "k int, ts array<string>").coalesce(1)
     assert [r["ts"] for r in table.select("k", decode.decode(F.col("ts")).alias("ts")).orderBy("k").collect()] == want * 40
+
+
+def test_tokens_that_recur_are_decoded_once_for_many_rows(monkeypatch):
+    """Texts are kept from row to row, but no more than so many, and none of long tokens."""
+    import pyarrow as pa
+
+    seen, old = [], decode.decoded
+    monkeypatch.setattr(decode, "decoded", lambda t: seen.append(t) or old(t))
+    monkeypatch.setattr(decode, "REMEMBERED", 3)
+    remembered, long = decode.Remembered(), "Ġ" * 100
+    for _ in range(50):
+        assert decode._all_decoded(pa.array([["Ġa", "Ã©"], None, [long, None, "Ġa"]]), remembered).to_pylist() == [[" a", "é"], None, [" " * 100, None, " a"]]
+    assert seen.count("Ġa") == seen.count("Ã©") == 1 and seen.count(long) == 50
+    for n in range(20):
+        assert decode._all_decoded(pa.array([[f"Ġ{n}"]]), remembered).to_pylist() == [[f" {n}"]] and len(remembered.known) <= 3
