@@ -92,9 +92,10 @@ class Config:
     #: Characters, or tokens, that a pattern's match may span; none: any number.
     regex_reach: int | None = None
     regex_max_span_tokens: int | None = None
-    #: Requests that each task has in flight; prompts of a wave, after which the log and the pairs are written.
+    #: Requests that each task has in flight; prompts of a wave, after which the log and the pairs are written; waves that are under way at once.
     threads: int = 1
     wave_prompts: int = 10_000
+    waves_in_flight: int = 4
     logging_level: str = "INFO"
     seed: int = 1
 

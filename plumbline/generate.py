@@ -6,7 +6,8 @@ a row for each refused prompt. All but the loop over one text is DataFrame opera
 
 A run works in waves of prompts, a micro-batch each: a wave's rows are written once, and from these
 its part of the log and of the pairs, each a folder named for the wave, so that a wave that is
-committed twice is there once. A run that was broken off goes on with the first wave that is not.
+committed twice is there once. Some waves are under way at once, each in a lane of its own; a run that
+was broken off goes on, in each lane, with the first wave that is not committed.
 """
 
 from __future__ import annotations
@@ -14,10 +15,12 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 from dataclasses import replace
+from threading import Lock
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from plumbline.config import Config
 from plumbline.operators import batch, repair
@@ -58,13 +61,13 @@ def completed(prompts: DataFrame, config: Config, rules: Rules, provider: Any, *
     if config.chat_prefix is not None:
         prompt = batch.chat(prompt, F.lit(""), config.system_prompt, config.chat_prefix, config.chat_middle)
     nothing = [F.array().cast("array<string>").alias("tokens"), F.array().cast("array<array<struct<token:string,logp:double>>>").alias("candidates")]
-    begun = prompts.select(F.col("prompt_id").alias("doc_id"), prompt.alias("prompt"), *nothing)
+    begun = prompts.where("prompt_id is not null").select(F.col("prompt_id").alias("doc_id"), prompt.alias("prompt"), F.col("prompt").alias("asked"), *nothing)
     banned = prefixes(rules) if config.filter_tail_banned_prefix_tokens else frozenset()
     done = repair.repair(
         begun, rules, provider, sampling(config), repair.tail_of(most=config.tail_top_k, limit=config.max_chosen_tokens, share=config.generation.min_p or 0.01, prefixes=banned), config.seed,
-        max_tokens=config.generation.max_new_tokens, retries=config.backtracking.max_retries_per_position, interval=config.regex_validation_interval, in_flight=config.threads, **more,
+        max_tokens=config.generation.max_new_tokens, retries=config.backtracking.max_retries_per_position, interval=config.regex_validation_interval, in_flight=config.threads, kept=("asked",), **more,
     )
-    return done.withColumnRenamed("doc_id", "prompt_id").join(prompts.select("prompt_id", "prompt"), "prompt_id")
+    return done.withColumnsRenamed({"doc_id": "prompt_id", "asked": "prompt"})
 
 
 def log_rows(done: DataFrame, config: Config) -> DataFrame:
@@ -142,15 +145,60 @@ def with_template(spark: SparkSession, config: Config) -> Config:
 
 #: What is told of a wave: its number, its rows and tokens, and its events by kind.
 Progress = Callable[[dict[str, Any]], None]
+#: Bytes of a wave's answers that one task puts into the log, or into the pairs.
+PART = 4 << 20
+RUN, PROMPTS = "run string, lanes int", "prompt_id long, prompt string"
 TOTALS = "prompts long, tokens long, succeeded long, unsettled long"
 
 
+def in_waves(spark: SparkSession, waves: str, lanes: int | None, answer: Callable[[DataFrame], DataFrame], commit: Callable[[DataFrame, str], None]) -> None:
+    """Answer and commit what is left of a run's prompts, a file of them at a time in each lane.
+
+    A lane is a stream of its own, so that tasks have other waves' prompts while one is planned or
+    committed. Once a wave has failed no lane begins another, and the failure is raised when all
+    have ended. ``lanes`` is null where a run was begun without any: its prompts are one stream.
+    """
+    names = [f"/lane={k}" for k in range(lanes)] if lanes is not None else [""]
+    failed: list[Exception] = []
+    queries = []
+
+    def begun(lane: str) -> StreamingQuery:
+        def wave(rows: DataFrame, number: int) -> None:
+            if failed:
+                raise RuntimeError("another wave failed")
+            try:
+                commit(rows, f"{lane.removeprefix('/lane=')}_{number}" if lane else str(number))
+            except Exception as why:
+                failed.append(why)
+                raise
+
+        queue = spark.readStream.schema(PROMPTS).option("maxFilesPerTrigger", 1).parquet(f"{waves}/prompts{lane}")
+        rows = answer(queue.repartition(spark.sparkContext.defaultParallelism))
+        return rows.writeStream.foreachBatch(wave).option("checkpointLocation", f"{waves}/checkpoint{lane}").trigger(availableNow=True).start()
+
+    try:
+        for lane in names:
+            if records.exists(spark, f"{waves}/prompts{lane}"):  # there are no more lanes than waves
+                queries.append(begun(lane))
+        for query in queries:
+            try:
+                query.awaitTermination()
+            except Exception as why:
+                failed.append(why)
+    finally:
+        for query in queries:
+            query.stop()
+    if failed:
+        raise failed[0]
+
+
 def run(spark: SparkSession, config: Config, provider: Any = None, scorer: Callable[[], Scorer] | None = None, progress: Progress | None = None) -> DataFrame:
     """A whole run by the settings: reads, generates, writes the log and the pairs wave by wave, and gives the totals.
 
     What is still to be asked is written beside the log, in as many files as there are waves, and
-    read as a stream of them. A run that ended early left this folder: the next one goes on with
-    it, whatever its prompts. ``progress`` is called here, on the driver, after each wave.
+    read as streams of them, ``waves_in_flight`` at once. A run that ended early left this folder:
+    the next one goes on with it, whatever its prompts. ``progress`` is called here, on the driver,
+    after each wave, one call at a time.
     """
     if not config.output_jsonl:
         raise ValueError("output_jsonl is needed")
@@ -164,18 +212,23 @@ def run(spark: SparkSession, config: Config, provider: Any = None, scorer: Calla
         existing = records.log_ids(spark, log)
         refused = records.refusals(spark, config.refusals_file) if config.refusals_file else None
         left, stand_ins = outstanding(read_prompts(spark, config), config, existing, refused)
-        spark.createDataFrame([(uuid.uuid4().hex,)], "run string").write.mode("overwrite").parquet(f"{waves}/run")
+        lanes = max(1, config.waves_in_flight)
+        spark.createDataFrame([(uuid.uuid4().hex, lanes)], RUN).write.mode("overwrite").parquet(f"{waves}/run")
         stand_ins.write.mode("overwrite").parquet(f"{waves}/stand_ins")
         left = left.select(F.col("prompt_id").cast("long").alias("prompt_id"), "prompt")
         files = -(-left.count() // max(1, config.wave_prompts))
-        left.repartition(max(1, files)).write.mode("overwrite").parquet(f"{waves}/prompts")
-    run_id = spark.read.parquet(f"{waves}/run").first()["run"]
+        dealt = left.repartition(max(1, files)).withColumn("lane", F.spark_partition_id() % lanes)
+        dealt.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("lane").parquet(f"{waves}/prompts")
+    run_id, lanes = spark.read.schema(RUN).parquet(f"{waves}/run").first()
+
+    telling = Lock()
 
     def staged(rows: DataFrame, wave: str) -> DataFrame:
         path = f"{waves}/staged/wave={wave}"
         if not records.exists(spark, f"{path}/_SUCCESS"):
             rows.write.mode("overwrite").parquet(path)
-        return spark.read.parquet(path)
+        # As many tasks as its size needs, not as many as there were: each costs more than a small wave's rows.
+        return spark.read.schema(rows.schema).parquet(path).coalesce(1 + records.size(spark, path) // PART)
 
     def commit(rows: DataFrame, wave: str) -> None:
         written = staged(rows, wave)
@@ -185,17 +238,13 @@ def run(spark: SparkSession, config: Config, provider: Any = None, scorer: Calla
         if progress is not None:
             kinds = written.select(F.explode("events").alias("e")).groupBy("e.type").count().collect()  # as many as there are kinds of rules
             told = written.agg(F.count("*").alias("prompts"), F.sum("tokens_generated_prompt").alias("tokens")).first()
-            progress({"wave": wave, "prompts": told["prompts"], "tokens": told["tokens"] or 0, "events": {r["type"]: r["count"] for r in kinds}})
-
-    def wave(prompts: DataFrame, number: int) -> None:
-        if not prompts.isEmpty():
-            commit(answered(prompts.repartition(spark.sparkContext.defaultParallelism), config, rules, provider, scorer), str(number))
+            with telling:
+                progress({"wave": wave, "prompts": told["prompts"], "tokens": told["tokens"] or 0, "events": {r["type"]: r["count"] for r in kinds}})
 
     stand_ins = spark.read.parquet(f"{waves}/stand_ins")
     if not stand_ins.isEmpty():
         commit(stand_ins, "stand_ins")
-    queue = spark.readStream.schema("prompt_id long, prompt string").option("maxFilesPerTrigger", 1).parquet(f"{waves}/prompts")
-    queue.writeStream.foreachBatch(wave).option("checkpointLocation", f"{waves}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    in_waves(spark, waves, lanes, lambda prompts: answered(prompts, config, rules, provider, scorer), commit)
     totals = (0, 0, 0, 0)
     if records.exists(spark, f"{waves}/staged"):
         written = spark.read.option("mergeSchema", "true").parquet(f"{waves}/staged")

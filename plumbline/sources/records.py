@@ -44,6 +44,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(where)
 
 
+def size(spark: SparkSession, path: str) -> int:
+    """The bytes of a file, or of all files in a folder."""
+    fs, where = _at(spark, path)
+    return fs.getContentSummary(where).getLength()
+
+
 def removed(spark: SparkSession, path: str) -> None:
     """Delete a folder of this engine's own."""
     fs, where = _at(spark, path)

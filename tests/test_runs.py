@@ -6,7 +6,8 @@ import json
 import random
 import time
 from collections import Counter
-from itertools import accumulate
+from dataclasses import replace
+from itertools import accumulate, combinations
 
 import numpy as np
 import pytest
@@ -195,6 +196,59 @@ def test_a_wave_is_committed_once(spark, tmp_path, monkeypatch):
     assert spark.read.json(f"file://{tmp_path}/pairs").count() == 6 == records.generations(spark, f"file://{tmp_path}/log").count()
 
 
+class Timed:
+    """A service that takes its time, and notes from when to when it was asked for each prompt."""
+
+    def __init__(self, folder):
+        self.folder = folder
+
+    def continue_(self, doc_id, prompt, tokens, most):
+        if tokens:
+            return [], []
+        begun = time.time()
+        time.sleep(1.5)
+        (self.folder / str(doc_id)).write_text(f"{begun} {time.time()}")
+        return ["fine"], [[]]
+
+
+def test_waves_are_under_way_at_once(spark, tmp_path):
+    """Prompts of one wave are asked while another is; a small wave's part of the log is a file."""
+    (tmp_path / "calls").mkdir()
+    (tmp_path / "p.json").write_text(json.dumps([f"prompt {i}" for i in range(8)]))
+    (tmp_path / "bans.json").write_text(json.dumps([["the cat", 1.0]]))
+    told = []
+    assert generate.run(spark, settings(tmp_path, wave_prompts=2), Timed(tmp_path / "calls"), None, told.append).first()["prompts"] == 8
+    waves = [p for p in tmp_path.glob("log/run=*/wave=*") if list(p.glob("part-*"))]
+    ids = {p.name: [json.loads(line)["prompt_id"] for f in p.glob("part-*") for line in f.read_text().splitlines()] for p in waves}
+    assert sorted(i for w in ids.values() for i in w) == sorted(map(str, range(8))) and len(told) == len(ids) > 1
+    spans = {w: [tuple(map(float, (tmp_path / "calls" / i).read_text().split())) for i in ids[w]] for w in ids}
+    assert any(a < d and c < b for v, w in combinations(spans, 2) for a, b in spans[v] for c, d in spans[w])
+    assert all(len(list(p.glob("part-*"))) == 1 for p in waves)
+
+
+def test_a_run_that_was_begun_without_lanes_goes_on(spark, tmp_path):
+    """Its prompts are files without folders, of which one run after the other took one at a time."""
+    (tmp_path / "calls").mkdir()
+    (tmp_path / "p.json").write_text("[]")
+    (tmp_path / "bans.json").write_text(json.dumps([["the cat", 1.0]]))
+    waves = f"file://{tmp_path}/log.waves"
+    spark.createDataFrame([("old",)], "run string").write.parquet(f"{waves}/run")
+    asked = spark.createDataFrame([(i, "see the cat") for i in range(6)], "prompt_id long, prompt string")
+    generate.outstanding(asked, settings(tmp_path))[1].write.parquet(f"{waves}/stand_ins")
+    asked.repartition(2).write.parquet(f"{waves}/prompts")
+    assert generate.run(spark, settings(tmp_path), Counted(OPTIONS, tmp_path / "calls")).first()["prompts"] == 6
+    assert sorted(r["prompt_id"] for r in records.generations(spark, f"file://{tmp_path}/log/run=old").collect()) == sorted(map(str, range(6)))
+
+
+def test_a_wave_needs_no_join(spark):
+    """The prompt goes along with its document, in its template or not, and comes back as it was asked."""
+    rows = spark.createDataFrame([(0, "see"), (1, None), (None, "lost"), (2, "the `cat`")], "prompt_id long, prompt string")
+    own = config.merged(config.Config(), {"chat_template_file": None, "top_k": 1})
+    for found in (generate.completed(rows, c, match.Rules(("the cat",)), repair.Replay()) for c in (own, replace(own, chat_prefix="<", chat_middle=">"))):
+        assert "Join" not in found._jdf.queryExecution().toString()
+        assert sorted((r["prompt_id"], r["prompt"]) for r in found.collect()) == [(0, "see"), (1, None), (2, "the `cat`")]
+
+
 def test_scoring_asks_nothing_again(spark, tmp_path):
     rows = spark.createDataFrame([(i, f"p {i}") for i in range(10)], "prompt_id long, prompt string")
     own = config.merged(config.Config(), {"enable_refusal_detection": True, "top_k": 1})
